@@ -154,6 +154,24 @@ def money(col: str | Column) -> Column:
     return _c(col).cast(T.DecimalType(p, s))
 
 
+def exact_avg(col: str | Column, decimal: tuple[int, int] = S.AMOUNT_DECIMAL, where: Column | None = None) -> Column:
+    """Average of a money / score column as stored (decimal): exact decimal sum, then
+    one double division. Unlike a double sum, the result does not depend on the
+    order rows reach the aggregate, so it is the same on any partitioning.
+    NULL when no row qualifies."""
+    p, s = decimal
+    c = _c(col)
+    if where is not None:
+        c = F.when(where, c)
+    return F.try_divide(F.sum(c.cast(T.DecimalType(p, s))).cast("double"), F.count(c))
+
+
+def exact_sum(col: str | Column, decimal: tuple[int, int] = S.AMOUNT_DECIMAL) -> Column:
+    """Sum of a money column as an exact decimal sum, returned as double."""
+    p, s = decimal
+    return F.sum(_c(col).cast(T.DecimalType(p, s))).cast("double")
+
+
 def score_decimal(col: str | Column) -> Column:
     p, s = S.SCORE_DECIMAL
     return _c(col).cast(T.DecimalType(p, s))

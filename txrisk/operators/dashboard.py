@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_of_col, interval, on_date_col, within, within_col
+from ..functions.columns import as_of_col, exact_avg, interval, on_date_col, within, within_col
+from .. import schemas as S
 
 TX_COLUMNS = ["transaction_id", "user_id", "amount", "currency", "merchant",
               "transaction_time", "country", "transaction_type"]
@@ -171,7 +172,7 @@ def tx_counts(tx: DataFrame, as_of=None, time_col: str = "transaction_time",
     return tx.agg(
         _count_if(within_col(time_col, t, "1 minute")).alias("transactions_per_minute"),
         _count_if(today_cond).alias("transactions_today"),
-        F.round(F.coalesce(F.avg(F.when(avg_cond, F.col("amount"))), F.lit(0.0)), 2).alias("avg_amount"),
+        F.round(F.coalesce(exact_avg("amount", where=avg_cond), F.lit(0.0)), 2).alias("avg_amount"),
     )
 
 
@@ -188,7 +189,7 @@ def alert_counts(alerts: DataFrame, as_of=None, lookback: str = "24 hours",
     return alerts.agg(
         _count_if(hit).alias("frauds_detected"),
         _count_if(F.col("alert_status") == F.lit("pending")).alias("pending_alerts"),
-        F.round(F.coalesce(F.avg(F.when(w, F.col("fraud_score").cast("double"))), F.lit(0.0)), 4)
+        F.round(F.coalesce(exact_avg("fraud_score", S.SCORE_DECIMAL, where=w), F.lit(0.0)), 4)
         .alias("avg_fraud_score"),
     )
 
@@ -243,7 +244,7 @@ def fraud_summary(alerts: DataFrame) -> DataFrame:
     return (alerts.groupBy(F.to_date("detection_time").alias("date"))
             .agg(F.count(F.lit(1)).alias("total_alerts"),
                  F.sum(F.when(F.col("is_fraud"), 1).otherwise(0)).alias("confirmed_frauds"),
-                 F.avg(F.col("fraud_score").cast("double")).alias("avg_fraud_score"),
+                 exact_avg("fraud_score", S.SCORE_DECIMAL).alias("avg_fraud_score"),
                  F.sum(F.col("amount").cast("decimal(15,2)")).alias("total_amount_flagged"),
                  F.countDistinct("user_id").alias("unique_users_flagged"))
             .orderBy(F.col("date").desc()))
@@ -253,7 +254,7 @@ def daily_transaction_stats(tx: DataFrame) -> DataFrame:
     """Per transaction day: count, avg / max / min amount, distinct users, distinct merchants."""
     return (tx.groupBy(F.to_date("transaction_time").alias("date"))
             .agg(F.count(F.lit(1)).alias("total_transactions"),
-                 F.avg("amount").alias("avg_amount"),
+                 exact_avg("amount").alias("avg_amount"),
                  F.max("amount").alias("max_amount"),
                  F.min("amount").alias("min_amount"),
                  F.countDistinct("user_id").alias("unique_users"),
@@ -332,5 +333,3 @@ def user_alert_counts(alerts: DataFrame) -> DataFrame:
 def expires_at(col: str, ttl: str) -> Column:
     return F.col(col) + interval(ttl)
 
-
-_ = Window  # re-exported for callers building their own specs

@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.columns import (amount_features, as_timestamp, deviation_from, flag,
-                                 location_features, merchant_features, time_features)
+from ..functions.columns import (amount_features, as_timestamp, deviation_from, exact_avg, exact_sum, flag,
+                                 location_features, merchant_features, money, time_features)
 from ..functions.columns import interval as interval_col
 
 _MICROS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
@@ -92,7 +92,7 @@ def merchant_stats(df: DataFrame) -> DataFrame:
     """merchant_tx_count, merchant_avg_amount."""
     return with_group_stats(df, ["merchant"], {
         "merchant_tx_count": F.count(F.lit(1)),
-        "merchant_avg_amount": F.avg("amount"),
+        "merchant_avg_amount": exact_avg("amount"),
     })
 
 
@@ -123,7 +123,7 @@ def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transac
     # Small per-(user, bucket) summary: totals for W1/W2, last row for W5's carry-in.
     summary = base.groupBy(key, "_b").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(amount).alias("_s"),
+        F.sum(money(amount)).alias("_s"),
         F.count(amount).alias("_na"),
         F.max(F.struct(F.col("_us"), F.col(id_col), F.col(ts).alias("_t"))).alias("_last"),
     )
@@ -131,7 +131,7 @@ def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transac
     summary = summary.select(
         key, F.col("_b").alias("_pb"),
         F.sum("_n").over(w_user).alias("user_tx_count"),
-        (F.sum("_s").over(w_user) / F.sum("_na").over(w_user)).alias("user_avg_amount"),
+        F.try_divide(F.sum("_s").over(w_user).cast("double"), F.sum("_na").over(w_user)).alias("user_avg_amount"),
         F.lag(F.col("_last._t")).over(Window.partitionBy(key).orderBy("_b")).alias("_carry_t"),
     )
 
@@ -147,9 +147,10 @@ def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transac
     windowed = expanded.select(
         *cols, "_pb", "_ctx", "_us",
         F.count(F.lit(1)).over(w_lb).alias(f"user_tx_count_{lookback_suffix}"),
-        F.avg(amount).over(w_lb).alias(f"user_avg_amount_{lookback_suffix}"),
+        F.try_divide(F.sum(money(amount)).over(w_lb).cast("double"), F.count(amount).over(w_lb))
+        .alias(f"user_avg_amount_{lookback_suffix}"),
         F.count(F.lit(1)).over(w_vel).alias(f"tx_count_{velocity_suffix}"),
-        F.sum(amount).over(w_vel).alias(f"total_amount_{velocity_suffix}"),
+        F.sum(money(amount)).over(w_vel).cast("double").alias(f"total_amount_{velocity_suffix}"),
         F.lag(F.col(ts)).over(w_seq).alias("_lag_t"),
     ).filter(~F.col("_ctx"))
 

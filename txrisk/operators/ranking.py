@@ -129,9 +129,10 @@ def distributed_rank(df: DataFrame, order_col: str, partition_cols: Sequence[str
     # Join back on the sort value (null-safe). A hot value is one key here, so
     # AQE's skew-join split of the big side applies.
     keys = [*parts, order_col]
-    cond = [df[k].eqNullSafe(ranks[k]) for k in keys]
-    joined = df.join(ranks, cond, "inner")
-    return joined.select(*[df[c] for c in df.columns], ranks[rank_col], ranks[n_col])
+    renamed = ranks.select(*[F.col(k).alias(f"_rk_{i}") for i, k in enumerate(keys)], rank_col, n_col)
+    cond = [F.col(k).eqNullSafe(F.col(f"_rk_{i}")) for i, k in enumerate(keys)]
+    joined = df.join(renamed, cond, "inner")
+    return joined.drop(*[f"_rk_{i}" for i in range(len(keys))])
 
 
 def distributed_percent_rank(df: DataFrame, order_col: str, out_col: str = "percent_rank",
