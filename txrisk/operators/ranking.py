@@ -26,6 +26,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET = "_rk_bucket"
+_PROXY = "_rk_proxy"
+
+
+def order_proxy(df: DataFrame, col: str) -> Column:
+    """A numeric column whose order never contradicts the order of ``col``.
+
+    Numbers are used as they are; times as microseconds; strings by their
+    first 7 UTF-8 bytes (shorter strings padded with zero bytes, matching
+    binary string order). Equal proxies only share a range bucket, the exact
+    order inside a bucket is the column's own.
+    """
+    from pyspark.sql import types as T
+
+    dtype = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c)
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        raw = F.encode(c, "UTF-8") if isinstance(dtype, T.StringType) else c
+        hexed = F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0")
+        return F.conv(hexed, 16, 10).cast("long")
+    return c
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -81,8 +107,9 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols:
     """
     parts = list(partition_cols)
     nb = n_buckets or default_buckets(df)
-    bounds = boundaries(df, key, nb)
-    keyed = df.withColumn(_BUCKET, bucket_of(F.col(key), bounds, descending))
+    proxied = df.withColumn(_PROXY, order_proxy(df, key))
+    bounds = boundaries(proxied, _PROXY, nb)
+    keyed = proxied.withColumn(_BUCKET, bucket_of(F.col(_PROXY), bounds, descending)).drop(_PROXY)
 
     totals = keyed.groupBy(*parts, _BUCKET).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     w_off = Window.partitionBy(*parts).orderBy(_BUCKET)

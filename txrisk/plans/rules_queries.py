@@ -354,3 +354,12 @@ def q_alert_table_rows(spark, d):
                        F.col("fraud_score").cast("double").alias("fraud_score"), "is_fraud", "model_version",
                        ts_string("transaction_time").alias("transaction_time"), "alert_status",
                        F.date_format("detection_time", "yyyy-MM-dd HH:mm:ss").alias("detection_time"))
+
+
+@query("orders_out_of_range_tight", "WITH " + ORDERS_TX_SQL.lstrip().lstrip(",") + """
+SELECT transaction_id, 'country' AS "column", 'length > 8' AS problem FROM otx WHERE length(country) > 8
+UNION ALL
+SELECT transaction_id, 'merchant', 'length > 12' FROM otx WHERE length(merchant) > 12""")
+def q_orders_out_of_range_tight(spark, d):
+    """Q4 with tighter column limits (country 8, merchant 12) so violations occur in the given data."""
+    return Q.out_of_range(otx(spark, d), lengths={"country": 8, "merchant": 12}, decimals={})
