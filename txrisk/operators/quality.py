@@ -46,10 +46,11 @@ def dedupe(df: DataFrame, key: str | Sequence[str], order_by: str | None = None,
     the result does not depend on partitioning; ``order_by=None`` keeps an
     arbitrary row (``dropDuplicates``). Partial aggregation folds copies
     map-side, so a key with a huge number of copies is cheap.
-    Stream: ``withWatermark(time_col, watermark)`` + ``dropDuplicatesWithinWatermark``.
+    Stream: ``withWatermark(time_col, watermark)`` + ``dropDuplicatesWithinWatermark``
+    (``watermark`` is ignored for batch frames, which see all rows at once).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if df.isStreaming or watermark is not None:
+    if df.isStreaming:
         wm = watermark or "10 minutes"
         return df.withWatermark(time_col, wm).dropDuplicatesWithinWatermark(keys)
     if order_by is None:

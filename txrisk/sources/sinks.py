@@ -64,7 +64,9 @@ def sink_alerts(scored: DataFrame, path: str, as_of=None, batch_id: int | None =
         F.col("transaction_time").cast("timestamp").alias("transaction_time"),
         (F.col("detection_time") if "detection_time" in scored.columns else as_of_col(as_of)).alias("detection_time"),
         F.lit("pending").alias("alert_status"))
-        .withColumn("date", F.to_date("detection_time")))
+        # partition by the transaction's day: deterministic, so a replayed batch
+        # overwrites exactly the partitions of its first attempt
+        .withColumn("date", F.to_date("transaction_time")))
     _append(rows, path, ["date"], batch_id)
 
 
