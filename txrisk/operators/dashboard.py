@@ -169,6 +169,16 @@ def tx_counts(tx: DataFrame, as_of=None, time_col: str = "transaction_time",
     t = as_of_col(as_of)
     today_cond = on_date_col(time_col, t) if today == "calendar" else within_col(time_col, t, today)
     avg_cond = within_col(time_col, t, avg_window)
+    # Only rows inside the union of the windows can count: filter on the bare
+    # time column first (bounds fold to constants, so Parquet skips the rest).
+    if today == "calendar":
+        day = F.date_trunc("day", t)
+        lower = F.least(day, t - interval("1 minute"), t - interval(avg_window))
+        upper = F.greatest(t, day + interval("1 day"))
+    else:
+        lower = F.least(t - interval("1 minute"), t - interval(today), t - interval(avg_window))
+        upper = t
+    tx = tx.filter((F.col(time_col) >= lower) & (F.col(time_col) <= upper))
     return tx.agg(
         _count_if(within_col(time_col, t, "1 minute")).alias("transactions_per_minute"),
         _count_if(today_cond).alias("transactions_today"),

@@ -125,14 +125,14 @@ def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transac
         F.count(F.lit(1)).alias("_n"),
         F.sum(money(amount)).alias("_s"),
         F.count(amount).alias("_na"),
-        F.max(F.struct(F.col("_us"), F.col(id_col), F.col(ts).alias("_t"))).alias("_last"),
+        F.max("_us").alias("_last_us"),     # carry-in time: ties in time share it, no struct needed
     )
     w_user = Window.partitionBy(key)
     summary = summary.select(
         key, F.col("_b").alias("_pb"),
         F.sum("_n").over(w_user).alias("user_tx_count"),
         F.try_divide(F.sum("_s").over(w_user).cast("double"), F.sum("_na").over(w_user)).alias("user_avg_amount"),
-        F.lag(F.col("_last._t")).over(Window.partitionBy(key).orderBy("_b")).alias("_carry_t"),
+        F.timestamp_micros(F.lag("_last_us").over(Window.partitionBy(key).orderBy("_b"))).alias("_carry_t"),
     )
 
     # Context copies into following buckets that fall inside the longest look-back.

@@ -77,9 +77,10 @@ def run_stream(messages: DataFrame, tx_path: str, alerts_path: str, checkpoint:
 def stream_volume(df: DataFrame, width: str = "1 minute", watermark: str = "10 minutes",
                   ts: str = "transaction_time", id_col: str = "transaction_id") -> DataFrame:
     """Per time window, transactions and fraud transactions (ids de-duplicated first, T11)."""
-    d = dedupe(df, id_col, watermark=watermark, time_col=ts) if df.isStreaming else df.dropDuplicates([id_col])
-    return (d.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, width).alias("w"))
+    # one watermark for both stateful steps (dedupe, then the window aggregate)
+    d = (df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([id_col]) if df.isStreaming
+         else df.dropDuplicates([id_col]))
+    return (d.groupBy(F.window(ts, width).alias("w"))
             .agg(F.count(F.lit(1)).alias("tx_count"),
                  F.count_if(F.coalesce(F.col("is_fraud"), F.lit(False))).alias("fraud_count"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
