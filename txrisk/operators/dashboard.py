@@ -330,6 +330,21 @@ def dashboard_stats(tx: DataFrame, alerts: DataFrame, as_of=None, lookback: str
         "pending_alerts", "fraud_rate", "avg_fraud_score", "by_country")
 
 
+def to_record(df: DataFrame) -> DataFrame:
+    """A record for JSON output: times as strings, decimals as doubles, flags as booleans."""
+    from pyspark.sql import types as T
+
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
 def live_alerts(alerts: DataFrame, as_of=None, ttl: str = "1 hour", time_col: str = "detection_time") -> DataFrame:
     """Alerts younger than the TTL (what a key-value cache with expiry would hold)."""
     return within(alerts, time_col, as_of, ttl)

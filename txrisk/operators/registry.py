@@ -90,9 +90,13 @@ def newest_model(infos: DataFrame, order_col: str = "training_date") -> DataFram
     return infos.agg(F.max_by(F.struct(*infos.columns), F.col(order_col)).alias("m")).select("m.*")
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """Newest row per key (row_number = 1; Spark plans a WindowGroupLimit)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
+def latest_per_key(df: DataFrame, keys: list[str], order_col: str, tiebreak: list[str] | None = None) -> DataFrame:
+    """Newest row per key (row_number = 1, ties broken by ``tiebreak`` descending).
+
+    Spark plans this as a WindowGroupLimit before and after the shuffle, so
+    each map task forwards at most one row per key: a hot key costs nothing extra."""
+    order = [F.col(order_col).desc()] + [F.col(c).desc() for c in (tiebreak or [])]
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 

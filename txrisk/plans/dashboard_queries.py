@@ -358,3 +358,48 @@ WHERE detection_time >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AND detection_time
 def q_live_alerts(spark, d):
     """Alerts younger than a 1-day TTL at as_of."""
     return alert_cols(D.live_alerts(alerts(spark, d, 0.5), AS_OF, "1 day"))
+
+
+@query("latest_alert_per_user", O.BASE_DENSE + f"""
+SELECT {ALERT_COLS_SQL} FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY detection_time DESC, transaction_id DESC) AS rn FROM dense)
+WHERE rn = 1""")
+def q_latest_alert_per_user(spark, d):
+    """Each user's newest (dense) alert."""
+    from ..operators.registry import latest_per_key
+
+    return alert_cols(latest_per_key(alerts(spark, d, 0.5), ["user_id"], "detection_time", ["transaction_id"]))
+
+
+@query("newest_transaction", O.BASE + f"""
+SELECT transaction_id, {O.ts('transaction_time')} AS transaction_time FROM tx
+ORDER BY transaction_time DESC, transaction_id DESC LIMIT 1""")
+def q_newest_transaction(spark, d):
+    """O2: the anchor of the live feed (newest transaction)."""
+    n = D.newest(tx(spark, d))
+    return n.select("transaction_id", ts_string("transaction_time").alias("transaction_time"))
+
+
+@query("transaction_records", O.BASE + f"""
+SELECT t.transaction_id, t.user_id, CAST(CAST(t.amount AS DECIMAL(15,2)) AS DOUBLE) AS amount, t.currency,
+       t.merchant, {O.ts('t.transaction_time')} AS transaction_time, t.country, t.transaction_type,
+       CAST(CAST(coalesce(fa.fraud_score, 0) AS DECIMAL(5,4)) AS DOUBLE) AS fraud_score,
+       coalesce(fa.is_fraud, FALSE) AS is_fraud, coalesce(fa.alert_status, 'n/a') AS alert_status
+FROM tx t LEFT JOIN alerts fa ON t.transaction_id = fa.transaction_id""")
+def q_transaction_records(spark, d):
+    """J1 over the stored types (decimal amount and score) + P13 record projection."""
+    stored_tx = tx(spark, d).withColumn("amount", F.col("amount").cast("decimal(15,2)"))
+    stored = tables.stored_alerts(alerts(spark, d))
+    j = D.tx_with_alerts(stored_tx, stored.withColumn("fraud_score", F.col("fraud_score")))
+    j = j.withColumn("fraud_score", F.col("fraud_score").cast("decimal(5,4)"))
+    return D.to_record(j)
+
+
+@query("sample_rows", O.BASE + """
+SELECT transaction_id, amount, is_fraud_actual FROM tx ORDER BY transaction_id LIMIT 10""")
+def q_sample_rows(spark, d):
+    """A 10-row sample of chosen columns (missing columns skipped), in id order."""
+    from ..operators.quality import sample_rows
+
+    return sample_rows(tx(spark, d).orderBy("transaction_id"), ["transaction_id", "amount", "is_fraud_actual",
+                                                                 "fraud_score_rule"], 10)
