@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .ranking import distributed_rank, prefix_sums
+from .ranking import distributed_rank, key_boundaries, prefix_sums
 from .stats import fit_scaler
 
 
@@ -132,21 +132,35 @@ def train(df: DataFrame, label: str = "label", kind: str = "random_forest", seed
     data = scale_with(encoded, scaler, suffix="_scaled")
     data = data.withColumn("_label", F.col(label).cast("double"))
     data = balanced_weights(data, "_label", "_weight")
+    cols = [f"{c}_scaled" for c in feature_names] + ["_label", "_weight"]
+    # MLlib passes over the data many times: keep the narrow training frame
+    # (13 doubles + label + weight) instead of recomputing encoders and joins per
+    # pass; lost blocks are recomputed from lineage. Tree learners also
+    # checkpoint their state to the shared checkpoint folder every 10 iterations.
+    from pyspark import StorageLevel
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    data = data.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     assembler = VectorAssembler(inputCols=[f"{c}_scaled" for c in feature_names], outputCol="features",
                                 handleInvalid="keep")
     if kind == "random_forest":
         clf = RandomForestClassifier(labelCol="_label", featuresCol="features", weightCol="_weight",
                                      numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", 10),
-                                     seed=seed)
+                                     seed=seed, checkpointInterval=10)
     elif kind == "gradient_boosting":
         clf = GBTClassifier(labelCol="_label", featuresCol="features", maxIter=params.get("maxIter", 100),
-                            maxDepth=params.get("maxDepth", 5), stepSize=params.get("stepSize", 0.1), seed=seed)
+                            maxDepth=params.get("maxDepth", 5), stepSize=params.get("stepSize", 0.1), seed=seed,
+                            checkpointInterval=10)
     elif kind == "logistic":
         clf = LogisticRegression(labelCol="_label", featuresCol="features", weightCol="_weight",
                                  maxIter=params.get("maxIter", 1000))
     else:
         raise ValueError(f"unknown model kind: {kind}")
-    pipeline = Pipeline(stages=[assembler, clf]).fit(data)
+    try:
+        pipeline = Pipeline(stages=[assembler, clf]).fit(data)
+    finally:
+        data.unpersist()
     return FraudModel(pipeline, encoders, scaler, feature_names, kind, version or f"{kind}_model")
 
 
@@ -249,7 +263,7 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC-AUC (ties count one half), one row ``roc_auc``."""
-    pre = prefix_sums(score_counts(df, label, score), "score", ["neg"])
+    pre = prefix_sums(score_counts(df, label, score), "score", ["neg"], bounds=key_boundaries(df, score))
     contrib = pre.agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.lit(0.5) * F.col("neg"))).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -260,7 +274,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, scores descending:
     cumulative true / false positives at or above each threshold."""
-    pre = prefix_sums(score_counts(df, label, score), "score", ["pos", "neg"], descending=True)
+    pre = prefix_sums(score_counts(df, label, score), "score", ["pos", "neg"], descending=True,
+                      bounds=key_boundaries(df, score))
     return pre.select(F.col("score").alias("threshold"),
                       _safe_div(F.col("neg_upto").cast("double"), F.col("neg_total")).alias("fpr"),
                       _safe_div(F.col("pos_upto").cast("double"), F.col("pos_total")).alias("tpr"))

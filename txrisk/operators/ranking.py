@@ -15,7 +15,7 @@ task. Here the work is split by value ranges instead:
 4. a window partitioned by (partition keys, range) gives the running sum
    inside each range; offset + local sum is the global prefix.
 
-The only driver round trip is ``approxQuantile``: ``B`` numbers.
+The only driver round trip is ``approxQuantile`` over the key column: ``B`` numbers.
 """
 
 from __future__ import annotations
@@ -96,19 +96,26 @@ def bucket_of(value: Column, bounds: Sequence, descending: bool = False) -> Colu
     return F.when(value.isNull(), F.lit(-1)).otherwise(b)
 
 
+def key_boundaries(df: DataFrame, key: str, n_buckets: int | None = None) -> list:
+    """Range boundaries for ``key`` taken from ``df`` (any frame holding the key column)."""
+    nb = n_buckets or default_buckets(df)
+    return boundaries(df.select(order_proxy(df, key).alias(_PROXY)), _PROXY, nb)
+
+
 def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols: Sequence[str] = (),
                 descending: bool = False, n_buckets: int | None = None,
-                broadcast_offsets: bool | None = None) -> DataFrame:
+                broadcast_offsets: bool | None = None, bounds: list | None = None) -> DataFrame:
     """Running sums of ``values`` in ``key`` order, per ``partition_cols``.
 
     ``df`` must hold one row per (partition_cols, key). Adds ``<v>_before``
     (sum over strictly earlier keys), ``<v>_upto`` (inclusive) and
-    ``<v>_total`` for each value column.
+    ``<v>_total`` for each value column. ``bounds`` (from :func:`key_boundaries`)
+    may be computed on another frame, e.g. the raw rows before aggregation.
     """
     parts = list(partition_cols)
-    nb = n_buckets or default_buckets(df)
     proxied = df.withColumn(_PROXY, order_proxy(df, key))
-    bounds = boundaries(proxied, _PROXY, nb)
+    if bounds is None:
+        bounds = key_boundaries(df, key, n_buckets)
     keyed = proxied.withColumn(_BUCKET, bucket_of(F.col(_PROXY), bounds, descending)).drop(_PROXY)
 
     totals = keyed.groupBy(*parts, _BUCKET).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -148,8 +155,10 @@ def distributed_rank(df: DataFrame, order_col: str, partition_cols: Sequence[str
     """``rank()`` (ties share the lowest rank) and partition size, computed distributedly."""
     parts = list(partition_cols)
     counts = df.groupBy(*parts, order_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    nb = n_buckets or default_buckets(df)
-    pre = prefix_sums(counts, order_col, ["_cnt"], parts, descending, nb)
+    # boundaries from the raw column: one pruned scan, no aggregation; buckets
+    # then hold about n / B rows each (a hot value ends up alone in its bucket)
+    bounds = key_boundaries(df, order_col, n_buckets)
+    pre = prefix_sums(counts, order_col, ["_cnt"], parts, descending, bounds=bounds)
     ranks = pre.select(*parts, order_col,
                        (F.col("_cnt_before") + F.lit(1)).alias(rank_col),
                        F.col("_cnt_total").alias(n_col))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import numeric_columns
-from .ranking import prefix_sums
+from .ranking import key_boundaries, prefix_sums
 
 DEFAULT_PROBS = (0.25, 0.5, 0.75)
 
@@ -36,8 +36,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
 
     One row per feature: (feature, p25, p50, p75, ...).
     """
-    counts = _long(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_cnt"))
-    pre = prefix_sums(counts, "value", ["_cnt"], ["feature"], n_buckets=n_buckets)
+    long = _long(df, cols)
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_cnt"))
+    pre = prefix_sums(counts, "value", ["_cnt"], ["feature"], bounds=key_boundaries(long, "value", n_buckets))
     n = F.col("_cnt_total")
     hits = []
     aggs = []

@@ -37,7 +37,7 @@ def _pick(values: list[str], index) -> F.Column:
 
 def transactions_from_events(events: DataFrame) -> DataFrame:
     """Typed transaction rows from ``events`` (one row per event, narrow projection)."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.from_json("props", "k int")["k"]
     value10 = F.col("value") * F.lit(10.0)
     etype = F.col("event_type")
     ttype = F.lit(None).cast("string")
