@@ -228,7 +228,11 @@ def fraud_by_country(alerts: DataFrame, tx: DataFrame, as_of=None, lookback: str
                      n: int = 10) -> DataFrame:
     """Fraud alerts per transaction country (inner join), top ``n`` by count."""
     a = within(alerts.filter(F.col("is_fraud")), "detection_time", as_of, lookback).select("transaction_id")
-    j = a.join(tx.select("transaction_id", "country"), "transaction_id", "inner")
+    # The recent alerts are normally few: broadcast them (after a size check) so
+    # the transactions table is only scanned, never shuffled, for this lookup.
+    from .joins import broadcast_if_small
+
+    j = tx.select("transaction_id", "country").join(broadcast_if_small(a), "transaction_id", "inner")
     return (j.groupBy("country").agg(F.count(F.lit(1)).alias("fraud_count"))
             .orderBy(F.col("fraud_count").desc(), F.col("country").asc_nulls_last())
             .limit(n))

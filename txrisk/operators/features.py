@@ -65,7 +65,10 @@ def enrich_user_frequency(df: DataFrame, user_stats: DataFrame | None = None,
     default 15 for unknown users. A stream-static left join when ``df`` streams."""
     if user_stats is None:
         return df.withColumn("user_frequency", F.lit(default))
-    stats = user_stats.select("user_id", F.col("user_frequency").alias("_uf"))
+    from .joins import broadcast_if_small
+
+    # broadcast when the per-user table is small (checked); a shuffle join beyond that
+    stats = broadcast_if_small(user_stats.select("user_id", F.col("user_frequency").alias("_uf")))
     return (df.join(stats, "user_id", "left")
             .withColumn("user_frequency", F.coalesce(F.col("_uf").cast("int"), F.lit(default)))
             .drop("_uf"))

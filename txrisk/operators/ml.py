@@ -38,9 +38,12 @@ def fit_encoder(df: DataFrame, cols: Sequence[str] = S.CATEGORICAL_FEATURES) ->
 
 def encode(df: DataFrame, encoders: dict[str, DataFrame], unseen: int = -1, suffix: str = "_encoded") -> DataFrame:
     """M2: ``<col>_encoded`` from the encoder tables; values not seen at fit time -> ``unseen``."""
+    from .joins import broadcast_if_small
+
     out = df
     for c, table in encoders.items():
-        t = table.select(F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"_i_{c}"))
+        # category tables are small (checked): broadcast, also as the static side of a stream join
+        t = broadcast_if_small(table.select(F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"_i_{c}")))
         out = (out.join(t, out[c] == t[f"_v_{c}"], "left")
                .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"_i_{c}"), F.lit(unseen)))
                .drop(f"_v_{c}", f"_i_{c}"))
