@@ -50,6 +50,17 @@ def encode(df: DataFrame, encoders: dict[str, DataFrame], unseen: int = -1, suff
     return out
 
 
+def preprocess(df: DataFrame, encoders: dict[str, DataFrame], label: str = "label",
+               feature_names: Sequence[str] = S.MODEL_FEATURES) -> tuple[DataFrame, str]:
+    """P11 + M2 + P2 + P3: encoded features in model order (missing ones as 0), label kept
+    apart; the raw categorical columns are dropped."""
+    from .quality import ensure_columns
+
+    out = encode(df, encoders).drop(*[c for c in encoders if c in df.columns])
+    out = ensure_columns(out, feature_names, 0)
+    return out.select(*feature_names, label), label
+
+
 # ---------------------------------------------------------------- M3
 def scaler_values(stats: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """The fitted scaler as numbers (one row of 2 x len(cols) values; bounded)."""

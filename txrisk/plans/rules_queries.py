@@ -363,3 +363,31 @@ SELECT transaction_id, 'merchant', 'length > 12' FROM otx WHERE length(merchant)
 def q_orders_out_of_range_tight(spark, d):
     """Q4 with tighter column limits (country 8, merchant 12) so violations occur in the given data."""
     return Q.out_of_range(otx(spark, d), lengths={"country": 8, "merchant": 12}, decimals={})
+
+
+@query("high_score_alerts", O.BASE_DENSE + f"""
+SELECT 'HIGH_FRAUD_SCORE' AS alert_type, 'HIGH' AS severity,
+       printf('High fraud score %.4f for transaction %s', fraud_score, transaction_id) AS message,
+       transaction_id AS d_transaction_id, round(fraud_score, 6) AS d_fraud_score
+FROM dense
+WHERE detection_time >= TIMESTAMP '{MONTH_END}' - INTERVAL 31 DAY AND detection_time <= TIMESTAMP '{MONTH_END}'
+  AND is_fraud AND fraud_score >= 0.95""")
+def q_high_score_alerts(spark, d):
+    """R7's declared 0.95 score threshold as an optional rule (month window)."""
+    a = AL.high_score_alerts(alerts(spark, d, 0.5), MONTH_END, 0.95, "31 days")
+    det = lambda k: F.get_json_object("details", f"$.{k}")
+    return a.select("alert_type", "severity", "message", det("transaction_id").alias("d_transaction_id"),
+                    F.round(det("fraud_score").cast("double"), 6).alias("d_fraud_score"))
+
+
+@query("activation_audit", O.BASE + CONF_SQL + f"""
+SELECT 'MODEL_ACTIVATED' AS event_type,
+       'Model ' || (SELECT arg_max(model_version, training_date) FROM reg) || ' activated for production' AS event_description,
+       (SELECT arg_max(model_version, training_date) FROM reg) AS model_version, '{AS_OF}' AS created_at""")
+def q_activation_audit(spark, d):
+    """S13 for G2: the audit row of activating the newest registry version."""
+    reg = registry(spark, d)
+    newest = G.newest_model(reg.select("model_version", "training_date")).first()["model_version"]
+    a = G.activation_audit(reg, newest, AS_OF)
+    return a.select("event_type", "event_description", "model_version",
+                    F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
