@@ -85,3 +85,34 @@ def test_stream_windows_equal_batch_for_closed_windows(spark, sf001):
         assert want[k] == v
     rate = stream_fraud_rate(rule_score(tx), "1 day", 0.01).collect()
     assert sum(r.total_tx for r in rate) == tx.count()
+
+
+def test_stream_scored_by_model_and_malformed_messages(spark, sf001):
+    from txrisk.operators import ml as M
+    from txrisk.operators.quality import split_valid
+
+    root = _scratch()
+    inp = os.path.join(root, "in")
+    tx = transactions(spark, sf001)
+    _write_messages(tx, os.path.join(inp, "p"))
+    spark.createDataFrame([("{not json",), ('{"transaction_id": "X1"}',)], "value string") \
+        .coalesce(1).write.text(os.path.join(inp, "bad"))
+    frame = serving_features(tx).withColumn("label", F.col("is_fraud_actual").cast("int"))
+    model = M.train(frame, "label", "random_forest", numTrees=5, maxDepth=4, version="rf_stream")
+
+    msgs = parse_messages(read_messages_stream(spark, os.path.join(inp, "*")))
+    valid, quarantine = split_valid(msgs)
+    q1 = (quarantine.writeStream.format("memory").queryName("quarantine_test")
+          .option("checkpointLocation", os.path.join(root, "ckq")).trigger(availableNow=True).start())
+    q1.awaitTermination()
+    assert spark.table("quarantine_test").count() == 2          # malformed JSON and missing fields
+
+    txp, alp = os.path.join(root, "tx"), os.path.join(root, "alerts")
+    q = run_stream(valid, txp, alp, os.path.join(root, "ck"), model=model, trigger={"availableNow": True},
+                   name="scoring_model_test")
+    q.awaitTermination()
+    assert spark.read.parquet(txp).count() == tx.count()
+    want = {r.transaction_id for r in M.predict(frame, model).filter("is_fraud").collect()}
+    got = {r.transaction_id for r in spark.read.parquet(alp).collect()}
+    assert got == want
+    assert {r.model_version for r in spark.read.parquet(alp).collect()} <= {"rf_stream"}
