@@ -25,9 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.columns import (amount_features, as_timestamp, deviation_from, exact_avg, exact_sum, flag,
+from ..functions.columns import (amount_features, as_timestamp, deviation_from, exact_avg, flag,
                                  location_features, merchant_features, money, time_features)
-from ..functions.columns import interval as interval_col
 
 _MICROS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
            "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000}
@@ -225,7 +224,3 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType))]
-
-
-def add_interval(col: str, text: str) -> Column:
-    return F.col(col) + interval_col(text)

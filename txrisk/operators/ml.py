@@ -358,14 +358,15 @@ def train_and_register(df: DataFrame, label: str, kind: str, out_dir: str | None
     Returns (model, registry row DataFrame).
     """
     from .registry import performance_row
-    from ..functions.columns import as_of_col, model_version_name
+
+    import datetime as dt
 
     spark = df.sparkSession
     train_df, test_df = stratified_split(df, label, id_col, 0.2, seed)
-    stamp = spark.range(1).select(as_of_col(as_of).alias("t"),
-                                  model_version_name(as_of_col(as_of)).alias("v")).first()
-    model = train(train_df, label, kind, seed, version=stamp["v"], **params)
-    model.training_date = stamp["t"].isoformat()
+    when = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) if as_of is None else \
+        (as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of)))
+    model = train(train_df, label, kind, seed, version=f"fraud_model_{when:%Y%m%d_%H%M%S}", **params)
+    model.training_date = when.isoformat()
     model.metrics = evaluate(model, test_df, label)
     clf = model.pipeline.stages[-1]
     if hasattr(clf, "featureImportances"):
