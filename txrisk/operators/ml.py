@@ -26,14 +26,28 @@ from .stats import fit_scaler
 
 
 # ---------------------------------------------------------------- M1 / M2
-def fit_encoder(df: DataFrame, cols: Sequence[str] = S.CATEGORICAL_FEATURES) -> dict[str, DataFrame]:
-    """M1: per column, a table (value, index) with index = position of the value in sorted order."""
-    out = {}
-    for c in cols:
-        values = df.select(F.col(c).alias("value")).filter(F.col("value").isNotNull()).distinct()
-        ranked = distributed_rank(values, "value", rank_col="_r", n_col="_n")
-        out[c] = ranked.select("value", (F.col("_r") - 1).cast("int").alias("index"))
-    return out
+def fit_encoder(df: DataFrame, cols: Sequence[str] = S.CATEGORICAL_FEATURES,
+                materialize: bool = True) -> dict[str, DataFrame]:
+    """M1: per column, a table (value, index) with index = position of the value in sorted order.
+
+    The fitted tables are model state: with ``materialize`` they are written
+    once with a reliable ``checkpoint()`` to the shared checkpoint folder, so
+    every later ``encode`` (and its size check) reads the small table instead
+    of re-running the distinct + rank over the training data.
+    """
+    from ..session import checkpoint_dir
+
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+    # all columns in one pass: (column, value) pairs, ranked within each column
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("p"))
+    values = pairs.select("p.*").filter(F.col("value").isNotNull()).distinct()
+    ranked = distributed_rank(values, "value", ["column"], rank_col="_r", n_col="_n")
+    table = ranked.select("column", "value", (F.col("_r") - 1).cast("int").alias("index"))
+    if materialize:
+        table = table.checkpoint(eager=True)
+    return {c: table.filter(F.col("column") == F.lit(c)).select("value", "index") for c in cols}
 
 
 def encode(df: DataFrame, encoders: dict[str, DataFrame], unseen: int = -1, suffix: str = "_encoded") -> DataFrame:
