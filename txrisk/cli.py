@@ -1,7 +1,7 @@
 """Command line entry points: one Spark job per call (scheduling is left to the caller).
 
     python -m txrisk.cli batch-features --input history.csv --output features/
-    python -m txrisk.cli stream --brokers host:9092 --topic banking-transactions --tables s3://.../tables
+    python -m txrisk.cli stream --brokers host:9092 --topic <topic> --tables s3://.../tables
     python -m txrisk.cli alerts --tables s3://.../tables [--as-of ...]
     python -m txrisk.cli metrics --tables s3://.../tables [--window "1 hour"]
     python -m txrisk.cli registry {register,activate,list,active} --tables ... [--model-info glob] [--version v]
@@ -21,6 +21,8 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas as S
+
 
 def _spark(app: str) -> SparkSession:
     from .session import configure
@@ -174,7 +176,7 @@ def main(argv: list[str] | None = None) -> None:
 
     s = sub.add_parser("stream")
     s.add_argument("--brokers", required=True)
-    s.add_argument("--topic", default="banking-transactions")
+    s.add_argument("--topic", default=S.DEFAULT_TOPIC)
     s.add_argument("--starting", default="latest")
     s.add_argument("--tables", required=True)
     s.add_argument("--checkpoint", default=None)

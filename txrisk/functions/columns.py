@@ -183,7 +183,7 @@ def ts_string(col: str | Column, micros: bool = True) -> Column:
     return F.date_format(_c(col), fmt)
 
 
-def model_version_name(ts: str | Column, prefix: str = "fraud_model_") -> Column:
+def model_version_name(ts: str | Column, prefix: str = S.MODEL_VERSION_PREFIX) -> Column:
     """model version ``fraud_model_<yyyyMMdd_HHmmss>`` from a training time."""
     return F.concat(F.lit(prefix), F.date_format(_c(ts), "yyyyMMdd_HHmmss"))
 

@@ -46,12 +46,13 @@ def high_value_alerts(alerts: DataFrame, as_of=None, threshold: float = S.ALERT_
     """R1 (CRITICAL): recent pending fraud alerts above the amount threshold, largest first
     (P8: conjunction recent AND amount > threshold AND is_fraud AND pending; O6: amount descending)."""
     a = D.within(alerts, "detection_time", as_of, lookback).filter(
-        (F.col("amount") > F.lit(threshold)) & F.col("is_fraud") & (F.col("alert_status") == F.lit("pending")))
+        (F.col("amount") > F.lit(threshold)) & F.col("is_fraud") & (F.col("alert_status") == F.lit(S.PENDING_STATUS)))
     a = a.orderBy(F.col("amount").desc(), F.col("transaction_id"))
     amount = F.col("amount").cast("double")
+    kind, severity, fmt = S.ALERT_HIGH_VALUE
     return make_alert(
-        a, "HIGH_VALUE_FRAUD", "CRITICAL",
-        F.format_string("High-value fraud detected: $%.2f for user %s", amount, F.col("user_id")),
+        a, kind, severity,
+        F.format_string(fmt, amount, F.col("user_id")),
         F.struct(F.col("transaction_id"), F.col("user_id"), amount.alias("amount"),
                  F.col("fraud_score").cast("double").alias("fraud_score"), F.col("merchant")),
         as_of)
@@ -62,9 +63,10 @@ def rate_spike_alerts(tx: DataFrame, alerts: DataFrame, as_of=None, threshold: f
     """R2 (HIGH): fraud rate over the window above the threshold (at most one alert)."""
     r = D.fraud_rate(tx, alerts, as_of, lookback, time_col=time_col, fraud_only=True)
     r = r.filter(F.col("fraud_rate") > F.lit(threshold))
+    kind, severity, fmt = S.ALERT_RATE_SPIKE
     return make_alert(
-        r, "FRAUD_RATE_SPIKE", "HIGH",
-        F.format_string("Fraud rate spike detected: %.2f%%", F.col("fraud_rate") * F.lit(100.0)),
+        r, kind, severity,
+        F.format_string(fmt, F.col("fraud_rate") * F.lit(100.0)),
         F.struct(F.col("total_tx").alias("total_transactions"), F.col("fraud_tx").alias("fraud_transactions"),
                  F.col("fraud_rate")),
         as_of)
@@ -78,9 +80,10 @@ def rapid_sequence_alerts(alerts: DataFrame, as_of=None, threshold: int = S.ALER
     ``dashboard.rapid_sequence_members`` (kept out of the record so a huge
     sequence never becomes one value)."""
     u = D.rapid_sequences(alerts, as_of, lookback, threshold)
+    kind, severity, fmt = S.ALERT_RAPID_SEQUENCE
     return make_alert(
-        u, "RAPID_FRAUD_SEQUENCE", "HIGH",
-        F.format_string("Rapid fraud sequence from user %s: %d frauds", F.col("user_id"), F.col("fraud_count")),
+        u, kind, severity,
+        F.format_string(fmt, F.col("user_id"), F.col("fraud_count")),
         F.struct(F.col("user_id"), F.col("fraud_count")),
         as_of)
 
@@ -93,9 +96,10 @@ def model_degradation_alerts(models: DataFrame, as_of=None, min_accuracy: float
     m = active_model(models)
     m = m.filter((F.col("accuracy") < F.lit(min_accuracy)) | (F.col("precision_score") < F.lit(min_precision))
                  | (F.col("recall") < F.lit(min_recall)))
+    kind, severity, fmt = S.ALERT_MODEL_DEGRADATION
     return make_alert(
-        m, "MODEL_PERFORMANCE_DEGRADATION", "MEDIUM",
-        F.format_string("Model %s performance below threshold", F.col("model_version")),
+        m, kind, severity,
+        F.format_string(fmt, F.col("model_version")),
         F.struct(F.col("model_version"), F.col("accuracy").cast("double").alias("accuracy"),
                  F.col("precision_score").cast("double").alias("precision"),
                  F.col("recall").cast("double").alias("recall"),
@@ -133,17 +137,17 @@ def run_alert_rules(tx: DataFrame, alerts: DataFrame, models: DataFrame | None,
 def alert_audit_rows(alert_records: DataFrame) -> DataFrame:
     """S13 rows for R6: event_type ALERT_<type>, the message, details as metadata."""
     return alert_records.select(
-        F.concat(F.lit("ALERT_"), F.col("alert_type")).alias("event_type"),
+        F.concat(F.lit(S.AUDIT_ALERT_PREFIX), F.col("alert_type")).alias("event_type"),
         F.col("message").alias("event_description"),
         F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("transaction_id"),
         F.lit(None).cast("string").alias("model_version"),
         F.col("details").alias("metadata"), F.col("timestamp").alias("created_at"))
 
 
-def alert_cache_rows(alert_records: DataFrame, ttl: str = "1 hour") -> DataFrame:
+def alert_cache_rows(alert_records: DataFrame, ttl: str = S.RULE_ALERT_TTL) -> DataFrame:
     """Key / value / expiry form of alert records (``alert:<type>:<epoch seconds>``)."""
     return alert_records.select(
-        F.concat_ws(":", F.lit("alert"), F.col("alert_type"), F.unix_timestamp("timestamp").cast("string")).alias("key"),
+        F.concat_ws(":", F.lit(S.RULE_ALERT_KEY_PREFIX), F.col("alert_type"), F.unix_timestamp("timestamp").cast("string")).alias("key"),
         F.to_json(F.struct("alert_type", "severity", "message", "details", "timestamp")).alias("value"),
         (F.col("timestamp") + F.expr(f"INTERVAL {ttl.split()[0]} {ttl.split()[1].rstrip('s').upper()}"))
         .alias("expires_at"))

@@ -49,7 +49,7 @@ def tx_with_alerts(tx: DataFrame, alerts: DataFrame, fraud_only: bool = False) -
         *TX_COLUMNS,
         F.coalesce(F.col("_fs").cast("double"), F.lit(0.0)).alias("fraud_score"),
         F.coalesce(F.col("_if"), F.lit(False)).alias("is_fraud"),
-        F.coalesce(F.col("_st"), F.lit("n/a")).alias("alert_status"),
+        F.coalesce(F.col("_st"), F.lit(S.NO_ALERT_STATUS)).alias("alert_status"),
     )
 
 
@@ -69,7 +69,7 @@ def _page(top: DataFrame, alerts: DataFrame, n: int, ascending: bool) -> DataFra
         *TX_COLUMNS,
         F.coalesce(F.col("_fs").cast("double"), F.lit(0.0)).alias("fraud_score"),
         F.coalesce(F.col("_if"), F.lit(False)).alias("is_fraud"),
-        F.coalesce(F.col("_st"), F.lit("n/a")).alias("alert_status"),
+        F.coalesce(F.col("_st"), F.lit(S.NO_ALERT_STATUS)).alias("alert_status"),
     )
     order = ([F.col("transaction_time").asc(), F.col("transaction_id").asc(), F.col("fraud_score").asc()]
              if ascending else
@@ -198,7 +198,7 @@ def alert_counts(alerts: DataFrame, as_of=None, lookback: str = "24 hours",
     hit = (w & F.col("is_fraud")) if fraud_only else w
     return alerts.agg(
         _count_if(hit).alias("frauds_detected"),
-        _count_if(F.col("alert_status") == F.lit("pending")).alias("pending_alerts"),
+        _count_if(F.col("alert_status") == F.lit(S.PENDING_STATUS)).alias("pending_alerts"),
         F.round(F.coalesce(exact_avg("fraud_score", S.SCORE_DECIMAL, where=w), F.lit(0.0)), 4)
         .alias("avg_fraud_score"),
     )

@@ -379,7 +379,7 @@ def train_and_register(df: DataFrame, label: str, kind: str, out_dir: str | None
     train_df, test_df = stratified_split(df, label, id_col, 0.2, seed)
     when = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) if as_of is None else \
         (as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of)))
-    model = train(train_df, label, kind, seed, version=f"fraud_model_{when:%Y%m%d_%H%M%S}", **params)
+    model = train(train_df, label, kind, seed, version=f"{S.MODEL_VERSION_PREFIX}{when:%Y%m%d_%H%M%S}", **params)
     model.training_date = when.isoformat()
     model.metrics = evaluate(model, test_df, label)
     clf = model.pipeline.stages[-1]

@@ -48,8 +48,8 @@ def register_model(models: DataFrame, infos: DataFrame, as_of=None, dataset_size
 def registration_audit(infos: DataFrame, as_of=None) -> DataFrame:
     """S13 rows for G1: MODEL_REGISTERED with the metadata as JSON."""
     return infos.select(
-        F.lit("MODEL_REGISTERED").alias("event_type"),
-        F.concat(F.lit("New model version registered: "), F.col("version")).alias("event_description"),
+        F.lit(S.AUDIT_MODEL_REGISTERED[0]).alias("event_type"),
+        F.format_string(S.AUDIT_MODEL_REGISTERED[1], F.col("version")).alias("event_description"),
         F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("transaction_id"),
         F.col("version").alias("model_version"),
         F.to_json(F.struct(*[c for c in infos.columns if c != "path"])).alias("metadata"),
@@ -64,8 +64,8 @@ def activate_model(models: DataFrame, version: str) -> DataFrame:
 def activation_audit(spark_df: DataFrame, version: str, as_of=None) -> DataFrame:
     """S13 row for G2 (MODEL_ACTIVATED), derived from the registry it applies to."""
     return spark_df.filter(F.col("model_version") == F.lit(version)).limit(1).select(
-        F.lit("MODEL_ACTIVATED").alias("event_type"),
-        F.lit(f"Model {version} activated for production").alias("event_description"),
+        F.lit(S.AUDIT_MODEL_ACTIVATED[0]).alias("event_type"),
+        F.lit(S.AUDIT_MODEL_ACTIVATED[1] % version).alias("event_description"),
         F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("transaction_id"),
         F.lit(version).alias("model_version"), F.lit(None).cast("string").alias("metadata"),
         as_of_col(as_of).alias("created_at"))

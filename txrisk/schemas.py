@@ -68,6 +68,30 @@ AMOUNT_DECIMAL = (15, 2)
 SCORE_DECIMAL = (5, 4)
 METRIC_DECIMAL = (15, 4)
 
+# Alert records per rule: (alert_type, severity, message format)
+ALERT_HIGH_VALUE = ("HIGH_VALUE_FRAUD", "CRITICAL", "High-value fraud detected: $%.2f for user %s")
+ALERT_RATE_SPIKE = ("FRAUD_RATE_SPIKE", "HIGH", "Fraud rate spike detected: %.2f%%")
+ALERT_RAPID_SEQUENCE = ("RAPID_FRAUD_SEQUENCE", "HIGH", "Rapid fraud sequence from user %s: %d frauds")
+ALERT_MODEL_DEGRADATION = ("MODEL_PERFORMANCE_DEGRADATION", "MEDIUM", "Model %s performance below threshold")
+
+# Audit events: (event_type, description format); alert events are "ALERT_" + alert_type
+AUDIT_MODEL_REGISTERED = ("MODEL_REGISTERED", "New model version registered: %s")
+AUDIT_MODEL_ACTIVATED = ("MODEL_ACTIVATED", "Model %s activated for production")
+AUDIT_ALERT_PREFIX = "ALERT_"
+
+# Cache keys and lifetimes: "fraud_alert:<transaction_id>", "alert:<type>:<epoch seconds>"
+ALERT_PAYLOAD_PREFIX = "fraud_alert:"
+RULE_ALERT_KEY_PREFIX = "alert"
+ALERT_PAYLOAD_TTL = "1 hour"
+RULE_ALERT_TTL = "1 hour"
+METRICS_TTL = "5 minutes"
+
+# Alert table defaults and outer-join defaults
+PENDING_STATUS = "pending"
+NO_ALERT_STATUS = "n/a"
+MODEL_VERSION_PREFIX = "fraud_model_"
+DEFAULT_TOPIC = "banking-transactions"
+
 # Serving/training feature order of the model
 MODEL_FEATURES = [
     "amount", "hour", "day_of_week", "user_frequency", "amount_log",

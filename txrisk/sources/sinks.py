@@ -63,21 +63,21 @@ def sink_alerts(scored: DataFrame, path: str, as_of=None, batch_id: int | None =
         score_decimal("fraud_score").alias("fraud_score"), "is_fraud", "model_version",
         F.col("transaction_time").cast("timestamp").alias("transaction_time"),
         (F.col("detection_time") if "detection_time" in scored.columns else as_of_col(as_of)).alias("detection_time"),
-        F.lit("pending").alias("alert_status"))
+        F.lit(S.PENDING_STATUS).alias("alert_status"))
         # partition by the transaction's day: deterministic, so a replayed batch
         # overwrites exactly the partitions of its first attempt
         .withColumn("date", F.to_date("transaction_time")))
     _append(rows, path, ["date"], batch_id)
 
 
-def alert_payload(alerts: DataFrame, ttl: str = "1 hour") -> DataFrame:
+def alert_payload(alerts: DataFrame, ttl: str = S.ALERT_PAYLOAD_TTL) -> DataFrame:
     """Cache form of alerts: key ``fraud_alert:<id>``, JSON value, expiry time."""
     ts = F.coalesce(F.col("detection_time"), F.current_timestamp())
     value = F.to_json(F.struct(
         F.col("transaction_id"), F.col("user_id"), F.col("amount").cast("double").alias("amount"),
         F.col("fraud_score").cast("double").alias("fraud_score"),
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")))
-    return alerts.select(F.concat(F.lit("fraud_alert:"), F.col("transaction_id")).alias("key"),
+    return alerts.select(F.concat(F.lit(S.ALERT_PAYLOAD_PREFIX), F.col("transaction_id")).alias("key"),
                          value.alias("value"), (ts + interval(ttl)).alias("expires_at"))
 
 
