@@ -57,6 +57,22 @@ def test_bucketed_windows_equal_plain_on_hot_user(spark, bucket):
     assert rows(got) == rows(plain_user_windows(df).select(*COLS))
 
 
+@pytest.mark.parametrize("strategy,hot", [("prefix", 0), ("auto", 50)])
+def test_prefix_and_hybrid_windows_equal_plain_on_hot_user(spark, strategy, hot):
+    df = _hot_fixture(spark)
+    got = user_window_features(df, strategy=strategy, hot_user_rows=hot).select(*COLS)
+    assert rows(got) == rows(plain_user_windows(df).select(*COLS))
+    out = {r.transaction_id: r for r in user_window_features(df, strategy=strategy, hot_user_rows=hot).collect()}
+    assert out["C1"].hours_since_last_tx == 24.0 and out["C2"].hours_since_last_tx == 40 * 24.0
+    assert out["E2"].hours_since_last_tx == 0.0
+
+
+def test_prefix_windows_equal_plain_on_data(spark, sf001):
+    df = transactions(spark, sf001)
+    got = user_window_features(df, strategy="prefix").select(*COLS)
+    assert rows(got) == rows(plain_user_windows(df).select(*COLS))
+
+
 def test_bucketed_windows_equal_plain_on_data(spark, sf001):
     df = transactions(spark, sf001)
     got = user_window_features(df, bucket="3 days").select(*COLS)

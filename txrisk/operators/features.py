@@ -23,6 +23,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.columns import (amount_features, as_timestamp, deviation_from, exact_avg, flag,
@@ -99,20 +100,57 @@ def merchant_stats(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- W1 - W6, W9, W10
+# Users with more rows than this take the prefix-difference path (see below).
+HOT_USER_ROWS = 5_000_000
+
+
 def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transaction_time",
                          amount: str = "amount", id_col: str = "transaction_id",
                          lookback: str = "7 days", lookback_suffix: str = "7d",
                          velocity: str = "1 hour", velocity_suffix: str = "1h",
                          max_count: int = S.HIGH_VELOCITY_COUNT,
                          default_hours: float = S.FIRST_TX_HOURS,
-                         bucket: str | None = None) -> DataFrame:
-    """W1-W6, W9, W10, F14, F15 in one shuffle.
+                         bucket: str | None = None, strategy: str = "auto",
+                         hot_user_rows: int = HOT_USER_ROWS) -> DataFrame:
+    """W1-W6, W9, W10, F14, F15.
 
     Adds: user_tx_count, user_avg_amount, user_tx_count_<7d>, user_avg_amount_<7d>,
     amount_deviation_from_avg, prev_transaction_time, hours_since_last_tx,
     tx_count_<1h>, total_amount_<1h>, is_high_velocity.
-    ``bucket`` is the time-bucket width (default 4 x the longest look-back).
+
+    ``strategy``:
+    * ``"buckets"`` - one shuffle keyed by (user, time bucket) with context copies
+      (``bucket`` = width, default 4 x the longest look-back);
+    * ``"prefix"`` - frame value = prefix(t) - prefix(before t - L) over distinct
+      (user, time) keys with the distributed prefix sums: no frame is ever
+      co-located, so any user, however hot, is split into row-balanced ranges;
+    * ``"auto"`` - users with more than ``hot_user_rows`` rows (a set of at most
+      n / hot_user_rows users: broadcast after a size check) take the prefix
+      path, all others the one-shuffle bucket path; the two results are unioned.
     """
+    kw = dict(key=key, ts=ts, amount=amount, id_col=id_col, lookback=lookback, lookback_suffix=lookback_suffix,
+              velocity=velocity, velocity_suffix=velocity_suffix, max_count=max_count, default_hours=default_hours)
+    if strategy == "buckets":
+        return _user_windows_buckets(df, bucket=bucket, **kw)
+    if strategy == "prefix":
+        return _user_windows_prefix(df, **kw)
+    from .joins import BROADCAST_MAX_ROWS
+
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.filter(F.col("_rows") > F.lit(hot_user_rows)).select(key)
+    n_hot = hot.limit(BROADCAST_MAX_ROWS + 1).count()          # bounded check
+    if n_hot == 0:
+        return _user_windows_buckets(df, bucket=bucket, **kw)
+    if n_hot <= BROADCAST_MAX_ROWS:
+        hot = F.broadcast(hot)
+    cold_rows = df.join(hot, key, "left_anti")
+    hot_rows = df.join(hot, key, "left_semi")
+    return _user_windows_buckets(cold_rows, bucket=bucket, **kw).unionByName(_user_windows_prefix(hot_rows, **kw))
+
+
+def _user_windows_buckets(df: DataFrame, key: str, ts: str, amount: str, id_col: str, lookback: str,
+                          lookback_suffix: str, velocity: str, velocity_suffix: str, max_count: int,
+                          default_hours: float, bucket: str | None = None) -> DataFrame:
     lb_us = micros(lookback)
     vel_us = micros(velocity)
     ctx_us = max(lb_us, vel_us)
@@ -170,6 +208,73 @@ def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transac
     return out.drop("_pb", "_ctx", "_us", "_lag_t", "_carry_t")
 
 
+def _user_windows_prefix(df: DataFrame, key: str, ts: str, amount: str, id_col: str, lookback: str,
+                         lookback_suffix: str, velocity: str, velocity_suffix: str, max_count: int,
+                         default_hours: float) -> DataFrame:
+    """Skew-proof form: RANGE-frame counts / sums as differences of per-user prefix sums.
+
+    count over [t - L, t] = #rows with time <= t  -  #rows with time < t - L. Both
+    terms are prefix sums over the distinct (user, time) keys plus one "query"
+    key (user, t - L) per look-back; the prefix sums are split into row-balanced
+    ranges of time (:mod:`ranking`), so no task ever holds a whole user. The
+    previous transaction is the previous distinct time of the user (same
+    machinery), or the row's own time when a peer with a smaller id shares it.
+    Rows that repeat the same (user, time, id) are treated as one transaction.
+    """
+    from .ranking import key_boundaries, prefix_sums, previous_key
+
+    lbs = {lookback_suffix: micros(lookback), velocity_suffix: micros(velocity)}
+    cols = df.columns
+    base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    zero_s = F.lit(0).cast("decimal(25,2)")
+    data = base.groupBy(key, "_us").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(money(amount)).alias("_s"), F.count(amount).alias("_na"),
+        F.min(id_col).alias("_min_id"))
+    keys = data.select(key, "_us", "_c", F.col("_s").cast("decimal(25,2)").alias("_s"), "_na", "_min_id")
+    for shift in sorted(set(lbs.values())):
+        q = base.select(key, (F.col("_us") - F.lit(shift)).alias("_us")).distinct().select(
+            key, "_us", F.lit(0).cast("long").alias("_c"), zero_s.alias("_s"), F.lit(0).cast("long").alias("_na"),
+            F.lit(None).cast("string").alias("_min_id"))
+        keys = keys.unionByName(q)
+    keys = keys.groupBy(key, "_us").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s"),
+                                        F.sum("_na").alias("_na"), F.min("_min_id").alias("_min_id"))
+    bounds = key_boundaries(base, "_us")
+    pre = prefix_sums(keys, "_us", ["_c", "_s", "_na"], [key], bounds=bounds)
+
+    at_t = pre.filter(F.col("_c") > 0)
+    prev = previous_key(at_t.select(key, "_us"), "_us", [key], bounds, out="_prev_us")
+    feats = at_t.select(key, "_us", "_min_id", "_c_upto", "_s_upto", "_na_upto", "_c_total", "_s_total",
+                        "_na_total").join(prev, [key, "_us"], "left")
+    for suffix, shift in lbs.items():
+        before = pre.select(key, (F.col("_us") + F.lit(shift)).alias("_us"),
+                            F.col("_c_before").alias(f"_cb_{suffix}"), F.col("_s_before").alias(f"_sb_{suffix}"),
+                            F.col("_na_before").alias(f"_nb_{suffix}"))
+        feats = feats.join(before, [key, "_us"], "left")
+    ls, vs = lookback_suffix, velocity_suffix
+    out = base.join(feats, [key, "_us"], "left")
+    prev_us = F.when(F.col(id_col) > F.col("_min_id"), F.col("_us")).otherwise(F.col("_prev_us"))
+    prev_t = F.timestamp_micros(prev_us)
+    hours = (F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(prev_t)) / F.lit(3600.0)
+    out = out.select(
+        *cols,
+        F.col("_c_total").alias("user_tx_count"),
+        F.try_divide(F.col("_s_total").cast("double"), F.col("_na_total")).alias("user_avg_amount"),
+        (F.col("_c_upto") - F.col(f"_cb_{ls}")).alias(f"user_tx_count_{ls}"),
+        F.try_divide((F.col("_s_upto") - F.col(f"_sb_{ls}")).cast("double"),
+                     F.col("_na_upto") - F.col(f"_nb_{ls}")).alias(f"user_avg_amount_{ls}"),
+        (F.col("_c_upto") - F.col(f"_cb_{vs}")).alias(f"tx_count_{vs}"),
+        (F.col("_s_upto") - F.col(f"_sb_{vs}")).cast("double").alias(f"total_amount_{vs}"),
+        prev_t.alias("_prev_t"), hours.alias("_hours"),
+    )
+    return out.withColumns({
+        "amount_deviation_from_avg": deviation_from(amount, "user_avg_amount"),
+        "prev_transaction_time": F.col("_prev_t").cast(df.schema[ts].dataType)
+        if not isinstance(df.schema[ts].dataType, T.StringType) else F.col("_prev_t"),
+        "hours_since_last_tx": F.coalesce(F.col("_hours"), F.lit(float(default_hours))),
+        "is_high_velocity": flag(F.col(f"tx_count_{vs}") > F.lit(max_count)),
+    }).drop("_prev_t", "_hours")
+
+
 def user_lookback(df: DataFrame, interval: str = "7 days", suffix: str = "7d", **kw) -> DataFrame:
     """user_tx_count_<suffix>, user_avg_amount_<suffix> over a RANGE look-back."""
     out = user_window_features(df, lookback=interval, lookback_suffix=suffix, **kw)
