@@ -116,3 +116,34 @@ def test_stream_scored_by_model_and_malformed_messages(spark, sf001):
     got = {r.transaction_id for r in spark.read.parquet(alp).collect()}
     assert got == want
     assert {r.model_version for r in spark.read.parquet(alp).collect()} <= {"rf_stream"}
+
+
+def test_stream_rapid_fraud_and_rate_windows(spark, sf001):
+    from txrisk.sources.tables import alerts_from_scored
+    from txrisk.streaming.stream import stream_rapid_fraud
+
+    root = _scratch()
+    inp = os.path.join(root, "in")
+    tx = transactions(spark, sf001)
+    _write_messages(tx, os.path.join(inp, "p"))
+    msgs = parse_messages(read_messages_stream(spark, os.path.join(inp, "*")))
+    scored = rule_score(serving_features(msgs)).withColumn("transaction_time", F.col("transaction_timestamp"))
+    dense = scored.filter(F.col("fraud_score") >= 0.5).withColumn("detection_time", F.col("transaction_time"))
+
+    rapid = stream_rapid_fraud(dense.withColumn("is_fraud", F.lit(True)), "1 day", "12 hours", 2, watermark="1 hour")
+    q = (rapid.writeStream.outputMode("append").format("memory").queryName("rapid_test")
+         .option("checkpointLocation", os.path.join(root, "ck1")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    batch_dense = alerts_from_scored(rule_score(tx), 0.5).withColumn("detection_time", F.col("transaction_time"))
+    want = {(r.window_start, r.user_id): r.fraud_count
+            for r in stream_rapid_fraud(batch_dense, "1 day", "12 hours", 2).collect()}
+    got = {(r.window_start, r.user_id): r.fraud_count for r in spark.table("rapid_test").collect()}
+    assert got and all(want[k] == v for k, v in got.items())
+
+    rate = stream_fraud_rate(scored, "1 day", 0.01, watermark="1 hour")
+    q2 = (rate.writeStream.outputMode("append").format("memory").queryName("rate_test")
+          .option("checkpointLocation", os.path.join(root, "ck2")).trigger(availableNow=True).start())
+    q2.awaitTermination()
+    want2 = {r.window_start: (r.total_tx, r.fraud_tx, r.spike) for r in stream_fraud_rate(rule_score(tx), "1 day", 0.01).collect()}
+    got2 = {r.window_start: (r.total_tx, r.fraud_tx, r.spike) for r in spark.table("rate_test").collect()}
+    assert got2 and all(want2[k] == v for k, v in got2.items())
