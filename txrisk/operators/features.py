@@ -221,38 +221,52 @@ def _user_windows_prefix(df: DataFrame, key: str, ts: str, amount: str, id_col:
     machinery), or the row's own time when a peer with a smaller id shares it.
     Rows that repeat the same (user, time, id) are treated as one transaction.
     """
-    from .ranking import key_boundaries, prefix_sums, previous_key
+    from .ranking import key_boundaries, prefix_sums
 
     lbs = {lookback_suffix: micros(lookback), velocity_suffix: micros(velocity)}
+    shifts = sorted(set(lbs.values()))
     cols = df.columns
     base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    zero_s = F.lit(0).cast("decimal(25,2)")
-    data = base.groupBy(key, "_us").agg(
-        F.count(F.lit(1)).alias("_c"), F.sum(money(amount)).alias("_s"), F.count(amount).alias("_na"),
-        F.min(id_col).alias("_min_id"))
-    keys = data.select(key, "_us", "_c", F.col("_s").cast("decimal(25,2)").alias("_s"), "_na", "_min_id")
-    for shift in sorted(set(lbs.values())):
-        q = base.select(key, (F.col("_us") - F.lit(shift)).alias("_us")).distinct().select(
-            key, "_us", F.lit(0).cast("long").alias("_c"), zero_s.alias("_s"), F.lit(0).cast("long").alias("_na"),
-            F.lit(None).cast("string").alias("_min_id"))
-        keys = keys.unionByName(q)
-    keys = keys.groupBy(key, "_us").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s"),
-                                        F.sum("_na").alias("_na"), F.min("_min_id").alias("_min_id"))
+    # one exploded aggregation builds both the data keys (user, t) and the query
+    # keys (user, t - L); partial aggregation folds duplicates map-side
+    zero_s = F.lit(0).cast("decimal(15,2)")
+    entries = [F.struct(F.col("_us").alias("k"), F.lit(1).alias("c"), money(amount).alias("s"),
+                        F.when(F.col(amount).isNotNull(), 1).otherwise(0).alias("na"))]
+    entries += [F.struct((F.col("_us") - F.lit(L)).alias("k"), F.lit(0).alias("c"), zero_s.alias("s"),
+                         F.lit(0).alias("na")) for L in shifts]
+    exploded = base.select(key, F.explode(F.array(*entries)).alias("e"))
+    # fixed-width buffers only (counts, decimal sums): a hash aggregate, no sort
+    keys = exploded.groupBy(key, F.col("e.k").alias("_us")).agg(
+        F.sum("e.c").alias("_c"), F.sum("e.s").alias("_s"), F.sum("e.na").alias("_na"))
+    keys = keys.withColumn("_data_us", F.when(F.col("_c") > 0, F.col("_us")))
     bounds = key_boundaries(base, "_us")
-    pre = prefix_sums(keys, "_us", ["_c", "_s", "_na"], [key], bounds=bounds)
-
-    at_t = pre.filter(F.col("_c") > 0)
-    prev = previous_key(at_t.select(key, "_us"), "_us", [key], bounds, out="_prev_us")
-    feats = at_t.select(key, "_us", "_min_id", "_c_upto", "_s_upto", "_na_upto", "_c_total", "_s_total",
-                        "_na_total").join(prev, [key, "_us"], "left")
+    pre = prefix_sums(keys, "_us", ["_c", "_s", "_na"], [key], bounds=bounds, maxes=["_data_us"])
+
+    # Route every value to the key that needs it in ONE aggregation (pre is
+    # computed once): a key's own prefix values stay at the key; its "before"
+    # values move to key + L, the data time whose frame starts at the key.
+    own = ["_c", "_c_upto", "_s_upto", "_na_upto", "_c_total", "_s_total", "_na_total", "_data_us_max_before"]
+    moves = [F.struct(F.col("_us").alias("k"), F.lit(0).cast("long").alias("tag"))]
+    moves += [F.struct((F.col("_us") + F.lit(L)).alias("k"), F.lit(L).cast("long").alias("tag")) for L in shifts]
+    routed = pre.select(key, *own, "_c_before", "_s_before", "_na_before",
+                        F.explode(F.array(*moves)).alias("m"))
+    pick = lambda c, tag: F.max(F.when(F.col("m.tag") == F.lit(tag), F.col(c)))
+    aggs = [pick(c, 0).alias(c) for c in own]
     for suffix, shift in lbs.items():
-        before = pre.select(key, (F.col("_us") + F.lit(shift)).alias("_us"),
-                            F.col("_c_before").alias(f"_cb_{suffix}"), F.col("_s_before").alias(f"_sb_{suffix}"),
-                            F.col("_na_before").alias(f"_nb_{suffix}"))
-        feats = feats.join(before, [key, "_us"], "left")
+        aggs += [pick("_c_before", shift).alias(f"_cb_{suffix}"), pick("_s_before", shift).alias(f"_sb_{suffix}"),
+                 pick("_na_before", shift).alias(f"_nb_{suffix}")]
+    feats = (routed.groupBy(key, F.col("m.k").alias("_us")).agg(*aggs)
+             .filter(F.col("_c") > 0).withColumnRenamed("_data_us_max_before", "_prev_us")
+             .withColumnRenamed("_c", "_own_c"))
     ls, vs = lookback_suffix, velocity_suffix
     out = base.join(feats, [key, "_us"], "left")
-    prev_us = F.when(F.col(id_col) > F.col("_min_id"), F.col("_us")).otherwise(F.col("_prev_us"))
+    # Rows sharing (user, time) with others: all but the smallest id have the
+    # shared time as previous transaction. Only those (rare) keys need the min id.
+    peers = (out.filter(F.col("_own_c") > 1).groupBy(key, "_us")
+             .agg(F.min(F.col(id_col).cast("string")).alias("_min_id")))
+    out = out.join(peers, [key, "_us"], "left")
+    prev_us = F.when(F.col("_min_id").isNotNull() & (F.col(id_col).cast("string") > F.col("_min_id")),
+                     F.col("_us")).otherwise(F.col("_prev_us"))
     prev_t = F.timestamp_micros(prev_us)
     hours = (F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(prev_t)) / F.lit(3600.0)
     out = out.select(

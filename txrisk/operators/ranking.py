@@ -104,13 +104,16 @@ def key_boundaries(df: DataFrame, key: str, n_buckets: int | None = None) -> lis
 
 def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols: Sequence[str] = (),
                 descending: bool = False, n_buckets: int | None = None,
-                broadcast_offsets: bool | None = None, bounds: list | None = None) -> DataFrame:
+                broadcast_offsets: bool | None = None, bounds: list | None = None,
+                maxes: Sequence[str] = ()) -> DataFrame:
     """Running sums of ``values`` in ``key`` order, per ``partition_cols``.
 
     ``df`` must hold one row per (partition_cols, key). Adds ``<v>_before``
     (sum over strictly earlier keys), ``<v>_upto`` (inclusive) and
-    ``<v>_total`` for each value column. ``bounds`` (from :func:`key_boundaries`)
-    may be computed on another frame, e.g. the raw rows before aggregation.
+    ``<v>_total`` for each value column, and ``<m>_max_before`` (largest value
+    of ``m`` over strictly earlier keys, NULLs ignored) for each of ``maxes``.
+    ``bounds`` (from :func:`key_boundaries`) may be computed on another frame,
+    e.g. the raw rows before aggregation.
     """
     parts = list(partition_cols)
     proxied = df.withColumn(_PROXY, order_proxy(df, key))
@@ -118,14 +121,16 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols:
         bounds = key_boundaries(df, key, n_buckets)
     keyed = proxied.withColumn(_BUCKET, bucket_of(F.col(_PROXY), bounds, descending)).drop(_PROXY)
 
-    totals = keyed.groupBy(*parts, _BUCKET).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    totals = keyed.groupBy(*parts, _BUCKET).agg(*[F.sum(v).alias(f"_t_{v}") for v in values],
+                                                 *[F.max(m).alias(f"_tm_{m}") for m in maxes])
     w_off = Window.partitionBy(*parts).orderBy(_BUCKET)
     w_all = Window.partitionBy(*parts)
+    earlier = w_off.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *parts, _BUCKET,
-        *[F.coalesce(F.sum(f"_t_{v}").over(w_off.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-          .alias(f"_o_{v}") for v in values],
+        *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values],
         *[F.sum(f"_t_{v}").over(w_all).alias(f"{v}_total") for v in values],
+        *[F.max(f"_tm_{m}").over(earlier).alias(f"_om_{m}") for m in maxes],
     )
     # Offsets hold at most (#partition keys x #buckets) rows; without partition
     # keys that is a proven bound, so it is broadcast. Otherwise AQE decides
@@ -138,15 +143,18 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols:
     order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
     w_loc = Window.partitionBy(*parts, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumns({
-        f"_l_{v}": F.coalesce(F.sum(v).over(w_loc), F.lit(0)) for v in values
+        **{f"_l_{v}": F.coalesce(F.sum(v).over(w_loc), F.lit(0)) for v in values},
+        **{f"_lm_{m}": F.max(m).over(w_loc) for m in maxes},
     })
     out = local.join(offsets, [*parts, _BUCKET], "inner")
     out = out.withColumns({
-        f"{v}_before": F.col(f"_o_{v}") + F.col(f"_l_{v}") for v in values
+        **{f"{v}_before": F.col(f"_o_{v}") + F.col(f"_l_{v}") for v in values},
+        **{f"{m}_max_before": F.greatest(F.col(f"_om_{m}"), F.col(f"_lm_{m}")) for m in maxes},
     }).withColumns({
         f"{v}_upto": F.col(f"{v}_before") + F.col(v) for v in values
     })
-    return out.drop(_BUCKET, *[f"_o_{v}" for v in values], *[f"_l_{v}" for v in values])
+    return out.drop(_BUCKET, *[f"_o_{v}" for v in values], *[f"_l_{v}" for v in values],
+                    *[f"_om_{m}" for m in maxes], *[f"_lm_{m}" for m in maxes])
 
 
 def distributed_rank(df: DataFrame, order_col: str, partition_cols: Sequence[str] = (),
