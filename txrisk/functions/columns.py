@@ -21,7 +21,7 @@ def _c(col: str | Column) -> Column:
 
 
 def as_of_col(as_of=None) -> Column:
-    """``as_of`` as a timestamp column; ``None`` means ``current_timestamp()``."""
+    """``as_of`` as a timestamp column; ``None`` means ``current_timestamp()``."""
     if as_of is None:
         return F.current_timestamp()
     if isinstance(as_of, Column):
@@ -77,7 +77,7 @@ def as_timestamp(df: DataFrame, col: str) -> Column:
 
 
 def flag(cond: Column) -> Column:
-    """Boolean condition as a 0/1 integer column; NULL counts as 0."""
+    """boolean condition as a 0/1 ``CASE WHEN`` column; NULL counts as 0."""
     return F.when(cond, 1).otherwise(0)
 
 
@@ -135,6 +135,7 @@ def deviation_from(amount: str, avg: str) -> Column:
 
 # ---------------------------------------------------------------- F16 - F26
 def minute(col: str) -> Column:
+    """F16: ``date_trunc('minute', col)`` (``DATE(col)`` is ``to_date``)."""
     return F.date_trunc("minute", F.col(col))
 
 

@@ -35,7 +35,7 @@ class AlertThresholds:
 
 def make_alert(df: DataFrame, alert_type: str, severity: str, message: Column, details: Column,
                as_of=None) -> DataFrame:
-    """The common alert record."""
+    """The common alert record (F21: details encoded with ``to_json``)."""
     return df.select(F.lit(alert_type).alias("alert_type"), F.lit(severity).alias("severity"),
                      message.alias("message"), F.to_json(details).alias("details"),
                      as_of_col(as_of).alias("timestamp"))

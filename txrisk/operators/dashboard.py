@@ -39,7 +39,7 @@ def one_row(frames: Sequence[DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- joins
 def tx_with_alerts(tx: DataFrame, alerts: DataFrame, fraud_only: bool = False) -> DataFrame:
-    """J1 (J2 with ``fraud_only``): transactions left-joined to their alerts; defaults
+    """J1 (J2 with ``fraud_only``) + P10/F17: transactions left-joined to their alerts; ``coalesce`` defaults
     fraud_score 0, is_fraud FALSE, alert_status 'n/a'. One row per matching alert."""
     a = alerts.filter(F.col("is_fraud")) if fraud_only else alerts
     a = a.select("transaction_id", F.col("fraud_score").alias("_fs"),
@@ -96,7 +96,7 @@ def newest(tx: DataFrame) -> DataFrame:
 
 
 def page_after(tx: DataFrame, alerts: DataFrame, anchor_id: str, limit: int = 20) -> DataFrame:
-    """The next ``limit`` rows of J1 after the anchor transaction, oldest first.
+    """The next ``limit`` rows of J1 after the anchor transaction, oldest first (the live feed).
 
     Keyset on (transaction_time, transaction_id), so rows tied in time with the
     anchor are not skipped. The anchor is an uncorrelated scalar subquery.
@@ -126,12 +126,12 @@ def alerts_feed(alerts: DataFrame, status: str | None = None, limit: int = 20) -
 
 
 def unseen_alerts(current: DataFrame, seen: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """Current alerts whose key was not seen yet (anti join)."""
+    """Current alerts whose key was not seen yet (anti join)."""
     return current.join(seen.select(key), key, "left_anti")
 
 
 def retain_seen(seen: DataFrame, current: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """Seen keys that still exist (semi join)."""
+    """Seen keys that still exist (semi join)."""
     return seen.join(current.select(key), key, "left_semi")
 
 
@@ -240,7 +240,7 @@ def fraud_by_country(alerts: DataFrame, tx: DataFrame, as_of=None, lookback: str
 
 def volume_history(tx: DataFrame, alerts: DataFrame, as_of=None, minutes: int = 1440,
                    time_col: str = "transaction_time") -> DataFrame:
-    """Per minute, distinct transactions and distinct fraud transactions (ascending).
+    """A9 + F16 + O7: per minute, distinct transactions and distinct fraud transactions (ascending).
 
     (minute, id) pairs are de-duplicated before the join, alerts by id, so the
     join is one-to-one and the counts are plain counts.
@@ -254,7 +254,7 @@ def volume_history(tx: DataFrame, alerts: DataFrame, as_of=None, minutes: int =
 
 
 def fraud_summary(alerts: DataFrame) -> DataFrame:
-    """A10: per detection day: alerts, confirmed frauds, avg score, flagged amount, distinct users."""
+    """A10 + O7: per detection day (newest first): alerts, confirmed frauds, avg score, flagged amount, distinct users."""
     return (alerts.groupBy(F.to_date("detection_time").alias("date"))
             .agg(F.count(F.lit(1)).alias("total_alerts"),
                  F.sum(F.when(F.col("is_fraud"), 1).otherwise(0)).alias("confirmed_frauds"),
@@ -265,7 +265,7 @@ def fraud_summary(alerts: DataFrame) -> DataFrame:
 
 
 def daily_transaction_stats(tx: DataFrame) -> DataFrame:
-    """Per transaction day: count, avg / max / min amount, distinct users, distinct merchants."""
+    """A11 + O7: per transaction day (newest first): count, avg / max / min amount, distinct users, merchants."""
     return (tx.groupBy(F.to_date("transaction_time").alias("date"))
             .agg(F.count(F.lit(1)).alias("total_transactions"),
                  exact_avg("amount").alias("avg_amount"),

@@ -17,7 +17,7 @@ from ..functions.columns import as_of_col
 
 
 def read_model_info(spark: SparkSession, pattern: str) -> DataFrame:
-    """Model metadata JSON files (one per model directory) with their path."""
+    """S11 + F22: model metadata JSON files (one per model directory) with their path."""
     return (spark.read.schema(S.MODEL_INFO).option("multiLine", True).json(pattern)
             .withColumn("path", F.input_file_name()))
 

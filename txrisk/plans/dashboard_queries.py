@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 SELECT transaction_id, user_id, amount, currency, merchant, {O.ts('transaction_time')} AS transaction_time,
        country, transaction_type, is_fraud_actual, {O.ts('created_at')} AS created_at FROM tx""")
 def q_transactions(spark, d):
-    """The typed transactions table."""
+    """S10 + F1/F23 (timestamps): the typed transactions table."""
     t = tx(spark, d)
     return t.select("transaction_id", "user_id", "amount", "currency", "merchant",
                     ts_string("transaction_time").alias("transaction_time"), "country", "transaction_type",
@@ -45,7 +45,7 @@ def q_serving_features(spark, d):
 @query("rule_scores", O.BASE + """
 SELECT transaction_id, round(fraud_score, 6) AS fraud_score, is_fraud, model_version FROM scored""")
 def q_rule_scores(spark, d):
-    """Rule score, strict > 0.7 flag, model_version."""
+    """R0 + F19 + M10: rule score, strict > 0.7 flag, model_version."""
     s = scored(spark, d)
     return s.select("transaction_id", r6("fraud_score").alias("fraud_score"), "is_fraud", "model_version")
 
@@ -87,7 +87,7 @@ def fraud_summary_out(a: DataFrame) -> DataFrame:
 
 @query("fraud_summary", O.BASE + FRAUD_SUMMARY_SQL.format(src="alerts"))
 def q_fraud_summary(spark, d):
-    """A10 over the alerts table: the flagship slice events -> features -> score -> alerts -> daily summary."""
+    """A10 + O7 + F16 + P4 + R0 + F24 over the alerts table: the flagship slice events -> features -> score -> alerts -> daily summary."""
     return fraud_summary_out(alerts(spark, d))
 
 
@@ -104,7 +104,7 @@ SELECT CAST(CAST(transaction_time AS DATE) AS VARCHAR) AS date, CAST(count(*) AS
        CAST(count(DISTINCT merchant) AS BIGINT) AS unique_merchants
 FROM tx GROUP BY 1""")
 def q_daily_transaction_stats(spark, d):
-    """A11."""
+    """A11 + O7 + F16."""
     s = D.daily_transaction_stats(tx(spark, d))
     return s.select(F.col("date").cast("string").alias("date"), big("total_transactions").alias("total_transactions"),
                     r6("avg_amount").alias("avg_amount"), "max_amount", "min_amount",
@@ -126,7 +126,7 @@ FROM tx"""
 
 @query("transaction_stats", O.BASE + TX_STATS_SQL)
 def q_transaction_stats(spark, d):
-    """Per-minute and 24 h counts, 24 h average amount."""
+    """A1, A2, A17 + P5 + F18: per-minute and 24 h counts, 24 h average amount."""
     s = D.tx_counts(tx(spark, d), AS_OF)
     return s.select(big("transactions_per_minute").alias("transactions_per_minute"),
                     big("transactions_today").alias("transactions_today"), "avg_amount")
@@ -217,7 +217,7 @@ WHERE t.transaction_time >= TIMESTAMP '{MONTH_END}' - INTERVAL 44640 MINUTE
   AND t.transaction_time <= TIMESTAMP '{MONTH_END}'
 GROUP BY 1""")
 def q_volume_history(spark, d):
-    """A9 over the whole month (44640 minutes)."""
+    """A9 + F16 + O7 + J2 over the whole month (44640 minutes)."""
     v = D.volume_history(tx(spark, d), alerts(spark, d), MONTH_END, minutes=44640)
     return v.select(ts_string("minute").alias("minute"), big("tx_count").alias("tx_count"),
                     big("fraud_count").alias("fraud_count"))
@@ -264,7 +264,7 @@ def q_page_after_anchor(spark, d):
 SELECT {ALERT_COLS_SQL} FROM dense WHERE is_fraud AND alert_status = 'pending'
 ORDER BY detection_time DESC, transaction_id DESC LIMIT 20""")
 def q_alerts_feed_pending(spark, d):
-    """Newest 20 pending fraud alerts."""
+    """O5/P7 + T7 feed: newest 20 pending fraud alerts."""
     return alert_cols(D.alerts_feed(alerts(spark, d, 0.5), "pending", 20))
 
 
@@ -356,7 +356,7 @@ def q_table_counts(spark, d):
 SELECT {ALERT_COLS_SQL} FROM dense
 WHERE detection_time >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AND detection_time <= TIMESTAMP '{AS_OF}'""")
 def q_live_alerts(spark, d):
-    """Alerts younger than a 1-day TTL at as_of."""
+    """T6 + P5: alerts younger than a 1-day TTL at as_of."""
     return alert_cols(D.live_alerts(alerts(spark, d, 0.5), AS_OF, "1 day"))
 
 
@@ -398,7 +398,7 @@ def q_transaction_records(spark, d):
 @query("sample_rows", O.BASE + """
 SELECT transaction_id, amount, is_fraud_actual FROM tx ORDER BY transaction_id LIMIT 10""")
 def q_sample_rows(spark, d):
-    """A 10-row sample of chosen columns (missing columns skipped), in id order."""
+    """O12 + P2: a 10-row sample of chosen columns (missing columns skipped), in id order."""
     from ..operators.quality import sample_rows
 
     return sample_rows(tx(spark, d).orderBy("transaction_id"), ["transaction_id", "amount", "is_fraud_actual",

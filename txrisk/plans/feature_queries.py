@@ -180,7 +180,7 @@ SELECT transaction_id, CAST(is_fraud_actual AS INTEGER) AS is_fraud, """ + ", ".
 
 @query("batch_features", BATCH_SQL)
 def q_batch_features(spark, d):
-    """the full batch feature bundle (26 columns + the rule score)."""
+    """F25 (F2-F15, W1-W10, J11) + K3 rule-score column: the full batch feature bundle."""
     t = tx(spark, d).withColumn("is_fraud", F.col("is_fraud_actual").cast("int"))
     f = FE.batch_features(t)
     cols = [big(c).alias(c) if kind == "big" else r6(c).alias(c) for c, kind in BATCH_COLS]
@@ -203,7 +203,7 @@ def _summary_sql() -> str:
 
 @query("feature_summary", _summary_sql())
 def q_feature_summary(spark, d):
-    """A14 (exact form): count, mean, stddev, min, quartiles, max per numeric feature."""
+    """A14 (exact form) + P12: count, mean, stddev, min, quartiles, max per numeric feature."""
     s = feature_summary(scored(spark, d), SUMMARY_COLS)
     return s.select("feature", big("count").alias("count"), *[r6(c).alias(c) for c in
                                                                 ["mean", "stddev", "min", "p25", "p50", "p75", "max"]])

@@ -202,7 +202,7 @@ def _training_frame(spark, d):
 
 @query("model_predictions")
 def q_model_predictions(spark, d):
-    """M1, M3, M5, M6, M9: random forest trained on the first three weeks, scoring the rest."""
+    """Random forest trained on the first three weeks, scoring the rest."""
     frame = _training_frame(spark, d)
     cut = F.lit("2024-01-22 00:00:00").cast("timestamp")
     model = M.train(frame.filter(F.col("transaction_time") < cut), "label", "random_forest",
@@ -214,7 +214,7 @@ def q_model_predictions(spark, d):
 
 @query("model_feature_importance")
 def q_model_feature_importance(spark, d):
-    """M16 + O10: feature importances of a gradient-boosted model, top 10."""
+    """M7 + M16 + O10: feature importances of a gradient-boosted model, top 10."""
     frame = _training_frame(spark, d)
     model = M.train(frame, "label", "gradient_boosting", maxIter=10, maxDepth=3, version="gbt_model")
     return M.top_features(M.feature_importance(model, spark), 10)

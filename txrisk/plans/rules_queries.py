@@ -52,7 +52,7 @@ def registry_cols(df):
 SELECT model_version, accuracy, precision_score, recall, f1_score, {O.ts('training_date')} AS training_date,
        dataset_size, FALSE AS is_active, {O.ts('created_at')} AS created_at FROM reg""")
 def q_registry_daily(spark, d):
-    """G1: one registry row per day from evaluating the deployed rule scorer on that day's labels."""
+    """G1 + M11: one registry row per day from evaluating the deployed rule scorer on that day's labels."""
     return registry_cols(registry(spark, d))
 
 
@@ -95,7 +95,7 @@ SELECT 'MODEL_PERFORMANCE_DEGRADATION' AS alert_type, 'MEDIUM' AS severity,
        recall AS d_recall, '{AS_OF.replace(' ', ' ')}' AS ts
 FROM am WHERE accuracy < 0.85 OR precision_score < 0.75 OR recall < 0.75""")
 def q_model_degradation_alert(spark, d):
-    """R4 (+R5 record): active model below the default thresholds."""
+    """R4 + P9 + O9 (+R5 record): active model below the default thresholds."""
     a = AL.model_degradation_alerts(activated(spark, d), AS_OF)
     det = lambda k: F.get_json_object("details", f"$.{k}")
     return a.select("alert_type", "severity", "message", det("model_version").alias("d_model_version"),
@@ -115,7 +115,7 @@ FROM dense
 WHERE detection_time >= TIMESTAMP '{MONTH_END}' - INTERVAL 31 DAY AND detection_time <= TIMESTAMP '{MONTH_END}'
   AND amount > 1000 AND is_fraud AND alert_status = 'pending'""")
 def q_high_value_alerts(spark, d):
-    """R1 with threshold 1000 over the month (the default 5000 in 5 minutes selects nothing here)."""
+    """R1 + P8 + O6 + F20 + F21 + R5 with threshold 1000 over the month (the default 5000 in 5 minutes selects nothing here)."""
     a = AL.high_value_alerts(alerts(spark, d, 0.5), MONTH_END, 1000.0, "31 days")
     det = lambda k: F.get_json_object("details", f"$.{k}")
     return a.select("alert_type", "severity", "message", det("transaction_id").alias("d_transaction_id"),
@@ -139,7 +139,7 @@ SELECT 'FRAUD_RATE_SPIKE' AS alert_type, 'HIGH' AS severity,
        CAST(total_tx AS BIGINT) AS d_total, CAST(fraud_tx AS BIGINT) AS d_fraud, round(fraud_rate, 6) AS d_rate
 FROM rr WHERE fraud_rate > 0.1""")
 def q_rate_spike_alert(spark, d):
-    """R2 over one day of dense alerts with threshold 0.1."""
+    """R2 + A7 + F20 over one day of dense alerts with threshold 0.1."""
     a = AL.rate_spike_alerts(tx(spark, d), alerts(spark, d, 0.5), AS_OF, 0.1, "1 day")
     det = lambda k: F.get_json_object("details", f"$.{k}")
     return a.select("alert_type", "severity", "message", det("total_transactions").cast("long").alias("d_total"),
@@ -256,7 +256,7 @@ SELECT metric_name, round(metric_value, 4) AS metric_value, metric_unit FROM (
   UNION ALL SELECT 'recall', recall, 'ratio' FROM am
   UNION ALL SELECT 'f1_score', f1_score, 'ratio' FROM am)""")
 def q_monitoring_metrics(spark, d):
-    """A19 + A20 (+S9 rows): monitoring metrics in long form, 1-day window on ingest time."""
+    """A19 + A20 + P6 + T12 (+S9 rows): monitoring metrics in long form, 1-day window on ingest time."""
     wide = collect_metrics(tx(spark, d), alerts(spark, d, 0.5), activated(spark, d), AS_OF, window="1 day")
     long = metrics_long(wide, AS_OF)
     return long.select("metric_name", F.round(F.col("metric_value").cast("double"), 4).alias("metric_value"),
@@ -344,7 +344,7 @@ SELECT transaction_id, user_id, CAST(CAST(amount AS DECIMAL(15,2)) AS DOUBLE) AS
        {O.ts('transaction_time')} AS transaction_time, 'pending' AS alert_status, '{AS_OF}' AS detection_time
 FROM scored WHERE is_fraud""")
 def q_alert_table_rows(spark, d):
-    """S6 + Q5: flagged rows as stored alerts: 8 columns, table types, defaults for status and detection time."""
+    """S5/S6 row shapes + Q5 + P4: flagged rows as stored alerts: 8 columns, table types, defaults for status and detection time."""
     from ..sources.sinks import alert_rows
 
     rows = alert_rows(scored(spark, d))

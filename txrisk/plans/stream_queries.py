@@ -23,7 +23,7 @@ from .base import alerts, big, query, r6, scored, tx
 SELECT transaction_id, CAST(hour AS BIGINT) AS hour, CAST(day_of_week AS BIGINT) AS day_of_week,
        round(fraud_score, 6) AS fraud_score, is_fraud, is_fraud_actual FROM scored""")
 def q_kafka_message_scoring(spark, d):
-    """S2 + P1 + F1 + F24 + R0: transactions encoded as JSON messages, decoded, featurised, scored."""
+    """S1/S2 message path + P1 + F1 + F22 + F24 + R0: transactions encoded as JSON messages, decoded, featurised, scored."""
     msgs = to_messages(tx(spark, d))
     parsed = parse_messages(msgs)
     s = rule_score(serving_features(parsed))
@@ -37,7 +37,7 @@ SELECT 'fraud_alert:' || transaction_id AS key, transaction_id AS v_transaction_
        {O.ts("detection_time + INTERVAL 1 HOUR")} AS expires_at
 FROM alerts""")
 def q_alert_payload(spark, d):
-    """Cache payload of each alert (key, JSON value, expiry one hour after detection)."""
+    """S7 + F21 + F22 + F23: cache payload of each alert (key, JSON value, expiry one hour after detection)."""
     p = alert_payload(alerts(spark, d))
     v = lambda k: F.get_json_object("value", f"$.{k}")
     return p.select("key", v("transaction_id").alias("v_transaction_id"), v("user_id").alias("v_user_id"),

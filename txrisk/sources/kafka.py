@@ -28,7 +28,7 @@ def read_kafka(spark: SparkSession, brokers: str, topic: str, starting: str = "l
 
 
 def parse_messages(df: DataFrame, schema: T.StructType = S.TRANSACTION_MESSAGE, keep_raw: bool = False) -> DataFrame:
-    """S2 + P1: ``value`` bytes -> UTF-8 string -> typed struct -> top-level columns.
+    """S2 + P1 + F22: ``value`` bytes -> UTF-8 string -> typed struct (``from_json``) -> top-level columns.
 
     Malformed JSON yields a row of NULLs (``from_json`` does not enforce
     nullability); route those with ``quality.split_valid``.

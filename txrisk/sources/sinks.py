@@ -71,7 +71,7 @@ def sink_alerts(scored: DataFrame, path: str, as_of=None, batch_id: int | None =
 
 
 def alert_payload(alerts: DataFrame, ttl: str = S.ALERT_PAYLOAD_TTL) -> DataFrame:
-    """Cache form of alerts: key ``fraud_alert:<id>``, JSON value, expiry time."""
+    """S7 + F21 + T6: cache form of alerts: key ``fraud_alert:<id>``, JSON value, expiry time."""
     ts = F.coalesce(F.col("detection_time"), F.current_timestamp())
     value = F.to_json(F.struct(
         F.col("transaction_id"), F.col("user_id"), F.col("amount").cast("double").alias("amount"),
