@@ -102,9 +102,9 @@ def page_after(tx: DataFrame, alerts: DataFrame, anchor_id: str, limit: int = 20
     anchor are not skipped. The anchor is an uncorrelated scalar subquery.
     """
     anchor = tx.filter(F.col("transaction_id") == F.lit(anchor_id))
-    at = anchor.select(F.max("transaction_time")).scalar()
-    later = tx.filter((F.col("transaction_time") > at)
-                      | ((F.col("transaction_time") == at) & (F.col("transaction_id") > F.lit(anchor_id))))
+    # one reference to the scalar subquery: (time, id) > (anchor time, anchor id) as a struct comparison
+    key = anchor.select(F.struct(F.max("transaction_time").alias("t"), F.lit(anchor_id).alias("i"))).scalar()
+    later = tx.filter(F.struct(F.col("transaction_time").alias("t"), F.col("transaction_id").alias("i")) > key)
     return _page(_top_tx(later, limit, ascending=True), alerts, limit, ascending=True)
 
 

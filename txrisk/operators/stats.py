@@ -102,11 +102,16 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def scale(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """M3: (x - mean) / std with std 0 treated as 1. ``stats`` is the one-row fit."""
-    row = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    """M3: (x - mean) / std with std 0 treated as 1. ``stats`` is the one-row fit.
+
+    The fit is read once (2 numbers per column, a bounded round trip) and the
+    projection uses literals: one aggregation job, a codegen'd projection, and
+    it also works on streaming frames."""
+    row = stats.first()
     out = {}
     for c in cols:
         mean, std = row[f"{c}_mean"], row[f"{c}_std"]
-        std = F.when((std.isNull()) | (std == 0), F.lit(1.0)).otherwise(std)
-        out[f"{c}{suffix}"] = (F.col(c).cast("double") - mean) / std
+        std = 1.0 if (std is None or std == 0) else float(std)
+        mean = 0.0 if mean is None else float(mean)
+        out[f"{c}{suffix}"] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(std)
     return df.withColumns(out)
