@@ -102,12 +102,13 @@ def stored_alerts(alerts: DataFrame) -> DataFrame:
 def transactions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Larger input: one transaction per line item.
 
-    lineitem -> orders -> customer -> nation, lineitem -> supplier. Dimension
-    joins are left to the planner: with AQE, the small dimension sides become
-    broadcast joins once their real size is known, and the big fact-to-fact
-    join (lineitem x orders) stays a shuffle join on the order key.
-    (l_orderkey, l_linenumber) is not unique in the given data, so the
-    transaction id is not unique either; see ``quality.duplicates``/``dedupe``.
+    Join order is explicit (Catalyst does not reorder joins without CBO
+    statistics): orders are first enriched with customer and nation (the
+    smaller side), so the largest table, lineitem, is shuffled exactly once, by
+    order key. Dimension sides are left to the planner / AQE, which broadcasts
+    them when their measured size is small. (l_orderkey, l_linenumber) is not
+    unique in the given data, so the transaction id is not unique either; see
+    ``quality.duplicates`` / ``dedupe``.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
@@ -115,9 +116,10 @@ def transactions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     na = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     su = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    j = (li.join(od, li.l_orderkey == od.o_orderkey)
-         .join(cu, F.col("o_custkey") == cu.c_custkey)
-         .join(na, F.col("c_nationkey") == na.n_nationkey)
+    buyers = (od.join(cu, od.o_custkey == cu.c_custkey)
+              .join(na, F.col("c_nationkey") == na.n_nationkey)
+              .select("o_orderkey", "o_custkey", "n_name"))
+    j = (li.join(buyers, li.l_orderkey == buyers.o_orderkey)
          .join(su, F.col("l_suppkey") == su.s_suppkey))
     ts = F.col("l_shipdate").cast("timestamp")
     return j.select(
