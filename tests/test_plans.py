@@ -67,3 +67,23 @@ def test_oracle_subset_sf0001(spark, sf001, name):
     con = duck(sf001)
     info = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], sf001)
     assert info["ok"], info
+
+
+def test_lookback_on_stored_alerts_is_pushed_down(spark, sf001):
+    import os
+    import tempfile
+
+    from txrisk.operators import dashboard as D
+    from txrisk.operators.features import serving_features
+    from txrisk.sources.tables import transactions
+    from txrisk.streaming.stream import score_batch
+
+    root = tempfile.mkdtemp(prefix="txrisk-plan-")
+    txp, alp = os.path.join(root, "tx"), os.path.join(root, "alerts")
+    score_batch(serving_features(transactions(spark, sf001)), 0, txp, alp, as_of="2024-01-31 00:00:00")
+    alerts = spark.read.parquet(alp)
+    text = plan(D.live_alerts(alerts, "2024-01-31 00:00:00", "1 hour"), "formatted")
+    assert "GreaterThanOrEqual(detection_time" in text
+    tx = spark.read.parquet(txp)
+    text = plan(D.volume_history(tx, alerts, "2024-01-31 00:00:00", 60), "formatted")
+    assert "GreaterThanOrEqual(transaction_time" in text
