@@ -87,3 +87,25 @@ def test_lookback_on_stored_alerts_is_pushed_down(spark, sf001):
     tx = spark.read.parquet(txp)
     text = plan(D.volume_history(tx, alerts, "2024-01-31 00:00:00", 60), "formatted")
     assert "GreaterThanOrEqual(transaction_time" in text
+
+
+def test_lookback_prunes_day_partitions(spark, sf001):
+    import os
+    import tempfile
+
+    from txrisk.operators import dashboard as D
+    from txrisk.operators.features import serving_features
+    from txrisk.sources.tables import transactions
+    from txrisk.streaming.stream import score_batch
+
+    root = tempfile.mkdtemp(prefix="txrisk-prune-")
+    txp, alp = os.path.join(root, "tx"), os.path.join(root, "alerts")
+    score_batch(serving_features(transactions(spark, sf001)), 0, txp, alp, as_of="2024-01-31 00:00:00")
+    tx = spark.read.parquet(txp)
+    text = plan(D.tx_counts(tx, "2024-01-20 12:00:00"), "formatted")
+    assert "PartitionFilters: [isnotnull(transaction_date" in text and "transaction_date" in text
+    got = D.tx_counts(tx, "2024-01-20 12:00:00").first()
+    raw = D.tx_counts(transactions(spark, sf001), "2024-01-20 12:00:00").first()
+    assert got.transactions_today == raw.transactions_today and got.avg_amount == raw.avg_amount
+    vol = D.volume_history(tx, spark.read.parquet(alp), "2024-01-20 12:00:00", 600)
+    assert "PartitionFilters: [isnotnull(transaction_date" in plan(vol, "formatted")

@@ -43,10 +43,31 @@ def _interval_sql(text: str) -> str:
 
 
 # ---------------------------------------------------------------- predicates
+def partition_column(df: DataFrame, col: str) -> str | None:
+    """The day-partition column of a ``<x>_time`` column, if ``df`` has it: ``<x>_date``
+    (the tables written by :mod:`txrisk.sources.sinks` are partitioned that way)."""
+    if not col.endswith("_time"):
+        return None
+    pcol = col[: -len("_time")] + "_date"
+    if pcol in df.columns and isinstance(df.schema[pcol].dataType, T.DateType):
+        return pcol
+    return None
+
+
+def prune(df: DataFrame, col: str, lower: Column, upper: Column) -> DataFrame:
+    """Add the day-partition predicate implied by ``lower <= col <= upper`` (partition pruning)."""
+    pcol = partition_column(df, col)
+    if pcol is None:
+        return df
+    return df.filter((F.col(pcol) >= F.to_date(lower)) & (F.col(pcol) <= F.to_date(upper)))
+
+
 def within(df: DataFrame, col: str, as_of=None, lookback: str = "24 hours") -> DataFrame:
-    """P5: rows with ``as_of - lookback <= col <= as_of`` (bare column: pushdown-friendly)."""
+    """P5: rows with ``as_of - lookback <= col <= as_of`` (bare column: pushdown-friendly;
+    on a day-partitioned table also a partition predicate, so whole days are skipped)."""
     t = as_of_col(as_of)
-    return df.filter((F.col(col) >= t - interval(lookback)) & (F.col(col) <= t))
+    lower = t - interval(lookback)
+    return prune(df, col, lower, t).filter((F.col(col) >= lower) & (F.col(col) <= t))
 
 
 def within_col(col: str, as_of=None, lookback: str = "24 hours") -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_of_col, exact_avg, interval, on_date_col, within, within_col
+from ..functions.columns import as_of_col, exact_avg, interval, on_date_col, prune, within, within_col
 from .. import schemas as S
 
 TX_COLUMNS = ["transaction_id", "user_id", "amount", "currency", "merchant",
@@ -178,7 +178,7 @@ def tx_counts(tx: DataFrame, as_of=None, time_col: str = "transaction_time",
     else:
         lower = F.least(t - interval("1 minute"), t - interval(today), t - interval(avg_window))
         upper = t
-    tx = tx.filter((F.col(time_col) >= lower) & (F.col(time_col) <= upper))
+    tx = prune(tx, time_col, lower, upper).filter((F.col(time_col) >= lower) & (F.col(time_col) <= upper))
     return tx.agg(
         _count_if(within_col(time_col, t, "1 minute")).alias("transactions_per_minute"),
         _count_if(today_cond).alias("transactions_today"),

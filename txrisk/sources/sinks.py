@@ -1,7 +1,8 @@
 """Sinks (S4-S9, S12, S13): distributed writes, never a collect to the driver.
 
-Table sinks append Parquet partitioned by day (partition pruning for the
-look-back filters). For idempotent micro-batch writes the streaming layer
+Table sinks append Parquet partitioned by ``transaction_date`` (the day of
+``transaction_time``); look-back filters on ``transaction_time`` add the matching
+partition predicate (``functions.columns.prune``), so whole days are skipped. For idempotent micro-batch writes the streaming layer
 passes ``batch_id``: rows then go to ``batch_id=<n>`` and that partition is
 overwritten (dynamic partition overwrite), so a replayed batch replaces its
 own output instead of duplicating it.
@@ -37,7 +38,7 @@ def transaction_rows(scored: DataFrame) -> DataFrame:
         F.col("transaction_time").cast("timestamp").alias("transaction_time"), "country", "transaction_type",
         F.coalesce(F.col("detection_time"), F.current_timestamp()).alias("created_at")
         if "detection_time" in scored.columns else F.current_timestamp().alias("created_at"),
-    ).withColumn("date", F.to_date("transaction_time"))
+    ).withColumn("transaction_date", F.to_date("transaction_time"))
 
 
 def alert_rows(scored: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def alert_rows(scored: DataFrame) -> DataFrame:
 
 
 def sink_transactions(scored: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append all scored rows to the transactions table (partitioned by day)."""
-    _append(transaction_rows(scored), path, ["date"], batch_id)
+    """Append all scored rows to the transactions table (partitioned by transaction_date)."""
+    _append(transaction_rows(scored), path, ["transaction_date"], batch_id)
 
 
 def sink_alerts(scored: DataFrame, path: str, as_of=None, batch_id: int | None = None) -> None:
@@ -66,8 +67,8 @@ def sink_alerts(scored: DataFrame, path: str, as_of=None, batch_id: int | None =
         F.lit(S.PENDING_STATUS).alias("alert_status"))
         # partition by the transaction's day: deterministic, so a replayed batch
         # overwrites exactly the partitions of its first attempt
-        .withColumn("date", F.to_date("transaction_time")))
-    _append(rows, path, ["date"], batch_id)
+        .withColumn("transaction_date", F.to_date("transaction_time")))
+    _append(rows, path, ["transaction_date"], batch_id)
 
 
 def alert_payload(alerts: DataFrame, ttl: str = S.ALERT_PAYLOAD_TTL) -> DataFrame:
