@@ -301,7 +301,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, scores descending:
-    cumulative true / false positives at or above each threshold."""
+    cumulative true / false positives at or above each threshold. Every distinct
+    threshold is returned (no dropping of collinear points, no extra (0, 0) start
+    point); the curve through these points is the same."""
     pre = prefix_sums(score_counts(df, label, score), "score", ["pos", "neg"], descending=True,
                       bounds=key_boundaries(df, score))
     return pre.select(F.col("score").alias("threshold"),
