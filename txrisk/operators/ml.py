@@ -106,12 +106,16 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """M5: weight n / (k * n_class) per row. The class table has one row per class (bounded)."""
+    """M5: weight n / (k * n_class) per row. The class table has one row per class:
+    broadcast after a size check (a label with unexpectedly many values falls back
+    to a shuffle join)."""
+    from .joins import broadcast_if_small
+
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     totals = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.select(label, "_nc", totals.select(F.struct("_n", "_k")).scalar().alias("_t"))
     w = w.select(label, (F.col("_t._n") / (F.col("_t._k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    return df.join(broadcast_if_small(w), label, "left")
 
 
 # ---------------------------------------------------------------- model
