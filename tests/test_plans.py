@@ -16,12 +16,24 @@ def plan(df, mode="formatted"):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
-def test_no_python_udf_in_any_query(spark, sf001):
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
+def test_no_python_udf_in_any_query_and_types_match_oracle(spark, sf001):
+    con = duck(sf001)
+    sqls = E.oracle_sql()
     for name, fn in E.queries().items():
         if name in TRAINING:
             continue
-        text = plan(fn(spark, sf001))
+        df = fn(spark, sf001)
+        text = plan(df)
         assert not any(node in text for node in PY_NODES), name
+        if name in sqls:
+            rel = con.sql(sqls[name])
+            want = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+            got = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+            assert got == want, name
 
 
 def test_user_windows_have_no_single_partition_exchange(spark, sf001):
