@@ -78,11 +78,15 @@ def list_models(models: DataFrame) -> DataFrame:
             .orderBy(F.col("created_at").desc(), F.col("model_version").desc()))
 
 
-def active_model(models: DataFrame) -> DataFrame:
-    """The newest active model (at most one row)."""
+def active_model(models: DataFrame, full: bool = False) -> DataFrame:
+    """The newest active model (at most one row). ``full`` adds training_date,
+    dataset_size, is_active and created_at (the dashboard's model-performance record)."""
+    cols = ["model_version", "accuracy", "precision_score", "recall", "f1_score"]
+    if full:
+        cols += ["training_date", "dataset_size", "is_active", "created_at"]
     return (models.filter(F.col("is_active"))
             .orderBy(F.col("created_at").desc(), F.col("model_version").desc()).limit(1)
-            .select("model_version", "accuracy", "precision_score", "recall", "f1_score"))
+            .select(*cols))
 
 
 def newest_model(infos: DataFrame, order_col: str = "training_date") -> DataFrame:

@@ -391,3 +391,16 @@ def q_activation_audit(spark, d):
     a = G.activation_audit(reg, newest, AS_OF)
     return a.select("event_type", "event_description", "model_version",
                     F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("model_performance_record", O.BASE + CONF_SQL + f"""
+SELECT model_version, accuracy, precision_score, recall, f1_score, {O.ts('training_date')} AS training_date,
+       dataset_size, TRUE AS is_active, {O.ts('created_at')} AS created_at
+FROM reg ORDER BY training_date DESC LIMIT 1""")
+def q_model_performance_record(spark, d):
+    """G4/O9 + P13: the dashboard's model-performance record of the active model."""
+    a = G.active_model(activated(spark, d), full=True)
+    return a.select("model_version", *[F.col(c).cast("double").alias(c) for c in
+                                       ("accuracy", "precision_score", "recall", "f1_score")],
+                    ts_string("training_date").alias("training_date"), big("dataset_size").alias("dataset_size"),
+                    "is_active", ts_string("created_at").alias("created_at"))
