@@ -147,3 +147,18 @@ def test_stream_rapid_fraud_and_rate_windows(spark, sf001):
     want2 = {r.window_start: (r.total_tx, r.fraud_tx, r.spike) for r in stream_fraud_rate(rule_score(tx), "1 day", 0.01).collect()}
     got2 = {r.window_start: (r.total_tx, r.fraud_tx, r.spike) for r in spark.table("rate_test").collect()}
     assert got2 and all(want2[k] == v for k, v in got2.items())
+
+
+def test_scoring_stream_drops_replayed_messages(spark, sf001):
+    root = _scratch()
+    inp = os.path.join(root, "in")
+    tx = transactions(spark, sf001)
+    _write_messages(tx, os.path.join(inp, "p"))
+    _write_messages(tx.filter(F.col("event_id") < 100), os.path.join(inp, "replay"))   # the same 100 again
+    msgs = parse_messages(read_messages_stream(spark, os.path.join(inp, "*")))
+    txp, alp = os.path.join(root, "tx"), os.path.join(root, "alerts")
+    q = run_stream(msgs, txp, alp, os.path.join(root, "ck"), trigger={"availableNow": True},
+                   name="scoring_dedupe_test", dedupe_watermark="1 hour")
+    q.awaitTermination()
+    stored = spark.read.parquet(txp)
+    assert stored.count() == tx.count() == stored.select("transaction_id").distinct().count()
