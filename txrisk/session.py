@@ -23,6 +23,35 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict:
+    """Partition sizing for a large input (e.g. ~100 TB on ~1000 executors).
+
+    Scan splits and shuffle partitions are sized to ~``target_partition_bytes``
+    so each task's data fits in executor memory (sorts and windows spill beyond
+    that); AQE starts from that many shuffle partitions, coalesces small ones
+    and splits skewed ones at runtime. Broadcasts stay small.
+    """
+    shuffle = max(200, min(max_partitions, input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(16 << 20),
+    }
+
+
+def configure_for_scale(spark: SparkSession, input_bytes: int, **kw) -> SparkSession:
+    """Apply :func:`configure` plus :func:`scale_conf` (session-level SQL confs only)."""
+    configure(spark)
+    for key, value in scale_conf(input_bytes, **kw).items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
