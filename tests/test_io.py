@@ -93,3 +93,12 @@ def test_train_and_register(spark, sf01):
     assert r.model_version == "fraud_model_20240201_102030" and r.is_active is False
     assert 0 <= float(r.accuracy) <= 1 and model.metrics["roc_auc"] > 0.5
     assert os.path.isdir(os.path.join(out, "pipeline"))
+
+
+def test_scale_conf_sizes_partitions():
+    from txrisk.session import scale_conf
+
+    c = scale_conf(100 * 2 ** 40)                       # 100 TB
+    assert int(c["spark.sql.files.maxPartitionBytes"]) == 256 * 2 ** 20
+    assert int(c["spark.sql.shuffle.partitions"]) == 100_000  # capped; AQE coalesces
+    assert int(scale_conf(10 * 2 ** 30)["spark.sql.shuffle.partitions"]) == 200   # small input: floor
