@@ -121,3 +121,27 @@ def test_lookback_prunes_day_partitions(spark, sf001):
     assert got.transactions_today == raw.transactions_today and got.avg_amount == raw.avg_amount
     vol = D.volume_history(tx, spark.read.parquet(alp), "2024-01-20 12:00:00", 600)
     assert "PartitionFilters: [isnotnull(transaction_date" in plan(vol, "formatted")
+
+
+def test_bounded_alert_side_same_result_and_pruned(spark, sf001):
+    import os
+    import tempfile
+
+    from txrisk.operators import dashboard as D
+    from txrisk.operators.features import serving_features
+    from txrisk.sources.tables import transactions
+    from txrisk.streaming.stream import score_batch
+
+    root = tempfile.mkdtemp(prefix="txrisk-bound-")
+    txp, alp = os.path.join(root, "tx"), os.path.join(root, "alerts")
+    score_batch(serving_features(transactions(spark, sf001)), 0, txp, alp, as_of="2024-01-31 00:00:00")
+    tx, alerts = spark.read.parquet(txp), spark.read.parquet(alp)
+    for as_of, minutes in (("2024-01-20 12:00:00", 3000), ("2024-01-31 00:00:00", 44640)):
+        a = sorted(D.volume_history(tx, alerts, as_of, minutes).collect())
+        b = sorted(D.volume_history(tx, alerts, as_of, minutes, bound_alerts=False).collect())
+        assert a == b
+        r1 = D.fraud_rate(tx, alerts, as_of, f"{minutes} minutes").first()
+        r2 = D.fraud_rate(tx, alerts, as_of, f"{minutes} minutes", bound_alerts=False).first()
+        assert r1 == r2
+    text = plan(D.volume_history(tx, alerts, "2024-01-20 12:00:00", 600), "formatted")
+    assert text.count("PartitionFilters: [isnotnull(transaction_date") == 2    # both tables pruned

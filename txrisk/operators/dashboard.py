@@ -204,16 +204,29 @@ def alert_counts(alerts: DataFrame, as_of=None, lookback: str = "24 hours",
     )
 
 
+def _alerts_in_window(alerts: DataFrame, time_col: str, as_of, lookback: str, bound: bool) -> DataFrame:
+    """Alerts that can match a transaction of the window. An alert row carries its
+    transaction's ``transaction_time`` (the sinks copy it), so when the window is on
+    ``transaction_time`` the alert side is bounded by the same window: only the
+    matching days / row groups of the alerts table are read."""
+    if bound and time_col == "transaction_time" and "transaction_time" in alerts.columns:
+        return within(alerts, "transaction_time", as_of, lookback)
+    return alerts
+
+
 def fraud_rate(tx: DataFrame, alerts: DataFrame, as_of=None, lookback: str = "24 hours",
-               time_col: str = "transaction_time", fraud_only: bool = True) -> DataFrame:
+               time_col: str = "transaction_time", fraud_only: bool = True,
+               bound_alerts: bool = True) -> DataFrame:
     """COUNT(DISTINCT fraud tx) / COUNT(DISTINCT tx) over the window, 0 when empty.
 
     Both sides are de-duplicated by transaction id first (partial aggregation
     folds copies map-side), so the left join that follows is one-to-one and
-    reuses the shared hash partitioning on transaction_id.
+    reuses the shared hash partitioning on transaction_id. ``bound_alerts``:
+    see :func:`_alerts_in_window`.
     """
     t = within(tx, time_col, as_of, lookback).select("transaction_id").distinct()
     a = alerts.filter(F.col("is_fraud")) if fraud_only else alerts
+    a = _alerts_in_window(a, time_col, as_of, lookback, bound_alerts)
     a = a.select("transaction_id").distinct().withColumn("_hit", F.lit(1))
     j = t.join(a, "transaction_id", "left")
     agg = j.agg(F.count(F.lit(1)).alias("total_tx"), F.count("_hit").alias("fraud_tx"))
@@ -239,15 +252,18 @@ def fraud_by_country(alerts: DataFrame, tx: DataFrame, as_of=None, lookback: str
 
 
 def volume_history(tx: DataFrame, alerts: DataFrame, as_of=None, minutes: int = 1440,
-                   time_col: str = "transaction_time") -> DataFrame:
+                   time_col: str = "transaction_time", bound_alerts: bool = True) -> DataFrame:
     """A9 + F16 + O7: per minute, distinct transactions and distinct fraud transactions (ascending).
 
     (minute, id) pairs are de-duplicated before the join, alerts by id, so the
-    join is one-to-one and the counts are plain counts.
+    join is one-to-one and the counts are plain counts. ``bound_alerts``: see
+    :func:`_alerts_in_window`.
     """
-    t = (within(tx, time_col, as_of, f"{minutes} minutes")
+    lookback = f"{minutes} minutes"
+    t = (within(tx, time_col, as_of, lookback)
          .select(F.date_trunc("minute", F.col(time_col)).alias("minute"), "transaction_id").distinct())
-    a = alerts.filter(F.col("is_fraud")).select("transaction_id").distinct().withColumn("_hit", F.lit(1))
+    a = _alerts_in_window(alerts.filter(F.col("is_fraud")), time_col, as_of, lookback, bound_alerts)
+    a = a.select("transaction_id").distinct().withColumn("_hit", F.lit(1))
     j = t.join(a, "transaction_id", "left")
     return (j.groupBy("minute").agg(F.count(F.lit(1)).alias("tx_count"), F.count("_hit").alias("fraud_count"))
             .orderBy("minute"))
