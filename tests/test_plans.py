@@ -3,6 +3,8 @@ the driver contract; a subset of the DuckDB oracles on the smallest data."""
 
 import re
 
+from pyspark.sql import functions as F
+
 import pytest
 
 import __spark_entry__ as E
@@ -145,3 +147,28 @@ def test_bounded_alert_side_same_result_and_pruned(spark, sf001):
         assert r1 == r2
     text = plan(D.volume_history(tx, alerts, "2024-01-20 12:00:00", 600), "formatted")
     assert text.count("PartitionFilters: [isnotnull(transaction_date") == 2    # both tables pruned
+
+
+def test_fraud_by_country_prunes_transaction_days(spark, sf001):
+    import os
+    import tempfile
+
+    from txrisk.operators import dashboard as D
+    from txrisk.operators.features import serving_features
+    from txrisk.sources.tables import transactions
+    from txrisk.streaming.stream import score_batch
+
+    root = tempfile.mkdtemp(prefix="txrisk-dpp-")
+    txp, alp = os.path.join(root, "tx"), os.path.join(root, "alerts")
+    t = transactions(spark, sf001)
+    score_batch(serving_features(t), 0, txp, alp, as_of="2024-01-31 00:00:00")
+    tx, alerts = spark.read.parquet(txp), spark.read.parquet(alp)
+    df = D.fraud_by_country(alerts, tx, "2024-01-31 00:00:00", "31 days")
+    assert "dynamicpruning" in plan(df, "formatted").lower()
+    from txrisk.operators.scoring import rule_score
+    from txrisk.sources.tables import alerts_from_scored
+
+    derived = alerts_from_scored(rule_score(t)).withColumn("detection_time", F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    want = sorted((r.country, r.fraud_count) for r in D.fraud_by_country(derived, t, "2024-01-31 00:00:00", "31 days").collect())
+    got = sorted((r.country, r.fraud_count) for r in df.collect())
+    assert got == want

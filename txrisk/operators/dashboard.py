@@ -240,12 +240,17 @@ def fraud_rate(tx: DataFrame, alerts: DataFrame, as_of=None, lookback: str = "24
 def fraud_by_country(alerts: DataFrame, tx: DataFrame, as_of=None, lookback: str = "24 hours",
                      n: int = 10) -> DataFrame:
     """Fraud alerts per transaction country (inner join), top ``n`` by count."""
-    a = within(alerts.filter(F.col("is_fraud")), "detection_time", as_of, lookback).select("transaction_id")
+    # On day-partitioned tables the alert also names its transaction's day: joining on
+    # it as well lets dynamic partition pruning read only those days of the transactions.
+    keys = ["transaction_id"]
+    if "transaction_date" in alerts.columns and "transaction_date" in tx.columns:
+        keys.append("transaction_date")
+    a = within(alerts.filter(F.col("is_fraud")), "detection_time", as_of, lookback).select(*keys)
     # The recent alerts are normally few: broadcast them (after a size check) so
     # the transactions table is only scanned, never shuffled, for this lookup.
     from .joins import broadcast_if_small
 
-    j = tx.select("transaction_id", "country").join(broadcast_if_small(a), "transaction_id", "inner")
+    j = tx.select(*keys, "country").join(broadcast_if_small(a), keys, "inner")
     return (j.groupBy("country").agg(F.count(F.lit(1)).alias("fraud_count"))
             .orderBy(F.col("fraud_count").desc(), F.col("country").asc_nulls_last())
             .limit(n))
