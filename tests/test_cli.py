@@ -51,3 +51,21 @@ def test_cli_jobs(spark, sf001):
         .write.option("header", True).csv(csv)
     cli.main(["batch-features", "--input", csv, "--output", os.path.join(root, "features")])
     assert spark.read.parquet(os.path.join(root, "features")).count() == tx.count()
+
+
+def test_cli_train_and_evaluate(spark, sf001):
+    root = tempfile.mkdtemp(prefix="txrisk-cli-train-")
+    tables = os.path.join(root, "tables")
+    tx = transactions(spark, sf001)
+    feats = serving_features(tx).withColumn("is_fraud", F.col("is_fraud_actual").cast("int"))
+    fpath = os.path.join(root, "features")
+    feats.drop("is_fraud_actual").write.parquet(fpath)
+    model_dir = os.path.join(root, "models", "m1")
+    cli.main(["train", "--features", fpath, "--label", "is_fraud", "--kind", "logistic", "--out", model_dir,
+              "--tables", tables, "--as-of", "2024-02-01T00:00:00"])
+    reg = spark.read.parquet(os.path.join(tables, "model_performance")).collect()
+    assert [r.model_version for r in reg] == ["fraud_model_20240201_000000"]
+    report = os.path.join(model_dir, "report")
+    cli.main(["evaluate", "--model", model_dir, "--features", fpath, "--label", "is_fraud", "--report", report])
+    rep = spark.read.json(report).first()
+    assert rep.model_version == "fraud_model_20240201_000000" and 0.0 <= rep.metrics.accuracy <= 1.0
