@@ -363,10 +363,13 @@ def load_model(path: str, spark: SparkSession) -> FraudModel:
 
 def evaluate(model: FraudModel, test: DataFrame, label: str = "label") -> dict:
     """Metrics of a model on a labelled frame (one small aggregation, returned as a dict)."""
-    pred = predict(test, model).withColumn("_label", F.col(label).cast("double")) \
-        .withColumn("_pred", F.col("is_fraud").cast("int"))
-    m = binary_metrics(pred, "_label", "_pred").first()
-    auc = roc_auc(pred, "_label", "fraud_score").first()["roc_auc"]
+    pred = predict(test, model).select(F.col(label).cast("double").alias("_label"),
+                                       F.col("is_fraud").cast("int").alias("_pred"), "fraud_score").persist()
+    try:   # predictions computed once for both metrics (recomputed from lineage if lost)
+        m = binary_metrics(pred, "_label", "_pred").first()
+        auc = roc_auc(pred, "_label", "fraud_score").first()["roc_auc"]
+    finally:
+        pred.unpersist()
     return {"accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"],
             "f1_score": m["f1_score"], "roc_auc": auc}
 
@@ -394,5 +397,5 @@ def train_and_register(df: DataFrame, label: str, kind: str, out_dir: str | None
         model.metrics["feature_importance"] = dict(zip(model.feature_names, [float(x) for x in imp]))
     if out_dir:
         save_model(model, out_dir, spark)
-    n = test_df.count() + train_df.count()
+    n = df.count()     # the split partitions df exactly
     return model, performance_row(spark, model, n)
