@@ -31,6 +31,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None,
+              partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
+              num_partitions: int = 64) -> DataFrame:
+    """S10 for a relational database: a JDBC table read in ``num_partitions`` parallel
+    range slices of ``partition_column`` (a numeric / date column), so no single task
+    pulls the whole table. Filters and projections are pushed into the database query."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    for k, v in (properties or {}).items():
+        reader = reader.option(k, v)
+    if partition_column is not None:
+        reader = (reader.option("partitionColumn", partition_column).option("lowerBound", str(lower))
+                  .option("upperBound", str(upper)).option("numPartitions", str(num_partitions)))
+    return reader.load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None, mode: str = "append",
+               num_partitions: int = 32, batch_size: int = 10_000) -> None:
+    """S5/S6 into a relational database: batched inserts from at most ``num_partitions``
+    parallel connections (bounded load on the database)."""
+    writer = (df.coalesce(num_partitions).write.format("jdbc").mode(mode).option("url", url)
+              .option("dbtable", table).option("batchsize", str(batch_size)))
+    for k, v in (properties or {}).items():
+        writer = writer.option(k, v)
+    writer.save()
+
+
 def _pick(values: list[str], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + F.lit(1)).cast("int"))
 
