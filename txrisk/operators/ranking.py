@@ -185,21 +185,3 @@ def distributed_percent_rank(df: DataFrame, order_col: str, out_col: str = "perc
     ranked = distributed_rank(df, order_col, partition_cols, n_buckets=n_buckets)
     pr = F.when(F.col("_n") > 1, (F.col("_rank") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     return ranked.withColumn(out_col, pr.cast("double")).drop("_rank", "_n")
-
-
-def previous_key(df: DataFrame, key: str, partition_cols: Sequence[str] = (), bounds: list | None = None,
-                 n_buckets: int | None = None, out: str = "_prev") -> DataFrame:
-    """For a table of distinct (partition_cols, key): the largest key strictly below each key
-    in its partition (NULL for the first). Local ``lag`` inside each range bucket, plus a
-    carry-in = max key of the earlier buckets (a table of at most B rows per partition)."""
-    parts = list(partition_cols)
-    proxied = df.withColumn(_PROXY, order_proxy(df, key))
-    if bounds is None:
-        bounds = key_boundaries(df, key, n_buckets)
-    keyed = proxied.withColumn(_BUCKET, bucket_of(F.col(_PROXY), bounds)).drop(_PROXY)
-    maxes = keyed.groupBy(*parts, _BUCKET).agg(F.max(key).alias("_bmax"))
-    carry = maxes.select(*parts, _BUCKET, F.max("_bmax").over(
-        Window.partitionBy(*parts).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    local = keyed.withColumn("_lag", F.lag(key).over(Window.partitionBy(*parts, _BUCKET).orderBy(key)))
-    joined = local.join(carry, [*parts, _BUCKET], "inner")
-    return joined.withColumn(out, F.coalesce(F.col("_lag"), F.col("_carry"))).drop("_lag", "_carry", _BUCKET)
