@@ -188,12 +188,6 @@ def exact_avg(col: str | Column, decimal: tuple[int, int] = S.AMOUNT_DECIMAL, wh
     return F.try_divide(F.sum(c.cast(T.DecimalType(p, s))).cast("double"), F.count(c))
 
 
-def exact_sum(col: str | Column, decimal: tuple[int, int] = S.AMOUNT_DECIMAL) -> Column:
-    """Sum of a money column as an exact decimal sum, returned as double."""
-    p, s = decimal
-    return F.sum(_c(col).cast(T.DecimalType(p, s))).cast("double")
-
-
 def score_decimal(col: str | Column) -> Column:
     p, s = S.SCORE_DECIMAL
     return _c(col).cast(T.DecimalType(p, s))

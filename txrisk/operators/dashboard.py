@@ -375,11 +375,5 @@ def live_alerts(alerts: DataFrame, as_of=None, ttl: str = "1 hour", time_col: st
     return within(alerts, time_col, as_of, ttl)
 
 
-def user_alert_counts(alerts: DataFrame) -> DataFrame:
-    """Alerts per user (used to pick thresholds)."""
-    return alerts.groupBy("user_id").agg(F.count(F.lit(1)).alias("alerts"))
-
-
 def expires_at(col: str, ttl: str) -> Column:
     return F.col(col) + interval(ttl)
-

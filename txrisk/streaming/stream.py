@@ -16,7 +16,6 @@ watermark is a no-op and the same code gives the batch answer.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,12 +130,3 @@ def metrics_snapshot(tx: DataFrame, alerts: DataFrame, models: DataFrame | None,
     from ..operators.metrics import collect_metrics, metrics_long
 
     sinks.sink_metrics(metrics_long(collect_metrics(tx, alerts, models, as_of, window), as_of), path)
-
-
-def foreach_batch(fn: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Wrap a micro-batch function so it works on an empty batch without side effects."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            fn(batch, batch_id)
-
-    return run
