@@ -373,7 +373,3 @@ def to_record(df: DataFrame) -> DataFrame:
 def live_alerts(alerts: DataFrame, as_of=None, ttl: str = "1 hour", time_col: str = "detection_time") -> DataFrame:
     """Alerts younger than the TTL (what a key-value cache with expiry would hold)."""
     return within(alerts, time_col, as_of, ttl)
-
-
-def expires_at(col: str, ttl: str) -> Column:
-    return F.col(col) + interval(ttl)
