@@ -73,6 +73,16 @@ def test_prefix_windows_equal_plain_on_data(spark, sf001):
     assert rows(got) == rows(plain_user_windows(df).select(*COLS))
 
 
+@pytest.mark.parametrize("strategy", ["buckets", "prefix"])
+def test_rows_without_time_are_kept(spark, strategy):
+    df = _hot_fixture(spark).unionByName(spark.createDataFrame(
+        [("N1", "HOT", 7.0, None), ("N2", "HOT", 8.0, None), ("N3", "COLD", 9.0, None)],
+        "transaction_id string, user_id string, amount double, transaction_time timestamp"))
+    got = user_window_features(df, strategy=strategy).select(*COLS)
+    assert got.count() == df.count()
+    assert rows(got) == rows(plain_user_windows(df).select(*COLS))
+
+
 def test_bucketed_windows_equal_plain_on_data(spark, sf001):
     df = transactions(spark, sf001)
     got = user_window_features(df, bucket="3 days").select(*COLS)

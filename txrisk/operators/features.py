@@ -102,6 +102,7 @@ def merchant_stats(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- W1 - W6, W9, W10
 # Users with more rows than this take the prefix-difference path (see below).
 HOT_USER_ROWS = 5_000_000
+_NULL_BUCKET = -(2 ** 63)
 
 
 def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transaction_time",
@@ -158,7 +159,9 @@ def _user_windows_buckets(df: DataFrame, key: str, ts: str, amount: str, id_col:
 
     cols = df.columns
     base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    base = base.withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)).cast("long"))
+    # Rows without a time keep their own bucket below every real one (they are never
+    # dropped); as in a plain window they are peers of each other and come first.
+    base = base.withColumn("_b", F.coalesce(F.floor(F.col("_us") / F.lit(b_us)).cast("long"), F.lit(_NULL_BUCKET)))
 
     # Small per-(user, bucket) summary: totals for W1/W2, last time of each bucket
     # for W5's carry-in. It reads only three columns and aggregates map-side
@@ -178,7 +181,7 @@ def _user_windows_buckets(df: DataFrame, key: str, ts: str, amount: str, id_col:
     )
 
     # Context copies into following buckets that fall inside the longest look-back.
-    last_b = F.floor((F.col("_us") + F.lit(ctx_us)) / F.lit(b_us)).cast("long")
+    last_b = F.coalesce(F.floor((F.col("_us") + F.lit(ctx_us)) / F.lit(b_us)).cast("long"), F.col("_b"))
     expanded = base.withColumn("_pb", F.explode(F.sequence(F.col("_b"), last_b)))
     expanded = expanded.withColumn("_ctx", F.col("_pb") != F.col("_b"))
 
@@ -259,12 +262,16 @@ def _user_windows_prefix(df: DataFrame, key: str, ts: str, amount: str, id_col:
              .filter(F.col("_c") > 0).withColumnRenamed("_data_us_max_before", "_prev_us")
              .withColumnRenamed("_c", "_own_c"))
     ls, vs = lookback_suffix, velocity_suffix
-    out = base.join(feats, [key, "_us"], "left")
+    # null-safe on the time: rows without a time get the values of their NULL key
+    feats = feats.withColumnRenamed(key, "_fk").withColumnRenamed("_us", "_fus")
+    out = base.join(feats, (F.col(key) == F.col("_fk")) & F.col("_us").eqNullSafe(F.col("_fus")), "left") \
+        .drop("_fk", "_fus")
     # Rows sharing (user, time) with others: all but the smallest id have the
     # shared time as previous transaction. Only those (rare) keys need the min id.
-    peers = (out.filter(F.col("_own_c") > 1).groupBy(key, "_us")
+    peers = (out.filter(F.col("_own_c") > 1).groupBy(F.col(key).alias("_pk"), F.col("_us").alias("_pus"))
              .agg(F.min(F.col(id_col).cast("string")).alias("_min_id")))
-    out = out.join(peers, [key, "_us"], "left")
+    out = out.join(peers, (F.col(key) == F.col("_pk")) & F.col("_us").eqNullSafe(F.col("_pus")), "left") \
+        .drop("_pk", "_pus")
     prev_us = F.when(F.col("_min_id").isNotNull() & (F.col(id_col).cast("string") > F.col("_min_id")),
                      F.col("_us")).otherwise(F.col("_prev_us"))
     prev_t = F.timestamp_micros(prev_us)
