@@ -102,6 +102,11 @@ def test_group_stats_equal_window_form(spark, sf001):
     got = merchant_stats(df).select("transaction_id", "merchant_tx_count")
     want = df.select("transaction_id", F.count("*").over(Window.partitionBy("merchant")).alias("merchant_tx_count"))
     assert rows(got) == rows(want)
+    nulls = df.withColumn("merchant", F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise(F.col("merchant")))
+    got_n = merchant_stats(nulls).select("transaction_id", "merchant_tx_count")
+    want_n = nulls.select("transaction_id",
+                          F.count("*").over(Window.partitionBy("merchant")).alias("merchant_tx_count"))
+    assert rows(got_n) == rows(want_n)
     g2 = with_group_stats(df, ["user_id"], {"n": F.count(F.lit(1))}).select("transaction_id", "n")
     w2 = df.select("transaction_id", F.count("*").over(Window.partitionBy("user_id")).alias("n"))
     assert rows(g2) == rows(w2)

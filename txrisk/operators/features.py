@@ -88,7 +88,13 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Colu
     shuffle join whose skewed partitions AQE splits.
     """
     stats = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
-    return df.join(stats, list(keys), "left")
+    # null-safe keys: rows with a NULL key form one group, as in a window's partitionBy
+    renamed = stats.select(*[F.col(k).alias(f"_gk{i}") for i, k in enumerate(keys)], *aggs.keys())
+    cond = None
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"_gk{i}"))
+        cond = c if cond is None else cond & c
+    return df.join(renamed, cond, "left").drop(*[f"_gk{i}" for i in range(len(keys))])
 
 
 def merchant_stats(df: DataFrame) -> DataFrame:
