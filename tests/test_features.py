@@ -74,9 +74,11 @@ def test_prefix_windows_equal_plain_on_data(spark, sf001):
 
 
 @pytest.mark.parametrize("strategy", ["buckets", "prefix"])
-def test_rows_without_time_are_kept(spark, strategy):
+def test_rows_without_time_or_user_are_kept(spark, strategy):
     df = _hot_fixture(spark).unionByName(spark.createDataFrame(
-        [("N1", "HOT", 7.0, None), ("N2", "HOT", 8.0, None), ("N3", "COLD", 9.0, None)],
+        [("N1", "HOT", 7.0, None), ("N2", "HOT", 8.0, None), ("N3", "COLD", 9.0, None),
+         ("U1", None, 1.0, dt.datetime(2024, 1, 2)), ("U2", None, 2.0, dt.datetime(2024, 1, 2, 0, 30)),
+         ("U3", None, 3.0, None)],
         "transaction_id string, user_id string, amount double, transaction_time timestamp"))
     got = user_window_features(df, strategy=strategy).select(*COLS)
     assert got.count() == df.count()
@@ -123,6 +125,7 @@ def test_distributed_percent_rank_equals_plain(spark, sf001):
 
 def test_distributed_rank_on_strings_with_partitions(spark, sf001):
     df = transactions(spark, sf001)
+    df = df.withColumn("country", F.when(F.col("event_id") % 9 == 0, F.lit(None)).otherwise(F.col("country")))
     got = distributed_rank(df, "merchant", ["country"], rank_col="r", n_buckets=4).select("transaction_id", "r")
     want = df.select("transaction_id", F.rank().over(Window.partitionBy("country").orderBy("merchant")).alias("r"))
     assert rows(got) == rows(want)

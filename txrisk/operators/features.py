@@ -205,7 +205,9 @@ def _user_windows_buckets(df: DataFrame, key: str, ts: str, amount: str, id_col:
         F.lag(F.col(ts)).over(w_seq).alias("_lag_t"),
     ).filter(~F.col("_ctx"))
 
-    out = windowed.join(summary, [key, "_pb"], "left")
+    summary = summary.withColumnRenamed(key, "_sk").withColumnRenamed("_pb", "_spb")
+    out = (windowed.join(summary, F.col(key).eqNullSafe(F.col("_sk")) & (F.col("_pb") == F.col("_spb")), "left")
+           .drop("_sk", "_spb"))
     prev = F.coalesce(F.col("_lag_t"), F.col("_carry_t"))
     hours = (F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(prev.cast("timestamp"))) / F.lit(3600.0)
     out = out.withColumns({
@@ -270,13 +272,13 @@ def _user_windows_prefix(df: DataFrame, key: str, ts: str, amount: str, id_col:
     ls, vs = lookback_suffix, velocity_suffix
     # null-safe on the time: rows without a time get the values of their NULL key
     feats = feats.withColumnRenamed(key, "_fk").withColumnRenamed("_us", "_fus")
-    out = base.join(feats, (F.col(key) == F.col("_fk")) & F.col("_us").eqNullSafe(F.col("_fus")), "left") \
+    out = base.join(feats, F.col(key).eqNullSafe(F.col("_fk")) & F.col("_us").eqNullSafe(F.col("_fus")), "left") \
         .drop("_fk", "_fus")
     # Rows sharing (user, time) with others: all but the smallest id have the
     # shared time as previous transaction. Only those (rare) keys need the min id.
     peers = (out.filter(F.col("_own_c") > 1).groupBy(F.col(key).alias("_pk"), F.col("_us").alias("_pus"))
              .agg(F.min(F.col(id_col).cast("string")).alias("_min_id")))
-    out = out.join(peers, (F.col(key) == F.col("_pk")) & F.col("_us").eqNullSafe(F.col("_pus")), "left") \
+    out = out.join(peers, F.col(key).eqNullSafe(F.col("_pk")) & F.col("_us").eqNullSafe(F.col("_pus")), "left") \
         .drop("_pk", "_pus")
     prev_us = F.when(F.col("_min_id").isNotNull() & (F.col(id_col).cast("string") > F.col("_min_id")),
                      F.col("_us")).otherwise(F.col("_prev_us"))

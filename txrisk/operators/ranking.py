@@ -102,6 +102,14 @@ def key_boundaries(df: DataFrame, key: str, n_buckets: int | None = None) -> lis
     return boundaries(df.select(order_proxy(df, key).alias(_PROXY)), _PROXY, nb)
 
 
+def _null_safe(parts: Sequence[str]) -> Column:
+    """Null-safe equality of partition keys against their ``_pk<i>`` copies."""
+    cond = F.lit(True)
+    for i, k in enumerate(parts):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_pk{i}"))
+    return cond
+
+
 def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols: Sequence[str] = (),
                 descending: bool = False, n_buckets: int | None = None,
                 broadcast_offsets: bool | None = None, bounds: list | None = None,
@@ -146,7 +154,11 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols:
         **{f"_l_{v}": F.coalesce(F.sum(v).over(w_loc), F.lit(0)) for v in values},
         **{f"_lm_{m}": F.max(m).over(w_loc) for m in maxes},
     })
-    out = local.join(offsets, [*parts, _BUCKET], "inner")
+    # null-safe on the partition keys: rows with NULL keys form their own partition
+    offs = offsets.select(*[F.col(k).alias(f"_pk{i}") for i, k in enumerate(parts)],
+                          F.col(_BUCKET).alias("_ob"), *[c for c in offsets.columns if c not in parts + [_BUCKET]])
+    out = local.join(offs, (F.col(_BUCKET) == F.col("_ob")) & _null_safe(parts), "inner") \
+        .drop("_ob", *[f"_pk{i}" for i in range(len(parts))])
     out = out.withColumns({
         **{f"{v}_before": F.col(f"_o_{v}") + F.col(f"_l_{v}") for v in values},
         **{f"{m}_max_before": F.greatest(F.col(f"_om_{m}"), F.col(f"_lm_{m}")) for m in maxes},
