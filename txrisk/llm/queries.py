@@ -69,3 +69,11 @@ def op9_decontamination(spark, sf_dir):
     from .decontam import digest, hits
 
     return digest(hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op4_near_duplicates")
+def op4_near_duplicates(spark, sf_dir):
+    """Near-duplicate classes of all documents."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
