@@ -77,3 +77,24 @@ def op4_near_duplicates(spark, sf_dir):
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM dw, unnest(range(1, len(w) - 48)) AS t(i) WHERE len(w) >= 50),
+own AS (SELECT s, min(doc_id) AS owner FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, p FROM (
+  SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN own USING (s) WHERE owner < doc_id)),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM dw LEFT JOIN lists USING (doc_id)
+"""
+
+
+@query("op6_repeated_passages", OP6_SQL)
+def op6_repeated_passages(spark, sf_dir):
+    """Documents without the 50-word passages that an earlier document holds."""
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
