@@ -98,3 +98,11 @@ def op6_repeated_passages(spark, sf_dir):
     from .substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_fingerprints")
+def op1_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
