@@ -106,3 +106,28 @@ def op1_fingerprints(spark, sf_dir):
     from .fingerprints import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3_quality(spark, sf_dir):
+    """Quality score of every document."""
+    from . import quality
+    from .learn import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    machine = quality.fit(labelled.filter(remainder("doc_id", 3) != 1))
+    return quality.score(docs, machine).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_language")
+def op10_language(spark, sf_dir):
+    """Language of every document."""
+    from . import langid
+    from .learn import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(remainder("doc_id", 3) != 1))
+    return langid.predict(docs, model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
