@@ -131,3 +131,16 @@ def op10_language(spark, sf_dir):
     model = langid.fit(docs.filter(remainder("doc_id", 3) != 1))
     return langid.predict(docs, model).select(
         "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    from . import toxicity
+    from .learn import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    model = toxicity.fit(docs, labelled.filter(remainder("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
