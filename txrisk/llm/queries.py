@@ -144,3 +144,39 @@ def op2_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, labelled.filter(remainder("doc_id", 5) != 0))
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+OP5_SQL = r"""
+WITH l AS (SELECT source, doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents),
+total AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+bad AS (
+  SELECT l.source, line FROM l JOIN total t ON l.source IS NOT DISTINCT FROM t.source
+  WHERE regexp_matches(line, '[^ \t\r\x0B\x0C]') GROUP BY l.source, line, total
+  HAVING count(*) >= 5 AND count(*) / total > 0.1),
+lists AS (SELECT source, list(line) AS ls FROM bad GROUP BY source),
+cut AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls, CASE WHEN b.ls IS NULL THEN string_split(text, chr(10))
+         ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(b.ls, x)) END AS kept
+  FROM documents d LEFT JOIN lists b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM cut
+"""
+
+
+@query("op5_line_dedup", OP5_SQL)
+def op5_line_dedup(spark, sf_dir):
+    """Documents without the lines that are boilerplate on their site."""
+    from .lines import drop_boilerplate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate(docs, n_lines="n_lines", n_removed="n_removed").select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op7_pseudonyms")
+def op7_pseudonyms(spark, sf_dir):
+    """Documents with format-preserving pseudonyms for personal values (a fixed key, for repeatable results)."""
+    from .pii import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, "demonstration key", count_col="n_values")
