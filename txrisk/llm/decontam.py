@@ -257,11 +257,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def _clean_rows(shared, max_coverage):
+def _clean_rows(shared, text_col, max_coverage):
     def run(batches):
         items = shared.value
         for batch in batches:
-            text_at = batch.schema.names.index("text")
+            text_at = batch.schema.names.index(text_col)
             keep, texts = [], []
             column = batch.column(text_at)
             for b in vec.blocks(column, vec.ALNUM, True):
@@ -297,14 +297,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """``docs`` without their hit passages: each is cut out of the text (from the first byte of its first word to the last
     of its last); a document of which more than ``max_coverage`` of the words are hit is dropped. Others stay as
     they are, with all columns. Blocks of items are applied one after the other."""
-    out, schema = docs, docs.schema
-    if text_col != "text" and "text" in docs.columns:
-        raise ValueError("another column is called text")
+    out = docs
     for items in _blocks_of(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Items([(r["item"], r["text"]) for r in items.collect()], window))
-        out = out.withColumnRenamed(text_col, "text").mapInArrow(
-            _clean_rows(shared, max_coverage), out.withColumnRenamed(text_col, "text").schema).withColumnRenamed("text", text_col)
-    return out.select(*schema.names)
+        out = out.mapInArrow(_clean_rows(shared, text_col, max_coverage), docs.schema)
+    return out
 
 
 def brute_force(docs, items, window=WINDOW):

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import spare
+
 MAX_RATIO = 0.10
 MIN_PAGES = 5
 
@@ -45,17 +47,16 @@ def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "t
     them contain it; blank lines always stay. Pages without a site form one site. Null texts stay null and have no
     lines but count as pages. ``n_lines`` and ``n_removed`` name optional columns with the counts of lines.
     """
-    bad = boilerplate(df, site_col, text_col, max_ratio, min_pages).groupBy("site").agg(F.collect_list("line").alias("_bad"))
-    bad = bad.withColumnRenamed("site", "_bad_site")
-    names = df.columns
-    joined = df.join(bad, F.col(site_col).eqNullSafe(F.col("_bad_site")), "left")
+    site, bad, kept = spare(df, "bad_site", "bad_lines", "kept_lines")
+    by_site = boilerplate(df, site_col, text_col, max_ratio, min_pages).groupBy("site").agg(F.collect_list("line").alias(bad))
+    joined = df.join(by_site.withColumnRenamed("site", site), F.col(site_col).eqNullSafe(F.col(site)), "left")
     lines = F.split(text_col, "\n")
-    kept = F.filter(lines, lambda l: ~(_judged(l) & F.array_contains(F.col("_bad"), _line_key(F.col(site_col), l))))
-    joined = joined.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept).otherwise(lines))
-    out = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c) for c in names]
+    good = F.filter(lines, lambda l: ~(_judged(l) & F.array_contains(F.col(bad), _line_key(F.col(site_col), l))))
+    joined = joined.withColumn(kept, F.when(F.col(bad).isNotNull(), good).otherwise(lines))
+    out = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col(c) for c in df.columns]
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("bigint")
     if n_lines:
         out.append(size(lines).alias(n_lines))
     if n_removed:
-        out.append((size(lines) - size(F.col("_kept"))).alias(n_removed))
+        out.append((size(lines) - size(F.col(kept))).alias(n_removed))
     return joined.select(*out)

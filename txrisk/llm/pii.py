@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import spare
+
 ROUNDS = 8
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 _DATE = r"(?<![\d/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-]|\.\d)"
@@ -180,15 +182,16 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_col: str
     ``count_col`` names an optional column with the number of values replaced. No shuffle.
     """
     text = F.col(text_col)
+    values, between, new = spare(df, "values", "between", "new")
     at, digit = F.contains(text, F.lit("@")), text.rlike(r"\d")
     pick = lambda f: F.when(at, f(F.lit(VALUES))).when(digit, f(F.lit(NUMBERS)))
-    found = df.withColumns({"_values": pick(lambda p: F.regexp_extract_all(text, p, F.lit(0))),
-                            "_between": pick(lambda p: F.call_function("split", text, p, F.lit(-1)))})
-    found = found.withColumn("_new", F.transform("_values", lambda v: pseudonym(v, key)))
-    joined = F.array_join(F.transform("_between", lambda b, i: F.concat(
-        b, F.coalesce(F.get("_new", i), F.get("_values", i), F.lit("")))), "")
-    new_text = F.when(F.size("_values") > 0, joined).otherwise(text)
+    found = df.withColumns({values: pick(lambda p: F.regexp_extract_all(text, p, F.lit(0))),
+                            between: pick(lambda p: F.call_function("split", text, p, F.lit(-1)))})
+    found = found.withColumn(new, F.transform(values, lambda v: pseudonym(v, key)))
+    joined = F.array_join(F.transform(between, lambda b, i: F.concat(
+        b, F.coalesce(F.get(F.col(new), i), F.get(F.col(values), i), F.lit("")))), "")
+    new_text = F.when(F.size(values) > 0, joined).otherwise(text)
     out = [new_text.alias(c) if c == text_col else F.col(c) for c in df.columns]
     if count_col:
-        out.append(F.coalesce(F.array_size(F.filter("_new", lambda v: v.isNotNull())), F.lit(0)).cast("bigint").alias(count_col))
+        out.append(F.coalesce(F.array_size(F.filter(new, lambda v: v.isNotNull())), F.lit(0)).cast("bigint").alias(count_col))
     return found.select(*out)

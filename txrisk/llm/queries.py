@@ -114,7 +114,7 @@ def op3_quality(spark, sf_dir):
     from . import quality
     from .learn import remainder
 
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     machine = quality.fit(labelled.filter(remainder("doc_id", 3) != 1))
     return quality.score(docs, machine).select(
@@ -139,7 +139,7 @@ def op2_toxicity(spark, sf_dir):
     from . import toxicity
     from .learn import remainder
 
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
     model = toxicity.fit(docs, labelled.filter(remainder("doc_id", 5) != 0))
     return toxicity.score(docs, model).select(
