@@ -28,7 +28,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores under 0.5 go. Null texts count as empty."""
     ready(spark)
-    labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    labelled = docs.select("doc_id", "text", "n_chars").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     machine = quality.fit(labelled.filter(remainder("doc_id", 3) != 1))
     return quality.keep_good(docs, machine)
 
