@@ -7,7 +7,7 @@ from txrisk.llm.runtime import ready
 def rows_of(seed=1):
     rnd = random.Random(seed)
     rows = [(i * 3, " ".join(f"é{rnd.randrange(500)}" for _ in range(rnd.randint(0, 300)))) for i in range(50)]
-    return rows + [(None, "a b"), (-7, None), (5, ""), (6, "x y z"), (6, "x y z"), (10 ** 15, "q" * 3000), (10 ** 15 + 1, "A  b")]
+    return rows + [(None, "a b"), (-7, None), (5, ""), (7, "x y z"), (7, "x y z"), (10 ** 15, "q" * 3000), (10 ** 15 + 1, "A  b")]
 
 
 def test_edited_texts_and_likeness(spark):
