@@ -39,7 +39,9 @@ SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h",
 }
-_SIGN_COST, _DROP_COST, _REPEAT_COST, _KEEP_REPEAT_COST, _GAP_COST = -1.5, -4.0, -0.5, -2.0, -0.1
+_SIGN_COST, _DROP_COST, _GAP_COST = -1.5, -9.0, -0.1
+# by how often the letter stood there before: (kept, dropped); doubled letters are ordinary, longer runs are not
+_REPEAT_COSTS = ((0.0, -6.0), (-3.0, -0.5))
 
 
 def letter_class(ch: str) -> int:
@@ -86,15 +88,20 @@ class CharacterModel:
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """The options of each character of an obfuscated token: (letter or nothing, ln P of the channel)."""
-    out, before = [], ""
-    for ch in token:
+    out, before, run = [], "", 0
+    for i, ch in enumerate(token):
         if ch == " ":
             out.append([("", _GAP_COST)])
             continue
-        if ch.isalpha():
-            out.append([(ch, _KEEP_REPEAT_COST), ("", _REPEAT_COST)] if ch == before else [(ch, 0.0)])
+        run = run + 1 if ch == before else 0
+        if not ch.isalpha():
+            out.append([(x, _SIGN_COST) for x in SIGNS.get(ch, "")] + [("", (_DROP_COST if run == 0 else -0.5) if ch in SIGNS else -0.5)])
+        elif run:
+            longer = run > 1 or token[i + 1: i + 2] == ch
+            keep, drop = _REPEAT_COSTS[int(longer)]
+            out.append([(ch, keep), ("", drop)])
         else:
-            out.append([(x, _SIGN_COST) for x in SIGNS.get(ch, "")] + [("", _DROP_COST if ch in SIGNS else -0.5)])
+            out.append([(ch, 0.0)])
         before = ch
     return out
 
@@ -140,8 +147,11 @@ def _suspects(b: vec.Block) -> np.ndarray:
 
 
 def _spelled(b: vec.Block) -> list[tuple[int, int]]:
-    """Ranges of words of a run of at least three single letters."""
-    one = (b.end - b.start == 1) & _LETTER[b.data[b.start]] if len(b.start) else np.zeros(0, bool)
+    """Ranges of words of a run of at least three single letters (with or without a mark behind)."""
+    n = b.end - b.start
+    letter = _LETTER[b.data[b.start]] if len(n) else np.zeros(0, bool)
+    # one letter, or one letter and a closing mark ("t!", "c.")
+    one = letter & ((n == 1) | ((n == 2) & ~_LETTER[b.data[b.end - 1]])) if len(n) else letter
     one = np.concatenate(([False], one, [False]))
     flips = np.flatnonzero(one[1:] != one[:-1])
     runs = []
@@ -172,7 +182,7 @@ class Restorer:
         for s, e in runs:
             d = int(np.searchsorted(b.first, s, "right")) - 1
             token = b.data[b.start[s]: b.end[e - 1]].tobytes().decode("utf-8", "replace").lower()
-            change.setdefault(d, []).append((int(b.start[s]), int(b.end[e - 1]), self.decode(" ".join(token.split())).encode()))
+            change.setdefault(d, []).append((int(b.start[s]), int(b.end[e - 1]), self.decode(_EDGE.sub("", " ".join(token.split()))).encode()))
         for w in _suspects(b).tolist():
             if w < 0 or w in inside:
                 continue
@@ -271,7 +281,7 @@ def _evidence_rows(shared):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-5, steps: int = 50) -> np.ndarray:
     """Weighted logistic regression by Newton steps; the last weight is the bias."""
     a = np.hstack([x, np.ones((len(x), 1))])
     w, weight = np.zeros(a.shape[1]), weight / weight.sum()
