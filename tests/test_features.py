@@ -1,4 +1,4 @@
-"""Window features: the skew-safe bucketed form equals plain RANGE-frame windows."""
+"""Window features: prefix differences equal plain RANGE-frame windows."""
 
 import datetime as dt
 
@@ -50,45 +50,49 @@ def _hot_fixture(spark):
     return spark.createDataFrame(data, "transaction_id string, user_id string, amount double, transaction_time timestamp")
 
 
-@pytest.mark.parametrize("bucket", [None, "1 hour", "2 days", "30 days"])
-def test_bucketed_windows_equal_plain_on_hot_user(spark, bucket):
+@pytest.mark.parametrize("n_buckets", [None, 1, 3, 64])
+def test_windows_equal_plain_on_hot_user(spark, n_buckets):
     df = _hot_fixture(spark)
-    got = user_window_features(df, bucket=bucket).select(*COLS)
+    got = user_window_features(df, n_buckets=n_buckets).select(*COLS)
     assert rows(got) == rows(plain_user_windows(df).select(*COLS))
 
 
-@pytest.mark.parametrize("strategy,hot", [("prefix", 0), ("auto", 50)])
-def test_prefix_and_hybrid_windows_equal_plain_on_hot_user(spark, strategy, hot):
-    df = _hot_fixture(spark)
-    got = user_window_features(df, strategy=strategy, hot_user_rows=hot).select(*COLS)
-    assert rows(got) == rows(plain_user_windows(df).select(*COLS))
-    out = {r.transaction_id: r for r in user_window_features(df, strategy=strategy, hot_user_rows=hot).collect()}
-    assert out["C1"].hours_since_last_tx == 24.0 and out["C2"].hours_since_last_tx == 40 * 24.0
-    assert out["E2"].hours_since_last_tx == 0.0
-
-
-def test_prefix_windows_equal_plain_on_data(spark, sf001):
+def test_windows_equal_plain_on_data(spark, sf001):
     df = transactions(spark, sf001)
-    got = user_window_features(df, strategy="prefix").select(*COLS)
-    assert rows(got) == rows(plain_user_windows(df).select(*COLS))
+    assert rows(user_window_features(df).select(*COLS)) == rows(plain_user_windows(df).select(*COLS))
 
 
-@pytest.mark.parametrize("strategy", ["buckets", "prefix"])
-def test_rows_without_time_or_user_are_kept(spark, strategy):
+def test_null_and_repeated_keys_times_and_ids(spark):
+    t = dt.datetime(2024, 1, 2)
     df = _hot_fixture(spark).unionByName(spark.createDataFrame(
-        [("N1", "HOT", 7.0, None), ("N2", "HOT", 8.0, None), ("N3", "COLD", 9.0, None),
-         ("U1", None, 1.0, dt.datetime(2024, 1, 2)), ("U2", None, 2.0, dt.datetime(2024, 1, 2, 0, 30)),
-         ("U3", None, 3.0, None)],
+        [("N1", "HOT", 7.0, None), ("N2", "HOT", 8.0, None), ("N3", "COLD", 9.0, None), ("N4", "", 9.0, None),
+         ("U1", None, 1.0, t), ("U2", None, 2.0, dt.datetime(2024, 1, 2, 0, 30)), ("U3", None, 3.0, None),
+         ("R", "REP", 1.0, t), ("R", "REP", 1.0, t), ("R", "REP", 1.0, t + dt.timedelta(hours=2)), (None, "REP", 4.0, t),
+         (None, "REP", 4.0, t), ("A", "NUL", None, t), ("B", "NUL", None, t), ("B9", "REP", 0.0041, t + dt.timedelta(minutes=5))],
         "transaction_id string, user_id string, amount double, transaction_time timestamp"))
-    got = user_window_features(df, strategy=strategy).select(*COLS)
+    got = user_window_features(df).select(*COLS)
     assert got.count() == df.count()
     assert rows(got) == rows(plain_user_windows(df).select(*COLS))
 
 
-def test_bucketed_windows_equal_plain_on_data(spark, sf001):
-    df = transactions(spark, sf001)
-    got = user_window_features(df, bucket="3 days").select(*COLS)
-    assert rows(got) == rows(plain_user_windows(df).select(*COLS))
+def test_numeric_ids_and_users_keep_their_order(spark):
+    t = dt.datetime(2024, 1, 2)
+    df = spark.createDataFrame([(10, 1, 1.0, t), (9, 1, 2.0, t), (100, 1, 3.0, t), (3, None, 1.0, t), (4, 0, 1.0, t - dt.timedelta(days=1)), (11, 1, 1.0, t - dt.timedelta(days=1))],
+                               "transaction_id long, user_id int, amount double, transaction_time timestamp")
+    assert rows(user_window_features(df).select(*COLS)) == rows(plain_user_windows(df).select(*COLS))
+
+
+def test_averages_keep_fractions_of_a_cent(spark):
+    t = dt.datetime(2024, 1, 2)
+    df = spark.createDataFrame([("a", "u", 0.004, t, "m"), ("b", "u", 0.004, t, "m")],
+                               "transaction_id string, user_id string, amount double, transaction_time timestamp, merchant string")
+    assert {r.user_avg_amount for r in user_window_features(df).collect()} == {0.004}
+    assert {r.merchant_avg_amount for r in merchant_stats(df).collect()} == {0.004}
+
+
+def test_no_frame_is_gathered(spark):
+    text = user_window_features(_hot_fixture(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, -" not in text
 
 
 def test_first_transaction_gets_24_hours(spark):

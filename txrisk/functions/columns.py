@@ -188,6 +188,18 @@ def exact_avg(col: str | Column, decimal: tuple[int, int] = S.AMOUNT_DECIMAL, wh
     return F.try_divide(F.sum(c.cast(T.DecimalType(p, s))).cast("double"), F.count(c))
 
 
+def exact(df: DataFrame, col: str) -> Column:
+    """An amount for exact sums: a stored decimal as it is, whole numbers as decimal(38,0), other numbers with ten
+    decimals (values of 1e28 and more, which do not fit, count as NULL). Sums of it do not depend on the order
+    of the rows, and differences of prefix sums are exact."""
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.DecimalType):
+        return F.col(col)
+    if isinstance(dtype, T.IntegralType):
+        return F.col(col).cast("decimal(38,0)")
+    return F.col(col).cast("double").try_cast("decimal(38,10)")
+
+
 def score_decimal(col: str | Column) -> Column:
     p, s = S.SCORE_DECIMAL
     return _c(col).cast(T.DecimalType(p, s))

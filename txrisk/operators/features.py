@@ -1,20 +1,13 @@
 """Feature bundles (F24, F25) and per-user / per-merchant history features.
 
-Per-user history runs in ONE shuffle keyed by (user, time bucket) instead of
-by user alone, so a user holding a large share of all rows is spread over
-many tasks:
-
-* every row is assigned to the bucket of its own time and, as a read-only
-  *context* copy, to the following buckets whose start lies within the
-  longest look-back; RANGE frames computed per (user, bucket) then see every
-  row they need, and context rows are dropped afterwards (exact result);
-* whole-user totals and the carry-in for "previous transaction" come from a
-  small per-(user, bucket) summary (one row per bucket) and are joined back
-  on the same (user, bucket) key, which reuses the window's partitioning.
-
-Frames use the event time in microseconds as a numeric RANGE key, which is
-exactly ``RANGE BETWEEN INTERVAL ... PRECEDING AND CURRENT ROW`` (peers with the
-same time included).
+Per-user history is computed from a narrow table with one row per distinct (user, time): frame values are
+differences of prefix sums, ``prefix(t) - prefix(before t - L)``, and the prefix sums are
+split into row-balanced ranges of time (:mod:`ranking`), so no frame is ever gathered and no user, however hot, is one
+task. Work grows in proportion to the rows. The wide rows meet the finished values in one join and one
+window on (user, time), which share a partitioning.
+
+Frames use the event time in microseconds, which is exactly ``RANGE BETWEEN INTERVAL ... PRECEDING AND
+CURRENT ROW`` (peers with the same time included).
 """
 
 from __future__ import annotations
@@ -26,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.columns import (amount_features, as_timestamp, deviation_from, exact_avg, flag,
-                                 location_features, merchant_features, money, time_features)
+from ..functions.columns import (amount_features, as_timestamp, exact, flag, location_features, merchant_features,
+                                 time_features)
 
 _MICROS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
            "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000}
@@ -65,10 +58,8 @@ def enrich_user_frequency(df: DataFrame, user_stats: DataFrame | None = None,
     default 15 for unknown users. A stream-static left join when ``df`` streams."""
     if user_stats is None:
         return df.withColumn("user_frequency", F.lit(default))
-    from .joins import broadcast_if_small
-
-    # broadcast when the per-user table is small (checked); a shuffle join beyond that
-    stats = broadcast_if_small(user_stats.select("user_id", F.col("user_frequency").alias("_uf")))
+    # the join strategy is left to AQE, which knows the measured size of the per-user table
+    stats = user_stats.select("user_id", F.col("user_frequency").alias("_uf"))
     return (df.join(stats, "user_id", "left")
             .withColumn("user_frequency", F.coalesce(F.col("_uf").cast("int"), F.lit(default)))
             .drop("_uf"))
@@ -80,35 +71,45 @@ def user_frequency_table(history: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- J11 / W1 / W2 / W8
-def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
+                     source: DataFrame | None = None) -> DataFrame:
     """Per-group aggregates joined back to every row.
 
-    Aggregation is partial + final (hot keys fold map-side). The join back is
-    left to AQE: broadcast when the measured stats are small, otherwise a
-    shuffle join whose skewed partitions AQE splits.
+    Aggregation is partial + final (hot keys fold map-side) over ``source`` (default ``df``; pass the narrow
+    origin of a derived ``df``). The size of the stats is measured first: small ones are broadcast, so the
+    wide rows are not shuffled; larger ones are joined by shuffle, where AQE splits skewed partitions.
     """
-    stats = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
+    from .joins import broadcast_measured
+
+    stats = (source if source is not None else df).groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
     # null-safe keys: rows with a NULL key form one group, as in a window's partitionBy
     renamed = stats.select(*[F.col(k).alias(f"_gk{i}") for i, k in enumerate(keys)], *aggs.keys())
     cond = None
     for i, k in enumerate(keys):
         c = F.col(k).eqNullSafe(F.col(f"_gk{i}"))
         cond = c if cond is None else cond & c
-    return df.join(renamed, cond, "left").drop(*[f"_gk{i}" for i in range(len(keys))])
+    return df.join(broadcast_measured(renamed), cond, "left").drop(*[f"_gk{i}" for i in range(len(keys))])
 
 
-def merchant_stats(df: DataFrame) -> DataFrame:
-    """merchant_tx_count, merchant_avg_amount."""
+def merchant_stats(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """merchant_tx_count, merchant_avg_amount (of the amounts as they are, not rounded)."""
+    amounts = source if source is not None else df
     return with_group_stats(df, ["merchant"], {
         "merchant_tx_count": F.count(F.lit(1)),
-        "merchant_avg_amount": exact_avg("amount"),
-    })
+        "merchant_avg_amount": F.try_divide(F.sum(exact(amounts, "amount")).cast("double"), F.count("amount")),
+    }, source)
 
 
 # ---------------------------------------------------------------- W1 - W6, W9, W10
-# Users with more rows than this take the prefix-difference path (see below).
-HOT_USER_ROWS = 5_000_000
-_NULL_BUCKET = -(2 ** 63)
+def _not_null(df: DataFrame, col: str) -> tuple[Column, Column]:
+    """(value without NULLs, whether it was NULL): keys that join and partition by plain equality."""
+    dtype = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(c, F.lit("")), c.isNull()
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        return F.coalesce(c, F.lit(0).cast(dtype)), c.isNull()
+    return F.coalesce(c.cast("string"), F.lit("")), c.isNull()
 
 
 def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transaction_time",
@@ -116,142 +117,48 @@ def user_window_features(df: DataFrame, key: str = "user_id", ts: str = "transac
                          lookback: str = "7 days", lookback_suffix: str = "7d",
                          velocity: str = "1 hour", velocity_suffix: str = "1h",
                          max_count: int = S.HIGH_VELOCITY_COUNT,
-                         default_hours: float = S.FIRST_TX_HOURS,
-                         bucket: str | None = None, strategy: str = "auto",
-                         hot_user_rows: int = HOT_USER_ROWS) -> DataFrame:
+                         default_hours: float = S.FIRST_TX_HOURS, source: DataFrame | None = None,
+                         n_buckets: int | None = None) -> DataFrame:
     """W1-W6, W9, W10, F14, F15.
 
     Adds: user_tx_count, user_avg_amount, user_tx_count_<7d>, user_avg_amount_<7d>,
     amount_deviation_from_avg, prev_transaction_time, hours_since_last_tx,
     tx_count_<1h>, total_amount_<1h>, is_high_velocity.
 
-    ``strategy``:
-    * ``"buckets"`` - one shuffle keyed by (user, time bucket) with context copies
-      (``bucket`` = width, default 4 x the longest look-back);
-    * ``"prefix"`` - frame value = prefix(t) - prefix(before t - L) over distinct
-      (user, time) keys with the distributed prefix sums: no frame is ever
-      co-located, so any user, however hot, is split into row-balanced ranges;
-    * ``"auto"`` - users with more than ``hot_user_rows`` rows (a set of at most
-      n / hot_user_rows users: broadcast after a size check) take the prefix
-      path, all others the one-shuffle bucket path; the two results are unioned.
-    """
-    kw = dict(key=key, ts=ts, amount=amount, id_col=id_col, lookback=lookback, lookback_suffix=lookback_suffix,
-              velocity=velocity, velocity_suffix=velocity_suffix, max_count=max_count, default_hours=default_hours)
-    if strategy == "buckets":
-        return _user_windows_buckets(df, bucket=bucket, **kw)
-    if strategy == "prefix":
-        return _user_windows_prefix(df, **kw)
-    from .joins import BROADCAST_MAX_ROWS
-
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > F.lit(hot_user_rows)).select(key)
-    n_hot = hot.limit(BROADCAST_MAX_ROWS + 1).count()          # bounded check
-    if n_hot == 0:
-        return _user_windows_buckets(df, bucket=bucket, **kw)
-    if n_hot <= BROADCAST_MAX_ROWS:
-        hot = F.broadcast(hot)
-    cold_rows = df.join(hot, key, "left_anti")
-    hot_rows = df.join(hot, key, "left_semi")
-    return _user_windows_buckets(cold_rows, bucket=bucket, **kw).unionByName(_user_windows_prefix(hot_rows, **kw))
-
-
-def _user_windows_buckets(df: DataFrame, key: str, ts: str, amount: str, id_col: str, lookback: str,
-                          lookback_suffix: str, velocity: str, velocity_suffix: str, max_count: int,
-                          default_hours: float, bucket: str | None = None) -> DataFrame:
-    lb_us = micros(lookback)
-    vel_us = micros(velocity)
-    ctx_us = max(lb_us, vel_us)
-    b_us = micros(bucket) if bucket else 4 * ctx_us
-
-    cols = df.columns
-    base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    # Rows without a time keep their own bucket below every real one (they are never
-    # dropped); as in a plain window they are peers of each other and come first.
-    base = base.withColumn("_b", F.coalesce(F.floor(F.col("_us") / F.lit(b_us)).cast("long"), F.lit(_NULL_BUCKET)))
-
-    # Small per-(user, bucket) summary: totals for W1/W2, last time of each bucket
-    # for W5's carry-in. It reads only three columns and aggregates map-side
-    # before its (small) shuffle, so the extra scan is cheap next to the main shuffle.
-    summary = base.groupBy(key, "_b").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(money(amount)).alias("_s"),
-        F.count(amount).alias("_na"),
-        F.max("_us").alias("_last_us"),     # carry-in time: ties in time share it, no struct needed
-    )
-    w_user = Window.partitionBy(key)
-    summary = summary.select(
-        key, F.col("_b").alias("_pb"),
-        F.sum("_n").over(w_user).alias("user_tx_count"),
-        F.try_divide(F.sum("_s").over(w_user).cast("double"), F.sum("_na").over(w_user)).alias("user_avg_amount"),
-        F.timestamp_micros(F.lag("_last_us").over(Window.partitionBy(key).orderBy("_b"))).alias("_carry_t"),
-    )
-
-    # Context copies into following buckets that fall inside the longest look-back.
-    last_b = F.coalesce(F.floor((F.col("_us") + F.lit(ctx_us)) / F.lit(b_us)).cast("long"), F.col("_b"))
-    expanded = base.withColumn("_pb", F.explode(F.sequence(F.col("_b"), last_b)))
-    expanded = expanded.withColumn("_ctx", F.col("_pb") != F.col("_b"))
-
-    part = Window.partitionBy(key, "_pb")
-    w_lb = part.orderBy("_us").rangeBetween(-lb_us, 0)
-    w_vel = part.orderBy("_us").rangeBetween(-vel_us, 0)
-    w_seq = part.orderBy("_us", id_col)
-    windowed = expanded.select(
-        *cols, "_pb", "_ctx", "_us",
-        F.count(F.lit(1)).over(w_lb).alias(f"user_tx_count_{lookback_suffix}"),
-        F.try_divide(F.sum(money(amount)).over(w_lb).cast("double"), F.count(amount).over(w_lb))
-        .alias(f"user_avg_amount_{lookback_suffix}"),
-        F.count(F.lit(1)).over(w_vel).alias(f"tx_count_{velocity_suffix}"),
-        F.sum(money(amount)).over(w_vel).cast("double").alias(f"total_amount_{velocity_suffix}"),
-        F.lag(F.col(ts)).over(w_seq).alias("_lag_t"),
-    ).filter(~F.col("_ctx"))
-
-    summary = summary.withColumnRenamed(key, "_sk").withColumnRenamed("_pb", "_spb")
-    out = (windowed.join(summary, F.col(key).eqNullSafe(F.col("_sk")) & (F.col("_pb") == F.col("_spb")), "left")
-           .drop("_sk", "_spb"))
-    prev = F.coalesce(F.col("_lag_t"), F.col("_carry_t"))
-    hours = (F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(prev.cast("timestamp"))) / F.lit(3600.0)
-    out = out.withColumns({
-        "amount_deviation_from_avg": deviation_from(amount, "user_avg_amount"),
-        "prev_transaction_time": prev,
-        "hours_since_last_tx": F.coalesce(hours, F.lit(float(default_hours))),
-        "is_high_velocity": flag(F.col(f"tx_count_{velocity_suffix}") > F.lit(max_count)),
-    })
-    return out.drop("_pb", "_ctx", "_us", "_lag_t", "_carry_t")
-
-
-def _user_windows_prefix(df: DataFrame, key: str, ts: str, amount: str, id_col: str, lookback: str,
-                         lookback_suffix: str, velocity: str, velocity_suffix: str, max_count: int,
-                         default_hours: float) -> DataFrame:
-    """Skew-proof form: RANGE-frame counts / sums as differences of per-user prefix sums.
-
-    count over [t - L, t] = #rows with time <= t  -  #rows with time < t - L. Both
-    terms are prefix sums over the distinct (user, time) keys plus one "query"
-    key (user, t - L) per look-back; the prefix sums are split into row-balanced
-    ranges of time (:mod:`ranking`), so no task ever holds a whole user. The
-    previous transaction is the previous distinct time of the user (same
-    machinery), or the row's own time when a peer with a smaller id shares it.
-    Rows that repeat the same (user, time, id) are treated as one transaction.
+    The result is that of plain windows: count over [t - L, t] = #rows with time <= t - #rows with time < t - L.
+    Both terms are prefix sums over the distinct (user, time) keys plus one query key (user, t - L) per
+    look-back. The previous transaction of the first row of a (user, time), by id, is the user's previous
+    distinct time; that of its other rows is the time itself, repeated ids included. Rows without a user form one
+    user; rows without a time are peers of each other and come first. ``source`` is the narrow origin
+    of a derived ``df`` (same rows).
     """
     from .ranking import key_boundaries, prefix_sums
 
     lbs = {lookback_suffix: micros(lookback), velocity_suffix: micros(velocity)}
     shifts = sorted(set(lbs.values()))
     cols = df.columns
-    base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+
+    def keyed(frame: DataFrame) -> dict[str, Column]:
+        user, no_user = _not_null(frame, key)
+        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        return {"_u": user, "_un": no_user, "_us": us}
+
+    narrow = source if source is not None else df
+    narrow = narrow.select(*[c.alias(n) for n, c in keyed(narrow).items()], exact(narrow, amount).alias("_amount"))
     # one exploded aggregation builds both the data keys (user, t) and the query
     # keys (user, t - L); partial aggregation folds duplicates map-side
-    zero_s = F.lit(0).cast("decimal(15,2)")
-    entries = [F.struct(F.col("_us").alias("k"), F.lit(1).alias("c"), money(amount).alias("s"),
-                        F.when(F.col(amount).isNotNull(), 1).otherwise(0).alias("na"))]
-    entries += [F.struct((F.col("_us") - F.lit(L)).alias("k"), F.lit(0).alias("c"), zero_s.alias("s"),
+    kind = narrow.schema["_amount"].dataType
+    zero = F.lit(0).cast(kind)
+    entries = [F.struct(F.col("_us").alias("k"), F.lit(1).alias("c"), F.coalesce("_amount", zero).alias("s"),
+                        F.col("_amount").isNotNull().cast("int").alias("na"))]
+    entries += [F.struct((F.col("_us") - F.lit(L)).alias("k"), F.lit(0).alias("c"), zero.alias("s"),
                          F.lit(0).alias("na")) for L in shifts]
-    exploded = base.select(key, F.explode(F.array(*entries)).alias("e"))
     # fixed-width buffers only (counts, decimal sums): a hash aggregate, no sort
-    keys = exploded.groupBy(key, F.col("e.k").alias("_us")).agg(
+    keys = narrow.select("_u", "_un", F.explode(F.array(*entries)).alias("e")).groupBy("_u", "_un", F.col("e.k").alias("_us")).agg(
         F.sum("e.c").alias("_c"), F.sum("e.s").alias("_s"), F.sum("e.na").alias("_na"))
     keys = keys.withColumn("_data_us", F.when(F.col("_c") > 0, F.col("_us")))
-    bounds = key_boundaries(base, "_us")
-    pre = prefix_sums(keys, "_us", ["_c", "_s", "_na"], [key], bounds=bounds, maxes=["_data_us"])
+    bounds = key_boundaries(narrow, "_us", n_buckets)
+    pre = prefix_sums(keys, "_us", ["_c", "_s", "_na"], ["_u", "_un"], bounds=bounds, maxes=["_data_us"], null_parts=False)
 
     # Route every value to the key that needs it in ONE aggregation (pre is
     # computed once): a key's own prefix values stay at the key; its "before"
@@ -259,49 +166,42 @@ def _user_windows_prefix(df: DataFrame, key: str, ts: str, amount: str, id_col:
     own = ["_c", "_c_upto", "_s_upto", "_na_upto", "_c_total", "_s_total", "_na_total", "_data_us_max_before"]
     moves = [F.struct(F.col("_us").alias("k"), F.lit(0).cast("long").alias("tag"))]
     moves += [F.struct((F.col("_us") + F.lit(L)).alias("k"), F.lit(L).cast("long").alias("tag")) for L in shifts]
-    routed = pre.select(key, *own, "_c_before", "_s_before", "_na_before",
+    routed = pre.select("_u", "_un", *own, "_c_before", "_s_before", "_na_before",
                         F.explode(F.array(*moves)).alias("m"))
     pick = lambda c, tag: F.max(F.when(F.col("m.tag") == F.lit(tag), F.col(c)))
     aggs = [pick(c, 0).alias(c) for c in own]
     for suffix, shift in lbs.items():
         aggs += [pick("_c_before", shift).alias(f"_cb_{suffix}"), pick("_s_before", shift).alias(f"_sb_{suffix}"),
                  pick("_na_before", shift).alias(f"_nb_{suffix}")]
-    feats = (routed.groupBy(key, F.col("m.k").alias("_us")).agg(*aggs)
-             .filter(F.col("_c") > 0).withColumnRenamed("_data_us_max_before", "_prev_us")
-             .withColumnRenamed("_c", "_own_c"))
-    ls, vs = lookback_suffix, velocity_suffix
-    # null-safe on the time: rows without a time get the values of their NULL key
-    feats = feats.withColumnRenamed(key, "_fk").withColumnRenamed("_us", "_fus")
-    out = base.join(feats, F.col(key).eqNullSafe(F.col("_fk")) & F.col("_us").eqNullSafe(F.col("_fus")), "left") \
-        .drop("_fk", "_fus")
-    # Rows sharing (user, time) with others: all but the smallest id have the
-    # shared time as previous transaction. Only those (rare) keys need the min id.
-    peers = (out.filter(F.col("_own_c") > 1).groupBy(F.col(key).alias("_pk"), F.col("_us").alias("_pus"))
-             .agg(F.min(F.col(id_col).cast("string")).alias("_min_id")))
-    out = out.join(peers, F.col(key).eqNullSafe(F.col("_pk")) & F.col("_us").eqNullSafe(F.col("_pus")), "left") \
-        .drop("_pk", "_pus")
-    prev_us = F.when(F.col("_min_id").isNotNull() & (F.col(id_col).cast("string") > F.col("_min_id")),
-                     F.col("_us")).otherwise(F.col("_prev_us"))
-    prev_t = F.timestamp_micros(prev_us)
+    # times as plain-equality keys: (value, is NULL)
+    feats = (routed.groupBy("_u", "_un", F.col("m.k").alias("_fus")).agg(*aggs).filter(F.col("_c") > 0)
+             .select("_u", "_un", F.coalesce("_fus", F.lit(0)).alias("_t"), F.col("_fus").isNull().alias("_tn"),
+                     *[c for c in own if c != "_c"], *[f"{p}_{x}" for x in lbs for p in ("_cb", "_sb", "_nb")]))
+    base = df.withColumns(keyed(df)).withColumns({"_t": F.coalesce("_us", F.lit(0)), "_tn": F.col("_us").isNull()})
+    at = ["_u", "_un", "_t", "_tn"]
+    out = base.join(feats, at, "left")
+    first = F.row_number().over(Window.partitionBy(*at).orderBy(F.col(id_col).asc_nulls_first())) == 1
+    out = out.withColumn("_prev", F.when(first, F.col("_data_us_max_before")).otherwise(F.col("_us")))
+    prev_t = F.timestamp_micros("_prev")
     hours = (F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(prev_t)) / F.lit(3600.0)
-    out = out.select(
+    ls, vs = lookback_suffix, velocity_suffix
+    avg = F.try_divide(F.col("_s_total").cast("double"), F.col("_na_total"))
+    stored = df.schema[ts].dataType
+    return out.select(
         *cols,
         F.col("_c_total").alias("user_tx_count"),
-        F.try_divide(F.col("_s_total").cast("double"), F.col("_na_total")).alias("user_avg_amount"),
+        avg.alias("user_avg_amount"),
         (F.col("_c_upto") - F.col(f"_cb_{ls}")).alias(f"user_tx_count_{ls}"),
         F.try_divide((F.col("_s_upto") - F.col(f"_sb_{ls}")).cast("double"),
                      F.col("_na_upto") - F.col(f"_nb_{ls}")).alias(f"user_avg_amount_{ls}"),
+        F.try_divide(F.col(amount) - avg, avg + F.lit(1)).alias("amount_deviation_from_avg"),
+        (prev_t if isinstance(stored, T.StringType) else prev_t.cast(stored)).alias("prev_transaction_time"),
+        F.coalesce(hours, F.lit(float(default_hours))).alias("hours_since_last_tx"),
         (F.col("_c_upto") - F.col(f"_cb_{vs}")).alias(f"tx_count_{vs}"),
-        (F.col("_s_upto") - F.col(f"_sb_{vs}")).cast("double").alias(f"total_amount_{vs}"),
-        prev_t.alias("_prev_t"), hours.alias("_hours"),
+        # as a window's sum: NULL where no row of the frame has an amount
+        F.when(F.col("_na_upto") > F.col(f"_nb_{vs}"), (F.col("_s_upto") - F.col(f"_sb_{vs}")).cast("double")).alias(f"total_amount_{vs}"),
+        flag(F.col("_c_upto") - F.col(f"_cb_{vs}") > F.lit(max_count)).alias("is_high_velocity"),
     )
-    return out.withColumns({
-        "amount_deviation_from_avg": deviation_from(amount, "user_avg_amount"),
-        "prev_transaction_time": F.col("_prev_t").cast(df.schema[ts].dataType)
-        if not isinstance(df.schema[ts].dataType, T.StringType) else F.col("_prev_t"),
-        "hours_since_last_tx": F.coalesce(F.col("_hours"), F.lit(float(default_hours))),
-        "is_high_velocity": flag(F.col(f"tx_count_{vs}") > F.lit(max_count)),
-    }).drop("_prev_t", "_hours")
 
 
 def user_lookback(df: DataFrame, interval: str = "7 days", suffix: str = "7d", **kw) -> DataFrame:
@@ -332,20 +232,20 @@ def batch_features(df: DataFrame, ts: str = "transaction_time", with_rule_score:
                    n_buckets: int | None = None) -> DataFrame:
     """the batch feature bundle (time, amount, user, merchant, location, velocity).
 
-    One shuffle for all per-user features, one aggregation + join for merchant
-    stats, one distributed ranking for ``amount_percentile``. With
-    ``with_rule_score`` also the ``fraud_score_rule`` column (R0) that the
+    Every statistic is computed from the narrow columns of ``df`` and joined to the wide rows last: per-user
+    features by one join on (user, time), ``amount_percentile`` by one on the amount, merchant stats by a
+    broadcast where they are small. With ``with_rule_score`` also the ``fraud_score_rule`` column (R0) that the
     batch job's sample output asks for.
     """
     from .ranking import distributed_percent_rank
     from .scoring import rule_score_col
 
-    out = time_features(df, ts)
+    out = user_window_features(df, ts=ts, source=df, n_buckets=n_buckets)
+    out = distributed_percent_rank(out, "amount", "amount_percentile", n_buckets=n_buckets, source=df)
+    out = merchant_stats(out, source=df)
+    out = time_features(out, ts)
     out = amount_features(out)
-    out = distributed_percent_rank(out, "amount", "amount_percentile", n_buckets=n_buckets)
-    out = user_window_features(out, ts=ts)
     out = merchant_features(out)
-    out = merchant_stats(out)
     out = location_features(out, foreign=S.FOREIGN_COUNTRIES)
     if with_rule_score:
         out = out.withColumn("fraud_score_rule", rule_score_col())

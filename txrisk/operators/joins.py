@@ -1,24 +1,27 @@
-"""Join helpers: broadcast a side only behind a check of its size."""
+"""Broadcasts behind a measured size.
+
+Where a plan can wait for run time, no hint is given and AQE chooses by the measured size of the
+finished side. A hint is only worth a job while a query is built where it keeps a wide side from being shuffled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BROADCAST_MAX_BYTES = 32 << 20
 
-# Largest side broadcast after a row-count check. Rows of a few short columns:
-# well inside a broadcast's practical size on driver and executors.
-BROADCAST_MAX_ROWS = 1_000_000
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows, by one aggregation (sums of each task, then of the tasks)."""
+    size = F.lit(8 * len(df.columns) + 16)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+    return df.agg(F.sum(size.cast("bigint")).alias("n")).first()["n"] or 0
 
-def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(small)`` when it has at most ``max_rows`` rows, else ``small`` unchanged.
 
-    The check is a bounded job (``limit(max_rows + 1).count()``): every task
-    stops after ``max_rows + 1`` rows. Beyond the bound the caller's join stays a
-    shuffle join (where AQE can still split skewed partitions). On a streaming
-    frame nothing is checked (it cannot be counted) and the frame is returned as is.
-    """
-    if small.isStreaming:
-        return small
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+def broadcast_measured(small: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``small`` with a broadcast hint if its rows take at most ``max_bytes``; without one beyond that."""
+    return F.broadcast(small) if measured_bytes(small) <= max_bytes else small

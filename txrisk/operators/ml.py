@@ -52,12 +52,12 @@ def fit_encoder(df: DataFrame, cols: Sequence[str] = S.CATEGORICAL_FEATURES,
 
 def encode(df: DataFrame, encoders: dict[str, DataFrame], unseen: int = -1, suffix: str = "_encoded") -> DataFrame:
     """M2: ``<col>_encoded`` from the encoder tables; values not seen at fit time -> ``unseen``."""
-    from .joins import broadcast_if_small
+    from .joins import broadcast_measured
 
     out = df
     for c, table in encoders.items():
-        # category tables are small (checked): broadcast, also as the static side of a stream join
-        t = broadcast_if_small(table.select(F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"_i_{c}")))
+        # category tables are normally small (their bytes are measured): broadcast, also as the static side of a stream join
+        t = broadcast_measured(table.select(F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"_i_{c}")))
         out = (out.join(t, out[c] == t[f"_v_{c}"], "left")
                .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"_i_{c}"), F.lit(unseen)))
                .drop(f"_v_{c}", f"_i_{c}"))
@@ -106,16 +106,13 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """M5: weight n / (k * n_class) per row. The class table has one row per class:
-    broadcast after a size check (a label with unexpectedly many values falls back
-    to a shuffle join)."""
-    from .joins import broadcast_if_small
-
+    """M5: weight n / (k * n_class) per row. The class table has one row per class; AQE joins it by its
+    measured size."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     totals = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.select(label, "_nc", totals.select(F.struct("_n", "_k")).scalar().alias("_t"))
     w = w.select(label, (F.col("_t._n") / (F.col("_t._k") * F.col("_nc"))).alias(out))
-    return df.join(broadcast_if_small(w), label, "left")
+    return df.join(w, label, "left")
 
 
 # ---------------------------------------------------------------- model

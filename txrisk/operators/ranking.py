@@ -6,16 +6,16 @@ task. Here the work is split by value ranges instead:
 1. collapse the input to one row per distinct sort value (partial aggregation
    folds hot values map-side, so a value holding a third of all rows costs
    one row);
-2. cut the value domain at approximate quantiles of the input into ``B``
-   ranges; the range id is a pure, deterministic function of the value (a
-   binary-search ``CASE`` tree over literal boundaries), so nothing has to be
-   materialised for the id to stay stable under recomputation or AQE;
+2. cut the value domain into ``B`` ranges at approximate quantiles (numbers, times) or at values drawn from the
+   input (strings), ``B`` growing with the rows; the range id is a pure, deterministic function of the
+   value (a binary search in one array of boundaries), so nothing has to be materialised for the id to
+   stay stable under recomputation or AQE;
 3. per range totals (at most ``B`` rows per partition key, a proven bound)
    give exclusive offsets with a window over that small table;
 4. a window partitioned by (partition keys, range) gives the running sum
    inside each range; offset + local sum is the global prefix.
 
-The only driver round trip is ``approxQuantile`` over the key column: ``B`` numbers.
+The only driver round trip is for the boundaries: a row count and ``B`` values.
 """
 
 from __future__ import annotations
@@ -29,14 +29,13 @@ _BUCKET = "_rk_bucket"
 _PROXY = "_rk_proxy"
 
 
-def order_proxy(df: DataFrame, col: str) -> Column:
-    """A numeric column whose order never contradicts the order of ``col``.
+ROWS_PER_RANGE = 2_000_000
+_DRAWN_PER_RANGE = 20
 
-    Numbers are used as they are; times as microseconds; strings by their
-    first 7 UTF-8 bytes (shorter strings padded with zero bytes, matching
-    binary string order). Equal proxies only share a range bucket, the exact
-    order inside a bucket is the column's own.
-    """
+
+def order_proxy(df: DataFrame, col: str) -> Column:
+    """``col`` in a form whose order is that of ``col``: times as microseconds, days and flags as numbers,
+    other numbers and strings as they are."""
     from pyspark.sql import types as T
 
     dtype = df.schema[col].dataType
@@ -47,49 +46,62 @@ def order_proxy(df: DataFrame, col: str) -> Column:
         return F.unix_date(c)
     if isinstance(dtype, T.BooleanType):
         return c.cast("int")
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        raw = F.encode(c, "UTF-8") if isinstance(dtype, T.StringType) else c
-        hexed = F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0")
-        return F.conv(hexed, 16, 10).cast("long")
     return c
 
 
 def default_buckets(df: DataFrame) -> int:
-    spark = df.sparkSession
-    try:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover - conf always present
-        parts = 200
-    return max(8, min(parts, 4096))
+    """As many ranges as shuffle partitions, and more where a range would exceed ROWS_PER_RANGE rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return max(8, parts, -(-rows // ROWS_PER_RANGE))
 
 
 def boundaries(df: DataFrame, col: str, n_buckets: int) -> list:
-    """Sorted distinct approximate quantiles of ``col`` (nulls ignored)."""
+    """Sorted distinct approximate quantiles of a numeric ``col``, or quantiles of values drawn from a string one
+    (nulls ignored)."""
+    from pyspark.sql import types as T
+
     if n_buckets <= 1:
         return []
+    if isinstance(df.schema[col].dataType, (T.StringType, T.BinaryType)):
+        return _string_boundaries(df, col, n_buckets)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets))
     return sorted(set(q for q in qs if q is not None))
 
 
+def _string_boundaries(df: DataFrame, col: str, n_buckets: int) -> list:
+    """About ``_DRAWN_PER_RANGE`` distinct values a range, drawn by hash, and of those every so manieth. Ranges hold
+    about the same number of distinct values, which is what the ranks run over."""
+    distinct = df.agg(F.approx_count_distinct(col).alias("n")).first()["n"]
+    want = _DRAWN_PER_RANGE * n_buckets
+    values = df.select(col).filter(F.col(col).isNotNull())
+    if distinct > want:
+        values = values.filter(F.pmod(F.xxhash64(col), F.lit(1 << 40)) < F.lit(int((1 << 40) * want / distinct)))
+    drawn = sorted((r[0] for r in values.distinct().collect()), key=lambda v: v.encode() if isinstance(v, str) else bytes(v))
+    step = max(1, len(drawn) // n_buckets)
+    return drawn[step::step][: n_buckets - 1]
+
+
 def bucket_of(value: Column, bounds: Sequence, descending: bool = False) -> Column:
     """Range id of ``value``: number of boundaries strictly below it (0..len(bounds)).
 
-    Built as a balanced CASE tree (depth log2(len(bounds))) so it stays a cheap
-    codegen'd expression. NULL goes first for ascending, last for descending,
+    A binary search in one array literal. NULL goes first for ascending, last for descending,
     as Spark orders NULLs by default.
     """
     n = len(bounds)
-
-    def tree(lo: int, hi: int) -> Column:
-        # answer lies in [lo, hi]: count of bounds < value
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        # bounds[mid] < value  -> answer >= mid + 1
-        return F.when(value > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    b = tree(0, n) if n else F.lit(0)
+    b = F.lit(0)
+    if n:
+        array = F.array(*[F.lit(x) for x in bounds])
+
+        def halve(s: Column, _: Column) -> Column:
+            # the answer lies in [lo, hi]; element_at counts from 1, so it looks at bounds[mid]
+            mid = F.shiftright(s["lo"] + s["hi"], 1)
+            above = (s["lo"] < s["hi"]) & (value > F.get(array, mid))
+            return F.struct(F.when(above, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
+
+        steps = F.sequence(F.lit(1), F.lit(n.bit_length()))
+        b = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda s: s["lo"])
     if descending:
         b = F.lit(n) - b
         return F.when(value.isNull(), F.lit(n + 1)).otherwise(b)
@@ -102,18 +114,18 @@ def key_boundaries(df: DataFrame, key: str, n_buckets: int | None = None) -> lis
     return boundaries(df.select(order_proxy(df, key).alias(_PROXY)), _PROXY, nb)
 
 
-def _null_safe(parts: Sequence[str]) -> Column:
-    """Null-safe equality of partition keys against their ``_pk<i>`` copies."""
+def _null_safe(parts: Sequence[str], null_parts: bool = True) -> Column:
+    """Equality of partition keys and their ``_pk<i>`` copies; null-safe if they can be NULL."""
     cond = F.lit(True)
     for i, k in enumerate(parts):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_pk{i}"))
+        cond = cond & (F.col(k).eqNullSafe(F.col(f"_pk{i}")) if null_parts else F.col(k) == F.col(f"_pk{i}"))
     return cond
 
 
 def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols: Sequence[str] = (),
                 descending: bool = False, n_buckets: int | None = None,
                 broadcast_offsets: bool | None = None, bounds: list | None = None,
-                maxes: Sequence[str] = ()) -> DataFrame:
+                maxes: Sequence[str] = (), null_parts: bool = True) -> DataFrame:
     """Running sums of ``values`` in ``key`` order, per ``partition_cols``.
 
     ``df`` must hold one row per (partition_cols, key). Adds ``<v>_before``
@@ -121,7 +133,7 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols:
     ``<v>_total`` for each value column, and ``<m>_max_before`` (largest value
     of ``m`` over strictly earlier keys, NULLs ignored) for each of ``maxes``.
     ``bounds`` (from :func:`key_boundaries`) may be computed on another frame,
-    e.g. the raw rows before aggregation.
+    e.g. the raw rows before aggregation. ``null_parts=False`` says that partition keys are never NULL.
     """
     parts = list(partition_cols)
     proxied = df.withColumn(_PROXY, order_proxy(df, key))
@@ -157,7 +169,7 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols:
     # null-safe on the partition keys: rows with NULL keys form their own partition
     offs = offsets.select(*[F.col(k).alias(f"_pk{i}") for i, k in enumerate(parts)],
                           F.col(_BUCKET).alias("_ob"), *[c for c in offsets.columns if c not in parts + [_BUCKET]])
-    out = local.join(offs, (F.col(_BUCKET) == F.col("_ob")) & _null_safe(parts), "inner") \
+    out = local.join(offs, (F.col(_BUCKET) == F.col("_ob")) & _null_safe(parts, null_parts), "inner") \
         .drop("_ob", *[f"_pk{i}" for i in range(len(parts))])
     out = out.withColumns({
         **{f"{v}_before": F.col(f"_o_{v}") + F.col(f"_l_{v}") for v in values},
@@ -171,13 +183,15 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], partition_cols:
 
 def distributed_rank(df: DataFrame, order_col: str, partition_cols: Sequence[str] = (),
                      descending: bool = False, rank_col: str = "_rank", n_col: str = "_n",
-                     n_buckets: int | None = None) -> DataFrame:
-    """``rank()`` (ties share the lowest rank) and partition size, computed distributedly."""
+                     n_buckets: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    """``rank()`` (ties share the lowest rank) and partition size, computed distributedly (from the narrow
+    ``source`` of a derived ``df``, where given)."""
     parts = list(partition_cols)
-    counts = df.groupBy(*parts, order_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    narrow = source if source is not None else df
+    counts = narrow.groupBy(*parts, order_col).agg(F.count(F.lit(1)).alias("_cnt"))
     # boundaries from the raw column: one pruned scan, no aggregation; buckets
     # then hold about n / B rows each (a hot value ends up alone in its bucket)
-    bounds = key_boundaries(df, order_col, n_buckets)
+    bounds = key_boundaries(narrow, order_col, n_buckets)
     pre = prefix_sums(counts, order_col, ["_cnt"], parts, descending, bounds=bounds)
     ranks = pre.select(*parts, order_col,
                        (F.col("_cnt_before") + F.lit(1)).alias(rank_col),
@@ -192,8 +206,9 @@ def distributed_rank(df: DataFrame, order_col: str, partition_cols: Sequence[str
 
 
 def distributed_percent_rank(df: DataFrame, order_col: str, out_col: str = "percent_rank",
-                             partition_cols: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+                             partition_cols: Sequence[str] = (), n_buckets: int | None = None,
+                             source: DataFrame | None = None) -> DataFrame:
     """``percent_rank()`` = (rank - 1) / (n - 1), 0 when n = 1."""
-    ranked = distributed_rank(df, order_col, partition_cols, n_buckets=n_buckets)
+    ranked = distributed_rank(df, order_col, partition_cols, n_buckets=n_buckets, source=source)
     pr = F.when(F.col("_n") > 1, (F.col("_rank") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     return ranked.withColumn(out_col, pr.cast("double")).drop("_rank", "_n")

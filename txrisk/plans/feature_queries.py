@@ -8,6 +8,7 @@ from ..functions.columns import ts_string
 from ..operators import features as FE
 from ..operators.ranking import distributed_percent_rank
 from ..operators.stats import feature_summary, quantile_flag
+from ..sources import tables
 from . import oracle as O
 from .base import big, query, r6, scored, tx
 
@@ -52,37 +53,49 @@ def q_user_features(spark, d):
                     r6("hours_since_last_tx").alias("hours_since_last_tx"))
 
 
-@query("user_features_hot_split", O.BASE + user_windows_sql() + f"""
-SELECT transaction_id, CAST(user_tx_count AS BIGINT) AS user_tx_count, round(user_avg_amount, 6) AS user_avg_amount,
-       CAST(user_tx_count_7d AS BIGINT) AS user_tx_count_7d, round(user_avg_amount_7d, 6) AS user_avg_amount_7d,
-       {O.ts('prev_t')} AS prev_transaction_time, {HOURS_SQL} AS hours_since_last_tx,
-       CAST(tx_count_1h AS BIGINT) AS tx_count_1h, round(total_amount_1h, 6) AS total_amount_1h
-FROM uf""")
-def q_user_features_hot_split(spark, d):
-    """W1-W6, W9, W10 with the hot-user split: users above 60 rows take the prefix-difference path."""
-    f = FE.user_window_features(tx(spark, d), strategy="auto", hot_user_rows=60)
-    return f.select("transaction_id", big("user_tx_count").alias("user_tx_count"),
-                    r6("user_avg_amount").alias("user_avg_amount"),
-                    big("user_tx_count_7d").alias("user_tx_count_7d"),
-                    r6("user_avg_amount_7d").alias("user_avg_amount_7d"),
-                    ts_string("prev_transaction_time").alias("prev_transaction_time"),
-                    r6("hours_since_last_tx").alias("hours_since_last_tx"),
-                    big("tx_count_1h").alias("tx_count_1h"), r6("total_amount_1h").alias("total_amount_1h"))
-
-
-@query("user_features_small_buckets", O.BASE + user_windows_sql() + f"""
-SELECT transaction_id, CAST(user_tx_count AS BIGINT) AS user_tx_count,
-       CAST(user_tx_count_7d AS BIGINT) AS user_tx_count_7d, round(user_avg_amount_7d, 6) AS user_avg_amount_7d,
-       {O.ts('prev_t')} AS prev_transaction_time, CAST(tx_count_1h AS BIGINT) AS tx_count_1h
-FROM uf""")
-def q_user_features_small_buckets(spark, d):
-    """Same features with 2-day time buckets (each 7-day frame spans several buckets)."""
-    f = FE.user_window_features(tx(spark, d), bucket="2 days")
-    return f.select("transaction_id", big("user_tx_count").alias("user_tx_count"),
-                    big("user_tx_count_7d").alias("user_tx_count_7d"),
-                    r6("user_avg_amount_7d").alias("user_avg_amount_7d"),
-                    ts_string("prev_transaction_time").alias("prev_transaction_time"),
-                    big("tx_count_1h").alias("tx_count_1h"))
+# few keys with thousands of rows each, raw amounts (more than two decimals), any event table
+@query("event_type_windows", """
+WITH uf AS (
+  SELECT event_id, ts, count(*) OVER (PARTITION BY event_type) AS n, avg(value) OVER (PARTITION BY event_type) AS a,
+         count(*) OVER wl AS n7, avg(value) OVER wl AS a7, count(*) OVER wv AS n1, sum(value) OVER wv AS s1,
+         lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev_t
+  FROM (SELECT event_id, event_type, ts, value * 1.25::DOUBLE AS value FROM events)
+  WINDOW wl AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW),
+         wv AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
+SELECT event_id, CAST(n AS BIGINT) AS user_tx_count, round(a, 9) AS user_avg_amount, CAST(n7 AS BIGINT) AS user_tx_count_7d,
+       round(a7, 9) AS user_avg_amount_7d, CAST(n1 AS BIGINT) AS tx_count_1h, round(s1, 9) AS total_amount_1h, """
+       + O.ts("prev_t") + """ AS prev_transaction_time FROM uf""")
+def q_event_type_windows(spark, d):
+    """W1-W5, W9, W10 with the event type as the key: a fifth of all rows each, amounts with more than two decimals."""
+    e = tables.read_table(spark, d, "events").select(
+        "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") * 1.25).alias("value"))
+    f = FE.user_window_features(e, key="event_type", ts="ts", amount="value", id_col="event_id")
+    return f.select("event_id", big("user_tx_count").alias("user_tx_count"), F.round("user_avg_amount", 9).alias("user_avg_amount"),
+                    big("user_tx_count_7d").alias("user_tx_count_7d"), F.round("user_avg_amount_7d", 9).alias("user_avg_amount_7d"),
+                    big("tx_count_1h").alias("tx_count_1h"), F.round("total_amount_1h", 9).alias("total_amount_1h"),
+                    ts_string("prev_transaction_time").alias("prev_transaction_time"))
+
+
+@query("customer_windows", """
+WITH t AS (
+  SELECT 'TXN_' || l_orderkey || '_' || l_linenumber AS transaction_id, o_custkey AS customer, CAST(l_shipdate AS TIMESTAMP) AS tm,
+         l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+uf AS (
+  SELECT *, count(*) OVER (PARTITION BY customer) AS n, count(*) OVER w AS n30, CAST(sum(CAST(amount AS DECIMAL(15,2))) OVER w AS DOUBLE) / count(amount) OVER w AS a30,
+         lag(tm) OVER (PARTITION BY customer ORDER BY tm, transaction_id) AS prev_t
+  FROM t WINDOW w AS (PARTITION BY customer ORDER BY tm RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW))
+SELECT transaction_id, customer, CAST(n AS BIGINT) AS user_tx_count, CAST(n30 AS BIGINT) AS user_tx_count_30d,
+       round(a30, 6) AS user_avg_amount_30d, """ + O.ts("prev_t") + """ AS prev_transaction_time FROM uf""")
+def q_customer_windows(spark, d):
+    """W1, W3-W5 by customer over the line items, whose ids repeat."""
+    li = tables.read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    od = tables.read_table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("customer"))
+    t = li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat_ws("_", F.lit("TXN"), "l_orderkey", "l_linenumber").alias("transaction_id"), "customer",
+        F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_extendedprice").alias("amount"))
+    f = FE.user_window_features(t, key="customer", ts="at", lookback="30 days", lookback_suffix="30d", velocity="1 day", velocity_suffix="1d")
+    return f.select("transaction_id", "customer", big("user_tx_count").alias("user_tx_count"), big("user_tx_count_30d").alias("user_tx_count_30d"),
+                    r6("user_avg_amount_30d").alias("user_avg_amount_30d"), ts_string("prev_transaction_time").alias("prev_transaction_time"))
 
 
 @query("velocity_1h", O.BASE + user_windows_sql() + """
