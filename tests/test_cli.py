@@ -4,11 +4,13 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from txrisk import cli
 from txrisk import schemas as S
 from txrisk.operators.features import serving_features
+from txrisk.operators.registry import read_registry, write_registry
 from txrisk.sources.tables import transactions
 from txrisk.streaming.stream import score_batch
 
@@ -32,7 +34,7 @@ def test_cli_jobs(spark, sf001):
     cli.main(["registry", "register", "--tables", tables,
               "--model-info", os.path.join(root, "models", "*", "metadata", "model_info.json")])
     cli.main(["registry", "activate", "--tables", tables, "--version", "m_a"])
-    reg = spark.read.parquet(os.path.join(tables, "model_performance"))
+    reg = read_registry(spark, os.path.join(tables, "model_performance"))
     assert reg.count() == 2 and [r.model_version for r in reg.filter("is_active").collect()] == ["m_a"]
     audit = {r.event_type for r in spark.read.parquet(os.path.join(tables, "audit_log")).collect()}
     assert audit == {"MODEL_REGISTERED", "MODEL_ACTIVATED"}
@@ -51,6 +53,35 @@ def test_cli_jobs(spark, sf001):
         .write.option("header", True).csv(csv)
     cli.main(["batch-features", "--input", csv, "--output", os.path.join(root, "features")])
     assert spark.read.parquet(os.path.join(root, "features")).count() == tx.count()
+    # the batch table trains a model as it is, which then evaluates on it
+    model_dir = os.path.join(root, "models", "batch")
+    cli.main(["train", "--features", os.path.join(root, "features"), "--kind", "logistic", "--out", model_dir, "--tables", tables,
+              "--as-of", "2024-02-02T00:00:00"])
+    assert {r.model_version for r in read_registry(spark, os.path.join(tables, "model_performance")).collect()} == {
+        "m_a", "m_b", "fraud_model_20240202_000000"}
+    cli.main(["evaluate", "--model", model_dir, "--features", os.path.join(root, "features"), "--report", os.path.join(model_dir, "report")])
+    with pytest.raises(ValueError):
+        cli.main(["train", "--features", os.path.join(root, "features"), "--id-col", "nope", "--out", os.path.join(root, "x")])
+
+
+def test_a_registry_that_cannot_be_read_is_not_overwritten(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="txrisk-reg-"), "model_performance")
+    assert read_registry(spark, path).count() == 0
+    rows = spark.createDataFrame([("m1", None, None, None, None, None, 1, None, None, False, None)], S.MODEL_PERFORMANCE)
+    write_registry(rows, path)
+    # a write that broke off leaves no marker and is passed over
+    os.makedirs(os.path.join(path, "snapshot-000000002"))
+    assert read_registry(spark, path).count() == 1
+    write_registry(rows.unionByName(rows), path)
+    assert sorted(os.listdir(path)) == ["snapshot-000000001", "snapshot-000000002", "snapshot-000000003"] and read_registry(spark, path).count() == 2
+    part = next(p for p in os.listdir(os.path.join(path, "snapshot-000000003")) if p.endswith(".parquet"))
+    with open(os.path.join(path, "snapshot-000000003", part), "wb") as f:
+        f.write(b"broken")
+    with pytest.raises(Exception):
+        read_registry(spark, path).count()
+    with pytest.raises(Exception):
+        cli.main(["registry", "activate", "--tables", os.path.dirname(path), "--version", "m1"])
+    assert not os.path.exists(os.path.join(path, "snapshot-000000004", "_SUCCESS"))      # the attempt is not the registry
 
 
 def test_cli_train_and_evaluate(spark, sf001):
@@ -63,7 +94,7 @@ def test_cli_train_and_evaluate(spark, sf001):
     model_dir = os.path.join(root, "models", "m1")
     cli.main(["train", "--features", fpath, "--label", "is_fraud", "--kind", "logistic", "--out", model_dir,
               "--tables", tables, "--as-of", "2024-02-01T00:00:00"])
-    reg = spark.read.parquet(os.path.join(tables, "model_performance")).collect()
+    reg = read_registry(spark, os.path.join(tables, "model_performance")).collect()
     assert [r.model_version for r in reg] == ["fraud_model_20240201_000000"]
     report = os.path.join(model_dir, "report")
     cli.main(["evaluate", "--model", model_dir, "--features", fpath, "--label", "is_fraud", "--report", report])

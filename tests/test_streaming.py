@@ -162,3 +162,44 @@ def test_scoring_stream_drops_replayed_messages(spark, sf001):
     q.awaitTermination()
     stored = spark.read.parquet(txp)
     assert stored.count() == tx.count() == stored.select("transaction_id").distinct().count()
+
+
+def test_another_checkpoint_keeps_the_earlier_rows(spark, sf001):
+    root = _scratch()
+    tx = transactions(spark, sf001)
+    txp, alp = os.path.join(root, "tx"), os.path.join(root, "alerts")
+    for i, part in enumerate((tx.filter("event_id < 300"), tx.filter("event_id >= 300"))):
+        inp = os.path.join(root, f"in{i}")
+        _write_messages(part, os.path.join(inp, "p"))
+        q = run_stream(parse_messages(read_messages_stream(spark, os.path.join(inp, "*"))), txp, alp, os.path.join(root, f"ck{i}"),
+                       trigger={"availableNow": True}, name=f"run_{i}")
+        q.awaitTermination()
+    stored = spark.read.parquet(txp)
+    assert stored.count() == tx.count() and stored.select("run").distinct().count() == 2
+
+
+def test_malformed_and_late_messages_are_quarantined(spark, sf001):
+    root = _scratch()
+    inp = os.path.join(root, "in")
+    tx = transactions(spark, sf001).cache()
+    cut = "2024-01-20 00:00:00"
+    _write_messages(tx.filter(F.col("transaction_time") >= F.lit(cut).cast("timestamp")), os.path.join(inp, "new"))
+    spark.createDataFrame([("{not json",), ('{"transaction_id": "X1"}',)], "value string").coalesce(1).write.text(os.path.join(inp, "bad"))
+    txp, alp, bad = (os.path.join(root, x) for x in ("tx", "alerts", "bad"))
+
+    def run():
+        q = run_stream(parse_messages(read_messages_stream(spark, os.path.join(inp, "*"))), txp, alp, os.path.join(root, "ck"),
+                       trigger={"availableNow": True}, name="quarantine_run", dedupe_watermark="2 days", quarantine_path=bad)
+        q.awaitTermination()
+
+    run()
+    kept = tx.filter(F.col("transaction_time") >= F.lit(cut).cast("timestamp")).count()
+    assert spark.read.parquet(txp).count() == kept
+    assert {(r.reason, r.detail) for r in spark.read.parquet(bad).collect()} == {
+        ("invalid", "transaction_id,user_id,amount,transaction_time"), ("invalid", "user_id,amount,transaction_time")}
+    _write_messages(tx, os.path.join(inp, "all"))          # the old rows are late, the recent ones repeat
+    run()
+    assert spark.read.parquet(txp).count() == kept
+    newest = tx.agg(F.max("transaction_time")).first()[0]
+    late = tx.filter(F.col("transaction_time") < F.lit(newest) - F.expr("INTERVAL 2 DAYS")).count()
+    assert spark.read.parquet(bad).groupBy("reason").count().collect() and spark.read.parquet(bad).filter("reason = 'late'").count() == late

@@ -8,8 +8,8 @@
     python -m txrisk.cli train --features features/ --label is_fraud --kind random_forest --out models/m1 --tables ...
     python -m txrisk.cli evaluate --model models/m1 --features features/ --label is_fraud --report models/m1/report
 
-Tables live under ``--tables``: transactions/, fraud_alerts/, model_performance/, audit_log/,
-monitoring_metrics/, alerts_log/ (Parquet, JSON lines for the alert log).
+Tables live under ``--tables``: transactions/, fraud_alerts/, quarantine/, model_performance/ (numbered
+snapshots), audit_log/, monitoring_metrics/, alerts_log/ (Parquet, JSON lines for the alert log).
 """
 
 from __future__ import annotations
@@ -24,33 +24,31 @@ from pyspark.sql import functions as F
 from . import schemas as S
 
 
-def _spark(app: str) -> SparkSession:
-    from .session import configure
+def _spark(app: str, *inputs: str) -> SparkSession:
+    """A session with partitions sized to the bytes of the job's inputs."""
+    from .session import configure, configure_for_scale
 
     spark = SparkSession.builder.appName(app).getOrCreate()
-    return configure(spark)
+    size = 0
+    for path in inputs:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        size += fs.getContentSummary(folder).getLength() if fs.exists(folder) else 0
+    # below a few partitions' worth the session's own settings are left alone
+    return configure_for_scale(spark, size) if size > 8 << 30 else configure(spark)
 
 
 def _table(args, name: str) -> str:
     return os.path.join(args.tables, name)
 
 
-def _read(spark, path: str, schema=None):
-    try:
-        return spark.read.parquet(path)
-    except Exception:
-        if schema is None:
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def cmd_batch_features(args) -> None:
     from .operators.features import batch_features
     from .operators.dashboard import label_distribution
     from .operators.stats import feature_summary
     from .sources.files import read_history_csv, write_features
 
-    spark = _spark("txrisk-batch-features")
+    spark = _spark("txrisk-batch-features", args.input)
     df = read_history_csv(spark, args.input)
     feats = batch_features(df).withColumn("date", F.to_date("transaction_time"))
     write_features(feats, args.output, partition_by="date")
@@ -69,19 +67,19 @@ def cmd_stream(args) -> None:
     model = load_model(args.model, spark) if args.model else None
     msgs = parse_messages(read_kafka(spark, args.brokers, args.topic, args.starting))
     q = run_stream(msgs, _table(args, "transactions"), _table(args, "fraud_alerts"), args.checkpoint,
-                   model=model, dedupe_watermark=args.dedupe_watermark)
+                   model=model, dedupe_watermark=args.dedupe_watermark, quarantine_path=_table(args, "quarantine"))
     q.awaitTermination()
 
 
 def cmd_alerts(args) -> None:
-    from . import schemas as S
     from .operators.alerts import alert_audit_rows, run_alert_rules
+    from .operators.registry import read_registry
     from .sources.sinks import sink_alert_log, sink_audit
 
-    spark = _spark("txrisk-alerts")
+    spark = _spark("txrisk-alerts", _table(args, "transactions"), _table(args, "fraud_alerts"))
     tx = spark.read.parquet(_table(args, "transactions"))
     alerts = spark.read.parquet(_table(args, "fraud_alerts"))
-    models = _read(spark, _table(args, "model_performance"), S.MODEL_PERFORMANCE)
+    models = read_registry(spark, _table(args, "model_performance"))
     recs = run_alert_rules(tx, alerts, models, args.as_of).persist()
     try:
         sink_alert_log(recs, _table(args, "alerts_log"))
@@ -91,24 +89,23 @@ def cmd_alerts(args) -> None:
 
 
 def cmd_metrics(args) -> None:
-    from . import schemas as S
+    from .operators.registry import read_registry
     from .streaming.stream import metrics_snapshot
 
-    spark = _spark("txrisk-metrics")
+    spark = _spark("txrisk-metrics", _table(args, "transactions"), _table(args, "fraud_alerts"))
     tx = spark.read.parquet(_table(args, "transactions"))
     alerts = spark.read.parquet(_table(args, "fraud_alerts"))
-    models = _read(spark, _table(args, "model_performance"), S.MODEL_PERFORMANCE)
+    models = read_registry(spark, _table(args, "model_performance"))
     metrics_snapshot(tx, alerts, models, _table(args, "monitoring_metrics"), args.as_of, args.window)
 
 
 def cmd_registry(args) -> None:
-    from . import schemas as S
     from .operators import registry as G
     from .sources.sinks import sink_audit
 
     spark = _spark("txrisk-registry")
     path = _table(args, "model_performance")
-    models = _read(spark, path, S.MODEL_PERFORMANCE)
+    models = G.read_registry(spark, path)
     if args.action == "list":
         G.list_models(models).show(truncate=False)
         return
@@ -122,34 +119,31 @@ def cmd_registry(args) -> None:
     else:  # activate
         snapshot = G.activate_model(models, args.version)
         audit = G.activation_audit(models, args.version, args.as_of)
-    # a new snapshot is written next to the old one, then becomes current: the
-    # table is never read and overwritten by the same job. The audit rows read
-    # the old snapshot, so they are written before it is replaced.
-    tmp = path + ".next"
-    snapshot.write.mode("overwrite").parquet(tmp)
+    # snapshots are numbered; the newest complete one is the registry
+    G.write_registry(snapshot, path)
     sink_audit(audit, _table(args, "audit_log"))
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(path)
 
 
 def cmd_train(args) -> None:
+    from .operators import registry as G
     from .operators.ml import train_and_register
 
-    spark = _spark("txrisk-train")
+    spark = _spark("txrisk-train", args.features)
     df = spark.read.parquet(args.features)
-    id_col = args.id_col if args.id_col in df.columns else df.columns[0]
-    _, row = train_and_register(df, args.label, args.kind, args.out, id_col=id_col, as_of=args.as_of)
+    _, row = train_and_register(df, args.label, args.kind, args.out, id_col=args.id_col, as_of=args.as_of)
     if args.tables:
-        row.write.mode("append").parquet(_table(args, "model_performance"))
+        path = _table(args, "model_performance")
+        G.write_registry(G.read_registry(spark, path).unionByName(row), path)
     row.show(truncate=False)
 
 
 def cmd_evaluate(args) -> None:
-    from .operators.ml import binary_metrics, class_report, confusion_matrix, load_model, predict, roc_auc
+    from .operators.ml import binary_metrics, class_report, confusion_matrix, load_model, model_input, predict, roc_auc
     from .sources.sinks import write_report
 
-    spark = _spark("txrisk-evaluate")
+    spark = _spark("txrisk-evaluate", args.features)
     model = load_model(args.model, spark)
-    pred = predict(spark.read.parquet(args.features), model) \
+    pred = predict(model_input(spark.read.parquet(args.features)), model) \
         .withColumn("_y", F.col(args.label).cast("int")).withColumn("_p", F.col("is_fraud").cast("int")).persist()
     try:
         m = binary_metrics(pred, "_y", "_p")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.columns import as_of_col
+from ..functions.columns import as_of_col, interval, ts_string
 from . import dashboard as D
 from .registry import active_model
 
@@ -76,18 +76,30 @@ def rapid_sequence_alerts(alerts: DataFrame, as_of=None, threshold: int = S.ALER
                           lookback: str = "30 minutes") -> DataFrame:
     """R3 (HIGH): users with at least ``threshold`` fraud alerts in the window.
 
-    The transaction ids of each sequence are available in long form from
-    ``dashboard.rapid_sequence_members`` (kept out of the record so a huge
+    ``details`` also holds the bounds of the window; with them and the user, :func:`rapid_sequence_ids` gives
+    the transaction ids of a sequence in long form (kept out of the record so a huge
     sequence never becomes one value)."""
     u = D.rapid_sequences(alerts, as_of, lookback, threshold)
+    t = as_of_col(as_of)
     kind, severity, fmt = S.ALERT_RAPID_SEQUENCE
     return make_alert(
         u, kind, severity,
         F.format_string(fmt, F.col("user_id"), F.col("fraud_count")),
-        F.struct(F.col("user_id"), F.col("fraud_count")),
+        F.struct(F.col("user_id"), F.col("fraud_count"), ts_string(t - interval(lookback)).alias("window_start"),
+                 ts_string(t).alias("window_end")),
         as_of)
 
 
+def rapid_sequence_ids(records: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The transactions of R3 records, in long form: (user_id, timestamp, transaction_id), one row for each
+    fraud alert of the user that was detected within the bounds that ``details`` states."""
+    d = F.from_json("details", "user_id string, window_start string, window_end string")
+    r = records.filter(F.col("alert_type") == F.lit(S.ALERT_RAPID_SEQUENCE[0])).select(
+        d["user_id"].alias("user_id"), "timestamp", F.to_timestamp(d["window_start"]).alias("_from"), F.to_timestamp(d["window_end"]).alias("_to"))
+    a = alerts.filter(F.col("is_fraud")).select("user_id", "transaction_id", "detection_time")
+    return r.join(a, "user_id").filter(F.col("detection_time").between(F.col("_from"), F.col("_to"))).select("user_id", "timestamp", "transaction_id")
+
+
 def model_degradation_alerts(models: DataFrame, as_of=None, min_accuracy: float = S.ALERT_MIN_ACCURACY,
                              min_precision: float = S.ALERT_MIN_PRECISION,
                              min_recall: float = S.ALERT_MIN_RECALL) -> DataFrame:

@@ -60,21 +60,20 @@ def _top_tx(tx: DataFrame, n: int, ascending: bool) -> DataFrame:
 
 
 def _page(top: DataFrame, alerts: DataFrame, n: int, ascending: bool) -> DataFrame:
-    # ``top`` has at most n rows (a proven bound), so it is broadcast into the
-    # join with the alerts table; the alerts table is scanned once, not shuffled.
-    a = alerts.select("transaction_id", F.col("fraud_score").alias("_fs"),
-                      F.col("is_fraud").alias("_if"), F.col("alert_status").alias("_st"))
-    j = a.join(F.broadcast(top), "transaction_id", "right")
-    rows = j.select(
+    # ``top`` and the matched page have at most n rows each (a proven bound), so both are broadcast: the alerts
+    # table is scanned once and never shuffled. Rows of J1 beyond the first n cannot be on the page, so neither can
+    # the place-holder of a transaction whose matches were cut off with them.
+    order = [F.col(c).asc() if ascending else F.col(c).desc() for c in ("transaction_time", "transaction_id", "fraud_score")]
+    a = alerts.select("transaction_id", F.col("fraud_score").alias("_fs"), F.col("is_fraud").alias("_if"), F.col("alert_status").alias("_st"))
+    matched = a.join(F.broadcast(top), "transaction_id").select(
         *TX_COLUMNS,
         F.coalesce(F.col("_fs").cast("double"), F.lit(0.0)).alias("fraud_score"),
         F.coalesce(F.col("_if"), F.lit(False)).alias("is_fraud"),
         F.coalesce(F.col("_st"), F.lit(S.NO_ALERT_STATUS)).alias("alert_status"),
-    )
-    order = ([F.col("transaction_time").asc(), F.col("transaction_id").asc(), F.col("fraud_score").asc()]
-             if ascending else
-             [F.col("transaction_time").desc(), F.col("transaction_id").desc(), F.col("fraud_score").desc()])
-    return rows.orderBy(*order).limit(n)
+    ).orderBy(*order).limit(n)
+    alone = top.join(F.broadcast(matched.select("transaction_id").distinct()), "transaction_id", "left_anti").select(
+        *TX_COLUMNS, F.lit(0.0).alias("fraud_score"), F.lit(False).alias("is_fraud"), F.lit(S.NO_ALERT_STATUS).alias("alert_status"))
+    return matched.unionByName(alone).orderBy(*order).limit(n)
 
 
 def recent_transactions(tx: DataFrame, alerts: DataFrame, limit: int = 20, ascending: bool = False) -> DataFrame:
@@ -205,10 +204,9 @@ def alert_counts(alerts: DataFrame, as_of=None, lookback: str = "24 hours",
 
 
 def _alerts_in_window(alerts: DataFrame, time_col: str, as_of, lookback: str, bound: bool) -> DataFrame:
-    """Alerts that can match a transaction of the window. An alert row carries its
-    transaction's ``transaction_time`` (the sinks copy it), so when the window is on
-    ``transaction_time`` the alert side is bounded by the same window: only the
-    matching days / row groups of the alerts table are read."""
+    """Alerts that can match a transaction of the window: all of them, unless the caller states with ``bound`` that
+    every alert row holds an exact copy of its transaction's ``transaction_time``; then a window on that column
+    also bounds the alert side, and only the matching days / row groups are read."""
     if bound and time_col == "transaction_time" and "transaction_time" in alerts.columns:
         return within(alerts, "transaction_time", as_of, lookback)
     return alerts
@@ -216,7 +214,7 @@ def _alerts_in_window(alerts: DataFrame, time_col: str, as_of, lookback: str, bo
 
 def fraud_rate(tx: DataFrame, alerts: DataFrame, as_of=None, lookback: str = "24 hours",
                time_col: str = "transaction_time", fraud_only: bool = True,
-               bound_alerts: bool = True) -> DataFrame:
+               bound_alerts: bool = False) -> DataFrame:
     """COUNT(DISTINCT fraud tx) / COUNT(DISTINCT tx) over the window, 0 when empty.
 
     Both sides are de-duplicated by transaction id first (partial aggregation
@@ -240,24 +238,17 @@ def fraud_rate(tx: DataFrame, alerts: DataFrame, as_of=None, lookback: str = "24
 def fraud_by_country(alerts: DataFrame, tx: DataFrame, as_of=None, lookback: str = "24 hours",
                      n: int = 10) -> DataFrame:
     """Fraud alerts per transaction country (inner join), top ``n`` by count."""
-    # On day-partitioned tables the alert also names its transaction's day: joining on
-    # it as well lets dynamic partition pruning read only those days of the transactions.
-    keys = ["transaction_id"]
-    if "transaction_date" in alerts.columns and "transaction_date" in tx.columns:
-        keys.append("transaction_date")
-    a = within(alerts.filter(F.col("is_fraud")), "detection_time", as_of, lookback).select(*keys)
-    # The recent alerts are normally few: broadcast them (after a size check) so
-    # the transactions table is only scanned, never shuffled, for this lookup.
-    from .joins import broadcast_if_small
-
-    j = tx.select(*keys, "country").join(broadcast_if_small(a), keys, "inner")
+    # the join is on the id alone: an alert's own day may be missing or differ. AQE broadcasts the recent
+    # alerts if they turn out small.
+    a = within(alerts.filter(F.col("is_fraud")), "detection_time", as_of, lookback).select("transaction_id")
+    j = tx.select("transaction_id", "country").join(a, "transaction_id", "inner")
     return (j.groupBy("country").agg(F.count(F.lit(1)).alias("fraud_count"))
             .orderBy(F.col("fraud_count").desc(), F.col("country").asc_nulls_last())
             .limit(n))
 
 
 def volume_history(tx: DataFrame, alerts: DataFrame, as_of=None, minutes: int = 1440,
-                   time_col: str = "transaction_time", bound_alerts: bool = True) -> DataFrame:
+                   time_col: str = "transaction_time", bound_alerts: bool = False) -> DataFrame:
     """A9 + F16 + O7: per minute, distinct transactions and distinct fraud transactions (ascending).
 
     (minute, id) pairs are de-duplicated before the join, alerts by id, so the

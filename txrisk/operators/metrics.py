@@ -50,7 +50,7 @@ def metrics_long(df: DataFrame, as_of=None) -> DataFrame:
     """Wide one-row metrics -> (metric_name, metric_value, metric_unit, timestamp).
 
     Integers -> unit 'count', floating / decimal -> 'ratio', booleans -> 1/0
-    'boolean', other types skipped. Driven by the schema, so one ``stack``.
+    'boolean', other types and values that are NULL (no active model) skipped.
     """
     from ..functions.columns import as_of_col
 
@@ -69,4 +69,4 @@ def metrics_long(df: DataFrame, as_of=None) -> DataFrame:
                                 val.cast("decimal(15,4)").alias("metric_value"),
                                 F.lit(unit).alias("metric_unit")))
     return (df.select(F.explode(F.array(*entries)).alias("m"))
-            .select("m.*", as_of_col(as_of).alias("timestamp")))
+            .select("m.*", as_of_col(as_of).alias("timestamp")).filter(F.col("metric_value").isNotNull()))

@@ -371,6 +371,14 @@ def evaluate(model: FraudModel, test: DataFrame, label: str = "label") -> dict:
             "f1_score": m["f1_score"], "roc_auc": auc}
 
 
+def model_input(df: DataFrame) -> DataFrame:
+    """The model's feature columns from either feature bundle: the batch bundle holds the user's transaction count as
+    ``user_tx_count``, which is the serving bundle's ``user_frequency``."""
+    if "user_frequency" not in df.columns and "user_tx_count" in df.columns:
+        return df.withColumn("user_frequency", F.col("user_tx_count").cast("int"))
+    return df
+
+
 def train_and_register(df: DataFrame, label: str, kind: str, out_dir: str | None = None,
                        id_col: str = "transaction_id", seed: int = 42, as_of=None, **params):
     """Split -> train -> evaluate -> (save) -> one model_performance row (G1).
@@ -382,6 +390,9 @@ def train_and_register(df: DataFrame, label: str, kind: str, out_dir: str | None
     import datetime as dt
 
     spark = df.sparkSession
+    if id_col not in df.columns:
+        raise ValueError(f"no column {id_col}: the split needs the id of a row")
+    df = model_input(df)
     train_df, test_df = stratified_split(df, label, id_col, 0.2, seed)
     when = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) if as_of is None else \
         (as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of)))
@@ -395,4 +406,4 @@ def train_and_register(df: DataFrame, label: str, kind: str, out_dir: str | None
     if out_dir:
         save_model(model, out_dir, spark)
     n = df.count()     # the split partitions df exactly
-    return model, performance_row(spark, model, n)
+    return model, performance_row(spark, model, n, when)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -42,10 +42,10 @@ def dedupe(df: DataFrame, key: str | Sequence[str], order_by: str | None = None,
            watermark: str | None = None, time_col: str = "transaction_time") -> DataFrame:
     """One row per key.
 
-    Batch: keeps the row with the smallest ``order_by`` (then all columns), so
+    Batch: keeps the row with the smallest ``order_by`` (NULL last, then all columns), so
     the result does not depend on partitioning; ``order_by=None`` keeps an
-    arbitrary row (``dropDuplicates``). Partial aggregation folds copies
-    map-side, so a key with a huge number of copies is cheap.
+    arbitrary row (``dropDuplicates``). Each map task forwards at most one row per key
+    (window group limit), so a key with a huge number of copies is cheap.
     Stream: ``withWatermark(time_col, watermark)`` + ``dropDuplicatesWithinWatermark``
     (``watermark`` is ignored for batch frames, which see all rows at once).
     """
@@ -55,10 +55,9 @@ def dedupe(df: DataFrame, key: str | Sequence[str], order_by: str | None = None,
         return df.withWatermark(time_col, wm).dropDuplicatesWithinWatermark(keys)
     if order_by is None:
         return df.dropDuplicates(keys)
-    rest = [c for c in df.columns if c not in keys]
-    ordered = [order_by] + [c for c in rest if c != order_by]
-    best = df.groupBy(*keys).agg(F.min(F.struct(*[F.col(c) for c in ordered])).alias("_row"))
-    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    rest = [c for c in df.columns if c not in keys and c != order_by]
+    first = Window.partitionBy(*keys).orderBy(F.col(order_by).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in rest])
+    return df.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def out_of_range(df: DataFrame, id_col: str = "transaction_id",

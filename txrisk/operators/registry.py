@@ -8,14 +8,41 @@ table version) instead of updating rows in place.
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.columns import as_of_col
 
 
+def _snapshots(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of the snapshots of a registry folder: (complete ones, all), ascending."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return [], []
+    names = [x.getPath().getName() for x in fs.listStatus(folder)]
+    every = sorted(int(n.removeprefix("snapshot-")) for n in names if re.fullmatch(r"snapshot-\d+", n))
+    done = [n for n in every if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot-{n:09d}/_SUCCESS"))]
+    return done, every
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry: its newest complete snapshot; no rows where none was written yet. A snapshot that cannot be
+    read is an error."""
+    done, _ = _snapshots(spark, path)
+    return spark.read.parquet(f"{path}/snapshot-{done[-1]:09d}") if done else spark.createDataFrame([], S.MODEL_PERFORMANCE)
+
+
+def write_registry(models: DataFrame, path: str) -> None:
+    """The registry's next snapshot. It becomes the current one when Spark commits it, as a whole; a write that fails
+    leaves the one before in place."""
+    _, every = _snapshots(models.sparkSession, path)
+    models.write.parquet(f"{path}/snapshot-{(every[-1] if every else 0) + 1:09d}")
+
+
 def read_model_info(spark: SparkSession, pattern: str) -> DataFrame:
     """S11 + F22: model metadata JSON files (one per model directory) with their path."""
     return (spark.read.schema(S.MODEL_INFO).option("multiLine", True).json(pattern)
@@ -56,9 +83,9 @@ def registration_audit(infos: DataFrame, as_of=None) -> DataFrame:
         as_of_col(as_of).alias("created_at"))
 
 
-def activate_model(models: DataFrame, version: str) -> DataFrame:
-    """A registry snapshot where exactly the rows of ``version`` are active."""
-    return models.withColumn("is_active", F.col("model_version") == F.lit(version))
+def activate_model(models: DataFrame, version: str | Column) -> DataFrame:
+    """A registry snapshot where exactly the rows of ``version`` (a value, or a scalar column) are active."""
+    return models.withColumn("is_active", F.col("model_version") == (version if isinstance(version, Column) else F.lit(version)))
 
 
 def activation_audit(spark_df: DataFrame, version: str, as_of=None) -> DataFrame:
@@ -104,7 +131,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order_col: str, tiebreak: lis
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def performance_row(spark: SparkSession, model, dataset_size: int | None = None) -> DataFrame:
+def performance_row(spark: SparkSession, model, dataset_size: int | None = None, as_of=None) -> DataFrame:
     """G1 for a freshly trained model: one ``model_performance`` row (inactive)."""
     m = model.metrics
     row = (model.version, m.get("accuracy"), m.get("precision"), m.get("recall"), m.get("f1_score"),
@@ -118,7 +145,7 @@ def performance_row(spark: SparkSession, model, dataset_size: int | None = None)
                            ("accuracy", "precision_score", "recall", "f1_score")],
         F.try_to_timestamp("training_date").alias("training_date"), "dataset_size",
         "feature_importance", "hyperparameters", F.lit(False).alias("is_active"),
-        F.current_timestamp().alias("created_at"))
+        as_of_col(as_of).alias("created_at"))
 
 
 def evaluation_registry(scored: DataFrame, label: str, prediction: str, period: str = "day",

@@ -60,8 +60,7 @@ def activated(spark, d):
     reg = registry(spark, d)
     newest = G.newest_model(reg.select("model_version", "training_date")).select("model_version")
     # G5 + G2: the newest version becomes the only active one.
-    v = newest.scalar()
-    return reg.withColumn("is_active", F.col("model_version") == v)
+    return G.activate_model(reg, newest.scalar())
 
 
 @query("registry_activate_newest", O.BASE + CONF_SQL + f"""
@@ -347,7 +346,7 @@ def q_alert_table_rows(spark, d):
     """S5/S6 row shapes + Q5 + P4: flagged rows as stored alerts: 8 columns, table types, defaults for status and detection time."""
     from ..sources.sinks import alert_rows
 
-    rows = alert_rows(scored(spark, d))
+    rows = alert_rows(scored(spark, d), table_defaults=False)
     rows = Q.with_defaults(rows, {"alert_status": "pending",
                                   "detection_time": F.lit(AS_OF).cast("timestamp")})
     return rows.select("transaction_id", "user_id", F.col("amount").cast("double").alias("amount"), "merchant",

@@ -66,7 +66,6 @@ TRANSACTION_LIMITS = {
 }
 AMOUNT_DECIMAL = (15, 2)
 SCORE_DECIMAL = (5, 4)
-METRIC_DECIMAL = (15, 4)
 
 # Alert records per rule: (alert_type, severity, message format)
 ALERT_HIGH_VALUE = ("HIGH_VALUE_FRAUD", "CRITICAL", "High-value fraud detected: $%.2f for user %s")
@@ -84,7 +83,6 @@ ALERT_PAYLOAD_PREFIX = "fraud_alert:"
 RULE_ALERT_KEY_PREFIX = "alert"
 ALERT_PAYLOAD_TTL = "1 hour"
 RULE_ALERT_TTL = "1 hour"
-METRICS_TTL = "5 minutes"
 
 # Alert table defaults and outer-join defaults
 PENDING_STATUS = "pending"
@@ -100,7 +98,6 @@ MODEL_FEATURES = [
     "transaction_type_encoded",
 ]
 CATEGORICAL_FEATURES = ["merchant", "country", "transaction_type"]
-# --------------------------------------------------------------------------
 
 TRANSACTION_MESSAGE = T.StructType([
     T.StructField("transaction_id", T.StringType(), False),
@@ -127,17 +124,12 @@ HISTORICAL_TRANSACTION = T.StructType([
 ])
 
 REQUIRED_TRANSACTION_COLUMNS = ["transaction_id", "user_id", "amount", "transaction_time"]
-REQUIRED_ALERT_COLUMNS = ["transaction_id", "user_id", "amount", "fraud_score", "is_fraud"]
-
-# Columns written to the transactions table (all scored rows) and the alerts table.
-TRANSACTION_TABLE_COLUMNS = [
-    "transaction_id", "user_id", "amount", "currency", "merchant",
-    "transaction_time", "country", "transaction_type",
-]
-ALERT_TABLE_COLUMNS = [
-    "transaction_id", "user_id", "amount", "merchant", "fraud_score",
-    "is_fraud", "model_version", "transaction_time",
-]
+# Filled in by a reviewer of an alert.
+REVIEW_COLUMNS = T.StructType([
+    T.StructField("reviewed_by", T.StringType()),
+    T.StructField("reviewed_at", T.TimestampType()),
+    T.StructField("notes", T.StringType()),
+])
 
 MODEL_INFO = T.StructType([
     T.StructField("model_type", T.StringType()),
@@ -180,16 +172,6 @@ MODEL_PERFORMANCE = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
-AUDIT_LOG = T.StructType([
-    T.StructField("event_type", T.StringType(), False),
-    T.StructField("event_description", T.StringType()),
-    T.StructField("user_id", T.StringType()),
-    T.StructField("transaction_id", T.StringType()),
-    T.StructField("model_version", T.StringType()),
-    T.StructField("metadata", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-])
-
 ALERT_RECORD = T.StructType([
     T.StructField("alert_type", T.StringType()),
     T.StructField("severity", T.StringType()),
@@ -197,3 +179,4 @@ ALERT_RECORD = T.StructType([
     T.StructField("details", T.StringType()),
     T.StructField("timestamp", T.TimestampType()),
 ])
+# --------------------------------------------------------------------------

@@ -53,11 +53,10 @@ def configure_for_scale(spark: SparkSession, input_bytes: int, **kw) -> SparkSes
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster.
+    """The shared checkpoint folder of the cluster, as ``spark.checkpoint.dir`` names it.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a folder under the system temp dir is set. On a cluster that setting
-    must name shared storage, never a machine-local folder.
+    On a cluster the setting must be there and name shared storage; without it this raises. Only a local
+    master (tests, one machine) gets a folder under the system temp dir.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = os.path.join(os.environ.get("TMPDIR", "/tmp"), "txrisk-checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -3,13 +3,16 @@
 Table sinks append Parquet partitioned by ``transaction_date`` (the day of
 ``transaction_time``); look-back filters on ``transaction_time`` add the matching
 partition predicate (``functions.columns.prune``), so whole days are skipped. For idempotent micro-batch writes the streaming layer
-passes ``batch_id``: rows then go to ``batch_id=<n>`` and that partition is
-overwritten (dynamic partition overwrite), so a replayed batch replaces its
-own output instead of duplicating it.
+passes ``batch`` = (run id, batch id): rows then go to ``run=<id>/batch_id=<n>`` and those partitions are
+overwritten (dynamic partition overwrite), so a replayed batch replaces its own output instead of
+duplicating it, and a later run, whose batch ids start at 0 again, touches none of it. Plain appends go to
+``run=batch/batch_id=<unique>``, so one path has one layout.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +20,11 @@ from .. import schemas as S
 from ..functions.columns import as_of_col, interval, money, score_decimal
 
 
-def _append(df: DataFrame, path: str, partition_by: list[str], batch_id: int | None, fmt: str = "parquet") -> None:
-    w = df
-    parts = list(partition_by)
-    if batch_id is not None:
-        w = w.withColumn("batch_id", F.lit(int(batch_id)))
-        parts = parts + ["batch_id"]
-        writer = w.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = w.write.mode("append")
-    if parts:
-        writer = writer.partitionBy(*parts)
-    writer.format(fmt).save(path)
+def _append(df: DataFrame, path: str, partition_by: list[str], batch: tuple[str, int] | None, fmt: str = "parquet") -> None:
+    run, number = batch if batch is not None else ("batch", uuid.uuid4().int % (1 << 62))
+    w = df.withColumns({"run": F.lit(str(run)), "batch_id": F.lit(int(number)).cast("bigint")})
+    writer = w.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by, "run", "batch_id").format(fmt).save(path)
 
 
 def transaction_rows(scored: DataFrame) -> DataFrame:
@@ -41,34 +37,35 @@ def transaction_rows(scored: DataFrame) -> DataFrame:
     ).withColumn("transaction_date", F.to_date("transaction_time"))
 
 
-def alert_rows(scored: DataFrame) -> DataFrame:
-    """S6 rows: flagged rows, 8 alert columns with table types (status and detection time
-    are filled by defaults, see ``quality.with_defaults``)."""
-    out = scored.filter(F.col("is_fraud")).select(
+def alert_rows(scored: DataFrame, as_of=None, table_defaults: bool = True) -> DataFrame:
+    """S6 rows: flagged rows with the alert table's types, and the day of the transaction. ``table_defaults`` fills the
+    detection time (that of the score, or now) and the status 'pending'; without it both are left NULL, to be filled by
+    ``quality.with_defaults``. The review columns start empty."""
+    detected = F.col("detection_time") if "detection_time" in scored.columns else as_of_col(as_of)
+    return scored.filter(F.col("is_fraud")).select(
         "transaction_id", "user_id", money("amount").alias("amount"), "merchant",
         score_decimal("fraud_score").alias("fraud_score"), "is_fraud", "model_version",
-        F.col("transaction_time").cast("timestamp").alias("transaction_time"))
-    return out.withColumns({"detection_time": F.lit(None).cast("timestamp"),
-                            "alert_status": F.lit(None).cast("string")})
+        F.col("transaction_time").cast("timestamp").alias("transaction_time"),
+        (detected if table_defaults else F.lit(None)).cast("timestamp").alias("detection_time"),
+        F.lit(S.PENDING_STATUS if table_defaults else None).cast("string").alias("alert_status"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in S.REVIEW_COLUMNS.fields],
+        # the transaction's day: deterministic, so a replayed batch overwrites exactly the partitions of its first attempt
+        F.to_date("transaction_time").alias("transaction_date"))
 
 
-def sink_transactions(scored: DataFrame, path: str, batch_id: int | None = None) -> None:
+def sink_transactions(scored: DataFrame, path: str, batch: tuple[str, int] | None = None) -> None:
     """Append all scored rows to the transactions table (partitioned by transaction_date)."""
-    _append(transaction_rows(scored), path, ["transaction_date"], batch_id)
+    _append(transaction_rows(scored), path, ["transaction_date"], batch)
 
 
-def sink_alerts(scored: DataFrame, path: str, as_of=None, batch_id: int | None = None) -> None:
+def sink_alerts(scored: DataFrame, path: str, as_of=None, batch: tuple[str, int] | None = None) -> None:
     """Append flagged rows to the alerts table, status 'pending'."""
-    rows = (scored.filter(F.col("is_fraud")).select(
-        "transaction_id", "user_id", money("amount").alias("amount"), "merchant",
-        score_decimal("fraud_score").alias("fraud_score"), "is_fraud", "model_version",
-        F.col("transaction_time").cast("timestamp").alias("transaction_time"),
-        (F.col("detection_time") if "detection_time" in scored.columns else as_of_col(as_of)).alias("detection_time"),
-        F.lit(S.PENDING_STATUS).alias("alert_status"))
-        # partition by the transaction's day: deterministic, so a replayed batch
-        # overwrites exactly the partitions of its first attempt
-        .withColumn("transaction_date", F.to_date("transaction_time")))
-    _append(rows, path, ["transaction_date"], batch_id)
+    _append(alert_rows(scored, as_of), path, ["transaction_date"], batch)
+
+
+def sink_quarantine(rows: DataFrame, path: str, batch: tuple[str, int] | None = None) -> None:
+    """Append rows that failed a check, with its reason, to the quarantine table (partitioned by reason)."""
+    _append(rows, path, ["reason"], batch)
 
 
 def alert_payload(alerts: DataFrame, ttl: str = S.ALERT_PAYLOAD_TTL) -> DataFrame:

@@ -31,6 +31,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def read_table_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where nothing was written yet. Any other fault is raised: an unreadable table is
+    not an empty one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.parquet(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None,
               partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
               num_partitions: int = 64) -> DataFrame:
@@ -50,7 +59,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = No
                num_partitions: int = 32, batch_size: int = 10_000) -> None:
     """S5/S6 into a relational database: batched inserts from at most ``num_partitions``
     parallel connections (bounded load on the database)."""
-    writer = (df.coalesce(num_partitions).write.format("jdbc").mode(mode).option("url", url)
+    # repartition, not coalesce: the stages before keep their own parallelism
+    writer = (df.repartition(num_partitions).write.format("jdbc").mode(mode).option("url", url)
               .option("dbtable", table).option("batchsize", str(batch_size)))
     for k, v in (properties or {}).items():
         writer = writer.option(k, v)

@@ -1,10 +1,12 @@
 """Structured Streaming jobs.
 
 ``run_stream`` is the scoring job: messages -> serving features -> score ->
-two table sinks inside ``foreachBatch``. Each micro-batch is written under its
-own ``batch_id`` partition with dynamic partition overwrite, so when a batch
-is replayed after a failure (the checkpoint commits only after the batch
-function returns) its rows replace the earlier attempt instead of doubling.
+two table sinks inside ``foreachBatch``, and a quarantine table for what cannot be scored: malformed messages
+and rows without a required value (``invalid``), and, with duplicate removal, rows that come after the watermark
+(``late``). Each micro-batch is written under its own (run, batch id) partitions with dynamic partition
+overwrite. The run id is stored with the query's checkpoint: a batch that is replayed after a failure (the
+checkpoint commits only after the batch function returns) replaces its earlier attempt, and the batches of
+another checkpoint, whose ids start at 0 again, go to partitions of their own.
 Errors are not swallowed: a failing sink fails the query, and the checkpoint
 brings it back to the last committed batch.
 
@@ -16,16 +18,18 @@ watermark is a no-op and the same code gives the batch answer.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_timestamp
+from ..functions.columns import as_timestamp, interval, prune
 from ..operators.features import serving_features
-from ..operators.quality import dedupe
+from ..operators.quality import split_valid
 from ..operators.scoring import score
 from ..session import checkpoint_dir
 from ..sources import sinks
+from ..sources.tables import read_table_if_any
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
@@ -33,38 +37,87 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", name)
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of a checkpoint's run: made once, kept in the checkpoint folder (any file system that Spark writes)."""
+    path = os.path.join(checkpoint, "run_id")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        spark.range(1).select(F.lit(uuid.uuid4().hex).alias("value")).coalesce(1).write.text(path)
+    return spark.read.text(path).first()["value"]
+
+
 def score_batch(batch: DataFrame, batch_id: int, tx_path: str, alerts_path: str, model=None,
-                as_of=None) -> None:
-    """T3 + T4 + T5: score one micro-batch and fan out to both sinks, idempotently."""
+                as_of=None, run: str = "batch", quarantine_path: str | None = None) -> None:
+    """T3 + T4 + T5: check and score one micro-batch and fan out to the sinks, idempotently.
+
+    Rows without a required value go to ``quarantine_path`` if given, with what is missing; they are scored like
+    any row if not."""
     if batch.isEmpty():                    # T5
         return
-    scored = score(batch, model, as_of).persist()
+    good = batch
+    if quarantine_path:
+        good, bad = split_valid(batch)
+        sinks.sink_quarantine(quarantine_rows(bad, "invalid", "missing"), quarantine_path, (run, batch_id))
+    scored = score(good, model, as_of).persist()
     try:
-        sinks.sink_transactions(scored, tx_path, batch_id=batch_id)
-        sinks.sink_alerts(scored, alerts_path, batch_id=batch_id)
+        sinks.sink_transactions(scored, tx_path, batch=(run, batch_id))
+        sinks.sink_alerts(scored, alerts_path, batch=(run, batch_id))
     finally:
         scored.unpersist()
 
 
+def quarantine_rows(rows: DataFrame, reason: str, detail: str | None = None) -> DataFrame:
+    """Rows for the quarantine table: the row as JSON, why (``detail`` names an array column), and when."""
+    cols = [c for c in rows.columns if c != detail]
+    return rows.select(F.to_json(F.struct(*cols)).alias("row"), (F.array_join(detail, ",") if detail else F.lit(None).cast("string")).alias("detail"),
+                       F.current_timestamp().alias("quarantined_at"), F.lit(reason).alias("reason"))
+
+
+def unseen_rows(batch: DataFrame, tx_path: str, watermark: str, own: tuple[str, int]) -> tuple[DataFrame, DataFrame]:
+    """T11 for one micro-batch: (rows whose transaction id is neither repeated in the batch nor stored within the
+    watermark, late rows). The watermark is ``watermark`` before the newest time that earlier batches stored (as in
+    Spark's own, rows of one batch are not late for each other); the batch's own partitions (an earlier attempt) do not
+    count. Rows without an id or a readable time are not judged here, they stay."""
+    batch = batch.withColumn("_event_time", as_timestamp(batch, "transaction_time"))
+    judged = F.col("transaction_id").isNotNull() & F.col("_event_time").isNotNull()
+    stored, latest = read_table_if_any(batch.sparkSession, tx_path), None
+    if stored is not None:
+        stored = stored.filter(~((F.col("run").cast("string") == own[0]) & (F.col("batch_id") == own[1])))
+        latest = stored.agg(F.max("transaction_time").alias("t")).first()["t"]
+    if latest is None:
+        once = batch.filter(judged).dropDuplicates(["transaction_id"])
+        return once.unionByName(batch.filter(~judged)).drop("_event_time"), batch.drop("_event_time").limit(0)
+    limit = F.lit(latest) - interval(watermark)
+    late = F.coalesce(F.col("_event_time") < limit, F.lit(False))
+    once = batch.filter(~late & judged).dropDuplicates(["transaction_id"])
+    recent = prune(stored, "transaction_time", limit, F.lit(latest)).filter(F.col("transaction_time") >= limit)
+    once = once.join(recent.select("transaction_id"), "transaction_id", "left_anti").select(*batch.columns)
+    return once.unionByName(batch.filter(~late & ~judged)).drop("_event_time"), batch.filter(late).drop("_event_time")
+
+
 def run_stream(messages: DataFrame, tx_path: str, alerts_path: str, checkpoint: str | None = None,
                model=None, trigger: dict | None = None, user_stats: DataFrame | None = None,
-               name: str = "scoring", dedupe_watermark: str | None = None):
+               name: str = "scoring", dedupe_watermark: str | None = None, quarantine_path: str | None = None):
     """Start the scoring query on a stream of parsed messages.
 
     ``trigger`` is passed to ``writeStream.trigger`` (e.g. ``{"availableNow": True}``
     or ``{"processingTime": "5 seconds"}``); default is Spark's micro-batch as soon as possible.
-    ``dedupe_watermark`` enables T11 (duplicate transaction ids dropped within the watermark).
+    ``dedupe_watermark`` enables T11 (duplicate transaction ids dropped within the watermark): each micro-batch is
+    held against the transactions stored within ``dedupe_watermark`` of the newest stored one; rows older than that go to
+    the quarantine as ``late``.
+    ``quarantine_path`` defaults to ``<tx_path>_quarantine``.
     """
     spark = messages.sparkSession
-    df = messages
-    if dedupe_watermark:
-        df = df.withColumn("_event_time", as_timestamp(df, "transaction_time"))
-        df = dedupe(df, "transaction_id", watermark=dedupe_watermark, time_col="_event_time").drop("_event_time")
-    features = serving_features(df, user_stats)
+    features = serving_features(messages, user_stats)
     checkpoint = checkpoint or stream_checkpoint(spark, name)
+    quarantine = quarantine_path or tx_path.rstrip("/") + "_quarantine"
+    run = run_id(spark, checkpoint)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch, batch_id, tx_path, alerts_path, model)
+        if dedupe_watermark and not batch.isEmpty():
+            batch, late = unseen_rows(batch, tx_path, dedupe_watermark, (run, batch_id))
+            sinks.sink_quarantine(quarantine_rows(late, "late"), quarantine, (run, batch_id))
+        score_batch(batch, batch_id, tx_path, alerts_path, model, run=run, quarantine_path=quarantine)
 
     writer = (features.writeStream.foreachBatch(process).outputMode("append")
               .option("checkpointLocation", checkpoint).queryName(name))
