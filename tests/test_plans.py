@@ -12,7 +12,7 @@ from oracle_harness import compare, duck
 from txrisk.plans.catalog import ORACLE, QUERIES
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
-TRAINING = {"model_predictions", "model_feature_importance"}
+
 
 
 def plan(df, mode="formatted"):
@@ -27,8 +27,6 @@ def test_no_python_udf_in_any_query_and_types_match_oracle(spark, sf001):
     con = duck(sf001)
     sqls = ORACLE
     for name, fn in QUERIES.items():
-        if name in TRAINING:
-            continue
         df = fn(spark, sf001)
         text = plan(df)
         assert not any(node in text for node in PY_NODES), name

