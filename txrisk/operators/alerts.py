@@ -43,7 +43,7 @@ def make_alert(df: DataFrame, alert_type: str, severity: str, message: Column, d
 
 def high_value_alerts(alerts: DataFrame, as_of=None, threshold: float = S.ALERT_HIGH_AMOUNT,
                       lookback: str = "5 minutes") -> DataFrame:
-    """R1 (CRITICAL): recent pending fraud alerts above the amount threshold, largest first
+    """R1 + P8 + O6 (CRITICAL): recent pending fraud alerts above the amount threshold, largest first
     (P8: conjunction recent AND amount > threshold AND is_fraud AND pending; O6: amount descending)."""
     a = D.within(alerts, "detection_time", as_of, lookback).filter(
         (F.col("amount") > F.lit(threshold)) & F.col("is_fraud") & (F.col("alert_status") == F.lit(S.PENDING_STATUS)))
@@ -103,7 +103,7 @@ def rapid_sequence_ids(records: DataFrame, alerts: DataFrame) -> DataFrame:
 def model_degradation_alerts(models: DataFrame, as_of=None, min_accuracy: float = S.ALERT_MIN_ACCURACY,
                              min_precision: float = S.ALERT_MIN_PRECISION,
                              min_recall: float = S.ALERT_MIN_RECALL) -> DataFrame:
-    """R4 (MEDIUM): the active model below any of the three thresholds
+    """R4 + P9 (MEDIUM): the active model below any of the three thresholds
     (P9: accuracy < .85 OR precision < .75 OR recall < .75)."""
     m = active_model(models)
     m = m.filter((F.col("accuracy") < F.lit(min_accuracy)) | (F.col("precision_score") < F.lit(min_precision))
@@ -121,7 +121,7 @@ def model_degradation_alerts(models: DataFrame, as_of=None, min_accuracy: float
 
 def high_score_alerts(alerts: DataFrame, as_of=None, threshold: float = S.ALERT_HIGH_FRAUD_SCORE,
                       lookback: str = "5 minutes") -> DataFrame:
-    """Optional rule on the declared 0.95 score threshold (not in the default set)."""
+    """Optional rule on the declared 0.95 score threshold (not in the default set)."""
     a = D.within(alerts, "detection_time", as_of, lookback).filter(
         F.col("is_fraud") & (F.col("fraud_score") >= F.lit(threshold)))
     return make_alert(

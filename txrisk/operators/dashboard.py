@@ -215,7 +215,7 @@ def _alerts_in_window(alerts: DataFrame, time_col: str, as_of, lookback: str, bo
 def fraud_rate(tx: DataFrame, alerts: DataFrame, as_of=None, lookback: str = "24 hours",
                time_col: str = "transaction_time", fraud_only: bool = True,
                bound_alerts: bool = False) -> DataFrame:
-    """COUNT(DISTINCT fraud tx) / COUNT(DISTINCT tx) over the window, 0 when empty.
+    """A7 + J2 + J3: COUNT(DISTINCT fraud tx) / COUNT(DISTINCT tx) over the window, 0 when empty.
 
     Both sides are de-duplicated by transaction id first (partial aggregation
     folds copies map-side), so the left join that follows is one-to-one and
