@@ -94,7 +94,7 @@ def test_quality_of_unseen_texts(spark):
     ready(spark)
     schema = "doc_id long, text string, quality int, n_chars long"
     train = spark.createDataFrame([(i, t, q, len(t)) for i, t, q in quality_rows(200, 1)] + [(900, None, 1, None), (901, "x", None, 1)], schema)
-    m = quality.fit(train, per_label=60)
+    m = quality.fit(train, train, per_label=60)
     rows = [(i, t, q, len(t)) for i, t, q in quality_rows(80, 2)] + [(90, None, 0, None), (91, "", 0, 0), (None, "a " * 100_000, 0, 1), (1, "a", 0, 1)]
     df = spark.createDataFrame(rows, schema)
     got = [tuple(r) for r in quality.score(df, m).collect()]
@@ -109,8 +109,8 @@ def test_quality_of_unseen_texts(spark):
 def test_quality_with_one_class_or_none(spark):
     ready(spark)
     df = spark.createDataFrame([(1, "a b", 1, 3)], "doc_id long, text string, quality int, n_chars long")
-    assert quality.score(df, quality.fit(df)).first()["score"] > 0.9
-    assert quality.score(df, quality.fit(df.limit(0))).first()["score"] == 0.5
+    assert quality.score(df, quality.fit(df, df)).first()["score"] > 0.9
+    assert quality.score(df, quality.fit(df, df.limit(0))).first()["score"] == 0.5
 
 
 def toxic_rows(n, seed):

@@ -32,3 +32,9 @@ def sample(df: DataFrame, id_col: str, label: str, per_label: int, n: dict, salt
         part = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / rows))).otherwise(part)
     return df.withColumn("_part", part).filter(share(id_col, salt) < F.col("_part")).withColumn(
         "weight", 1.0 / F.col("_part")).drop("_part")
+
+
+def labelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that a :func:`sample` of labels (``id``, ``label``, ``weight``) chose. A sample of two
+    labels has at most about 2 * per_label small rows, so it is broadcast and no text is shuffled."""
+    return docs.join(F.broadcast(chosen), "id")

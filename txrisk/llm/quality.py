@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .learn import counts, sample
+from .learn import counts, labelled, sample
 
 WORDS = 1 << 14
 RANK = 8
@@ -66,7 +66,7 @@ def _feature_rows(n_meta):
                     a, v = features(b, d, meta[b.row + d])
                     at.append(a.astype(np.int32).tobytes())
                     x.append(v.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=["label", "weight", "at", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=["order", "label", "at", "x"])
 
     return run
 
@@ -119,19 +119,20 @@ def _input(df: DataFrame, text_col: str, meta_cols: tuple[str, ...]) -> list:
     return [*[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(meta_cols)], F.col(text_col).alias("text")]
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         meta_cols: tuple[str, ...] = ("n_chars",), per_label: int = PER_LABEL) -> Machine:
-    """Learn from labelled rows (0 or 1; rows without id or label are left out, null texts count as empty). With
-    one class only, or no rows, every score is that class's, or 0.5."""
-    rows = train.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), *_input(train, text_col, meta_cols)).filter(
-        "id is not null and label in (0, 1)")
-    n = counts(rows, "label")
+    """Learn from the texts of ``docs`` whose ids ``labels`` marks 0 or 1 (rows without id or label are left out, null
+    texts count as empty). With one class only, or no rows, every score is that class's, or 0.5."""
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    n = counts(marks, "label")
     size = WORDS + len(STATISTICS) + len(meta_cols)
     if len(n) < 2:
         return Machine(0.0 if not n else 4.0 if 1 in n else -4.0, np.zeros(size), np.zeros((size, RANK)))
-    got = sample(rows, "id", "label", per_label, n).orderBy(F.xxhash64("id")).select(
-        "label", "weight", *[f"m{i}" for i in range(len(meta_cols))], "text").mapInArrow(
-        _feature_rows(len(meta_cols)), "label int, weight double, at binary, x binary").collect()
+    texts = docs.select(F.col(id_col).alias("id"), *_input(docs, text_col, meta_cols))
+    got = labelled(texts, sample(marks, "id", "label", per_label, n)).select(
+        F.xxhash64("id").alias("order"), "label", *[f"m{i}" for i in range(len(meta_cols))], "text").mapInArrow(
+        _feature_rows(len(meta_cols)), "order bigint, label int, at binary, x binary").collect()
+    got.sort(key=lambda r: (r["order"], r["label"], r["at"]))     # whatever the partitions
     data = [(r["label"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(np.float64)) for r in got]
     m = fit_machine(data, size)
     have = {k: sum(1 for y, _, _ in data if y == k) for k in (0, 1)}

@@ -115,8 +115,7 @@ def op3_quality(spark, sf_dir):
     from .learn import remainder
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    machine = quality.fit(labelled.filter(remainder("doc_id", 3) != 1))
+    machine = quality.fit(docs, table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1))
     return quality.score(docs, machine).select(
         "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -140,8 +139,7 @@ def op2_toxicity(spark, sf_dir):
     from .learn import remainder
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    model = toxicity.fit(docs, labelled.filter(remainder("doc_id", 5) != 0))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0))
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -6,9 +6,9 @@
    are lattices: each sign may stand for several letters (or for nothing), each repetition may be dropped, each
    gap between single letters may be none. Viterbi takes the path most probable under the language
    model and the channel. Other words have one path only and stay as they are.
-3. Score: words and word beginnings of the restored text carry the log-odds of toxic against other labelled training
-   rows, by documents counted over all of those; a logistic regression over a text's strongest words, fitted on a
-   bounded sample of other training rows, gives the probability.
+3. Score: words and word beginnings of the restored text carry the log-odds of toxic against other labelled rows, by
+   documents; a logistic regression over a text's strongest words gives the probability. Both are fitted on a bounded
+   sample (about ``per_label`` labelled rows of each class), three quarters of it for the odds, the rest for the regression.
 
 Labels, language, source and id are no inputs of a score.
 """
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .learn import counts, sample, share
+from .learn import counts, labelled, sample, share
 
 CLASSES = 32
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)                  # bytes
 TOP = 4
-PER_LABEL = 3000
+PER_LABEL = 12_000
 MAX_TOKEN = 64                        # longer tokens are decoded in pieces
 
 # What a sign may stand for: fixed values of the channel.
@@ -304,29 +304,29 @@ def character_model(texts: DataFrame, text_col: str = "text") -> CharacterModel:
     return CharacterModel.of(count)
 
 
-def fit(texts: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         per_label: int = PER_LABEL) -> Model:
-    """``texts``: any texts, for the language model. ``train``: rows labelled 0 or 1 (those without id or label are left
-    out, null texts count as empty). With one class only, or no rows, every score is that class's, or 0.5."""
-    spark = texts.sparkSession
-    characters = character_model(texts, text_col)
-    rows = train.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")).filter(
-        "id is not null and label in (0, 1)")
-    n = counts(rows, "label")
+    """Learn from the texts of ``docs``: the language model from all of them, the rest from those whose ids ``labels``
+    marks 0 or 1 (rows without id or label are left out, null texts count as empty), about ``per_label`` of each.
+    With one class only, or no rows, every score is that class's, or 0.5."""
+    spark = docs.sparkSession
+    characters = character_model(docs, text_col)
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    n = counts(marks, "label")
     if len(n) < 2:
         return Model(characters, np.zeros(BUCKETS, np.float32), np.array([0.0] * TOP + [0.0 if not n else 4.0 if 1 in n else -4.0]))
+    rows = labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sample(marks, "id", "label", per_label, n))
     counted = share("id", 2) >= 0.25                    # the others fit the regression
     shared = spark.sparkContext.broadcast(characters)
     toxic, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
     got = rows.filter(counted).select("label", "text").mapInArrow(_count_rows(shared), "bucket int, toxic bigint, other bigint")
     for r in got.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect():   # at most BUCKETS rows
         toxic[r["bucket"]], other[r["bucket"]] = r["toxic"], r["other"]
-    own = counts(rows.filter(counted), "label")
+    own = counts(sample(marks, "id", "label", per_label, n).filter(counted), "label")
     odds = np.log((toxic + 0.5) / (own.get(1, 0) + 1)) - np.log((other + 0.5) / (own.get(0, 0) + 1))
     odds[toxic + other == 0] = 0
     model = Model(characters, odds.astype(np.float32), np.zeros(TOP + 1))
-    rest = rows.filter(~counted)
-    left = sample(rest, "id", "label", per_label, counts(rest, "label")).select("label", "weight", "text").mapInArrow(
+    left = rows.filter(~counted).select("label", "weight", "text").mapInArrow(
         _evidence_rows(spark.sparkContext.broadcast(model)), "label int, weight double, x array<double>").collect()
     if len({r["label"] for r in left}) == 2:
         model.weights = _logistic(np.array([r["x"] for r in left]), np.array([r["label"] for r in left]), np.array([r["weight"] for r in left]))
