@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm import bpe, decontam, lines, neardup, quality
 from txrisk.llm.learn import remainder
-from txrisk.llm.runtime import ready, saved
+from txrisk.llm.runtime import ready, saved, shuffle_partitions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +28,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores under 0.5 go. Null texts count as empty."""
     ready(spark)
-    labelled = docs.select("doc_id", "text", "n_chars").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    machine = quality.fit(labelled.filter(remainder("doc_id", 3) != 1))
+    machine = quality.fit(docs, _table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1))
     return quality.keep_good(docs, machine)
 
 
@@ -43,7 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate class stays, that with the smallest id; documents without words or id stay."""
     ready(spark)
     gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # dealt by id at every size, rather than only where the ids are too many to broadcast
+    by_id = docs.repartition(shuffle_partitions(spark), "doc_id")
+    return by_id.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
