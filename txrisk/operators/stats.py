@@ -102,16 +102,11 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def scale(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """M3: (x - mean) / std with std 0 treated as 1. ``stats`` is the one-row fit.
-
-    The fit is read once (2 numbers per column, a bounded round trip) and the
-    projection uses literals: one aggregation job, a codegen'd projection, and
-    it also works on streaming frames."""
-    row = stats.first()
+    """M3: (x - mean) / std with std 0 treated as 1. ``stats`` is the one-row fit, read as a scalar subquery: no job
+    while the query is built, no join. (``ml.scale_with`` takes the numbers themselves, for streams.)"""
+    fit = F.col("_fit")
     out = {}
     for c in cols:
-        mean, std = row[f"{c}_mean"], row[f"{c}_std"]
-        std = 1.0 if (std is None or std == 0) else float(std)
-        mean = 0.0 if mean is None else float(mean)
-        out[f"{c}{suffix}"] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(std)
-    return df.withColumns(out)
+        std = F.coalesce(F.nullif(fit[f"{c}_std"], F.lit(0.0)), F.lit(1.0))
+        out[f"{c}{suffix}"] = (F.col(c).cast("double") - F.coalesce(fit[f"{c}_mean"], F.lit(0.0))) / std
+    return df.withColumn("_fit", stats.select(F.struct(*stats.columns)).scalar()).withColumns(out).drop("_fit")
