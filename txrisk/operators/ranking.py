@@ -49,25 +49,33 @@ def order_proxy(df: DataFrame, col: str) -> Column:
     return c
 
 
-def default_buckets(df: DataFrame) -> int:
+def default_buckets(df: DataFrame, rows: int | None = None) -> int:
     """As many ranges as shuffle partitions, and more where a range would exceed ROWS_PER_RANGE rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    rows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return max(8, parts, -(-rows // ROWS_PER_RANGE))
+    return max(8, parts, -(-(rows or 0) // ROWS_PER_RANGE))
 
 
-def boundaries(df: DataFrame, col: str, n_buckets: int) -> list:
+def _quantiles(df: DataFrame, col: str, n: int) -> tuple[int, list]:
+    """(rows, sorted distinct approximate quantiles) of a numeric ``col``, nulls ignored, in one aggregation."""
+    probs = [i / n for i in range(1, n)]
+    r = df.agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx(col, probs, 20 * n).alias("qs")).first()
+    return r["rows"], sorted(set(q for q in r["qs"] or [] if q is not None))
+
+
+def boundaries(df: DataFrame, col: str, n_buckets: int | None) -> list:
     """Sorted distinct approximate quantiles of a numeric ``col``, or quantiles of values drawn from a string one
-    (nulls ignored)."""
+    (nulls ignored); without ``n_buckets`` as many as :func:`default_buckets` says for the rows."""
     from pyspark.sql import types as T
 
-    if n_buckets <= 1:
+    if n_buckets is not None and n_buckets <= 1:
         return []
     if isinstance(df.schema[col].dataType, (T.StringType, T.BinaryType)):
-        return _string_boundaries(df, col, n_buckets)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets))
-    return sorted(set(q for q in qs if q is not None))
+        return _string_boundaries(df, col, n_buckets or default_buckets(df, df.count()))
+    n = n_buckets or default_buckets(df)
+    rows, found = _quantiles(df, col, n)
+    if n_buckets is None and default_buckets(df, rows) > n:
+        _, found = _quantiles(df, col, default_buckets(df, rows))
+    return found
 
 
 def _string_boundaries(df: DataFrame, col: str, n_buckets: int) -> list:
@@ -110,8 +118,7 @@ def bucket_of(value: Column, bounds: Sequence, descending: bool = False) -> Colu
 
 def key_boundaries(df: DataFrame, key: str, n_buckets: int | None = None) -> list:
     """Range boundaries for ``key`` taken from ``df`` (any frame holding the key column)."""
-    nb = n_buckets or default_buckets(df)
-    return boundaries(df.select(order_proxy(df, key).alias(_PROXY)), _PROXY, nb)
+    return boundaries(df.select(order_proxy(df, key).alias(_PROXY)), _PROXY, n_buckets)
 
 
 def _null_safe(parts: Sequence[str], null_parts: bool = True) -> Column:
