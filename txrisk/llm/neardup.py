@@ -1,20 +1,20 @@
 """Near-duplicate classes by a chosen-path set similarity join.
 
 A document is the set of its 5-word shingles. Each of ``trees`` random trees branches the
-documents recursively: a node picks about 1 / (threshold * positions) of the minwise positions, and a
-document follows the branch of its own minwise token at each of them, so similar documents go on
+documents recursively: a node picks some of the minwise positions at random (``BRANCH`` / threshold of them on average),
+and a document follows the branch of its own minwise token at each of them, so similar documents go on
 together and others part. A node is decided as soon as it is small: its documents are compared
-with each other. Only the documents of larger nodes branch further. A pair at the threshold is
-lost by one tree with probability about 0.37 where nodes are small at once, and by all
-trees with about 0.37 ** trees; long paths, in very large groups of similar texts, lose more
-a tree, which the same number of trees makes up for.
+with each other. Only the documents of larger nodes branch further. Where nodes are small at once a pair at the
+threshold is lost with probability 0.25 ** (positions picked by all roots, more than 10), under one in a million; in groups
+of thousands of texts that are all about as alike as the threshold, paths are longer and a single pair at the threshold
+may be lost in a few of a thousand cases, though most texts of such groups have many links.
 
 Nothing depends on a group being small:
 
 * equal sets are one vertex from the start (a grouped minimum, folded before the shuffle);
-* each vertex is first held against the leaders (smallest ids) of its nodes and linked with the most similar one: a
+* members of large nodes are first held against the smallest id of each and linked with the most similar one: a
   group of any size falls into few parts by a linear number of comparisons. A leader with many followers is salted;
-* then only nodes that still hold several parts are looked at, and only across parts;
+* then only nodes that still hold several parts are looked at, only across parts, and nodes of the same members once;
 * a node that stays large at ``max_depth`` is cut into blocks, and blocks are compared by twos.
 
 Signatures only propose: every link is confirmed on the full shingle sets of both texts.
@@ -22,6 +22,8 @@ Signatures only propose: every link is confirmed on the full shingle sets of bot
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,14 +31,17 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .components import components
-from .runtime import Out, saved
+from .runtime import Out, saved, shuffle_partitions
 
 POSITIONS = 128
-TREES = 16
-MAX_DEPTH = 10
-NODE_SIZE = 192
+TREES = 9
+BRANCH = 1.25
+MAX_DEPTH = 7
+NODE_SIZE = 2048
+TINY_NODE = 64             # decided at once, however long its texts are
+SHINGLES_PER_MEMBER = 1000 # a node of more than this a member, at full size, counts as large
 THRESHOLD = 75            # percent
-_SLACK = 0.15             # a pair is confirmed from this far below the threshold: 4 standard errors of the estimate
+_SLACK = 0.12             # a pair is confirmed from this far below the threshold: 3 standard errors of the estimate
 _HASH = vec.MinHash(POSITIONS, seed=4)
 _FOLLOWERS = 128
 
@@ -61,9 +66,9 @@ def _signatures(k):
 
 
 def _branch(threshold, roots):
-    """(node, id, sig) -> (node, id) of the chosen children; with ``roots`` the nodes are given, for (id, sig)."""
+    """(node, id, n, sig) -> (node, id, n) of the chosen children; with ``roots`` the nodes are given, for (id, n, sig)."""
     salt = vec.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64))
-    limit = np.uint64(int(2 ** 64 / (threshold * POSITIONS)))
+    limit = np.uint64(int(2 ** 64 * BRANCH / (threshold * POSITIONS)))
 
     def children(node: np.ndarray, sig: np.ndarray):
         rows, at = np.nonzero(vec.mix(node[:, None] ^ salt[None, :]) < limit)
@@ -76,7 +81,7 @@ def _branch(threshold, roots):
                 continue
             names = batch.schema.names
             sig = np.frombuffer(b"".join(batch.column(names.index("sig")).to_pylist()), np.uint32).reshape(n, POSITIONS)
-            ids = batch.column(names.index("id"))
+            ids, size = batch.column(names.index("id")), batch.column(names.index("n"))
             if roots is None:
                 starts = [batch.column(names.index("node")).to_numpy(zero_copy_only=False).view(np.uint64)]
             else:
@@ -84,8 +89,8 @@ def _branch(threshold, roots):
             for node in starts:
                 for i in range(0, n, 2048):
                     rows, child = children(node[i: i + 2048], sig[i: i + 2048])
-                    yield pa.RecordBatch.from_arrays([pa.array(child), ids.take(pa.array(rows + i))],
-                                                     schema=pa.schema([pa.field("node", pa.int64()), pa.field("id", ids.type)]))
+                    rows = pa.array(rows + i)
+                    yield pa.RecordBatch.from_arrays([pa.array(child), ids.take(rows), size.take(rows)], names=["node", "id", "n"])
 
     return run
 
@@ -159,6 +164,22 @@ def _propose(slack):
     return run
 
 
+def _intersections(sets: list[np.ndarray]):
+    """For i = 1, 2, ...: the sizes of the intersections of set i with each set before it, by bit masks over
+    the elements that at least two sets have."""
+    sizes = [len(x) for x in sets]
+    every, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    keep = times[place] > 1
+    row = np.repeat(np.arange(len(sets)), sizes)[keep]
+    width = -(-int((times > 1).sum()) // 64) * 64
+    bits = np.zeros((len(sets), max(width, 64)), bool)
+    bits[row, column[place[keep]]] = True
+    masks = np.packbits(bits, axis=1).view(np.uint64)
+    for i in range(1, len(sets)):
+        yield i, np.bitwise_count(masks[:i] & masks[i]).sum(axis=1, dtype=np.int64)
+
+
 def _confirm_node(k, percent):
     """One node: (node, id, part, text) -> links across parts, enough to join all parts that are linked."""
 
@@ -166,10 +187,12 @@ def _confirm_node(k, percent):
         sets = _sets(table.column("text").combine_chunks(), k)
         ids = table.column("id").to_pylist()
         part = np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
+        size = np.array([len(x) for x in sets])
         a, b = [], []
-        for i in range(len(ids)):
-            for j in range(i):
-                if part[i] != part[j] and _linked(sets[i], sets[j], percent):
+        for i, both in _intersections(sets):
+            linked = (100 * both >= percent * (size[:i] + size[i] - both)) & (both > 0)
+            for j in np.flatnonzero(linked).tolist():
+                if part[i] != part[j]:
                     a.append(ids[i])
                     b.append(ids[j])
                     part[part == part[i]] = part[j]
@@ -179,9 +202,35 @@ def _confirm_node(k, percent):
     return run
 
 
-def _part(frame: DataFrame, labels: DataFrame) -> DataFrame:
-    return (frame.join(labels.select("id", "component"), "id", "left")
-            .withColumn("part", F.coalesce("component", "id")).drop("component"))
+def _edges(labels: DataFrame) -> DataFrame:
+    return labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def _part(frame: DataFrame, links: DataFrame) -> DataFrame:
+    """``frame`` with the part of each id; ``links`` are stars (a, its part b), or pairs of equal sets."""
+    parts = links.groupBy("a").agg(F.min("b").alias("b"))
+    return frame.join(parts, frame["id"] == parts["a"], "left").withColumn("part", F.coalesce("b", "id")).drop("a", "b")
+
+
+def _distinct_nodes(members: DataFrame) -> DataFrame:
+    """(node, id) with nodes of equal members once; nodes are small here."""
+    ids = members.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("ids").distinct()
+    return ids.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id"))
+
+
+def _confirmed_leaders(docs: DataFrame, rep_sig: DataFrame, pairs: DataFrame, k: int, percent: int, est_least: float) -> DataFrame:
+    """Links (a, b) of documents with the most similar of their leaders, as far as the full sets confirm them."""
+    id_type = docs.schema["id"].dataType.simpleString()
+    alike = (pairs.join(rep_sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+             .join(rep_sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+             .mapInArrow(_alike, f"a {id_type}, b {id_type}, est double").filter(F.col("est") >= est_least))
+    best = saved(alike.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("nb"))).alias("m")).select(
+        F.col("a").alias("id"), (-F.col("m.nb")).alias("hub")), "best")
+    salts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(_FOLLOWERS)).cast("int").alias("salts"))
+    spread = best.join(salts, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_hub"))
+    hubs = salts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
+    return (docs.join(spread.unionByName(hubs), "id").select("hub", "salt", "is_hub", "id", "text").repartition("hub", "salt")
+            .sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(_confirm_stars(k, percent), f"a {id_type}, b {id_type}"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = THRESHOLD,
@@ -199,63 +248,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     est_least = percent / 100 - _SLACK
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # for the joins that fetch texts: dealt by id at every size, rather than only where the ids are too many to broadcast
+    by_id = docs.repartition(shuffle_partitions(spark), "id")
     sets = saved(docs.mapInArrow(_signatures(k), f"id {id_type}, n bigint, k1 bigint, k2 bigint, sig binary"), "sets")
     full = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     key = ["n", "k1", "k2"]
     classes = saved(full.groupBy(*key).agg(F.min("id").alias("rep")), "classes")
     rep_sig = saved(full.select("id", *key, "sig").join(classes.withColumnRenamed("rep", "id"), ["id", *key], "left_semi")
-                    .select("id", *key, "sig").dropDuplicates(["id", *key]).select("id", "sig"), "reps")
+                    .select("id", *key, "sig").dropDuplicates(["id", *key]).select("id", "n", "sig"), "reps")
 
-    # branch: nodes of two or more go on, larger ones deeper
+    # branch: nodes of two or more are looked at, larger ones go deeper
     roots = vec.mix(np.arange(1, trees + 1, dtype=np.uint64) * vec.U64(0x9E3779B97F4A7C15))
     node_type = f"node bigint, id {id_type}"
-    level = rep_sig.mapInArrow(_branch(percent / 100, roots), node_type)
-    small, leaders, large = None, None, None
+    level = rep_sig.mapInArrow(_branch(percent / 100, roots), f"{node_type}, n bigint")
+    most = node_size * SHINGLES_PER_MEMBER
+    is_small = (F.col("size") <= min(TINY_NODE, node_size)) | ((F.col("size") <= node_size) & (F.col("weight") <= most))
+    small, leaders = [], []
     for depth in range(1, max_depth + 1):
-        level = saved(level.distinct(), "level") if depth > 1 else saved(level, "level")
-        size = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).filter("size > 1")
+        level = saved(level, "level")
+        size = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("id").alias("leader")).filter("size > 1")
         level = saved(level.join(size, "node"), "nodes")
-        few = level.filter(F.col("size") <= node_size).select("node", "id")
-        led = level.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
-        small = few if small is None else small.unionByName(few)
-        leaders = led if leaders is None else leaders.unionByName(led)
-        large = level.filter(F.col("size") > node_size).select("node", "id")
-        if depth == max_depth or large.isEmpty():
+        small.append(level.filter(is_small).select("node", "id"))
+        large = level.filter(~is_small)
+        more = not large.isEmpty()
+        if more:
+            leaders.append(large.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+        if not more or depth == max_depth:
             break
-        level = large.join(rep_sig, "id").select("node", "id", "sig").mapInArrow(_branch(percent / 100, None), node_type)
+        level = large.select("node", "id").join(rep_sig, "id").select("node", "id", "n", "sig").mapInArrow(
+            _branch(percent / 100, None), f"{node_type}, n bigint")
 
-    # first each vertex with the most similar of its leaders
-    pairs = saved(leaders.distinct(), "pairs")
-    alike = (pairs.join(rep_sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-             .join(rep_sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-             .mapInArrow(_alike, f"a {id_type}, b {id_type}, est double").filter(F.col("est") >= est_least))
-    best = alike.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("nb"))).alias("m")).select(
-        F.col("a").alias("id"), (-F.col("m.nb")).alias("hub"))
-    best = saved(best, "best")
-    salts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(_FOLLOWERS)).cast("int").alias("salts"))
-    spread = best.join(salts, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_hub"))
-    hubs = salts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
-    stars = docs.join(spread.unionByName(hubs), "id")
-    links = saved(stars.select("hub", "salt", "is_hub", "id", "text").repartition("hub", "salt")
-                  .sortWithinPartitions("hub", "salt", F.desc("is_hub"))
-                  .mapInArrow(_confirm_stars(k, percent), f"a {id_type}, b {id_type}"), "links")
     again = full.select("id", *key).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
-    shared = full.select("id", *key).distinct().join(again, "id", "left_semi").join(classes, key).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(shared)
-    labels = saved(components(links), "labels")
-
-    # then what is left between the parts, in nodes that hold several
-    places = small
-    if large is not None and not large.isEmpty():
-        places = places.unionByName(_blocks(_part(large, labels), node_size))
-    places = _part(places, labels)
+    labels = full.select("id", *key).distinct().join(again, "id", "left_semi").join(classes, key).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    places = reduce(DataFrame.unionByName, small)
+    if leaders:
+        led = _confirmed_leaders(by_id, rep_sig, reduce(DataFrame.unionByName, leaders).distinct(), k, percent, est_least)
+        labels = _edges(components(labels.unionByName(led)))
+        if more:
+            places = places.unionByName(_blocks(_part(large.select("node", "id", "n"), labels), node_size))
+
+    # what is left between the parts, in nodes that hold several
+    labels = saved(labels, "parts")
+    places = _part(_distinct_nodes(places), labels)
     mixed = places.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("node")
-    open_nodes = places.join(mixed, "node", "left_semi")
-    near = saved(open_nodes.join(rep_sig, "id").select("node", "id", "part", "sig").groupBy("node")
-                 .applyInArrow(_propose(est_least), node_type).distinct(), "near")
-    across = _part(docs.join(near, "id"), labels).select("node", "id", "part", "text").groupBy("node").applyInArrow(
+    near = (places.join(mixed, "node", "left_semi").join(rep_sig, "id").select("node", "id", "part", "sig").groupBy("node")
+            .applyInArrow(_propose(est_least), node_type))
+    near = saved(_distinct_nodes(near), "near")
+    across = _part(by_id.join(near, "id"), labels).select("node", "id", "part", "text").groupBy("node").applyInArrow(
         _confirm_node(k, percent), f"a {id_type}, b {id_type}")
-    labels = components(links.unionByName(across))
+    labels = components(labels.unionByName(across))
 
     placed = (sets.select("id", *key).join(classes, key, "left")
               .join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left"))
@@ -268,9 +309,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _blocks(members: DataFrame, node_size: int) -> DataFrame:
     """Nodes that stayed large: (node, id) of pairs of blocks, so that every two members of different
     parts meet in one. Only the members outside a node's largest part are repeated over its blocks."""
-    count = members.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("node").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("all")).select(
-        "node", F.col("m.part").alias("main"), F.ceil(F.col("all") * 2 / F.lit(node_size)).cast("int").alias("blocks"))
+    count = members.groupBy("node", "part").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    main = count.groupBy("node").agg(F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("all"), F.sum("weight").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("all"), F.col("weight") / SHINGLES_PER_MEMBER) * 2 / F.lit(node_size)).cast("int")
+    main = main.select("node", F.col("m.part").alias("main"), blocks.alias("blocks"))
     dealt = members.join(main, "node").withColumn("own", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int"))
     light = dealt.filter(F.col("part") != F.col("main"))
     keyed = lambda lo, hi: F.xxhash64("node", lo, hi)
