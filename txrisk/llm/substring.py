@@ -255,8 +255,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     parts = shuffle_partitions(spark)
     shard = F.pmod(F.xxhash64("id"), F.lit(parts * SHARDS_PER_PARTITION)).cast("int")
-    # a passage goes to the shards of the documents that have it
-    needed = spans.join(confirmed.select("span"), "span", "left_semi").select(shard.alias("shard"), "span").distinct()
+    # a passage goes to the shards of the documents that have it; a passage of very many documents is folded to its
+    # shards before it meets the confirmed ones
+    needed = spans.select(shard.alias("shard"), "span").distinct().join(confirmed.select("span"), "span", "left_semi")
     sent = needed.join(confirmed, "span").select(
         "shard", F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("id"), "span", "offsets", "owners", F.col("phrase").alias("text"))
     streamed = docs.select(shard.alias("shard"), F.lit(1).alias("kind"), "id", F.lit(None).cast("bigint").alias("span"), none.alias("offsets"),
