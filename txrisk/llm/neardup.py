@@ -171,11 +171,15 @@ def _intersections(sets: list[np.ndarray]):
     every, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(times > 1) - 1
     keep = times[place] > 1
-    row = np.repeat(np.arange(len(sets)), sizes)[keep]
-    width = -(-int((times > 1).sum()) // 64) * 64
-    bits = np.zeros((len(sets), max(width, 64)), bool)
-    bits[row, column[place[keep]]] = True
-    masks = np.packbits(bits, axis=1).view(np.uint64)
+    column, shared = column[place[keep]], np.cumsum(np.concatenate(([0], keep)))
+    ends = shared[np.cumsum([0, *sizes])]
+    width = max(1, -(-int((times > 1).sum()) // 64)) * 64
+    masks, row = np.empty((len(sets), width // 64), np.uint64), np.zeros(width, bool)
+    for i in range(len(sets)):
+        own = column[ends[i]: ends[i + 1]]
+        row[own] = True
+        masks[i] = np.packbits(row).view(np.uint64)
+        row[own] = False
     for i in range(1, len(sets)):
         yield i, np.bitwise_count(masks[:i] & masks[i]).sum(axis=1, dtype=np.int64)
 
@@ -229,7 +233,8 @@ def _confirmed_leaders(docs: DataFrame, rep_sig: DataFrame, pairs: DataFrame, k:
     salts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(_FOLLOWERS)).cast("int").alias("salts"))
     spread = best.join(salts, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_hub"))
     hubs = salts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
-    return (docs.join(spread.unionByName(hubs), "id").select("hub", "salt", "is_hub", "id", "text").repartition("hub", "salt")
+    wanted = saved(spread.unionByName(hubs), "stars")      # written, so that the plan of the join knows its size
+    return (docs.join(wanted, "id").select("hub", "salt", "is_hub", "id", "text").repartition("hub", "salt")
             .sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(_confirm_stars(k, percent), f"a {id_type}, b {id_type}"))
 
 
@@ -248,7 +253,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     est_least = percent / 100 - _SLACK
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # for the joins that fetch texts: dealt by id at every size, rather than only where the ids are too many to broadcast
+    # for the join that fetches texts: dealt by id at every size, rather than only where the ids are too many to broadcast
     by_id = docs.repartition(shuffle_partitions(spark), "id")
     sets = saved(docs.mapInArrow(_signatures(k), f"id {id_type}, n bigint, k1 bigint, k2 bigint, sig binary"), "sets")
     full = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
@@ -282,7 +287,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = full.select("id", *key).distinct().join(again, "id", "left_semi").join(classes, key).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     places = reduce(DataFrame.unionByName, small)
     if leaders:
-        led = _confirmed_leaders(by_id, rep_sig, reduce(DataFrame.unionByName, leaders).distinct(), k, percent, est_least)
+        led = _confirmed_leaders(docs, rep_sig, reduce(DataFrame.unionByName, leaders).distinct(), k, percent, est_least)
         labels = _edges(components(labels.unionByName(led)))
         if more:
             places = places.unionByName(_blocks(_part(large.select("node", "id", "n"), labels), node_size))

@@ -13,10 +13,15 @@ from ..session import checkpoint_dir, configure
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of an Arrow batch: of whole texts, so that a worker holds some megabytes at a time.
+BATCH_ROWS = 2000
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Session confs plus this repository on the Python path of the workers (one-machine runs;
     on a cluster the package is installed or shipped with ``--py-files``)."""
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
