@@ -2,8 +2,9 @@
 
 DataFrame functions only. Each page gives its distinct lines (as hashes) to a count by site and line, folded
 before the shuffle, so a site with a third of all pages is no hot key. The lines over the limit are few: a site has at
-most (lines per page / ratio) of them. They come back to the pages as one array for each site, by a join
-which Spark broadcasts if it is small and whose skewed side it splits otherwise; the texts are not grouped.
+most (lines per page / ratio) of them. They are written to the shared folder and come back to the pages as one array for
+each site, by a join which Spark broadcasts if they are small and whose skewed side it splits otherwise; the texts are
+not grouped.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import spare
+from .runtime import saved, spare
 
 MAX_RATIO = 0.10
 MIN_PAGES = 5
@@ -48,7 +49,8 @@ def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "t
     lines but count as pages. ``n_lines`` and ``n_removed`` name optional columns with the counts of lines.
     """
     site, bad, kept = spare(df, "bad_site", "bad_lines", "kept_lines")
-    by_site = boilerplate(df, site_col, text_col, max_ratio, min_pages).groupBy("site").agg(F.collect_list("line").alias(bad))
+    # written once, so that the plan of the join knows its size and the texts are not shuffled beside it
+    by_site = saved(boilerplate(df, site_col, text_col, max_ratio, min_pages).groupBy("site").agg(F.collect_list("line").alias(bad)), "lines")
     joined = df.join(by_site.withColumnRenamed("site", site), F.col(site_col).eqNullSafe(F.col(site)), "left")
     lines = F.split(text_col, "\n")
     good = F.filter(lines, lambda l: ~(_judged(l) & F.array_contains(F.col(bad), _line_key(F.col(site_col), l))))
