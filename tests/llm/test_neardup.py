@@ -62,6 +62,18 @@ def test_classes_equal_brute_force(spark, seed, kw):
     assert sorted(got, key=str) == sorted(brute_force(rows), key=str)
 
 
+def test_pairs_at_the_threshold_with_a_low_estimate_are_linked(spark):
+    ready(spark)
+    rows = []
+    for seed in (2123, 3632, 4661, 5638, 5980, 6570, 10413, 11014):       # estimates of 0.59 to 0.63
+        rnd = random.Random(seed)
+        words = lambda n: " ".join(f"v{rnd.randrange(10 ** 6)}" for _ in range(n))  # noqa: B023, E731
+        both = words(64)
+        rows += [(2 * seed, f"{words(10)} {both}"), (2 * seed + 1, f"{words(10)} {both}")]
+    got = [tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_force(rows)) and sum(r[3] for r in got) == 8
+
+
 def test_empty_table_and_nothing_alike(spark):
     ready(spark)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

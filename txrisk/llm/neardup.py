@@ -3,9 +3,10 @@
 A document is the set of its 5-word shingles. Each of ``trees`` random trees branches the
 documents recursively: a node picks some of the minwise positions at random (``BRANCH`` / threshold of them on average),
 and a document follows the branch of its own minwise token at each of them, so similar documents go on
-together and others part. A node is decided as soon as it is small: its documents are compared
-with each other. Only the documents of larger nodes branch further. Where nodes are small at once a pair at the
-threshold is lost with probability 0.25 ** (positions picked by all roots, more than 10), under one in a million; in groups
+together and others part. A node is decided as soon as it is small: the signatures of its documents are compared
+with each other, and pairs of an estimate of at least 0.55 on their full sets. Only the documents of larger nodes branch
+further. Where nodes are small at once a pair at the threshold is lost by branching with probability 0.25 ** (positions
+picked by all roots, more than 10), under one in a million, and by the estimate with 5 in ten million; in groups
 of thousands of texts that are all about as alike as the threshold, paths are longer and a single pair at the threshold
 may be lost in a few of a thousand cases, though most texts of such groups have many links.
 
@@ -41,7 +42,7 @@ NODE_SIZE = 2048
 TINY_NODE = 64             # decided at once, however long its texts are
 SHINGLES_PER_MEMBER = 1000 # a node of more than this a member, at full size, counts as large
 THRESHOLD = 75            # percent
-_SLACK = 0.12             # a pair is confirmed from this far below the threshold: 3 standard errors of the estimate
+_SLACK = 0.20             # a pair is confirmed from this far below the threshold: P(Bin(128, 0.75) < 0.55 * 128) = 5e-7
 _HASH = vec.MinHash(POSITIONS, seed=4)
 _FOLLOWERS = 128
 
