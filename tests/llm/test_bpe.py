@@ -26,6 +26,15 @@ def test_chunked_ids_are_those_of_the_whole_text(spark, chunk, overlap):
     assert sorted(got, key=str) == sorted(expected(rows), key=str)
 
 
+def test_white_space_directly_before_chunk_starts(spark):
+    ready(spark)
+    rows = [(i, ("".join("abcde fg" [j % 8] for j in range(64 - len(gap))) + gap) * 4 + "Next")
+            for i, gap in enumerate(["\n\n", " \n", "\n\n\n", "\t\t", "  ", "\r\n", "\u3000\u3000", "\n" * 20, "\x1c\n", "\x85\n"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in bpe.round_trip(bpe.encode(df, chunk_chars=64, overlap=16)).collect()]
+    assert sorted(got) == sorted(expected(rows))
+
+
 def test_decode_gives_the_bytes_back_and_empty_tables_stay_empty(spark):
     ready(spark)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")

@@ -3,8 +3,9 @@
 A text longer than ``chunk_chars`` is cut into overlapping chunks which are dealt out over the
 cluster and pre-tokenised independently. A chunk that starts in the middle of a pre-token
 soon falls into step with its left neighbour: from the first position in the overlap at which
-both see a pre-token boundary, both go on alike, because the pattern never looks back. The
-pieces between those positions are encoded in parallel, each exactly as within the whole text.
+both see a pre-token boundary, both go on alike, because the pattern never looks back. It looks ahead
+after white space (`\\s+(?!\\S)`), and a piece that ended in it would see the end of the text there; so only
+boundaries behind another character count. The pieces between those positions are encoded in parallel, each exactly as within the whole text.
 Where an overlap holds no common boundary (one very long pre-token) the chunks are joined and
 encoded as one piece, so results are always those of the whole text. Only the texts over
 ``chunk_chars`` are shuffled. Decoding concatenates the bytes of the ids.
@@ -46,11 +47,15 @@ def encoding(vocab: str, pattern: str):
 
 
 def boundaries(text: str, pattern: str, last: bool) -> np.ndarray:
-    """Positions at which pre-tokens start, as far as the text after them settles it."""
+    """Positions at which pre-tokens start, as far as the text after them settles it; unless ``last``, without those
+    right after white space, where a piece may not end. The first position has no character before it and is left out."""
     import regex
 
     at = np.fromiter((m.start() for m in regex.finditer(pattern, text)), np.int64)
-    return at if last else at[at <= len(text) - _SEEN]
+    if last:
+        return at
+    at = at[at <= len(text) - _SEEN]
+    return at[[i > 0 and not text[i - 1].isspace() for i in at.tolist()]]
 
 
 def _encode_rows(vocab, pattern):
