@@ -31,6 +31,21 @@ def test_blocks_of_items_give_the_same(spark):
     assert sorted(run(spark, docs, ITEMS, block_bytes=40), key=str) == sorted(decontam.brute_force(docs, ITEMS), key=str)
 
 
+def test_several_blocks_keep_repeated_rows_and_clean_alike(spark):
+    ready(spark)
+    assert sorted(run(spark, DOCS, ITEMS, block_bytes=100), key=str) == sorted(decontam.brute_force(DOCS, ITEMS), key=str)
+    words = [f"w{i}" for i in range(40)]
+    items = [(f"i{k}", " ".join(words[k: k + 12])) for k in (0, 6, 12, 28)]         # overlapping, one apart
+    fill = lambda n: " ".join(f"f{i}" for i in range(n))
+    texts = [f"{fill(50)} {' '.join(words[:24])} end", f"{' '.join(words[:12])} {fill(10)} {' '.join(words[28:])}",      # 24 of 34 words: gone
+             f"{fill(40)} {' '.join(words[:5])} {' '.join(words[28:])} {' '.join(words[5:10])}", None, "", "same", "same"]  # cut: no new window
+    d = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, hit_bounds int")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    got = [sorted(map(tuple, decontam.clean(d, b, block_bytes=n).collect())) for n in (30, 1 << 30)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [0, 2, 3, 4, 5, 6]
+    assert got[0][0][1] == f"{fill(50)}  end" and got[0][1][1] == f"{fill(40)} w0 w1 w2 w3 w4  w5 w6 w7 w8 w9"
+
+
 WORDS = st.lists(st.sampled_from("ab"), max_size=14).map(" ".join)
 
 

@@ -6,8 +6,8 @@ the automaton, which gives the longest item passage ending at each word; words i
 occurrence of a window are hit.
 
 Test sets are small beside a corpus, but their size is checked, not assumed: items are dealt into
-blocks of at most ``block_bytes`` bytes of text, each block has its own automaton, and one
-block after another is streamed; hits are then merged per document.
+blocks of at most ``block_bytes`` bytes of text, each blocks of at most ``block_bytes`` bytes of text, each block has its own automaton, and one
+block after another is streamed over the whole texts; hits are then merged per document.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import vec
-from .runtime import Out
+from .runtime import Out, spare
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -218,13 +219,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     ``spans``: disjoint word ranges [start, stop) that are hit, in order; ``items``: the ids (as strings, sorted,
     each once) of the items with occurring windows. Null and empty texts have no words; items without id or
     words have no windows; repeated items count under each of their ids. An empty benchmark hits nothing.
-    Each input row gives one row; with several blocks of items, equal rows (same id and text) give one.
+    Each input row gives one row.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = []
     blocks = _blocks_of(benchmark, item_col, item_text_col, block_bytes)
-    for items in blocks:
+    for no, items in enumerate(blocks):
         rows = [(r["item"], r["text"]) for r in items.collect()]       # at most about block_bytes
         shared = spark.sparkContext.broadcast(Items(rows, window))
         cols = [F.col(id_col).alias("id")] + ([F.xxhash64(text_col).alias("th")] if len(blocks) > 1 else [])
@@ -232,13 +233,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         if len(blocks) > 1:
             text = text.select(F.struct("id", "th").alias("id"), "text")
         kind = text.schema["id"].dataType.simpleString()
-        parts.append(text.mapInArrow(_stream(shared), f"id {kind}, {_HITS}"))
+        parts.append(text.mapInArrow(_stream(shared), f"id {kind}, {_HITS}").withColumn("block", F.lit(no)))
     if len(parts) == 1:
         return parts[0].select(F.col("id").cast(id_type).alias(id_col), "n_words", "spans", "items")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+    # equal rows (same id and text) are merged as one, counted in the first block
+    merged = every.groupBy("id").agg(F.count_if(F.col("block") == 0).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # overlapping or touching ranges of different blocks become one
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
@@ -247,7 +249,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                                       F.try_element_at(done, F.lit(-1))["start"].alias("start"),
                                       F.greatest(F.try_element_at(done, F.lit(-1))["stop"], s["stop"]).alias("stop"))))) \
         .otherwise(F.concat(done, F.array(s)))
-    return merged.select(F.col("id.id").alias(id_col), "n_words", F.aggregate("spans", empty, grow).alias("spans"), "items")
+    merged = merged.select("id", "copies", "n_words", F.aggregate("spans", empty, grow).alias("spans"), "items")
+    return merged.select(F.col("id.id").alias(id_col), "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -257,12 +260,16 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def _clean_rows(shared, text_col, max_coverage):
+def _clean_rows(shared, text_col, max_coverage, mark, marked, last):
+    """Cut the hits of this and of earlier blocks (``marked``: column ``mark``, the bounds of their word ranges); unless
+    ``last``, only note them."""
+
     def run(batches):
         items = shared.value
         for batch in batches:
             text_at = batch.schema.names.index(text_col)
-            keep, texts = [], []
+            keep, texts, marks = [], [], []
+            before = batch.column(batch.schema.names.index(mark)) if marked else None
             column = batch.column(text_at)
             for b in vec.blocks(column, vec.ALNUM, True):
                 starts, stops = items.stretches(items.numbers(b.hash), b.first)
@@ -274,6 +281,13 @@ def _clean_rows(shared, text_col, max_coverage):
                     touched.add(d)
                 for d in range(b.rows):
                     lo, hi = int(b.first[d]), int(b.first[d + 1])
+                    bounds = before[b.row + d].as_py() if marked else []
+                    for x, y in zip(bounds[0::2], bounds[1::2], strict=True):
+                        hit[lo + x: lo + y] = True
+                        touched.add(d)
+                    if not last:
+                        marks.append(np.flatnonzero(np.diff(hit[lo:hi].astype(np.int8), prepend=0, append=0)).tolist() if d in touched else [])
+                        continue
                     old = column[b.row + d].as_py()
                     n = int(hit[lo:hi].sum()) if d in touched else 0
                     keep.append(n <= max_coverage * (hi - lo) or n == 0)
@@ -285,9 +299,14 @@ def _clean_rows(shared, text_col, max_coverage):
                             done = int(b.end[lo + y - 1] - b.at[d])
                         old = b"".join([*out, raw[done:]]).decode()
                     texts.append(old)
-            cols = [*batch.columns]
-            cols[text_at] = pa.array(texts, type=batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(keep, type=pa.bool_()))
+            cols, fields = [*batch.columns], list(batch.schema)
+            if marked:
+                cols, fields = cols[:-1], fields[:-1]
+            if last:
+                cols[text_at] = pa.array(texts, type=batch.schema.field(text_at).type)
+                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields)).filter(pa.array(keep, type=pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(marks, pa.list_(pa.int64()))], schema=pa.schema([*fields, pa.field(mark, pa.list_(pa.int64()))]))
 
     return run
 
@@ -296,11 +315,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
           window: int = WINDOW, max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without their hit passages: each is cut out of the text (from the first byte of its first word to the last
     of its last); a document of which more than ``max_coverage`` of the words are hit is dropped. Others stay as
-    they are, with all columns. Blocks of items are applied one after the other."""
-    out = docs
-    for items in _blocks_of(benchmark, item_col, item_text_col, block_bytes):
+    they are, with all columns. With several blocks of items, each is matched with the whole text; coverage is judged and
+    passages are cut once, behind the last."""
+    out, blocks = docs, _blocks_of(benchmark, item_col, item_text_col, block_bytes)
+    (mark,) = spare(docs, "hit_bounds")
+    noted = StructType([*docs.schema.fields, StructField(mark, ArrayType(LongType()))])
+    for no, items in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(Items([(r["item"], r["text"]) for r in items.collect()], window))
-        out = out.mapInArrow(_clean_rows(shared, text_col, max_coverage), docs.schema)
+        last = no == len(blocks) - 1
+        out = out.mapInArrow(_clean_rows(shared, text_col, max_coverage, mark, no > 0, last), docs.schema if last else noted)
     return out
 
 
