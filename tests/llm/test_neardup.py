@@ -74,6 +74,18 @@ def test_pairs_at_the_threshold_with_a_low_estimate_are_linked(spark):
     assert sorted(got) == sorted(brute_force(rows)) and sum(r[3] for r in got) == 8
 
 
+def test_every_node_branches():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 500
+    sig = pa.array([np.arange(neardup.POSITIONS, dtype=np.uint32).tobytes()] * n)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([9] * n), sig], names=["node", "id", "n", "sig"])
+    assert {i for out in neardup._branch(0.75, None)([batch]) for i in out.column(1).to_pylist()} == set(range(n))
+    roots = neardup.vec.mix(np.arange(1, neardup.TREES + 1, dtype=np.uint64) * neardup.vec.U64(0x9E3779B97F4A7C15))
+    assert all(sum(out.num_rows for out in neardup._branch(0.75, [x])([batch])) for x in roots)
+
+
 def test_empty_table_and_nothing_alike(spark):
     ready(spark)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

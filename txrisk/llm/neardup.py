@@ -1,7 +1,7 @@
 """Near-duplicate classes by a chosen-path set similarity join.
 
 A document is the set of its 5-word shingles. Each of ``trees`` random trees branches the
-documents recursively: a node picks some of the minwise positions at random (``BRANCH`` / threshold of them on average),
+documents recursively: a node picks some of the minwise positions at random (``BRANCH`` / threshold of them on average, at least one),
 and a document follows the branch of its own minwise token at each of them, so similar documents go on
 together and others part. A node is decided as soon as it is small: the signatures of its documents are compared
 with each other, and pairs of an estimate of at least 0.55 on their full sets. Only the documents of larger nodes branch
@@ -72,7 +72,11 @@ def _branch(threshold, roots):
     limit = np.uint64(int(2 ** 64 * BRANCH / (threshold * POSITIONS)))
 
     def children(node: np.ndarray, sig: np.ndarray):
-        rows, at = np.nonzero(vec.mix(node[:, None] ^ salt[None, :]) < limit)
+        drawn = vec.mix(node[:, None] ^ salt[None, :])
+        picked = drawn < limit
+        none = np.flatnonzero(~picked.any(axis=1))
+        picked[none, drawn[none].argmin(axis=1)] = True         # every node takes at least one position
+        rows, at = np.nonzero(picked)
         return rows, vec.mix(vec.mix(node[rows] ^ salt[at]) ^ sig[rows, at].astype(np.uint64)).view(np.int64)
 
     def run(batches):
