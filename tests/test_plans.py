@@ -229,3 +229,9 @@ def test_a_cluster_without_a_shared_folder_is_refused():
             checkpoint_dir(Session(master))
         assert checkpoint_dir(Session(master, {"spark.checkpoint.dir": "hdfs:///shared"})) == "hdfs:///shared"
     assert checkpoint_dir(Session("local[2]"))
+
+
+@pytest.mark.parametrize("name", ["user_features_hot_split", "user_features_small_buckets"])
+def test_few_and_many_ranges_of_time_match_the_oracle(spark, sf001, name):
+    info = compare(spark, duck(sf001), name, QUERIES[name], ORACLE[name], sf001)
+    assert info["ok"], info

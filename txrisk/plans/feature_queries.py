@@ -53,6 +53,39 @@ def q_user_features(spark, d):
                     r6("hours_since_last_tx").alias("hours_since_last_tx"))
 
 
+@query("user_features_hot_split", O.BASE + user_windows_sql() + f"""
+SELECT transaction_id, CAST(user_tx_count AS BIGINT) AS user_tx_count, round(user_avg_amount, 6) AS user_avg_amount,
+       CAST(user_tx_count_7d AS BIGINT) AS user_tx_count_7d, round(user_avg_amount_7d, 6) AS user_avg_amount_7d,
+       {O.ts('prev_t')} AS prev_transaction_time, {HOURS_SQL} AS hours_since_last_tx,
+       CAST(tx_count_1h AS BIGINT) AS tx_count_1h, round(total_amount_1h, 6) AS total_amount_1h
+FROM uf""")
+def q_user_features_hot_split(spark, d):
+    """W1-W6, W9, W10 over two ranges of time, so that users are split over few tasks."""
+    f = FE.user_window_features(tx(spark, d), n_buckets=2)
+    return f.select("transaction_id", big("user_tx_count").alias("user_tx_count"),
+                    r6("user_avg_amount").alias("user_avg_amount"),
+                    big("user_tx_count_7d").alias("user_tx_count_7d"),
+                    r6("user_avg_amount_7d").alias("user_avg_amount_7d"),
+                    ts_string("prev_transaction_time").alias("prev_transaction_time"),
+                    r6("hours_since_last_tx").alias("hours_since_last_tx"),
+                    big("tx_count_1h").alias("tx_count_1h"), r6("total_amount_1h").alias("total_amount_1h"))
+
+
+@query("user_features_small_buckets", O.BASE + user_windows_sql() + f"""
+SELECT transaction_id, CAST(user_tx_count AS BIGINT) AS user_tx_count,
+       CAST(user_tx_count_7d AS BIGINT) AS user_tx_count_7d, round(user_avg_amount_7d, 6) AS user_avg_amount_7d,
+       {O.ts('prev_t')} AS prev_transaction_time, CAST(tx_count_1h AS BIGINT) AS tx_count_1h
+FROM uf""")
+def q_user_features_small_buckets(spark, d):
+    """Same features with 64 ranges of time (7-day frames span several ranges)."""
+    f = FE.user_window_features(tx(spark, d), n_buckets=64)
+    return f.select("transaction_id", big("user_tx_count").alias("user_tx_count"),
+                    big("user_tx_count_7d").alias("user_tx_count_7d"),
+                    r6("user_avg_amount_7d").alias("user_avg_amount_7d"),
+                    ts_string("prev_transaction_time").alias("prev_transaction_time"),
+                    big("tx_count_1h").alias("tx_count_1h"))
+
+
 # few keys with thousands of rows each, raw amounts (more than two decimals), any event table
 @query("event_type_windows", """
 WITH uf AS (
