@@ -178,3 +178,66 @@ def op7_pseudonyms(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs, "demonstration key", count_col="n_values")
+
+
+#: crc32 of the decimal doc_id, bit by bit over its bytes
+CRC32_SQL = """list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+         lambda crc, b: list_reduce([xor(crc, b)] || [0::BIGINT for k in range(8)],
+                                    lambda v, k: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT *, xor({CRC32_SQL}, 4294967295::BIGINT) AS crc, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+f AS (
+  SELECT doc_id, lang, crc,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS text, coalesce(strlen(low) || ':' || low, '-') AS low FROM d),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || text) AS leaf, sha256(head || CASE WHEN crc % 3 = 0 THEN low ELSE text END) AS probe,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM f),
+nodes AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+subs AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 8, n),
+root AS (SELECT digest AS root FROM tops WHERE n = 1),
+sib AS (
+  SELECT a.lang, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND a.pos // 8 = b.pos // 8
+  WHERE a.n > 1 GROUP BY a.lang, a.level, a.pos),
+topsib AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM tops a JOIN tops b ON a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.level, a.pos),
+walk AS (
+  SELECT doc_id, lang, 0 AS level, pos, probe AS acc, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, w.lang, w.level + 1, w.pos // 8, sha256(l || acc || r), proof || l || r
+  FROM walk w JOIN sib s ON w.lang IS NOT DISTINCT FROM s.lang AND w.level = s.level AND w.pos = s.pos),
+reached AS (SELECT doc_id, lang, acc, proof FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) AS k FROM walk) WHERE k = 1),
+climb AS (
+  SELECT doc_id, 0 AS level, pos, acc, proof FROM reached r JOIN subs s ON r.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT doc_id, c.level + 1, c.pos // 8, sha256(l || acc || r), proof || l || r FROM climb c JOIN topsib s ON c.level = s.level AND c.pos = s.pos),
+done AS (SELECT doc_id, acc, proof FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) AS k FROM climb) WHERE k = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM leaves JOIN subs ON leaves.lang IS NOT DISTINCT FROM subs.lang JOIN done USING (doc_id), root
+"""
+
+
+@query("op13_merkle", OP13_SQL)
+def op13_merkle(spark, sf_dir):
+    """Merkle leaf, proof and verification of every document."""
+    from . import merkle
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    rows = merkle.manifest(docs, fields, "doc_id", "lang", probe=merkle.tampered(docs, fields, "doc_id", "text"))
+    return merkle.verified(rows).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
