@@ -241,3 +241,38 @@ def op13_merkle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(*fields)
     rows = merkle.manifest(docs, fields, "doc_id", "lang", probe=merkle.tampered(docs, fields, "doc_id", "text"))
     return merkle.verified(rows).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, xor({CRC32_SQL}, 4294967295::BIGINT) AS h FROM documents),
+e AS (SELECT *, len(o) AS n, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) ELSE len(o) END AS a FROM d),
+t AS (
+  SELECT doc_id, n, CASE WHEN a = n THEN o ELSE o[:a] || list_transform(range(0, n - a), lambda i: o[a + i % (1 + (n - a) // (3 + (h // 10) % 8)) + 1]) END AS w
+  FROM e),
+x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM t),
+same AS (SELECT l.doc_id, l.i, r.i - l.i AS p FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND (r.i - l.i) * 2 <= l.n),
+isle AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM same),
+stretch AS (SELECT doc_id, p, min(i) AS s, max(i) + p + 1 AS e FROM isle GROUP BY doc_id, p, k HAVING max(i) + p + 1 - min(i) >= greatest(12, 2 * p)),
+run AS (SELECT doc_id, s, e - s AS l, min(p) AS p FROM stretch GROUP BY doc_id, s, e),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, p) AS k FROM run),
+lists AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS txt FROM run GROUP BY doc_id),
+gone AS (SELECT doc_id, list(i) AS ps FROM (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM run) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, p AS period, (1000 * l) // p AS exponent_milli,
+       sha256(coalesce(txt, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(ps, i - 1)) END, ' ')) AS collapsed_sha256
+FROM t LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (doc_id) LEFT JOIN lists USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document, with repetitions planted in a tenth of them."""
+    from .periodic import longest, periodic_runs, with_repeats
+
+    docs = with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs(docs).withColumn("best", longest(F.col("runs")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
