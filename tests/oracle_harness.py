@@ -10,6 +10,8 @@ import os
 import sys
 import time
 
+import pandas as pd
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -49,7 +51,7 @@ def rows_of(pdf):
     cols = sorted(pdf.columns)
     out = []
     for rec in pdf[cols].itertuples(index=False):
-        out.append(tuple(_norm(None if (isinstance(x, float) and math.isnan(x)) else x) for x in rec))
+        out.append(tuple(_norm(None if x is pd.NA or (isinstance(x, float) and math.isnan(x)) else x) for x in rec))
     return cols, sorted(out)
 
 
