@@ -284,8 +284,8 @@ WITH RECURSIVE dw AS (
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS s, least(len(w), 4) AS k
       FROM dw, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS t(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.s = y.s AND x.k = y.k AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
-link AS (SELECT a, b FROM both JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 85 * (x.n + y.n - o)),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.s = y.s AND x.k = y.k AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 85 * (x.n + y.n - o)),
 way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM dw UNION SELECT r.a, w.b FROM reach r JOIN way w ON r.b = w.a)
 SELECT dw.doc_id, coalesce(n.n, 0) AS n_shingles, min(b) AS component_id FROM dw LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = dw.doc_id GROUP BY dw.doc_id, n.n
