@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from . import vec
 from .components import components
 from .neardup import SHINGLES_PER_MEMBER, _blocks, _edges, _part
-from .runtime import Out, saved
+from .runtime import Out, saved, shuffle_partitions
 
 K = 4
 PERCENT = 85
 EDGE = 16                    # tokens of an edge, so that subtrees are left early
 UNIT_TOKENS = 1 << 20        # of the sets of one prefix tree
 _FOLLOWERS = 256             # rows of a star that meet in one task
+_BLOCK = 1 << 18             # bytes of text hashed at a time
 
 
 def _need(n, percent):
@@ -55,7 +56,7 @@ _SALTS = (0x5851F42D, 0x14057B7E)
 
 
 def _each_set(column, k):
-    for b in vec.blocks(column, vec.NON_SPACE, True):
+    for b in vec.blocks(column, vec.NON_SPACE, True, _BLOCK):
         for d in range(b.rows):
             yield b.row + d, np.unique(vec.shingles(b.hash[b.first[d]: b.first[d + 1]], k))
 
@@ -239,9 +240,9 @@ def _candidates(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
 def _ordered(full: DataFrame, percent: int) -> DataFrame:
     """``id, k1, n, tokens, dfs, first``: sets with their shared tokens, rare ones first, and how many of them a linked set must
     meet. Sets that do not share enough are left out."""
-    posting = full.select("id", "k1", "n", F.explode("tokens").alias("token"))
+    posting = full.select("k1", F.explode("tokens").alias("token"))
     df = posting.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    sets = posting.join(df, "token").groupBy("id", "k1", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
+    sets = posting.join(df, "token").groupBy("k1").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s")).join(full.select("id", "k1", "n"), "k1")
     first = F.size("s") - F.ceil(F.col("n") * percent / 100) + 1
     return sets.select("id", "k1", "n", F.col("s.token").alias("tokens"), F.col("s.df").alias("dfs"), first.cast("int").alias("first")).filter("first > 0")
 
@@ -281,6 +282,7 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have a null component. Very long texts are sets like others; other columns are left out, whatever their names. Integer ids
     are expected. An empty table gives an empty table.
     """
+    spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = saved(docs.mapInArrow(_keys(k), f"id {id_type}, n bigint, k1 bigint, k2 bigint"), "sets")
@@ -288,7 +290,9 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = saved(whole.groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     chosen = saved(_candidates(docs, classes, k, percent), "chosen")
-    full = saved(docs.join(chosen, "id").select("id", "text", "k1").mapInArrow(_full_sets(k), f"id {id_type}, k1 bigint, n bigint, tokens array<bigint>")
+    # dealt by id at every size, rather than only where the ids are too many to broadcast
+    by_id = docs.repartition(shuffle_partitions(spark), "id")
+    full = saved(by_id.join(chosen, "id").select("id", "text", "k1").mapInArrow(_full_sets(k), f"id {id_type}, k1 bigint, n bigint, tokens array<bigint>")
                  .dropDuplicates(["id", "k1"]), "full")
     ordered = saved(_ordered(full, percent), "ordered")
 
