@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from txrisk import cli
 from txrisk import schemas as S
 from txrisk.operators.features import serving_features
-from txrisk.operators.registry import read_registry, write_registry
+from txrisk.operators import registry
+from txrisk.operators.registry import RegistryConflict, change_registry, read_registry, registry_version, write_registry
 from txrisk.sources.tables import transactions
 from txrisk.streaming.stream import score_batch
 
@@ -64,24 +65,67 @@ def test_cli_jobs(spark, sf001):
         cli.main(["train", "--features", os.path.join(root, "features"), "--id-col", "nope", "--out", os.path.join(root, "x")])
 
 
+def _models(spark, *versions):
+    return spark.createDataFrame([(v, None, None, None, None, None, 1, None, None, False, None) for v in versions], S.MODEL_PERFORMANCE)
+
+
+def _new_registry():
+    return os.path.join(tempfile.mkdtemp(prefix="txrisk-reg-"), "model_performance")
+
+
 def test_a_registry_that_cannot_be_read_is_not_overwritten(spark):
-    path = os.path.join(tempfile.mkdtemp(prefix="txrisk-reg-"), "model_performance")
-    assert read_registry(spark, path).count() == 0
-    rows = spark.createDataFrame([("m1", None, None, None, None, None, 1, None, None, False, None)], S.MODEL_PERFORMANCE)
-    write_registry(rows, path)
-    # a write that broke off leaves no marker and is passed over
-    os.makedirs(os.path.join(path, "snapshot-000000002"))
-    assert read_registry(spark, path).count() == 1
-    write_registry(rows.unionByName(rows), path)
-    assert sorted(os.listdir(path)) == ["snapshot-000000001", "snapshot-000000002", "snapshot-000000003"] and read_registry(spark, path).count() == 2
-    part = next(p for p in os.listdir(os.path.join(path, "snapshot-000000003")) if p.endswith(".parquet"))
-    with open(os.path.join(path, "snapshot-000000003", part), "wb") as f:
+    path = _new_registry()
+    assert read_registry(spark, path).count() == 0 and registry_version(spark, path) == 0
+    assert write_registry(_models(spark, "m1"), path, 0) == 1
+    # a write that broke off before its commit is passed over
+    _models(spark, "lost").write.parquet(os.path.join(path, "data-lost"))
+    assert [r.model_version for r in read_registry(spark, path).collect()] == ["m1"]
+    assert write_registry(_models(spark, "m1", "m2"), path, 1) == 2
+    with open(os.path.join(path, "_commits", "000000002")) as f:
+        data = os.path.join(path, f.read().strip())
+    part = next(p for p in os.listdir(data) if p.endswith(".parquet"))
+    with open(os.path.join(data, part), "wb") as f:
         f.write(b"broken")
     with pytest.raises(Exception):
         read_registry(spark, path).count()
     with pytest.raises(Exception):
         cli.main(["registry", "activate", "--tables", os.path.dirname(path), "--version", "m1"])
-    assert not os.path.exists(os.path.join(path, "snapshot-000000004", "_SUCCESS"))      # the attempt is not the registry
+    assert registry_version(spark, path) == 2                       # the attempt is not the registry
+    assert [r.model_version for r in read_registry(spark, path, 1).collect()] == ["m1"]
+
+
+def test_of_two_writers_that_read_the_same_snapshot_one_loses(spark):
+    path = _new_registry()
+    write_registry(_models(spark, "m0"), path, 0)
+    a, b = (read_registry(spark, path), registry_version(spark, path)), (read_registry(spark, path), registry_version(spark, path))
+    assert write_registry(a[0].unionByName(_models(spark, "a")), path, a[1]) == 2
+    with pytest.raises(RegistryConflict):
+        write_registry(b[0].unionByName(_models(spark, "b")), path, b[1])
+    assert {r.model_version for r in read_registry(spark, path).collect()} == {"m0", "a"}
+    # the commit itself refuses a number that was taken between the look and the commit
+    assert not registry._create(spark, f"{path}/_commits/000000002", "data-other")
+    assert registry._create(spark, f"{path}/_commits/000000003", "data-x")
+    assert not [n for n in os.listdir(os.path.join(path, "_commits")) if n.endswith(".tmp")]
+
+
+def test_changes_of_interleaved_writers_all_survive(spark):
+    path, tries = _new_registry(), []
+
+    def add_b(models):
+        tries.append(models.count())
+        if len(tries) == 1:                                         # another writer commits in between
+            change_registry(spark, path, lambda m: m.unionByName(_models(spark, "a")))
+        return models.unionByName(_models(spark, "b"))
+
+    change_registry(spark, path, add_b)
+    assert tries == [0, 1] and {r.model_version for r in read_registry(spark, path).collect()} == {"a", "b"}
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda v: change_registry(spark, path, lambda m: m.unionByName(_models(spark, v))), ["c", "d", "e", "f"]))
+    assert sorted(r.model_version for r in read_registry(spark, path).collect()) == ["a", "b", "c", "d", "e", "f"]
+    change_registry(spark, path, lambda m: registry.activate_model(m, "d"))
+    assert [r.model_version for r in read_registry(spark, path).filter("is_active").collect()] == ["d"]
 
 
 def test_cli_train_and_evaluate(spark, sf001):

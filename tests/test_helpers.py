@@ -41,7 +41,7 @@ def test_start_aggregate_writes_closed_windows(spark, sf001):
         os.path.join(root, "in", "p"))
     msgs = parse_messages(read_messages_stream(spark, os.path.join(root, "in", "*")))
     scored = rule_score(serving_features(msgs)).withColumn("transaction_time", F.col("transaction_timestamp"))
-    q = start_aggregate(stream_fraud_rate(scored, "1 day", 0.01, watermark="1 hour"), os.path.join(root, "out"),
+    q = start_aggregate(stream_fraud_rate(scored, "1 day", 0.01, slide=None, watermark="1 hour"), os.path.join(root, "out"),
                         os.path.join(root, "ck"), "rate_sink_test", trigger={"availableNow": True})
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(root, "out"))

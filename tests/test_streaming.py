@@ -10,7 +10,7 @@ from txrisk.operators.scoring import rule_score
 from txrisk.sources.files import read_messages_stream
 from txrisk.sources.kafka import parse_messages, to_messages
 from txrisk.sources.tables import transactions
-from txrisk.streaming.stream import run_stream, score_batch, stream_fraud_rate, stream_volume
+from txrisk.streaming.stream import newest_stored, run_stream, score_batch, stored_days, stream_fraud_rate, stream_volume, unseen_rows
 
 
 def _write_messages(tx, path):
@@ -83,7 +83,7 @@ def test_stream_windows_equal_batch_for_closed_windows(spark, sf001):
     assert got and len(got) < len(want)     # the last window is still open
     for k, v in got.items():
         assert want[k] == v
-    rate = stream_fraud_rate(rule_score(tx), "1 day", 0.01).collect()
+    rate = stream_fraud_rate(rule_score(tx), "1 day", 0.01, slide=None).collect()
     assert sum(r.total_tx for r in rate) == tx.count()
 
 
@@ -140,11 +140,11 @@ def test_stream_rapid_fraud_and_rate_windows(spark, sf001):
     got = {(r.window_start, r.user_id): r.fraud_count for r in spark.table("rapid_test").collect()}
     assert got and all(want[k] == v for k, v in got.items())
 
-    rate = stream_fraud_rate(scored, "1 day", 0.01, watermark="1 hour")
+    rate = stream_fraud_rate(scored, "1 day", 0.01, slide=None, watermark="1 hour")
     q2 = (rate.writeStream.outputMode("append").format("memory").queryName("rate_test")
           .option("checkpointLocation", os.path.join(root, "ck2")).trigger(availableNow=True).start())
     q2.awaitTermination()
-    want2 = {r.window_start: (r.total_tx, r.fraud_tx, r.spike) for r in stream_fraud_rate(rule_score(tx), "1 day", 0.01).collect()}
+    want2 = {r.window_start: (r.total_tx, r.fraud_tx, r.spike) for r in stream_fraud_rate(rule_score(tx), "1 day", 0.01, slide=None).collect()}
     got2 = {r.window_start: (r.total_tx, r.fraud_tx, r.spike) for r in spark.table("rate_test").collect()}
     assert got2 and all(want2[k] == v for k, v in got2.items())
 
@@ -203,3 +203,49 @@ def test_malformed_and_late_messages_are_quarantined(spark, sf001):
     newest = tx.agg(F.max("transaction_time")).first()[0]
     late = tx.filter(F.col("transaction_time") < F.lit(newest) - F.expr("INTERVAL 2 DAYS")).count()
     assert spark.read.parquet(bad).groupBy("reason").count().collect() and spark.read.parquet(bad).filter("reason = 'late'").count() == late
+
+
+def test_a_batch_costs_the_same_however_many_came_before(spark, sf001):
+    """The stored side of the duplicate check: a mark or two, and the days within the watermark, never the whole table."""
+    root = _scratch()
+    txp, alp = os.path.join(root, "tx"), os.path.join(root, "alerts")
+    rows = serving_features(transactions(spark, sf001)).cache()
+    for n in range(12):                                                # two days a batch
+        part = rows.filter((F.dayofmonth("transaction_time") > 2 * n) & (F.dayofmonth("transaction_time") <= 2 * n + 2))
+        fresh, late = unseen_rows(part, txp, "1 day", ("r", n))
+        assert late.count() == 0
+        score_batch(fresh, n, txp, alp, run="r", high_water=True)
+    assert len(os.listdir(os.path.join(root, "tx_newest", "r"))) <= 8   # marks and their checksums, not one a batch
+    newest = newest_stored(spark, txp, ("r", 12))
+    assert newest == spark.read.parquet(txp).agg(F.unix_micros(F.max("transaction_time"))).first()[0]
+    assert newest_stored(spark, txp, ("r", 11)) < newest                # a replayed batch does not see its own
+    again = rows.filter(F.dayofmonth("transaction_time") == 24)
+    fresh, late = unseen_rows(again, txp, "1 day", ("r", 12))
+    assert fresh.count() == 0 and late.count() == 0
+    read = {f for f in stored_days(spark, txp, newest - 86_400_000_000, newest).inputFiles()}
+    assert read and {f.split("transaction_date=")[1].split("/")[0] for f in read} <= {"2024-01-23", "2024-01-24"}
+    assert len(read) < 0.2 * len(spark.read.parquet(txp).inputFiles())
+    # another run starts its batches at 0 and still knows what was stored
+    old = rows.filter(F.dayofmonth("transaction_time") == 3)
+    fresh, late = unseen_rows(old, txp, "1 day", ("other", 0))
+    assert fresh.count() == 0 and late.count() == old.count()
+
+
+def test_two_streams_joined_once_each(spark):
+    from datetime import datetime, timedelta
+
+    from txrisk.operators.dashboard import tx_with_alerts
+    from txrisk.streaming.replay import replayed
+    from txrisk.streaming.stream import stream_tx_with_alerts
+
+    t0 = datetime(2024, 1, 1)
+    tx = [(f"T{i}", f"U{i % 3}", 1.0, "USD", "m", t0 + timedelta(minutes=7 * i), "US", "purchase") for i in range(60)]
+    tx += [tx[5], (None, "U9", 1.0, "USD", "m", t0, "US", "purchase")]
+    al = [(f"T{i}", 0.9, i % 2 == 0, "pending", t0 + timedelta(minutes=7 * i, seconds=s)) for i in range(0, 60, 4) for s in ([1] if i % 8 else [1, 3600])]
+    al += [("none", 0.9, True, "pending", t0)]
+    cols = "transaction_id string, user_id string, amount double, currency string, merchant string, transaction_time timestamp, country string, transaction_type string"
+    txs, alerts = spark.createDataFrame(tx, cols), spark.createDataFrame(al, "transaction_id string, fraud_score double, is_fraud boolean, alert_status string, detection_time timestamp")
+    got = replayed([txs, alerts], stream_tx_with_alerts, ["transaction_time", "detection_time"], ["2024-01-01 02:00:00", "2024-01-01 05:00:00"])
+    want = tx_with_alerts(txs, alerts)
+    key = lambda df: sorted((tuple(r) for r in df.select(*want.columns).collect()), key=str)
+    assert key(got) == key(want) and len(want.filter("alert_status = 'n/a'").collect()) > 40

@@ -105,22 +105,17 @@ def cmd_registry(args) -> None:
 
     spark = _spark("txrisk-registry")
     path = _table(args, "model_performance")
-    models = G.read_registry(spark, path)
-    if args.action == "list":
-        G.list_models(models).show(truncate=False)
-        return
-    if args.action == "active":
-        G.active_model(models).show(truncate=False)
+    if args.action in ("list", "active"):
+        models = G.read_registry(spark, path)
+        (G.list_models(models) if args.action == "list" else G.active_model(models)).show(truncate=False)
         return
     if args.action == "register":
         infos = G.read_model_info(spark, args.model_info)
-        snapshot = G.register_model(models, infos, args.as_of)
         audit = G.registration_audit(infos, args.as_of)
+        G.change_registry(spark, path, lambda models: G.register_model(models, infos, args.as_of))
     else:  # activate
-        snapshot = G.activate_model(models, args.version)
-        audit = G.activation_audit(models, args.version, args.as_of)
-    # snapshots are numbered; the newest complete one is the registry
-    G.write_registry(snapshot, path)
+        changed = G.change_registry(spark, path, lambda models: G.activate_model(models, args.version))
+        audit = G.activation_audit(changed, args.version, args.as_of)
     sink_audit(audit, _table(args, "audit_log"))
 
 
@@ -133,7 +128,7 @@ def cmd_train(args) -> None:
     _, row = train_and_register(df, args.label, args.kind, args.out, id_col=args.id_col, as_of=args.as_of)
     if args.tables:
         path = _table(args, "model_performance")
-        G.write_registry(G.read_registry(spark, path).unionByName(row), path)
+        G.change_registry(spark, path, lambda models: models.unionByName(row))
     row.show(truncate=False)
 
 

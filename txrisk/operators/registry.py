@@ -1,46 +1,104 @@
 """Model registry as tables.
 
-The registry is a ``model_performance`` table; every change produces a new
-snapshot DataFrame (write it with ``mode('overwrite')`` to a new location or
-table version) instead of updating rows in place.
+The registry is a ``model_performance`` table; every change produces a new snapshot DataFrame instead of updating rows in place.
+Snapshots are committed optimistically: a writer names the snapshot it has read, and loses to one that was faster.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.columns import as_of_col
-
-
-def _snapshots(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
-    """Numbers of the snapshots of a registry folder: (complete ones, all), ascending."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+from ..sources.tables import hadoop_path
+
+
+def _create(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a file that is not there yet, whole: the content goes to a file of its own, which a link or rename that
+    replaces nothing gives its name; False where another writer has made it.
+
+    A file context's rename without overwriting is atomic on HDFS and local disks, and by conditional puts on object stores
+    whose connector offers them."""
+    jvm = spark._jvm
+    target, fs = hadoop_path(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs.mkdirs(target.getParent())
+    out = fs.create(draft, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    plain = getattr(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), "NONE")
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = plain
+    try:
+        context.rename(draft, target, options)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in str(error.java_exception.getClass().getName()):
+            raise
+        fs.delete(draft, False)
+        return False
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    folder, fs = hadoop_path(spark, f"{path}/_commits")
     if not fs.exists(folder):
-        return [], []
-    names = [x.getPath().getName() for x in fs.listStatus(folder)]
-    every = sorted(int(n.removeprefix("snapshot-")) for n in names if re.fullmatch(r"snapshot-\d+", n))
-    done = [n for n in every if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot-{n:09d}/_SUCCESS"))]
-    return done, every
-
-
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The registry: its newest complete snapshot; no rows where none was written yet. A snapshot that cannot be
-    read is an error."""
-    done, _ = _snapshots(spark, path)
-    return spark.read.parquet(f"{path}/snapshot-{done[-1]:09d}") if done else spark.createDataFrame([], S.MODEL_PERFORMANCE)
-
-
-def write_registry(models: DataFrame, path: str) -> None:
-    """The registry's next snapshot. It becomes the current one when Spark commits it, as a whole; a write that fails
-    leaves the one before in place."""
-    _, every = _snapshots(models.sparkSession, path)
-    models.write.parquet(f"{path}/snapshot-{(every[-1] if every else 0) + 1:09d}")
+        return []
+    return sorted(int(n) for n in (x.getPath().getName() for x in fs.listStatus(folder)) if re.fullmatch(r"\d+", n))
+
+
+def read_registry(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The registry: its newest committed snapshot, or that of ``version``; no rows where none was committed yet. A snapshot that
+    cannot be read is an error."""
+    version = registry_version(spark, path) if version is None else version
+    if not version:
+        return spark.createDataFrame([], S.MODEL_PERFORMANCE)
+    data = spark.read.text(f"{path}/_commits/{version:09d}").first()["value"]
+    return spark.read.parquet(f"{path}/{data}")
+
+
+class RegistryConflict(Exception):
+    """Another writer has committed the snapshot number that this one was made for."""
+
+
+def registry_version(spark: SparkSession, path: str) -> int:
+    """Number of the newest committed snapshot, 0 where there is none."""
+    numbers = _commits(spark, path)
+    return max(numbers) if numbers else 0
+
+
+def write_registry(models: DataFrame, path: str, read_version: int) -> int:
+    """Commit ``models`` as the snapshot after ``read_version``, the one it was made from; the new number.
+
+    The rows are written first, to a folder of their own. The commit is one file named by the number, created only if it is not
+    there: of two writers that read the same snapshot one gets it, the other raises :class:`RegistryConflict` and changes
+    nothing. A writer lost before the commit leaves a folder that no commit names."""
+    spark = models.sparkSession
+    number, data = read_version + 1, f"data-{uuid.uuid4().hex}"
+    if registry_version(spark, path) != read_version:
+        raise RegistryConflict(f"snapshot {number} of {path} is taken")
+    models.write.parquet(f"{path}/{data}")
+    if not _create(spark, f"{path}/_commits/{number:09d}", data):
+        raise RegistryConflict(f"snapshot {number} of {path} is taken")
+    return number
+
+
+def change_registry(spark: SparkSession, path: str, change, attempts: int = 20) -> DataFrame:
+    """``change`` (registry -> new registry) applied to the newest snapshot and committed; where another writer was faster, applied
+    anew to what that one left. Changes of concurrent writers are all kept. The committed registry."""
+    for _ in range(attempts):
+        version = registry_version(spark, path)
+        try:
+            return read_registry(spark, path, write_registry(change(read_registry(spark, path, version)), path, version))
+        except RegistryConflict:
+            continue
+    raise RegistryConflict(f"{path} was changed by others {attempts} times in a row")
 
 
 def read_model_info(spark: SparkSession, pattern: str) -> DataFrame:

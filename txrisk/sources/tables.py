@@ -31,11 +31,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system) for small files and listings on any file system that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def read_table_if_any(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet table, or None where nothing was written yet. Any other fault is raised: an unreadable table is
     not an empty one."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    folder, fs = hadoop_path(spark, path)
+    if not fs.exists(folder):
         return None
     return spark.read.parquet(path)
 
