@@ -15,7 +15,8 @@ Nothing depends on a group being small:
 * equal sets are one vertex from the start (a grouped minimum, folded before the shuffle);
 * members of large nodes are first held against the smallest id of each and linked with the most similar one: a
   group of any size falls into few parts by a linear number of comparisons. A leader with many followers is salted;
-* then only nodes that still hold several parts are looked at, only across parts, and nodes of the same members once;
+* then the documents go down the trees again with their parts: a branch ends where its members are one part. Nodes that
+  hold several are looked at, only across parts, and nodes of the same members once; parts are joined once for each document;
 * a node that stays large at ``max_depth`` is cut into blocks, and blocks are compared by twos.
 
 Signatures only propose: every link is confirmed on the full shingle sets of both texts.
@@ -67,7 +68,7 @@ def _signatures(k):
 
 
 def _branch(threshold, roots):
-    """(node, id, n, sig) -> (node, id, n) of the chosen children; with ``roots`` the nodes are given, for (id, n, sig)."""
+    """(node, id, part, n, sig) -> (node, id, part, n) of the chosen children; with ``roots`` the nodes are given, for (id, part, n, sig)."""
     salt = vec.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64))
     limit = np.uint64(int(2 ** 64 * BRANCH / (threshold * POSITIONS)))
 
@@ -86,7 +87,7 @@ def _branch(threshold, roots):
                 continue
             names = batch.schema.names
             sig = np.frombuffer(b"".join(batch.column(names.index("sig")).to_pylist()), np.uint32).reshape(n, POSITIONS)
-            ids, size = batch.column(names.index("id")), batch.column(names.index("n"))
+            kept = [c for c in ("id", "part", "n") if c in names]
             if roots is None:
                 starts = [batch.column(names.index("node")).to_numpy(zero_copy_only=False).view(np.uint64)]
             else:
@@ -95,7 +96,7 @@ def _branch(threshold, roots):
                 for i in range(0, n, 2048):
                     rows, child = children(node[i: i + 2048], sig[i: i + 2048])
                     rows = pa.array(rows + i)
-                    yield pa.RecordBatch.from_arrays([pa.array(child), ids.take(rows), size.take(rows)], names=["node", "id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child), *[batch.column(names.index(c)).take(rows) for c in kept]], names=["node", *kept])
 
     return run
 
@@ -151,11 +152,12 @@ def _confirm_stars(k, percent):
 
 
 def _propose(slack):
-    """One node (or two blocks of one): (node, id, part, sig) -> (node, id) of those alike to one of another part."""
+    """One node (or two blocks of one): (node, id, part, sig) -> (node, id, part) of those alike to one of another part."""
 
     def run(table):
         node = table.column("node")[0].as_py()
-        ids, part = table.column("id").to_pylist(), np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
+        ids, parts = table.column("id").to_pylist(), table.column("part").to_pylist()
+        part = np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), POSITIONS)
         keep = np.zeros(len(ids), bool)
         for i in range(len(ids) - 1):
@@ -163,8 +165,10 @@ def _propose(slack):
             if near.any():
                 keep[i] = True
                 keep[i + 1:] |= near
-        got = [x for x, y in zip(ids, keep, strict=True) if y]
-        return pa.table({"node": pa.array([node] * len(got), pa.int64()), "id": pa.array(got, table.schema.field("id").type)})
+        got = np.flatnonzero(keep).tolist()
+        kind = table.schema.field("id").type
+        return pa.table({"node": pa.array([node] * len(got), pa.int64()), "id": pa.array([ids[i] for i in got], kind),
+                         "part": pa.array([parts[i] for i in got], kind)})
 
     return run
 
@@ -222,9 +226,9 @@ def _part(frame: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _distinct_nodes(members: DataFrame) -> DataFrame:
-    """(node, id) with nodes of equal members once; nodes are small here."""
-    ids = members.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("ids").distinct()
-    return ids.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id"))
+    """(node, id, part) with nodes of equal members once; nodes are small here."""
+    sets = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("id", "part"))).alias("ids")).select("ids").distinct()
+    return sets.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("m")).select("node", "m.id", "m.part")
 
 
 def _confirmed_leaders(docs: DataFrame, rep_sig: DataFrame, pairs: DataFrame, k: int, percent: int, est_least: float) -> DataFrame:
@@ -243,6 +247,32 @@ def _confirmed_leaders(docs: DataFrame, rep_sig: DataFrame, pairs: DataFrame, k:
             .sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(_confirm_stars(k, percent), f"a {id_type}, b {id_type}"))
 
 
+def _descend(reps: DataFrame, threshold: float, trees: int, max_depth: int, node_size: int, id_type: str):
+    """Branch ``reps`` (id, part, n, sig) from all roots: nodes of two parts or more are looked at, larger ones go deeper.
+
+    Returns the small nodes of every level (node, id, part), the members of large ones with their leader (a, b), and
+    what is still large at the last level (node, id, part, n) or None. Nodes of one part end where they are met."""
+    roots = vec.mix(np.arange(1, trees + 1, dtype=np.uint64) * vec.U64(0x9E3779B97F4A7C15))
+    node_type = f"node bigint, id {id_type}, part {id_type}, n bigint"
+    level = reps.select("id", "part", "n", "sig").mapInArrow(_branch(threshold, roots), node_type)
+    is_small = (F.col("size") <= min(TINY_NODE, node_size)) | ((F.col("size") <= node_size) & (F.col("weight") <= node_size * SHINGLES_PER_MEMBER))
+    small, leaders = [], []
+    for depth in range(1, max_depth + 1):
+        level = saved(level, "level")
+        size = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("id").alias("leader"),
+                                         F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+        level = saved(level.join(size, "node"), "nodes")
+        small.append(level.filter(is_small).select("node", "id", "part"))
+        large = level.filter(~is_small).select("node", "id", "part", "n", "leader")
+        if large.isEmpty():
+            return small, leaders, None
+        leaders.append(large.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+        if depth < max_depth:
+            level = large.select("node", "id", "part").join(reps.select("id", "n", "sig"), "id").select("node", "id", "part", "n", "sig").mapInArrow(
+                _branch(threshold, None), node_type)
+    return small, leaders, large.select("node", "id", "part", "n")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = THRESHOLD,
                     trees: int = TREES, max_depth: int = MAX_DEPTH, node_size: int = NODE_SIZE) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for every input row.
@@ -267,44 +297,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rep_sig = saved(full.select("id", *key, "sig").join(classes.withColumnRenamed("rep", "id"), ["id", *key], "left_semi")
                     .select("id", *key, "sig").dropDuplicates(["id", *key]).select("id", "n", "sig"), "reps")
 
-    # branch: nodes of two or more are looked at, larger ones go deeper
-    roots = vec.mix(np.arange(1, trees + 1, dtype=np.uint64) * vec.U64(0x9E3779B97F4A7C15))
-    node_type = f"node bigint, id {id_type}"
-    level = rep_sig.mapInArrow(_branch(percent / 100, roots), f"{node_type}, n bigint")
-    most = node_size * SHINGLES_PER_MEMBER
-    is_small = (F.col("size") <= min(TINY_NODE, node_size)) | ((F.col("size") <= node_size) & (F.col("weight") <= most))
-    small, leaders = [], []
-    for depth in range(1, max_depth + 1):
-        level = saved(level, "level")
-        size = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("id").alias("leader")).filter("size > 1")
-        level = saved(level.join(size, "node"), "nodes")
-        small.append(level.filter(is_small).select("node", "id"))
-        large = level.filter(~is_small)
-        more = not large.isEmpty()
-        if more:
-            leaders.append(large.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")))
-        if not more or depth == max_depth:
-            break
-        level = large.select("node", "id").join(rep_sig, "id").select("node", "id", "n", "sig").mapInArrow(
-            _branch(percent / 100, None), f"{node_type}, n bigint")
-
     again = full.select("id", *key).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
     labels = full.select("id", *key).distinct().join(again, "id", "left_semi").join(classes, key).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    places = reduce(DataFrame.unionByName, small)
-    if leaders:
-        led = _confirmed_leaders(docs, rep_sig, reduce(DataFrame.unionByName, leaders).distinct(), k, percent, est_least)
-        labels = _edges(components(labels.unionByName(led)))
-        if more:
-            places = places.unionByName(_blocks(_part(large.select("node", "id", "n"), labels), node_size))
-
-    # what is left between the parts, in nodes that hold several
-    labels = saved(labels, "parts")
-    places = _part(_distinct_nodes(places), labels)
-    mixed = places.groupBy("node").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("node")
-    near = (places.join(mixed, "node", "left_semi").join(rep_sig, "id").select("node", "id", "part", "sig").groupBy("node")
-            .applyInArrow(_propose(est_least), node_type))
+
+    def down(reps: DataFrame):
+        return _descend(reps, percent / 100, trees, max_depth, node_size, id_type)
+
+    small, large, rest = down(rep_sig.withColumn("part", F.col("id")))
+    if large:
+        # a linear number of comparisons with leaders, then down again with the parts that they left
+        led = _confirmed_leaders(docs, rep_sig, reduce(DataFrame.unionByName, large).distinct(), k, percent, est_least)
+        labels = saved(_edges(components(labels.unionByName(led))), "parts")
+        small, _, rest = down(saved(_part(rep_sig, labels), "parted"))
+    if rest is not None:
+        small.append(_blocks(rest, node_size))
+
+    # what is left between the parts
+    places = _distinct_nodes(reduce(DataFrame.unionByName, small))
+    near = places.join(rep_sig, "id").select("node", "id", "part", "sig").groupBy("node").applyInArrow(
+        _propose(est_least), f"node bigint, id {id_type}, part {id_type}")
     near = saved(_distinct_nodes(near), "near")
-    across = _part(by_id.join(near, "id"), labels).select("node", "id", "part", "text").groupBy("node").applyInArrow(
+    across = by_id.join(near, "id").select("node", "id", "part", "text").groupBy("node").applyInArrow(
         _confirm_node(k, percent), f"a {id_type}, b {id_type}")
     labels = components(labels.unionByName(across))
 
@@ -317,7 +330,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _blocks(members: DataFrame, node_size: int) -> DataFrame:
-    """Nodes that stayed large: (node, id) of pairs of blocks, so that every two members of different
+    """Nodes that stayed large: (node, id, part) of pairs of blocks, so that every two members of different
     parts meet in one. Only the members outside a node's largest part are repeated over its blocks."""
     count = members.groupBy("node", "part").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
     main = count.groupBy("node").agg(F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("all"), F.sum("weight").alias("weight"))
@@ -326,8 +339,8 @@ def _blocks(members: DataFrame, node_size: int) -> DataFrame:
     dealt = members.join(main, "node").withColumn("own", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int"))
     light = dealt.filter(F.col("part") != F.col("main"))
     keyed = lambda lo, hi: F.xxhash64("node", lo, hi)
-    met = light.select("id", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    moved = met.select(keyed(F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id")
+    met = light.select("id", "part", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    moved = met.select(keyed(F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "part")
     hosts = light.groupBy("node").agg(F.collect_set("own").alias("lights"))
-    stay = dealt.join(hosts, "node").select("id", "node", "own", F.explode("lights").alias("other"))
-    return moved.unionByName(stay.select(keyed(F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id")).distinct()
+    stay = dealt.join(hosts, "node").select("id", "part", "node", "own", F.explode("lights").alias("other"))
+    return moved.unionByName(stay.select(keyed(F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "part")).distinct()

@@ -267,7 +267,7 @@ def _large_units(places: DataFrame, sets: DataFrame, labels: DataFrame, unit_tok
     weighed = _part(places.join(once, "node", "left_semi").join(sets.groupBy("id").agg(F.sum(F.size("tokens")).alias("n")), "id"), labels)
     mixed = weighed.groupBy("node").agg(F.sum("n").alias("weight"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("node", "weight")
     left = saved(weighed.join(mixed, "node"), "mixed")
-    blocks = _blocks(left.filter(F.col("weight") > unit_tokens).select("node", "id", "n", "part"), max(2, unit_tokens // SHINGLES_PER_MEMBER))
+    blocks = _blocks(left.filter(F.col("weight") > unit_tokens).select("node", "id", "n", "part"), max(2, unit_tokens // SHINGLES_PER_MEMBER)).select("node", "id")
     return left.filter(F.col("weight") <= unit_tokens).select("node", "id").unionByName(blocks)
 
 
