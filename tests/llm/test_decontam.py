@@ -50,16 +50,16 @@ WORDS = st.lists(st.sampled_from("ab"), max_size=14).map(" ".join)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(WORDS, max_size=4), WORDS, st.integers(1, 5))
-def test_automaton_equals_brute_force(items, doc, window):
+@given(st.lists(WORDS, max_size=4), WORDS, st.integers(1, 5), st.sampled_from([1, 3, 1000]))
+def test_automaton_equals_brute_force(items, doc, window, piece_words):
     import numpy as np
 
     rows = [(str(i), t) for i, t in enumerate(items)]
-    block = decontam.Items(rows, window)
+    block = decontam.Items(rows, window, piece_words)          # items longer than a piece lie over several
     h = decontam.vec.words(np.frombuffer(doc.encode(), np.uint8), decontam.vec.ALNUM, True)[2]
     hit, found = np.zeros(len(h), bool), set()
     for s, e in zip(*block.stretches(block.numbers(h), np.array([0, len(h)])), strict=True):
-        block.automaton.scan(block.numbers(h[s:e]).tolist(), hit, int(s), found)
+        block.scan(block.numbers(h[s:e]), hit, int(s), found)
     want = next(decontam.brute_force([(0, doc)], rows, window))
     assert (int(hit.sum()), len(found)) == want[2:4]
 
@@ -76,3 +76,25 @@ def test_clean_cuts_passages_and_drops_covered_documents(spark):
 def test_very_long_text(spark, text):
     ready(spark)
     assert run(spark, [(1, text)], [("i", "word " * 10)])[0][1:4] == (200_000, 200_000, 1)
+
+
+def test_memory_of_a_block_follows_its_text():
+    """What a worker holds of a megabyte of items: some megabytes, not the maps that the automata are built from."""
+    import pickle
+    import random
+    import subprocess
+    import sys
+    import tempfile
+
+    rnd = random.Random(1)
+    rows = [(str(i), " ".join(f"w{int(rnd.paretovariate(0.3)) % 40_000}" for _ in range(200))) for i in range(1500)]
+    rows += [("long", " ".join(f"u{i}" for i in range(200_000)))]
+    text_bytes = sum(len(t) for _, t in rows)
+    with tempfile.NamedTemporaryFile(suffix=".pickle") as f:
+        pickle.dump(decontam.Items(rows, 10), f)
+        f.flush()
+        assert f.tell() < 15 * text_bytes
+        code = ("import resource, pickle, sys; sys.path.insert(0, '.'); import txrisk.llm.decontam; m = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+                f"a = m(); x = pickle.load(open({f.name!r}, 'rb')); print((m() - a) * 1024, len(x.automata))")
+        grown, automata = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-2:]
+    assert int(grown) < 40 * text_bytes and int(automata) > 2

@@ -5,15 +5,19 @@ an item; an item of fewer words (but not none) is one window. Every document str
 the automaton, which gives the longest item passage ending at each word; words inside an
 occurrence of a window are hit.
 
-Test sets are small beside a corpus, but their size is checked, not assumed: items are dealt into
-blocks of at most ``block_bytes`` bytes of text, each blocks of at most ``block_bytes`` bytes of text, each block has its own automaton, and one
-block after another is streamed over the whole texts; hits are then merged per document.
+Test sets are small beside a corpus, but their size is checked, not assumed. Items are dealt into blocks of about
+``block_bytes`` bytes of text. A block is a row of automata of at most ``PIECE_WORDS`` words each, built one at a time and kept as sorted
+arrays (about 5 MB a MB of text, where the maps they are built from take 130 MB); an item of more words
+is laid over several with an overlap that keeps every window whole. Blocks are streamed over the whole texts and their hits
+merged per document. Cutting passages looks at every block before it cuts, with at most two blocks in a task at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +26,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import vec
-from .runtime import Out, spare
+from .runtime import Out, saved, spare
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+PIECE_WORDS = 1 << 17
 
 
 class SuffixAutomaton:
     """Generalised suffix automaton over word numbers, with the items of each passage."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[int, list]], window: int):
         self.window = window
         self.next: list[dict] = [{}]
         self.link, self.len = [-1], [0]
         own: list[set] = [set()]
-        for k, (_, seq) in enumerate(items):
+        for k, seq in items:
             last = 0
             for w in seq:
                 last = self._extend(last, w, own)
@@ -51,7 +56,7 @@ class SuffixAutomaton:
         self.cut = [0] * len(self.len)                # the state of the last `window` words
         self.short: dict[int, list] = {}              # whole items of fewer words that end here: (words, item)
         ends: dict[int, list] = {}
-        for k, (_, seq) in enumerate(items):
+        for k, seq in items:
             if 0 < len(seq) < window:
                 v = 0
                 for w in seq:
@@ -97,32 +102,86 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
+    def packed(self, words: int) -> PackedAutomaton:
+        """The automaton as arrays; word numbers are below ``words``."""
+        return PackedAutomaton(self, words)
+
+
+def _grouped(rows: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists by state as offsets and values."""
+    offset = np.zeros(n + 1, np.int32)
+    for v, values in rows.items():
+        offset[v + 1] = len(values)
+    offset = np.cumsum(offset, dtype=np.int32)
+    return offset, np.array([x for v in sorted(rows) for x in rows[v]], np.int64)
+
+
+class PackedAutomaton:
+    """A :class:`SuffixAutomaton` to be matched: edges sorted by (state, word), nothing but arrays."""
+
+    def __init__(self, built: SuffixAutomaton, words: int):
+        self.window, self.words, n = built.window, words, len(built.len)
+        size = sum(len(x) for x in built.next)
+        key = np.fromiter((v * words + w for v, edges in enumerate(built.next) for w in edges), np.int64, size)
+        to = np.fromiter((t for edges in built.next for t in edges.values()), np.int32, size)
+        order = np.argsort(key)
+        self.key, self.to = array("q", key[order].tobytes()), array("i", to[order].tobytes())
+        self.link, self.len, self.cut = (array("i", np.array(x, np.int32).tobytes()) for x in (built.link, built.len, built.cut))
+        self.item_at, self.item = _grouped({v: sorted(x) for v, x in built.items_of.items()}, n)
+        self.short_at, self.short = _grouped({v: [(m << 32) | k for m, k in x] for v, x in built.short.items()}, n)
+
+    def _step(self, v: int, w: int) -> int:
+        """The state after word ``w`` (-1: of no item), -1 if there is none."""
+        if w < 0:
+            return -1
+        key = v * self.words + w
+        at = bisect_left(self.key, key)
+        return self.to[at] if at < len(self.key) and self.key[at] == key else -1
+
     def scan(self, seq: list, hit: np.ndarray, at: int, found: set) -> None:
         """Stream words; mark those inside windows in ``hit`` (``seq[0]`` is word ``at``), add their items to ``found``."""
-        nxt, link, length, window = self.next, self.link, self.len, self.window
+        link, length, window, step = self.link, self.len, self.window, self._step
         v = matched = 0
         for i, w in enumerate(seq):
-            while v and w not in nxt[v]:
+            to = step(v, w)
+            while v and to < 0:
                 v = link[v]
                 matched = length[v]
-            to = nxt[v].get(w)
-            if to is None:
+                to = step(v, w)
+            if to < 0:
                 continue
             v, matched = to, matched + 1
             if matched >= window:
                 hit[at + i + 1 - window: at + i + 1] = True
-                found |= self.items_of[self.cut[v]]
-            if v in self.short:
-                for n, k in self.short[v]:
+                cut = self.cut[v]
+                found.update(self.item[self.item_at[cut]: self.item_at[cut + 1]].tolist())
+            if self.short_at[v] < self.short_at[v + 1]:
+                for x in self.short[self.short_at[v]: self.short_at[v + 1]].tolist():
+                    n, k = x >> 32, x & 0xFFFFFFFF
                     if n <= matched:
                         hit[at + i + 1 - n: at + i + 1] = True
                         found.add(k)
 
 
+def _pieces(seqs: list[np.ndarray], window: int, most: int):
+    """The items in groups of at most about ``most`` words, as (item number, words); long ones are laid over with an overlap."""
+    group, size = [], 0
+    for k, seq in enumerate(seqs):
+        for i in range(0, max(1, len(seq) - window + 1), most):
+            part = seq[i: i + most + window - 1]
+            if group and size + len(part) > most:
+                yield group
+                group, size = [], 0
+            group.append((k, part))
+            size += len(part)
+    if group:
+        yield group
+
+
 class Items:
     """A block of test items, ready to be matched; it is broadcast."""
 
-    def __init__(self, rows: list[tuple[str, str]], window: int):
+    def __init__(self, rows: list[tuple[str, str]], window: int, piece_words: int = PIECE_WORDS):
         self.window = window
         seqs = []
         for item, text in rows:
@@ -136,7 +195,14 @@ class Items:
         self.least = min([window, *lengths]) if lengths else 0
         pairs = [s[:-1] * len(self.vocab) + s[1:] for _, s in numbered if len(s) > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.automaton = SuffixAutomaton([(item, s.tolist()) for item, s in numbered], window)
+        self.automata = []
+        for group in _pieces([s for _, s in numbered], window, piece_words):
+            self.automata.append(SuffixAutomaton([(k, s.tolist()) for k, s in group], window).packed(len(self.vocab)))
+
+    def scan(self, numbers: np.ndarray, hit: np.ndarray, at: int, found: set) -> None:
+        seq = numbers.tolist()
+        for automaton in self.automata:
+            automaton.scan(seq, hit, at, found)
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Word numbers, -1 for words of no item."""
@@ -196,7 +262,7 @@ def _stream(shared):
                 found: dict[int, set] = {}
                 docs = np.searchsorted(b.first, starts, "right") - 1
                 for d, s, e in zip(docs.tolist(), starts.tolist(), stops.tolist(), strict=True):
-                    items.automaton.scan(items.numbers(b.hash[s:e]).tolist(), hit, s, found.setdefault(d, set()))
+                    items.scan(items.numbers(b.hash[s:e]), hit, s, found.setdefault(d, set()))
                 for d in range(b.rows):
                     lo, hi = int(b.first[d]), int(b.first[d + 1])
                     spans, names = [], []
@@ -277,7 +343,7 @@ def _clean_rows(shared, text_col, max_coverage, mark, marked, last):
                 touched = set()
                 docs = np.searchsorted(b.first, starts, "right") - 1
                 for d, s, e in zip(docs.tolist(), starts.tolist(), stops.tolist(), strict=True):
-                    items.automaton.scan(items.numbers(b.hash[s:e]).tolist(), hit, s, set())
+                    items.scan(items.numbers(b.hash[s:e]), hit, s, set())
                     touched.add(d)
                 for d in range(b.rows):
                     lo, hi = int(b.first[d]), int(b.first[d + 1])
@@ -315,8 +381,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
           window: int = WINDOW, max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without their hit passages: each is cut out of the text (from the first byte of its first word to the last
     of its last); a document of which more than ``max_coverage`` of the words are hit is dropped. Others stay as
-    they are, with all columns. With several blocks of items, each is matched with the whole text; coverage is judged and
-    passages are cut once, behind the last."""
+    they are, with all columns. Null and empty texts and those without words are never hit; an empty benchmark changes
+    nothing, an empty table gives an empty table; repeated rows each stay or go. Very long texts are matched whole. With several blocks of items, each
+    is matched with the whole text; coverage is judged and passages are cut once, behind the last. After every second block the
+    rows are written, so that no task holds more than two."""
     out, blocks = docs, _blocks_of(benchmark, item_col, item_text_col, block_bytes)
     (mark,) = spare(docs, "hit_bounds")
     noted = StructType([*docs.schema.fields, StructField(mark, ArrayType(LongType()))])
@@ -324,6 +392,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         shared = docs.sparkSession.sparkContext.broadcast(Items([(r["item"], r["text"]) for r in items.collect()], window))
         last = no == len(blocks) - 1
         out = out.mapInArrow(_clean_rows(shared, text_col, max_coverage, mark, no > 0, last), docs.schema if last else noted)
+        if no % 2 and not last:
+            out = saved(out, "noted")
     return out
 
 
