@@ -1,15 +1,17 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses, by keyed Feistel permutations.
 
-DataFrame functions only. Values are found by pattern and validated (check digit of card numbers, octets of network
+DataFrame functions only. Values are found by pattern and validated (check digits of card and account numbers, octets of network
 addresses, ranges of social security numbers, the calendar for dates). Each valid value is permuted within its format by a
 Feistel network whose round function is SHA-256 under a key: the same value always gives the same pseudonym,
 whatever its punctuation, so equal values stay linked across documents; different values never share one.
 
 * card numbers: all digits but the last are permuted, the last is the new check digit;
-* telephone numbers: the last ten digits; the country code stays;
+* telephone numbers: `+` and 8 to 15 digits, or ten digits as written in North America; the country code stays;
+* bank accounts (IBAN): the account within its kinds of characters, with new check digits (modulo 97); the country stays;
 * social security numbers: within the valid areas, groups and serials;
 * IPv4 addresses: within all addresses;
-* dates: the day within a block of 73,170 days (1900-01-01 to 2100-05-01 is one block), written as before;
+* dates: the day within a block of 73,170 days (1900-01-01 to 2100-05-01 is one block), written as before (a date
+  without leading zeros stays without);
 * e-mail addresses: the letters and digits before the @, each within its kind.
 """
 
@@ -24,17 +26,22 @@ from .runtime import spare
 
 ROUNDS = 8
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
-_DATE = r"(?<![\d/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-]|\.\d)"
+_DATE = r"(?<![\d/.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_PHONE = (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+_PHONE = (r"(?<![\w+])\+(?:1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\d(?:[ ./-]?[ (]?\d\)?){7,14})(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
           r"|(?<![\w.-])\d{3}([.-])\d{3}\3\d{4}(?![\d-])")
 _CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w])"
 _EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-NUMBERS = rf"(?=[\d+(])(?:{_IP}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})"
+_IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"
+NUMBERS = rf"(?:(?=[\d+(])(?:{_IP}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})|{_IBAN})"
 VALUES = rf"{_EMAIL}|{NUMBERS}"
 _BLOCK = (270, 271)                                    # 270 * 271 = 73,170 days
 
 
+# Country calling codes of two digits (1 and 7 have one, all others three): fixed values.
+CALLING = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def _random(key: str, *parts: Column) -> Column:
     """60 keyed pseudo-random bits."""
     text = F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])
@@ -96,11 +103,11 @@ def _luhn(digits: Column, check_follows: bool) -> Column:
     return F.aggregate(each, F.lit(0), lambda n, d: n + d)
 
 
-def _written_like(v: Column, digits: Column) -> Column:
-    """The digits in place of those of ``v``, one by one."""
+def _written_like(v: Column, marks: Column) -> Column:
+    """The characters of ``marks`` in place of the digits and capital letters of ``v``, one by one."""
     chars = F.filter(F.split(v, ""), lambda c: c != "")
-    step = lambda s, c: F.when(c.between("0", "9"), F.struct(
-        F.concat(s["t"], F.substr(digits, s["i"], F.lit(1))).alias("t"), (s["i"] + 1).alias("i"))).otherwise(
+    step = lambda s, c: F.when(c.between("0", "9") | c.between("A", "Z"), F.struct(
+        F.concat(s["t"], F.substr(marks, s["i"], F.lit(1))).alias("t"), (s["i"] + 1).alias("i"))).otherwise(
         F.struct(F.concat(s["t"], c).alias("t"), s["i"].alias("i")))
     return F.aggregate(chars, F.struct(F.lit("").alias("t"), F.lit(1).alias("i")), step, lambda s: s["t"])
 
@@ -114,8 +121,24 @@ def _card(v: Column, key: str) -> Column:
 
 def _phone(v: Column, key: str) -> Column:
     d = _digits(v)
-    lead = F.char_length(d) - 10
-    return F.when(lead >= 0, _written_like(v, F.concat(F.substr(d, F.lit(1), lead), permute_text(F.substr(d, lead + 1), key, "phone"))))
+    code = F.when(~F.startswith(v, F.lit("+")), F.char_length(d) - 10).when(F.substring(d, 1, 1).isin("1", "7"), 1).when(
+        F.substring(d, 1, 2).isin(*CALLING), 2).otherwise(3)
+    return _written_like(v, F.concat(F.substr(d, F.lit(1), code), permute_text(F.substr(d, code + 1), key, "phone")))
+
+
+def _mod97(marks: Column) -> Column:
+    """The remainder by 97 of digits and capital letters read as a number (A is 10, Z is 35)."""
+    chars = F.filter(F.split(marks, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda n, c: F.when(c.between("0", "9"), (n * 10 + F.ascii(c) - 48) % 97).otherwise((n * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(v: Column, key: str) -> Column:
+    marks = F.regexp_replace(v, " ", "")
+    country, body = F.substring(marks, 1, 2), F.substr(marks, F.lit(5))
+    new = permute_text(body, key, "iban")
+    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(body, F.substring(marks, 1, 4))) == 1
+    return F.when(valid, _written_like(v, F.concat(country, check, new)))
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -145,14 +168,19 @@ def _date(v: Column, key: str) -> Column:
     # day before month with dots, or where only that is a date; month before day otherwise
     a, b = parts[0], parts[1]
     day_first = (sign == ".") | (a.cast("int") > 12)
-    iso = F.when(first, F.concat_ws("-", a, b, parts[2])).when(day_first, F.concat_ws("-", parts[2], b, a)).otherwise(F.concat_ws("-", parts[2], a, b))
+    two = lambda x: F.lpad(x, 2, "0")
+    iso = F.when(first, F.concat_ws("-", a, two(b), two(parts[2]))).when(day_first, F.concat_ws("-", parts[2], two(b), two(a))).otherwise(
+        F.concat_ws("-", parts[2], two(a), two(b)))
+    # without leading zeros where one is missing
+    bare = v.rlike(r"(?:^|\D)\d(?:\D|$)")
     size = _BLOCK[0] * _BLOCK[1]
     day = F.date_diff(F.try_to_date(iso, "yyyy-MM-dd"), F.to_date(F.lit("1900-01-01"))).cast("bigint")
     block = F.floor(day / F.lit(size)).cast("bigint")
     new = permute_number(F.pmod(day, F.lit(size)), *_BLOCK, key, "date", block) + block * size
-    shown = lambda f: F.date_format(F.date_add(F.to_date(F.lit("1900-01-01")), new.cast("int")), f)
-    out = F.when(first, F.concat_ws("-", shown("yyyy"), shown("MM"), shown("dd"))).when(
-        day_first, F.concat_ws("-", shown("dd"), shown("MM"), shown("yyyy"))).otherwise(F.concat_ws("-", shown("MM"), shown("dd"), shown("yyyy")))
+    date = F.date_add(F.to_date(F.lit("1900-01-01")), new.cast("int"))
+    y = F.date_format(date, "yyyy")
+    m, d = (F.when(bare, F.date_format(date, f)).otherwise(F.date_format(date, f + f)) for f in ("M", "d"))
+    out = F.when(first, F.concat_ws("-", y, m, d)).when(day_first, F.concat_ws("-", d, m, y)).otherwise(F.concat_ws("-", m, d, y))
     return F.when(day.isNotNull(), F.replace(out, F.lit("-"), sign))
 
 
@@ -163,7 +191,7 @@ def _email(v: Column, key: str) -> Column:
 
 KINDS: dict[str, tuple[str, Callable[[Column, str], Column]]] = {
     "email": (r"@", _email), "ip": (r"^\d{1,3}(\.\d{1,3}){3}$", _ip), "ssn": (r"^\d{3}-\d{2}-\d{4}$", _ssn),
-    "date": (r"^(\d{4}\D\d{2}\D\d{2}|\d{2}\D\d{2}\D\d{4})$", _date),
+    "date": (r"^(\d{4}\D\d{1,2}\D\d{1,2}|\d{1,2}\D\d{1,2}\D\d{4})$", _date), "iban": (r"^[A-Z]", _iban),
     "phone": (r"^[+(]|^\d{3}([.-])\d{3}\1\d{4}$", _phone), "card": (r"^\d(?:[ -]?\d){12,18}$", _card)}
 
 
@@ -178,8 +206,8 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``df`` with every valid personal value in ``text_col`` replaced by its pseudonym under ``key``.
 
-    Invalid look-alikes stay. Null and empty texts stay as they are, other columns, repeated rows and null ids too.
-    ``count_col`` names an optional column with the number of values replaced. No shuffle.
+    Invalid look-alikes stay. Null and empty texts stay as they are, other columns, repeated rows and null ids too; very long
+    texts are treated whole, an empty table gives an empty table. ``count_col`` names an optional column with the number of values replaced. No shuffle.
     """
     text = F.col(text_col)
     values, between, new = spare(df, "values", "between", "new")
