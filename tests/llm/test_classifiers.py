@@ -188,3 +188,39 @@ def test_blocks_of_words():
     got = [(b.row + d, b.data[s:e].tobytes()) for b in vec.blocks(pa.array(texts), vec.ALNUM, False, 8) for d in range(b.rows)
            for s, e in zip(b.start[b.first[d]: b.first[d + 1]], b.end[b.first[d]: b.first[d + 1]], strict=True)]
     assert got == [(0, b"b"), (0, b"c"), (3, "é".encode()), (3, "xé".encode()), (3, "xé".encode()), (3, b"x"), (4, b"w" * 5000)]
+
+
+def _characters(texts):
+    import pyarrow as pa
+
+    count = np.zeros(toxicity.CLASSES ** 3, np.int64)
+    for b in toxicity._trigram_rows([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]):
+        count[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    return toxicity.CharacterModel.of(count)
+
+
+CLEAN = ("the committee has an address near the football ground and the vacuum of skiing needs success\n"
+         "you are welcome to a great lesson about letters and little apples in the class room! see (page 2) for more, it isn't re-use.\n"
+         "un étudiant de l'école voit les pommes et les élèves")
+
+
+def test_all_three_channels_together(sf01):
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{sf01}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    model = _characters(texts + [CLEAN] * 5 + ["idiot stupid moron asshole dumbass shit the idiot is a stupid moron and an asshole"] * 30)
+    restored = {t: toxicity.restore_text(t, model) for t in (
+        "i d 1 0 t", "s h 1 t", "s h ! t", "m o r 0 n", "iiddiioott", "stuupiid", "dumba$$", "a££hole", "@$$hole", "id1ot", "st*pid", "1d10t")}
+    assert restored == {"i d 1 0 t": "idiot", "s h 1 t": "shit", "s h ! t": "shit", "m o r 0 n": "moron", "iiddiioott": "idiot", "stuupiid": "stupid",
+                        "dumba$$": "dumbass", "a££hole": "asshole", "@$$hole": "asshole", "id1ot": "idiot", "st*pid": "stupid", "1d10t": "idiot"}
+    for plain in ("the committee has an address near the football ground", "a great lesson about letters!", "50€ or 20£ (page 2)", "vacuum skiing success", "a b 1 2 3 4 5"):
+        assert toxicity.restore_text(plain, model) == plain
+
+
+def test_long_tokens_are_decoded_whole():
+    model = _characters([CLEAN] * 3 + ["idiot stupid " * 20])
+    word = "idi0t" * 40
+    assert toxicity.decode(word, model) == toxicity.restore_text(word, model) and len(word) > 64
+    # the state is carried over: what comes later in the word decides as in a short one
+    assert toxicity.decode("x" * 61 + "stup1d", model)[-6:] == toxicity.decode("xstup1d", model)[-6:] == "stupid"
+    assert len(toxicity.decode("a0" * 100_000, model)) >= 100_000

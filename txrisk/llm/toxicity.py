@@ -2,13 +2,14 @@
 
 1. A character language model: trigram counts of the letters of all documents (32 classes, so the table is
    bounded whatever the corpus).
-2. Decoding: words with signs or digits among letters, letters repeated three times or more and runs of single letters
-   are lattices: each sign may stand for several letters (or for nothing), each repetition may be dropped, each
-   gap between single letters may be none. Viterbi takes the path most probable under the language
-   model and the channel. Other words have one path only and stay as they are.
+2. Decoding: words with a letter and a sign or digit, with two doubled letters that are seldom doubled, with every letter
+   doubled or with a letter three times running, and runs of single letters and signs are lattices: each sign may stand for several letters (or
+   for nothing), each repetition may be dropped, each gap between single letters may be none. Viterbi takes the path most
+   probable under the language model and the channel, over the whole word however long it is. What these costs leave alone
+   stays as it is; other words have one path only.
 3. Score: words and word beginnings of the restored text carry the log-odds of toxic against other labelled rows, by
-   documents; a logistic regression over a text's strongest words gives the probability. Both are fitted on a bounded
-   sample (about ``per_label`` labelled rows of each class), three quarters of it for the odds, the rest for the regression.
+   documents; a logistic regression over a text's ``TOP`` strongest words (those of three bytes or more) gives the probability. Both are fitted on
+   a bounded sample (about ``per_label`` labelled rows of each class), three quarters of it for the odds, the rest for the regression.
 
 Labels, language, source and id are no inputs of a score.
 """
@@ -32,16 +33,20 @@ BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)                  # bytes
 TOP = 4
 PER_LABEL = 12_000
-MAX_TOKEN = 64                        # longer tokens are decoded in pieces
+_REMEMBERED = 64                      # characters of the longest words whose decoding is remembered
 
 # What a sign may stand for: fixed values of the channel.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "ls", "*": "aeiou", "#": "h",
 }
-_SIGN_COST, _DROP_COST, _GAP_COST = -1.5, -9.0, -0.1
+_SIGN_COST, _DROP_COST, _GAP_COST, _MARK_COST = -1.5, -9.0, -0.1, -0.1
+_MARKS = "!|+(*#"                     # that close a word as often as they stand for a letter
 # by how often the letter stood there before: (kept, dropped); doubled letters are ordinary, longer runs are not
 _REPEAT_COSTS = ((0.0, -6.0), (-3.0, -0.5))
+_RARE_COSTS = (-1.5, -1.5)            # letters that ordinary words seldom double
+_ALL_COSTS = (-6.0, -0.1)             # in words of which every letter is doubled
+_RARELY_DOUBLED = "aiuhjkqvwxy"
 
 
 def letter_class(ch: str) -> int:
@@ -86,19 +91,28 @@ class CharacterModel:
         return cls(np.log((c3 + 4 * p2) / (c3.sum(axis=2, keepdims=True) + 4)))
 
 
+_ALL_DOUBLED = re.compile(r"(?:([^\W\d_])\1+){3,}")
+_RARE_PAIRS = re.compile(rf"([{_RARELY_DOUBLED}])\1")
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """The options of each character of an obfuscated token: (letter or nothing, ln P of the channel)."""
     out, before, run = [], "", 0
+    closing = len(token.rstrip(_MARKS))
+    doubled = _ALL_DOUBLED.fullmatch(token) is not None
+    rare = len(_RARE_PAIRS.findall(token)) > 1
     for i, ch in enumerate(token):
         if ch == " ":
             out.append([("", _GAP_COST)])
             continue
         run = run + 1 if ch == before else 0
         if not ch.isalpha():
-            out.append([(x, _SIGN_COST) for x in SIGNS.get(ch, "")] + [("", (_DROP_COST if run == 0 else -0.5) if ch in SIGNS else -0.5)])
+            twice = run == 1 and token[i + 1: i + 2] != ch            # two signs are two letters, more are one drawn out
+            drop = -0.5 if ch not in SIGNS or (run and not twice) else _MARK_COST if i >= closing else _DROP_COST
+            out.append([(x, _SIGN_COST) for x in SIGNS.get(ch, "")] + [("", drop)])
         elif run:
             longer = run > 1 or token[i + 1: i + 2] == ch
-            keep, drop = _REPEAT_COSTS[int(longer)]
+            keep, drop = _ALL_COSTS if doubled else _REPEAT_COSTS[1] if longer else _RARE_COSTS if rare and ch in _RARELY_DOUBLED else _REPEAT_COSTS[0]
             out.append([(ch, keep), ("", drop)])
         else:
             out.append([(ch, 0.0)])
@@ -107,12 +121,13 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: CharacterModel) -> str:
-    """The most probable letters of a token (Viterbi; a state is the last two letter classes)."""
+    """The most probable letters of a token (Viterbi; a state is the last two letter classes). Paths are kept as links to the
+    letter before, so a token of any length takes linear time and memory."""
     logp = model.logp
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(token):
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for letter, cost in options:
                 if letter:
                     c = letter_class(letter)
@@ -120,9 +135,14 @@ def decode(token: str, model: CharacterModel) -> str:
                 else:
                     state, value = (a, b), score + cost
                 if state not in nxt or value > nxt[state][0]:
-                    nxt[state] = (value, text + letter)
+                    nxt[state] = (value, (path, letter) if letter else path)
         states = nxt
-    return max((score + logp[a, b, 0], text) for (a, b), (score, text) in states.items())[1]
+    _, path = max(((score + logp[a, b, 0], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])
+    letters = []
+    while path is not None:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 _LETTER = np.zeros(256, bool)
@@ -131,33 +151,80 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in SIGNS if ord(c) < 128] + [ord(c) for c in "._-~^'`%&"]] = True
 _DIGITS = np.zeros(256, bool)
 _DIGITS[0x30:0x3A] = True
-_EDGE = re.compile(r"^[^\w@$!|+(€£*#]+|[^\w]+$")
+_EDGE = re.compile(r"^[^\w@$!|+(€£*#]+|[^\w@$€£!|+(*#]+$")
+_BRACKETS = re.compile(r"^[\W\d_]+|[\W\d_]+$")            # a word that only loses these stays as it is
+_RARE = np.zeros(256, bool)
+_RARE[[ord(c) for c in _RARELY_DOUBLED]] = True
+_SINGLE = np.zeros(256, bool)          # signs that spelled letters are mixed with
+_SINGLE[[ord(c) for c in "0123456789@$!|*#"]] = True
+
+
+def _money(d: np.ndarray) -> np.ndarray:
+    """First bytes of the signs beyond ASCII."""
+    pound, euro = (np.zeros(len(d), bool) for _ in range(2))
+    if len(d) > 2:
+        pound[:-1] = (d[:-1] == 0xC2) & (d[1:] == 0xA3)
+        euro[:-2] = (d[:-2] == 0xE2) & (d[1:-1] == 0x82) & (d[2:] == 0xAC)
+    return pound | euro
+
+
+def _char_bytes(first: np.ndarray) -> np.ndarray:
+    """Bytes of the UTF-8 character that starts with this byte."""
+    return 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
 
 
 def _suspects(b: vec.Block) -> np.ndarray:
-    """Numbers of the words that are lattices: a sign before a letter, a digit behind one, a letter three times running."""
+    """Numbers of the words that are lattices: a letter next to a sign or digit, a letter three times running, or doubled
+    letters that are the whole word, or twice such as are seldom doubled."""
     d, low = b.data, vec.lower(b.data)
+    if len(d) < 3:
+        return np.zeros(0, np.int64)
+    money = _money(d)
+    # the bytes of a euro or pound sign are no letters
+    letter = _LETTER[d] & ~money & ~(np.concatenate(([False], money[:-1]))) & ~((d == 0xAC) & np.concatenate(([False, False], money[:-2])))
+    sign = (_SIGN | _DIGITS)[d] | money
     odd = np.zeros(len(d), bool)
-    if len(d) > 2:
-        odd[:-1] |= _SIGN[d[:-1]] & _LETTER[d[1:]]
-        odd[1:] |= _DIGITS[d[1:]] & _LETTER[d[:-1]]
-        odd[2:] |= (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTER[d[2:]] & (d[2:] < 128)
+    odd[:-1] |= sign[:-1] & letter[1:]
+    # behind a letter: digits and signs that read as letters ("can't", "end." and "great!" are no such words)
+    odd[1:] |= (_DIGITS[d[1:]] | _TAIL[d[1:]] | money[1:]) & letter[:-1]
+    twice = (low[1:] == low[:-1]) & letter[1:] & (d[1:] < 128)
+    odd[2:] |= twice[1:] & twice[:-1]
     at = np.flatnonzero(odd)
-    return np.unique(np.searchsorted(b.start, at, "right") - 1) if len(at) else at
+    # two letters or more that are seldom doubled
+    rare = np.flatnonzero(np.concatenate(([False], twice & _RARE[low[1:]])))
+    words, times = np.unique(np.searchsorted(b.start, rare, "right") - 1, return_counts=True)
+    rare = words[(times > 1) & (words >= 0)]
+    # every letter doubled: as many doubled places as half the word at least
+    pairs = np.concatenate(([0], np.cumsum(np.concatenate(([False], twice)))))
+    n = b.end - b.start
+    every = np.flatnonzero((n >= 6) & (2 * (pairs[b.end] - pairs[b.start + 1]) >= n)) if len(n) else at
+    words = np.searchsorted(b.start, at, "right") - 1
+    return np.unique(np.concatenate([words[words >= 0], every, rare]))
+
+
+_TAIL = np.zeros(256, bool)
+_TAIL[[ord("@"), ord("$")]] = True
 
 
 def _spelled(b: vec.Block) -> list[tuple[int, int]]:
-    """Ranges of words of a run of at least three single letters (with or without a mark behind)."""
+    """Ranges of words of a run of at least three single letters and signs, at least two and half of them letters (the last of
+    a run with or without a mark behind)."""
     n = b.end - b.start
-    letter = _LETTER[b.data[b.start]] if len(n) else np.zeros(0, bool)
-    # one letter, or one letter and a closing mark ("t!", "c.")
-    one = letter & ((n == 1) | ((n == 2) & ~_LETTER[b.data[b.end - 1]])) if len(n) else letter
-    one = np.concatenate(([False], one, [False]))
+    if not len(n):
+        return []
+    first = b.data[b.start]
+    size = _char_bytes(first)
+    money = _money(b.data)[b.start]
+    letter = _LETTER[first] & ~money & ((n == size) | ((n == size + 1) & ~_LETTER[b.data[b.end - 1]]))
+    sign = (money & (n == size)) | (_SINGLE[first] & (n == 1))
+    letters = np.concatenate(([0], np.cumsum(letter)))
+    one = np.concatenate(([False], letter | sign, [False]))
     flips = np.flatnonzero(one[1:] != one[:-1])
     runs = []
     for s, e in zip(flips[0::2].tolist(), flips[1::2].tolist(), strict=True):
         for x, y in _split_at(b.first, s, e):
-            if y - x >= 3:
+            many = int(letters[y] - letters[x])
+            if y - x >= 3 and many >= 2 and 2 * many >= y - x:
                 runs.append((x, y))
     return runs
 
@@ -171,8 +238,11 @@ class Restorer:
     """Restores texts; decoded tokens are remembered, as the same ones come again."""
 
     def __init__(self, model: CharacterModel):
-        self.decode = lru_cache(maxsize=100_000)(lambda token: "".join(
-            decode(token[i: i + MAX_TOKEN], model) for i in range(0, len(token), MAX_TOKEN)))
+        self.known = lru_cache(maxsize=100_000)(lambda token: decode(token, model))
+        self.model = model
+
+    def decode(self, token: str) -> str:
+        return self.known(token) if len(token) <= _REMEMBERED else decode(token, self.model)
 
     def block(self, b: vec.Block) -> list[bytes]:
         """The restored text of every row of a block, cut into words by white space."""
@@ -187,9 +257,9 @@ class Restorer:
             if w < 0 or w in inside:
                 continue
             token = _EDGE.sub("", b.data[b.start[w]: b.end[w]].tobytes().decode("utf-8", "replace").lower())
-            if token and not token.isdigit():
+            if token and not token.isdigit() and (new := self.decode(token)) != _BRACKETS.sub("", token):
                 d = int(np.searchsorted(b.first, w, "right")) - 1
-                change.setdefault(d, []).append((int(b.start[w]), int(b.end[w]), self.decode(token).encode()))
+                change.setdefault(d, []).append((int(b.start[w]), int(b.end[w]), new.encode()))
         out = []
         for d in range(b.rows):
             if d not in change:
