@@ -103,8 +103,8 @@ def test_of_two_writers_that_read_the_same_snapshot_one_loses(spark):
         write_registry(b[0].unionByName(_models(spark, "b")), path, b[1])
     assert {r.model_version for r in read_registry(spark, path).collect()} == {"m0", "a"}
     # the commit itself refuses a number that was taken between the look and the commit
-    assert not registry._create(spark, f"{path}/_commits/000000002", "data-other")
-    assert registry._create(spark, f"{path}/_commits/000000003", "data-x")
+    assert not registry.create_file(spark, f"{path}/_commits/000000002", "data-other")
+    assert registry.create_file(spark, f"{path}/_commits/000000003", "data-x")
     assert not [n for n in os.listdir(os.path.join(path, "_commits")) if n.endswith(".tmp")]
 
 

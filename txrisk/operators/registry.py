@@ -19,7 +19,7 @@ from ..functions.columns import as_of_col
 from ..sources.tables import hadoop_path
 
 
-def _create(spark: SparkSession, path: str, content: str) -> bool:
+def create_file(spark: SparkSession, path: str, content: str) -> bool:
     """Create a file that is not there yet, whole: the content goes to a file of its own, which a link or rename that
     replaces nothing gives its name; False where another writer has made it.
 
@@ -46,7 +46,7 @@ def _create(spark: SparkSession, path: str, content: str) -> bool:
         return False
 
 
-def _commits(spark: SparkSession, path: str) -> list[int]:
+def commit_numbers(spark: SparkSession, path: str) -> list[int]:
     folder, fs = hadoop_path(spark, f"{path}/_commits")
     if not fs.exists(folder):
         return []
@@ -69,7 +69,7 @@ class RegistryConflict(Exception):
 
 def registry_version(spark: SparkSession, path: str) -> int:
     """Number of the newest committed snapshot, 0 where there is none."""
-    numbers = _commits(spark, path)
+    numbers = commit_numbers(spark, path)
     return max(numbers) if numbers else 0
 
 
@@ -84,7 +84,7 @@ def write_registry(models: DataFrame, path: str, read_version: int) -> int:
     if registry_version(spark, path) != read_version:
         raise RegistryConflict(f"snapshot {number} of {path} is taken")
     models.write.parquet(f"{path}/{data}")
-    if not _create(spark, f"{path}/_commits/{number:09d}", data):
+    if not create_file(spark, f"{path}/_commits/{number:09d}", data):
         raise RegistryConflict(f"snapshot {number} of {path} is taken")
     return number
 

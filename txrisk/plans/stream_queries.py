@@ -6,6 +6,8 @@ the watermark is a no-op, so these queries check their results against SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import ts_string
@@ -13,6 +15,8 @@ from ..operators.features import serving_features
 from ..operators.scoring import rule_score
 from ..sources.kafka import parse_messages, to_messages
 from ..sources.sinks import alert_payload
+from ..session import checkpoint_dir
+from ..streaming.counts import add_batch, compact, user_frequency
 from ..streaming.keyed import stream_alert_expiry, stream_bursts, stream_user_windows
 from ..streaming.replay import replayed
 from ..streaming.stream import stream_fraud_rate, stream_rapid_fraud, stream_tx_with_alerts, stream_volume
@@ -157,3 +161,18 @@ def q_replayed_tx_with_alerts(spark, d):
     a = alerts(spark, d, 0.5).select("transaction_id", "fraud_score", "is_fraud", "alert_status", "detection_time")
     j = replayed([t, a], stream_tx_with_alerts, ["transaction_time", "detection_time"], CUTS)
     return j.select("transaction_id", ts_string("transaction_time").alias("transaction_time"), r6("fraud_score").alias("fraud_score"), "is_fraud", "alert_status")
+
+
+@query("user_frequency_kept", O.BASE + """
+SELECT user_id, CAST(count(*) AS BIGINT) AS user_frequency FROM tx GROUP BY user_id""")
+def q_user_frequency_kept(spark, d):
+    """J10 kept up to date: all transactions counted in six batches of days, one of them written twice, folded into a base on the way."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/user-counts-{uuid.uuid4().hex}"
+    t = tx(spark, d).select("user_id", F.floor((F.dayofmonth("transaction_time") - 1) / 6).alias("batch"))
+    for n in range(6):
+        rows = t.filter(F.col("batch") == n)
+        if n == 3:
+            compact(spark, path, ("replay", n))
+            add_batch(t.filter(F.col("batch") == 0), path, ("replay", n))      # an attempt that was lost
+        add_batch(rows, path, ("replay", n))
+    return user_frequency(spark, path).select("user_id", big("user_frequency").alias("user_frequency"))
