@@ -15,8 +15,9 @@ Nothing depends on a group being small:
 * equal sets are one vertex from the start (a grouped minimum, folded before the shuffle);
 * members of large nodes are first held against the smallest id of each and linked with the most similar one: a
   group of any size falls into few parts by a linear number of comparisons. A leader with many followers is salted;
-* then the documents go down the trees again with their parts: a branch ends where its members are one part. Nodes that
-  hold several are looked at, only across parts, and nodes of the same members once; parts are joined once for each document;
+* a node whose members are one part then ends. In one with few members outside its main part these meet the others in
+  blocks; only nodes with many of them branch on. Nodes that hold several parts are looked at, only across parts, and
+  nodes of the same members once;
 * a node that stays large at ``max_depth`` is cut into blocks, and blocks are compared by twos.
 
 Signatures only propose: every link is confirmed on the full shingle sets of both texts.
@@ -226,8 +227,9 @@ def _part(frame: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _distinct_nodes(members: DataFrame) -> DataFrame:
-    """(node, id, part) with nodes of equal members once; nodes are small here."""
-    sets = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("id", "part"))).alias("ids")).select("ids").distinct()
+    """(node, id, part) of nodes of several parts, those of equal members once; nodes are small here."""
+    sets = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("id", "part"))).alias("ids")).select("ids").filter(
+        F.array_min("ids.part") != F.array_max("ids.part")).distinct()
     return sets.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("m")).select("node", "m.id", "m.part")
 
 
@@ -247,30 +249,14 @@ def _confirmed_leaders(docs: DataFrame, rep_sig: DataFrame, pairs: DataFrame, k:
             .sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(_confirm_stars(k, percent), f"a {id_type}, b {id_type}"))
 
 
-def _descend(reps: DataFrame, threshold: float, trees: int, max_depth: int, node_size: int, id_type: str):
-    """Branch ``reps`` (id, part, n, sig) from all roots: nodes of two parts or more are looked at, larger ones go deeper.
-
-    Returns the small nodes of every level (node, id, part), the members of large ones with their leader (a, b), and
-    what is still large at the last level (node, id, part, n) or None. Nodes of one part end where they are met."""
-    roots = vec.mix(np.arange(1, trees + 1, dtype=np.uint64) * vec.U64(0x9E3779B97F4A7C15))
-    node_type = f"node bigint, id {id_type}, part {id_type}, n bigint"
-    level = reps.select("id", "part", "n", "sig").mapInArrow(_branch(threshold, roots), node_type)
-    is_small = (F.col("size") <= min(TINY_NODE, node_size)) | ((F.col("size") <= node_size) & (F.col("weight") <= node_size * SHINGLES_PER_MEMBER))
-    small, leaders = [], []
-    for depth in range(1, max_depth + 1):
-        level = saved(level, "level")
-        size = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("id").alias("leader"),
-                                         F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-        level = saved(level.join(size, "node"), "nodes")
-        small.append(level.filter(is_small).select("node", "id", "part"))
-        large = level.filter(~is_small).select("node", "id", "part", "n", "leader")
-        if large.isEmpty():
-            return small, leaders, None
-        leaders.append(large.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")))
-        if depth < max_depth:
-            level = large.select("node", "id", "part").join(reps.select("id", "n", "sig"), "id").select("node", "id", "part", "n", "sig").mapInArrow(
-                _branch(threshold, None), node_type)
-    return small, leaders, large.select("node", "id", "part", "n")
+def _sized(level: DataFrame) -> DataFrame:
+    """Rows (node, id, part, n) of nodes of two parts or more, with the node's size, weight, smallest id and number of
+    members outside its largest part, written once. Nodes of one part end here."""
+    level = saved(level, "level")
+    counts = level.groupBy("node", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("id").alias("i"))
+    size = counts.groupBy("node").agg(F.sum("c").alias("size"), F.sum("w").alias("weight"), F.min("i").alias("leader"), F.max("c").alias("most"),
+                                      F.count(F.lit(1)).alias("parts")).filter("parts > 1").withColumn("light", F.col("size") - F.col("most"))
+    return saved(level.join(size.drop("most", "parts"), "node"), "nodes")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = THRESHOLD,
@@ -300,20 +286,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = full.select("id", *key).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
     labels = full.select("id", *key).distinct().join(again, "id", "left_semi").join(classes, key).select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    def down(reps: DataFrame):
-        return _descend(reps, percent / 100, trees, max_depth, node_size, id_type)
-
-    small, large, rest = down(rep_sig.withColumn("part", F.col("id")))
-    if large:
-        # a linear number of comparisons with leaders, then down again with the parts that they left
-        led = _confirmed_leaders(docs, rep_sig, reduce(DataFrame.unionByName, large).distinct(), k, percent, est_least)
+    # branch from all roots: nodes of two or more are looked at, larger ones go deeper
+    roots = vec.mix(np.arange(1, trees + 1, dtype=np.uint64) * vec.U64(0x9E3779B97F4A7C15))
+    node_type = f"node bigint, id {id_type}, part {id_type}, n bigint"
+    is_small = (F.col("size") <= min(TINY_NODE, node_size)) | ((F.col("size") <= node_size) & (F.col("weight") <= node_size * SHINGLES_PER_MEMBER))
+    level = _sized(rep_sig.withColumn("part", F.col("id")).mapInArrow(_branch(percent / 100, roots), node_type))
+    small, large = level.filter(is_small).select("node", "id", "part"), level.filter(~is_small)
+    places = [small]
+    if not large.isEmpty():
+        # a linear number of comparisons with leaders; what they link is one part from here on
+        stars = large.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        led = _confirmed_leaders(docs, rep_sig, stars, k, percent, est_least)
         labels = saved(_edges(components(labels.unionByName(led))), "parts")
-        small, _, rest = down(saved(_part(rep_sig, labels), "parted"))
-    if rest is not None:
-        small.append(_blocks(rest, node_size))
+        parts = saved(_part(rep_sig.select("id").distinct(), labels), "parted")
+        places = [small.select("node", "id").join(parts, "id").select("node", "id", "part")]
+        level = large.select("node", "id", "n").join(parts, "id")
+        for depth in range(1, max_depth + 1):
+            level = _sized(level)
+            large = level.filter(~is_small)
+            places.append(level.filter(is_small).select("node", "id", "part"))
+            # few outside the main part: they meet the others in blocks, which takes about a row a member; many: the node branches on
+            few = F.col("light") <= F.lit(node_size // 4)
+            last = depth == max_depth
+            places.append(_blocks((large if last else large.filter(few)).select("node", "id", "n", "part"), node_size))
+            large = large.filter(~few)
+            if last or large.isEmpty():
+                break
+            level = large.select("node", "id", "part").join(rep_sig, "id").select("node", "id", "part", "n", "sig").mapInArrow(
+                _branch(percent / 100, None), node_type)
 
     # what is left between the parts
-    places = _distinct_nodes(reduce(DataFrame.unionByName, small))
+    places = _distinct_nodes(reduce(DataFrame.unionByName, places))
     near = places.join(rep_sig, "id").select("node", "id", "part", "sig").groupBy("node").applyInArrow(
         _propose(est_least), f"node bigint, id {id_type}, part {id_type}")
     near = saved(_distinct_nodes(near), "near")
@@ -330,17 +333,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _blocks(members: DataFrame, node_size: int) -> DataFrame:
-    """Nodes that stayed large: (node, id, part) of pairs of blocks, so that every two members of different
-    parts meet in one. Only the members outside a node's largest part are repeated over its blocks."""
+    """Nodes too large to be compared at once: (node, id, part) of pairs of blocks, so that every two members of different
+    parts meet in one. The members outside a node's largest part are dealt into blocks of their own, few as they are, and only
+    these are repeated over the blocks of the largest part; a member of that goes to as many nodes as there are blocks of others."""
     count = members.groupBy("node", "part").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
-    main = count.groupBy("node").agg(F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("all"), F.sum("weight").alias("weight"))
-    blocks = F.ceil(F.greatest(F.col("all"), F.col("weight") / SHINGLES_PER_MEMBER) * 2 / F.lit(node_size)).cast("int")
-    main = main.select("node", F.col("m.part").alias("main"), blocks.alias("blocks"))
-    dealt = members.join(main, "node").withColumn("own", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int"))
-    light = dealt.filter(F.col("part") != F.col("main"))
-    keyed = lambda lo, hi: F.xxhash64("node", lo, hi)
-    met = light.select("id", "part", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    moved = met.select(keyed(F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "part")
-    hosts = light.groupBy("node").agg(F.collect_set("own").alias("lights"))
-    stay = dealt.join(hosts, "node").select("id", "part", "node", "own", F.explode("lights").alias("other"))
-    return moved.unionByName(stay.select(keyed(F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "part")).distinct()
+    main = count.groupBy("node").agg(F.max(F.struct("size", "part", "weight")).alias("m"), F.sum("size").alias("all"), F.sum("weight").alias("weight"))
+    blocks = lambda size, weight: F.ceil(F.greatest(size, weight / SHINGLES_PER_MEMBER) * 2 / F.lit(node_size)).cast("int")
+    main = main.select("node", F.col("m.part").alias("main"), blocks(F.col("m.size"), F.col("m.weight")).alias("mains"),
+                       blocks(F.col("all") - F.col("m.size"), F.col("weight") - F.col("m.weight")).alias("lights")).filter("lights > 0")
+    is_main = F.col("part") == F.col("main")
+    own = F.pmod(F.xxhash64("id", "node"), F.when(is_main, F.col("mains")).otherwise(F.col("lights"))).cast("int")
+    dealt = members.join(main, "node").withColumn("own", own)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    keyed = lambda kind, x, y: F.xxhash64("node", F.lit(kind), x, y).alias("node")
+    base = ["node", "id", "part", "own"]
+    hosts = dealt.filter(is_main).select(*base, upto("lights")).select(keyed("main", "other", "own"), "id", "part")
+    light = dealt.filter(~is_main)
+    guests = light.select(*base, upto("mains")).select(keyed("main", "own", "other"), "id", "part")
+    among = light.select(*base, upto("lights")).select(keyed("light", F.least("own", "other"), F.greatest("own", "other")), "id", "part")
+    return hosts.unionByName(guests).unionByName(among).distinct()
