@@ -31,6 +31,7 @@ _PROXY = "_rk_proxy"
 
 ROWS_PER_RANGE = 2_000_000
 _DRAWN_PER_RANGE = 20
+COMPILED_BOUNDS = 128
 
 
 def order_proxy(df: DataFrame, col: str) -> Column:
@@ -94,12 +95,20 @@ def _string_boundaries(df: DataFrame, col: str, n_buckets: int) -> list:
 def bucket_of(value: Column, bounds: Sequence, descending: bool = False) -> Column:
     """Range id of ``value``: number of boundaries strictly below it (0..len(bounds)).
 
-    A binary search in one array literal. NULL goes first for ascending, last for descending,
-    as Spark orders NULLs by default.
+    A tree of comparisons, which is compiled, up to ``COMPILED_BOUNDS`` boundaries; beyond, where its code would grow too long,
+    a binary search in one array literal. NULL goes first for ascending, last for descending, as Spark orders NULLs by default.
     """
     n = len(bounds)
     b = F.lit(0)
-    if n:
+    if 0 < n <= COMPILED_BOUNDS:
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(value > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+        b = tree(0, n)
+    elif n:
         array = F.array(*[F.lit(x) for x in bounds])
 
         def halve(s: Column, _: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (dashboard_queries, feature_queries, ml_queries, rules_queries, stream_queries,  # noqa: F401
-               table_queries)
+               table_queries, io_queries)
 from .base import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
