@@ -41,3 +41,38 @@ def test_band_links_are_verified(spark):
     rows = [(1, " ".join(base)), (2, " ".join(base[:98] + ["x", "y"])), (3, " ".join(base[:60])), (4, None), (5, " ".join(base))]
     got = {(r["a"], r["b"]): r["jaccard"] for r in fp.band_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(2, 1): 94 / 98, (5, 1): 1.0}
+
+
+def test_band_classes_of_a_template_group(spark):
+    """150 edits of one template, each with a near copy, beside other texts: nearly all links are found."""
+    ready(spark)
+    from tests.llm.test_neardup import shingles
+
+    rnd = random.Random(7)
+    base = [f"t{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        edit = [f"e{rnd.randrange(10 ** 6)}" if rnd.random() < 0.05 else w for w in base]
+        copy = list(edit)
+        copy[rnd.randrange(200)] = f"c{i}"
+        texts += [" ".join(edit), " ".join(copy)]
+    texts += [" ".join(f"v{rnd.randrange(3000)}" for _ in range(60)) for _ in range(40)] + [texts[0], texts[7]]
+    rows = [*enumerate(texts), (900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [(i, shingles(t)) for i, t in rows]
+    links = [(a, b) for n, (b, y) in enumerate(sets) for a, x in sets[:n] if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    for size in (2048, 16):
+        got = {r["doc_id"]: r["component_id"] for r in fp.band_classes(df, node_size=size).collect()}
+        assert len(got) == len(rows) and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links) and len(links) > 150
+        # nothing is joined that brute force keeps apart
+        parent = {i: i for i, _ in rows}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        assert all(find(i) == find(c) for i, c in got.items())
