@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from txrisk.operators import features as FE
 from txrisk.operators.features import batch_features, merchant_stats, user_window_features, with_group_stats
 from txrisk.operators.ranking import distributed_percent_rank, distributed_rank
 from txrisk.sources.tables import transactions
@@ -145,3 +146,24 @@ def test_batch_features_columns(spark, sf001):
                 "is_high_velocity", "fraud_score_rule"}
     assert expected.issubset(out.columns)
     assert out.count() == transactions(spark, sf001).count()
+
+
+def test_users_of_many_rows_are_cut_into_ranges(spark, monkeypatch):
+    rows = [(f"T{i % 70}", [None, "U1", "U1", "U2"][i % 4], None if i % 31 == 0 else f"2024-01-{1 + i * 7 % 25:02d} 00:{i % 3:02d}:00", [None, 1.25, 3.0][i % 3])
+            for i in range(200)] + [("A", "U3", "2024-01-02 00:00:00", 1.0)]
+    df = spark.createDataFrame(rows, "transaction_id string, user_id string, at string, amount double").selectExpr(
+        "transaction_id", "user_id", "cast(at as timestamp) as transaction_time", "amount")
+    once = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    want = once(FE.user_window_features(df))
+    monkeypatch.setattr(FE, "HOT_ROWS", 60)                 # U1 only
+    assert FE._hot(df, "user_id") is not None
+    assert once(FE.user_window_features(df)) == want
+    monkeypatch.setattr(FE, "HOT_ROWS", 0)                  # everyone
+    assert once(FE.user_window_features(df)) == want
+
+
+def test_user_windows_take_one_shuffle_and_no_join(spark):
+    df = spark.range(50).selectExpr("cast(id as string) as transaction_id", "if(id > 3, cast(id % 3 as string), null) as user_id",
+                                    "timestamp_seconds(id) as transaction_time", "cast(id as double) as amount")
+    plan = FE.user_window_features(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
