@@ -149,3 +149,73 @@ def test_alive_alerts_at_every_watermark(spark):
                 alive[k] = expires if event == "set" else None
         assert {k for k, e in alive.items() if e is not None and e > w} == want
     assert {e[0] for e in events if e[1] == "expired"} == {r[0] for r in rows}
+
+
+class Counted:
+    """State of one key in memory that counts how often it is asked."""
+
+    def __init__(self):
+        self.stores, self.calls = {}, 0
+
+    def _state(self, name):
+        outer = self
+
+        class State:
+            def __init__(self):
+                self.map, self.value = {}, None
+
+            def __getattribute__(self, what):
+                if what not in ("map", "value"):
+                    outer.calls += 1
+                return object.__getattribute__(self, what)
+
+            def getValue(self, k): return self.map.get(k)
+            def updateValue(self, k, v): self.map[k] = v
+            def removeKey(self, k): self.map.pop(k, None)
+            def keys(self): return iter(list(self.map))
+            def iterator(self): return iter(list(self.map.items()))
+            def get(self): return self.value
+            def update(self, v): self.value = v
+            def clear(self): self.value = None
+
+        return self.stores.setdefault(name, State())
+
+    def getMapState(self, name, *a): return self._state(name)
+    def getValueState(self, name, *a): return self._state(name)
+    def registerTimer(self, t): self.calls += 1
+
+
+class At:
+    def __init__(self, ms): self.ms = ms
+    def getCurrentWatermarkInMs(self): return self.ms
+
+
+def _user_rows(few, monkeypatch):
+    monkeypatch.setattr(keyed, "FEW", few)
+    hour = 3_600_000_000
+    row = T.StructType.fromDDL("_amount double, _id string, _c0 string")
+    p, state, out = keyed.UserWindows(row, [*"abcdefgh"], 24 * hour, 3 * hour, hour, 5, 24.0, 10), Counted(), []
+    p.init(state)
+    for start in range(0, 400, 100):
+        times = [(start + i) * hour // 3 for i in range(100)]
+        rows = [{"_t": t, "_amount": keyed.Decimal(t % 7), "_id": str(t), "_c0": str(t)} for t in reversed(times)]
+        list(p.handleInputRows(("u",), iter(rows), None))
+        out += p.handleExpiredTimer(("u",), At(times[-1] // 1000), None)
+    return [tuple(r) for r in out], state.calls
+
+
+def test_state_of_a_user_is_read_by_the_batch(monkeypatch):
+    rows, calls = _user_rows(1000, monkeypatch)
+    assert len(rows) == 400 and calls < 60
+    assert _user_rows(20, monkeypatch)[0] == rows        # in buckets from the first batch on
+    day = [int(r[0]) for r in rows]
+    assert [r[1] for r in rows] == [sum(t - 24 * 3_600_000_000 <= x <= t for x in day) for t in day]
+
+
+def test_expiry_state_is_read_by_the_batch():
+    p, state = keyed.Expiry([*"abcd"], T.StringType()), Counted()
+    p.init(state)
+    rows = [{"_key": f"T{i}", "_t": i * 1000, "expires": 10_000_000 + i * 1000} for i in range(200)]
+    assert len(list(p.handleInputRows((0,), iter(rows), None))) == 200
+    assert len(list(p.handleExpiredTimer((0,), At(10_099), None))) == 100 and len(list(p.handleExpiredTimer((0,), At(20_000), None))) == 100
+    assert state.calls < 20

@@ -11,8 +11,10 @@ a timer where the key stays silent. Amounts are summed as exact decimals, so the
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from decimal import Context, Decimal
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _WIDE = Context(prec=76)
 _TIME = "_t"
+PIECE = 1000       # waiting rows of a state value
+FEW = 1000         # distinct times of a user that are kept as one state value
 _TIMES = (T.TimestampType, T.TimestampNTZType)
 _NESTED = (T.ArrayType, T.StructType, T.MapType, T.BinaryType)
 
@@ -50,7 +54,10 @@ def _add(a: Decimal, b: Decimal) -> Decimal:
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key wait for the watermark and are worked off by time: ``work(time, rows)`` for each distinct time."""
+    """Rows of a key wait for the watermark and are worked off by time: ``work(time, rows)`` for each distinct time.
+
+    What one batch brings a key is written as a few pieces of up to ``PIECE`` rows: (rows, microseconds after the
+    time that the piece is kept by), so that state is read and written by the batch and not by the row."""
 
     def __init__(self, row: T.StructType, names: list[str], keep: int):
         self.row, self.made, self.keep = row, Row(*names), keep
@@ -58,32 +65,53 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         key = T.StructType([T.StructField("t", T.LongType())])
-        self.waiting = handle.getMapState("waiting", key, T.StructType([T.StructField("rows", T.ArrayType(self.row))]))
+        self.waiting = handle.getMapState("waiting", key, T.StructType(
+            [T.StructField("rows", T.ArrayType(self.row)), T.StructField("after", T.ArrayType(T.LongType()))]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        came: dict[int, list[tuple]] = {}
-        for r in rows:
-            came.setdefault(r[_TIME], []).append(tuple(r[f.name] for f in self.row.fields))
-        for t, new in came.items():
-            had = self.waiting.getValue((t,))
-            self.waiting.updateValue((t,), ([tuple(x) for x in had[0]] + new if had else new,))
+        names = [f.name for f in self.row.fields]
+        came = sorted(((r[_TIME], tuple(r[n] for n in names)) for r in rows), key=lambda r: r[0])
         if came:
-            self._timer(min(came))
+            self._wait(came)
+            self._timer(came[0][0])
         return iter(())
 
+    def _piece(self, t: int, value) -> list[tuple]:
+        """(time, row) of a stored piece; rows without a distance are at its time."""
+        rows, after = (*value, None)[:2]
+        return [(t + d, tuple(r)) for r, d in zip(rows, after or [0] * len(rows), strict=True)]
+
+    def _wait(self, rows: list[tuple]) -> None:
+        """Write (time, row) in the order of time; rows of one time stay together."""
+        start = 0
+        for end in range(1, len(rows) + 1):
+            if end == len(rows) or (end - start >= PIECE and rows[end][0] != rows[end - 1][0]):
+                t = rows[start][0]
+                had = self.waiting.getValue((t,))
+                piece = sorted([*(self._piece(t, had) if had else []), *rows[start:end]], key=lambda r: r[0])
+                self.waiting.updateValue((t,), ([r for _, r in piece], [x - t for x, _ in piece]))
+                start = end
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        due = sorted(t for (t,) in self.waiting.keys())
-        later = [t for t in due if t > now]
-        due = due[: len(due) - len(later)]
-        self.begin(due[0] if due else now)
-        for t in due:
-            rows = self.waiting.getValue((t,))[0]
-            yield from self.work(key, t, rows)
+        kept = sorted(t for (t,) in self.waiting.keys())
+        later = [t for t in kept if t > now]
+        rows = []
+        for t in kept[: len(kept) - len(later)]:
+            rows += self._piece(t, self.waiting.getValue((t,)))
             self.waiting.removeKey((t,))
+        rows.sort(key=lambda r: r[0])
+        rest = [r for r in rows if r[0] > now]
+        due = rows[: len(rows) - len(rest)]
+        if rest:
+            self._wait(rest)
+            later.append(rest[0][0])
+        self.begin(due[0][0] if due else now)
+        for t, same in groupby(due, key=lambda r: r[0]):
+            yield from self.work(key, t, [r for _, r in same])
         last = self.end(now)
         if later:
-            self._timer(later[0])
+            self._timer(min(later))
         elif last is not None:
             self._timer(last + self.keep + 1)        # nothing waits: look again when all that is kept has grown old
 
@@ -103,11 +131,48 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class Window:
+    """Rows, sum and amounts of the times of a look-back, moved on by what leaves it: whole buckets by their totals, the bucket
+    that the look-back's start cuts by its entries."""
+
+    def __init__(self, held: UserWindows, since: int):
+        self.held, self.at, self.gone = held, 0, 0           # buckets passed, entries passed of the next
+        self.n, self.s, self.na = 0, Decimal(0), 0
+        first = since // held.bucket
+        while self.at < len(held.order) and held.order[self.at] < first:
+            self.at += 1
+        for b in held.order[self.at:]:
+            self.add(held.sums[b])
+        self.move(since)
+
+    def add(self, entry) -> None:
+        self.n, self.s, self.na = self.n + entry[0], _add(self.s, entry[1]), self.na + entry[2]
+
+    def _drop(self, entry) -> None:
+        self.n, self.s, self.na = self.n - entry[0], _WIDE.subtract(self.s, entry[1]), self.na - entry[2]
+
+    def move(self, since: int) -> None:
+        """Without the times before ``since``."""
+        order, cut = self.held.order, since // self.held.bucket
+        while self.at < len(order) and order[self.at] <= cut:
+            b = order[self.at]
+            if b < cut and not self.gone:
+                self._drop(self.held.sums[b])
+            else:
+                entries = self.held.entries_of(b)
+                while self.gone < len(entries) and entries[self.gone][0] < since:
+                    self._drop(entries[self.gone][1:])
+                    self.gone += 1
+                if b == cut:
+                    return
+            self.at, self.gone = self.at + 1, 0
+
+
 class UserWindows(InOrder):
     """Look-back counts and sums of a user.
 
     Distinct times of the last look-back are kept in buckets of ``bucket`` microseconds: (time, rows, sum, amounts) lists and
-    their totals. A window is the totals of the whole buckets in it and the entries of the bucket that its start cuts.
+    their totals, each in a state of its own. A user of at most ``FEW`` distinct times has them all in one value instead.
     """
 
     def __init__(self, row, names, lookback: int, velocity: int, bucket: int, max_count: int, default_hours: float, scale: int):
@@ -120,45 +185,54 @@ class UserWindows(InOrder):
         money = T.DecimalType(38, self.scale)
         key = T.StructType([T.StructField("b", T.LongType())])
         total = [("n", T.LongType()), ("s", money), ("na", T.LongType())]
+        lists = T.StructType([T.StructField(a, T.ArrayType(b)) for a, b in [("t", T.LongType()), *total]])
         self.totals = handle.getMapState("totals", key, T.StructType([T.StructField(a, b) for a, b in total]))
-        self.entries = handle.getMapState("entries", key, T.StructType(
-            [T.StructField(a, T.ArrayType(b)) for a, b in [("t", T.LongType()), *total]]))
+        self.entries = handle.getMapState("entries", key, lists)
+        self.few = handle.getValueState("few", lists)
         self.newest = handle.getValueState("newest", T.StructType([T.StructField("t", T.LongType())]))
 
     def begin(self, first):
-        self.sums, self.lists, self.changed = {b[0]: tuple(v) for b, v in self.totals.iterator()}, {}, set()
         known = self.newest.get()
         self.last = known[0] if known else None
-
-    def _list(self, b):
+        few = self.few.get() if known else None
+        self.sums, self.lists, self.changed = {}, {}, set()
+        self.apart = bool(known) and few is None             # in buckets
+        if few:
+            for e in zip(*few, strict=True):
+                self._enter(e)
+        elif known:
+            self.sums = {b[0]: tuple(v) for b, v in sorted(self.totals.iterator())}
+        self.order, self.windows = list(self.sums), None
+
+    def entries_of(self, b):
         if b not in self.lists:
             v = self.entries.getValue((b,)) if b in self.sums else None
-            self.lists[b] = [list(x) for x in zip(*v, strict=True)] if v else []
+            self.lists[b] = [tuple(x) for x in zip(*v, strict=True)] if v else []
         return self.lists[b]
 
-    def _window(self, since: int):
-        """(rows, sum, amounts) of the times from ``since`` on."""
-        cut = since // self.bucket
-        parts = [v for b, v in self.sums.items() if b > cut]
-        if cut in self.sums:
-            parts += [x[1:] for x in self._list(cut) if x[0] >= since]
-        s = Decimal(0)
-        for p in parts:
-            s = _add(s, p[1])
-        return sum(p[0] for p in parts), s, sum(p[2] for p in parts)
+    def _enter(self, entry):
+        """Add (time, rows, sum, amounts) to its bucket."""
+        b = entry[0] // self.bucket
+        self.entries_of(b).append(tuple(entry))
+        had = self.sums.get(b, (0, Decimal(0), 0))
+        self.sums[b] = (had[0] + entry[1], _add(had[1], entry[2]), had[2] + entry[3])
+        self.changed.add(b)
+        return b
 
     def work(self, key, t, rows):
         amounts = [r[0] for r in rows if r[0] is not None]
         s = Decimal(0)
         for a in amounts:
             s = _add(s, a)
-        b = t // self.bucket
-        self._list(b).append([t, len(rows), s, len(amounts)])
-        had = self.sums.get(b, (0, Decimal(0), 0))
-        self.sums[b] = (had[0] + len(rows), _add(had[1], s), had[2] + len(amounts))
-        self.changed.add(b)
-        n, total, na = self._window(t - self.lookback)
-        vn, vtotal, vna = self._window(t - self.velocity)
+        if self.windows is None:
+            self.windows = [Window(self, t - self.lookback), Window(self, t - self.velocity)]
+        b = self._enter((t, len(rows), s, len(amounts)))
+        if not self.order or self.order[-1] != b:
+            self.order.append(b)
+        for w, length in zip(self.windows, (self.lookback, self.velocity), strict=True):
+            w.add((len(rows), s, len(amounts)))
+            w.move(t - length)
+        (n, total, na), (vn, vtotal, vna) = ((w.n, w.s, w.na) for w in self.windows)
         # the first row by id follows the user's previous time, the others this one
         order = sorted(rows, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else ""))
         for i, r in enumerate(order):
@@ -169,15 +243,24 @@ class UserWindows(InOrder):
 
     def end(self, now):
         oldest = (max(now, self.last or now) - self.keep) // self.bucket
-        for b in list(self.sums):
-            if b < oldest:
+        for b in [b for b in self.sums if b < oldest]:
+            if self.apart:
                 self.totals.removeKey((b,))
                 self.entries.removeKey((b,))
-                del self.sums[b]
-                self.changed.discard(b)
-        for b in self.changed:
-            self.totals.updateValue((b,), self.sums[b])
-            self.entries.updateValue((b,), tuple(list(c) for c in zip(*self.lists[b], strict=True)))
+            del self.sums[b]
+            self.lists.pop(b, None)
+            self.changed.discard(b)
+        if not self.apart and sum(len(x) for x in self.lists.values()) <= FEW:
+            if self.sums:
+                self.few.update(tuple(list(c) for c in zip(*(e for b in self.sums for e in self.lists[b]), strict=True)))
+            elif self.last is not None:
+                self.few.update(([], [], [], []))
+        else:
+            if not self.apart:
+                self.few.clear()
+            for b in self.changed:
+                self.totals.updateValue((b,), self.sums[b])
+                self.entries.updateValue((b,), tuple(list(c) for c in zip(*self.lists[b], strict=True)))
         if self.last is not None:
             self.newest.update((self.last,))
         return max(self.sums) * self.bucket + self.bucket if self.sums else None
@@ -197,16 +280,18 @@ class Bursts(InOrder):
 
     def begin(self, first):
         had = self.recent.get()
-        self.times = list(zip(*had, strict=True)) if had else []
+        self.times = deque(zip(*had, strict=True)) if had else deque()
+        self.count = sum(n for _, n in self.times)
 
     def work(self, key, t, rows):
-        before = sum(n for _, n in self.times) if self.times else 0
-        was = bool(self.times) and before >= self.threshold
-        held = [(a, n) for a, n in self.times if a >= t - self.span]
-        self.times = [*held, (t, len(rows))]
-        count = sum(n for _, n in self.times)
-        if count >= self.threshold:
-            yield self.made(*key, t, count, not (was and bool(held)))
+        was = bool(self.times) and self.count >= self.threshold
+        while self.times and self.times[0][0] < t - self.span:
+            self.count -= self.times.popleft()[1]
+        held = bool(self.times)
+        self.times.append((t, len(rows)))
+        self.count += len(rows)
+        if self.count >= self.threshold:
+            yield self.made(*key, t, self.count, not (was and held))
 
     def end(self, now):
         newest = self.times[-1][0] if self.times else None
@@ -218,29 +303,44 @@ class Bursts(InOrder):
 
 
 class Expiry(StatefulProcessor):
-    """A key lives until its newest expiry time; tells when it is set and when it goes."""
+    """A key lives until its newest expiry time; tells when it is set and when it goes. Keys are grouped by hash: the living ones of a
+    group are one value, so that state is read and written by the batch and not by the key."""
 
-    def __init__(self, names: list[str]):
-        self.made = Row(*names)
+    def __init__(self, names: list[str], key: T.DataType):
+        self.made, self.key = Row(*names), key
 
     def init(self, handle):
         self.handle = handle
-        self.until = handle.getValueState("until", T.StructType([T.StructField("t", T.LongType())]))
+        self.living = handle.getValueState("living", T.StructType(
+            [T.StructField("key", T.ArrayType(self.key)), T.StructField("until", T.ArrayType(T.LongType()))]))
+
+    def _read(self) -> dict:
+        had = self.living.get()
+        return dict(zip(*had, strict=True)) if had else {}
+
+    def _write(self, living: dict) -> None:
+        if living:
+            self.living.update((list(living), list(living.values())))
+            self.handle.registerTimer(-(-min(living.values()) // 1000))
+        else:
+            self.living.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        had = self.until.get()
-        end = had[0] if had else None
+        living = self._read()
         for r in sorted(rows, key=lambda r: r[_TIME]):
-            yield self.made(*key, "set", r[_TIME], r["expires"])
-            end = r["expires"] if end is None else max(end, r["expires"])
-        self.until.update((end,))
-        self.handle.registerTimer(-(-end // 1000))
+            k, end = r["_key"], r["expires"]
+            yield self.made(k, "set", r[_TIME], end)
+            living[k] = max(end, living.get(k, end))
+        self._write(living)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        had = self.until.get()
-        if had and had[0] <= timerValues.getCurrentWatermarkInMs() * 1000:
-            yield self.made(*key, "expired", had[0], had[0])
-            self.until.clear()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        living = self._read()
+        over = {k: t for k, t in living.items() if t <= now}
+        if over:
+            for k, t in over.items():
+                yield self.made(k, "expired", t, t)
+            self._write({k: t for k, t in living.items() if t > now})
 
     def close(self):
         pass
@@ -314,12 +414,13 @@ def stream_bursts(alerts: DataFrame, key: str = "user_id", ts: str = "detection_
 
 
 def stream_alert_expiry(alerts: DataFrame, ttl: str = S.ALERT_PAYLOAD_TTL, key: str = "transaction_id", ts: str = "detection_time",
-                        watermark: str = "10 minutes") -> DataFrame:
+                        watermark: str = "10 minutes", groups: int = 4096) -> DataFrame:
     """T6 on a stream: ``key, event, at, expires_at``: a ``set`` row as soon as an alert comes, an ``expired`` row when the watermark
     reaches its last expiry time (an alert that is set again lives on). At watermark w the keys alive are those
-    that were set at or before w and whose expiry has not come out: the alerts of ``sinks.alert_payload`` with ``expires_at`` > w."""
+    that were set at or before w and whose expiry has not come out: the alerts of ``sinks.alert_payload`` with ``expires_at`` > w.
+    The state is kept in ``groups`` groups of keys, by hash; a checkpoint goes with that number."""
     frame = alerts.filter(F.col(ts).isNotNull()).select(F.col(key).alias("_key"), F.col(ts).cast("timestamp").alias("_ts"))
-    frame = frame.withColumns({_TIME: F.unix_micros("_ts"), "expires": F.unix_micros(F.col("_ts") + interval(ttl))})
+    frame = frame.withColumns({_TIME: F.unix_micros("_ts"), "expires": F.unix_micros(F.col("_ts") + interval(ttl)), "_group": F.pmod(F.xxhash64("_key"), F.lit(groups))})
     out = T.StructType([frame.schema["_key"], *T.StructType.fromDDL("event string, at bigint, expires bigint").fields])
-    made = _run(frame, ["_key"], "_ts", watermark, Expiry(out.names), out)
+    made = _run(frame, ["_group"], "_ts", watermark, Expiry(out.names, frame.schema["_key"].dataType), out)
     return made.select(F.col("_key").alias(key), "event", F.timestamp_micros("at").alias("at"), F.timestamp_micros("expires").alias("expires_at"))
