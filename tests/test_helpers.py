@@ -46,3 +46,17 @@ def test_start_aggregate_writes_closed_windows(spark, sf001):
     q.awaitTermination()
     out = spark.read.parquet(os.path.join(root, "out"))
     assert 0 < out.count() < 31 and set(out.columns) >= {"window_start", "total_tx", "spike"}
+
+
+def test_daily_stats_are_dealt_by_the_rows(spark, monkeypatch):
+    from txrisk.operators.dashboard import daily_transaction_stats
+    from txrisk.sources import tables
+
+    df = spark.range(60).selectExpr("timestamp_seconds(id * 3600) as transaction_time", "cast(id as double) as amount",
+                                    "if(id = 5, null, cast(id % 7 as string)) as user_id", "cast(id % 3 as string) as merchant")
+    want = [tuple(r) for r in daily_transaction_stats(df).collect()]
+    assert want[-1] == (want[-1][0], 24, 11.5, 23.0, 0.0, 7, 3)
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 2)
+    dealt = daily_transaction_stats(df, 60)
+    assert "hashpartitioning(date" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 60)" in plan
+    assert [tuple(r) for r in dealt.collect()] == want

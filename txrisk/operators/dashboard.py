@@ -12,9 +12,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import as_of_col, exact_avg, interval, on_date_col, prune, within, within_col
 from .. import schemas as S
+from ..sources.tables import dealt, partitions_for
 
 TX_COLUMNS = ["transaction_id", "user_id", "amount", "currency", "merchant",
               "transaction_time", "country", "transaction_type"]
@@ -276,15 +278,28 @@ def fraud_summary(alerts: DataFrame) -> DataFrame:
             .orderBy(F.col("date").desc()))
 
 
-def daily_transaction_stats(tx: DataFrame) -> DataFrame:
-    """A11 + O7: per transaction day (newest first): count, avg / max / min amount, distinct users, merchants."""
-    return (tx.groupBy(F.to_date("transaction_time").alias("date"))
-            .agg(F.count(F.lit(1)).alias("total_transactions"),
-                 exact_avg("amount").alias("avg_amount"),
-                 F.max("amount").alias("max_amount"),
-                 F.min("amount").alias("min_amount"),
-                 F.countDistinct("user_id").alias("unique_users"),
-                 F.countDistinct("merchant").alias("unique_merchants"))
+def daily_transaction_stats(tx: DataFrame, rows: int | None = None) -> DataFrame:
+    """A11 + O7: per transaction day (newest first): count, avg / max / min amount, distinct users, merchants.
+
+    Rows are folded by (day, user) and (day, merchant) first, over as many partitions as ``rows`` (counted where not given)
+    call for, so that the memory of a task does not grow with the input."""
+    rows = tx.count() if rows is None else rows
+    named = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
+    long = tx.select(F.to_date("transaction_time").alias("date"), F.col("amount").alias("_amount"),
+                     F.explode(F.array(named("user", "user_id"), named("merchant", "merchant"))).alias("e")).select("date", "_amount", "e.kind", "e.value")
+    keys = ["date", "kind", "value"]
+    money = F.col("_amount").cast(T.DecimalType(*S.AMOUNT_DECIMAL))
+    folded = dealt(long, partitions_for(tx.sparkSession, 2 * rows), *keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(money).alias("s"), F.count("_amount").alias("na"), F.max("_amount").alias("high"), F.min("_amount").alias("low"))
+    user, distinct = F.col("kind") == "user", F.col("value").isNotNull()
+    of = lambda c: F.when(user, F.col(c))
+    return (folded.groupBy("date")
+            .agg(F.sum(of("n")).alias("total_transactions"),
+                 F.try_divide(F.sum(of("s")).cast("double"), F.sum(of("na"))).alias("avg_amount"),
+                 F.max("high").alias("max_amount"),
+                 F.min("low").alias("min_amount"),
+                 F.count(F.when(user & distinct, 1)).alias("unique_users"),
+                 F.count(F.when(~user & distinct, 1)).alias("unique_merchants"))
             .orderBy(F.col("date").desc()))
 
 

@@ -31,6 +31,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Rows that one task of a join or an aggregation over many groups is to hold.
+ROWS_PER_TASK = 1_000_000
+
+
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """As many partitions as the session says, and more where one would hold over ROWS_PER_TASK rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // ROWS_PER_TASK))
+
+
+def dealt(df: DataFrame, partitions: int, *keys) -> DataFrame:
+    """``df`` dealt by ``keys``, where that takes more partitions than the session says."""
+    few = partitions <= partitions_for(df.sparkSession, 0)
+    return df if few else df.repartition(partitions, *keys)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(path, its file system) for small files and listings on any file system that Spark reads."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -146,8 +161,8 @@ def transactions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Join order is explicit (Catalyst does not reorder joins without CBO
     statistics): orders are first enriched with customer and nation (the
-    smaller side), so the largest table, lineitem, is shuffled exactly once, by
-    order key. Dimension sides are left to the planner / AQE, which broadcasts
+    smaller side), so the largest table, lineitem, is shuffled once, by
+    order key, and where it is large once more, by supplier. Dimension sides are left to the planner / AQE, which broadcasts
     them when their measured size is small. (l_orderkey, l_linenumber) is not
     unique in the given data, so the transaction id is not unique either; see
     ``quality.duplicates`` / ``dedupe``.
@@ -161,8 +176,10 @@ def transactions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyers = (od.join(cu, od.o_custkey == cu.c_custkey)
               .join(na, F.col("c_nationkey") == na.n_nationkey)
               .select("o_orderkey", "o_custkey", "n_name"))
-    j = (li.join(buyers, li.l_orderkey == buyers.o_orderkey)
-         .join(su, F.col("l_suppkey") == su.s_suppkey))
+    # the row count comes from the file footers; the memory of a task does not grow with the input
+    parts = partitions_for(spark, li.count())
+    j = dealt(li, parts, "l_orderkey").join(buyers, li.l_orderkey == buyers.o_orderkey)
+    j = dealt(j, parts, "l_suppkey").join(su, F.col("l_suppkey") == su.s_suppkey)
     ts = F.col("l_shipdate").cast("timestamp")
     return j.select(
         F.concat_ws("_", F.lit("TXN"), F.col("l_orderkey").cast("string"),
