@@ -62,6 +62,20 @@ def test_classes_equal_brute_force(spark, seed, kw):
     assert sorted(got, key=str) == sorted(brute_force(rows), key=str)
 
 
+def test_members_of_nodes_take_parts_and_signatures_by_one_join(spark, monkeypatch):
+    ready(spark)
+    plans, write = {}, neardup.saved
+
+    def saved(df, name="t"):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(neardup, "saved", saved)
+    neardup.near_duplicates(spark.createDataFrame(corpus(1), "doc_id long, text string"), node_size=8, max_depth=2)
+    assert len(plans["level"]) > 1                # there were large nodes
+    assert len(re.findall(r"Join Inner, \(id#\d+L? = id#\d+L?\)", plans["near"][0])) == 1
+
+
 def test_pairs_at_the_threshold_with_a_low_estimate_are_linked(spark):
     ready(spark)
     rows = []

@@ -161,7 +161,7 @@ def _propose(slack):
         part = np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), POSITIONS)
         keep = np.zeros(len(ids), bool)
-        for i in range(len(ids) - 1):
+        for i in range(len(ids) - 1 if part.any() else 0):       # a node of one part has nothing left to link
             near = ((sig[i + 1:] == sig[i]).mean(axis=1) >= slack) & (part[i + 1:] != part[i])
             if near.any():
                 keep[i] = True
@@ -226,11 +226,13 @@ def _part(frame: DataFrame, links: DataFrame) -> DataFrame:
     return frame.join(parts, frame["id"] == parts["a"], "left").withColumn("part", F.coalesce("b", "id")).drop("a", "b")
 
 
-def _distinct_nodes(members: DataFrame) -> DataFrame:
-    """(node, id, part) of nodes of several parts, those of equal members once; nodes are small here."""
-    sets = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("id", "part"))).alias("ids")).select("ids").filter(
-        F.array_min("ids.part") != F.array_max("ids.part")).distinct()
-    return sets.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("m")).select("node", "m.id", "m.part")
+def _distinct_nodes(members: DataFrame, known: bool = True) -> DataFrame:
+    """(node, id, part) of nodes of several parts, those of equal members once; nodes are small here. Where parts are not
+    ``known`` yet, (node, id) of nodes of several members."""
+    cols = ["id", "part"] if known else ["id"]
+    sets = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct(*cols))).alias("ids")).select("ids").filter(
+        F.array_min(f"ids.{cols[-1]}") != F.array_max(f"ids.{cols[-1]}")).distinct()
+    return sets.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("m")).select("node", *[f"m.{c}" for c in cols])
 
 
 def _confirmed_leaders(docs: DataFrame, rep_sig: DataFrame, pairs: DataFrame, k: int, percent: int, est_least: float) -> DataFrame:
@@ -291,24 +293,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     node_type = f"node bigint, id {id_type}, part {id_type}, n bigint"
     is_small = (F.col("size") <= min(TINY_NODE, node_size)) | ((F.col("size") <= node_size) & (F.col("weight") <= node_size * SHINGLES_PER_MEMBER))
     level = _sized(rep_sig.withColumn("part", F.col("id")).mapInArrow(_branch(percent / 100, roots), node_type))
-    small, large = level.filter(is_small).select("node", "id", "part"), level.filter(~is_small)
-    places = [small]
+    large = level.filter(~is_small)
+    # members go without their parts, which come with the signatures, by one join
+    places, parted = [level.filter(is_small).select("node", "id")], rep_sig.withColumn("part", F.col("id"))
     if not large.isEmpty():
         # a linear number of comparisons with leaders; what they link is one part from here on
         stars = large.filter(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         led = _confirmed_leaders(docs, rep_sig, stars, k, percent, est_least)
         labels = saved(_edges(components(labels.unionByName(led))), "parts")
+        parted = _part(rep_sig, labels)
         parts = saved(_part(rep_sig.select("id").distinct(), labels), "parted")
-        places = [small.select("node", "id").join(parts, "id").select("node", "id", "part")]
         level = large.select("node", "id", "n").join(parts, "id")
         for depth in range(1, max_depth + 1):
             level = _sized(level)
             large = level.filter(~is_small)
-            places.append(level.filter(is_small).select("node", "id", "part"))
+            places.append(level.filter(is_small).select("node", "id"))
             # few outside the main part: they meet the others in blocks, which takes about a row a member; many: the node branches on
             few = F.col("light") <= F.lit(node_size // 4)
             last = depth == max_depth
-            places.append(_blocks((large if last else large.filter(few)).select("node", "id", "n", "part"), node_size))
+            places.append(_blocks((large if last else large.filter(few)).select("node", "id", "n", "part"), node_size).select("node", "id"))
             large = large.filter(~few)
             if last or large.isEmpty():
                 break
@@ -316,8 +319,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 _branch(percent / 100, None), node_type)
 
     # what is left between the parts
-    places = _distinct_nodes(reduce(DataFrame.unionByName, places))
-    near = places.join(rep_sig, "id").select("node", "id", "part", "sig").groupBy("node").applyInArrow(
+    places = _distinct_nodes(reduce(DataFrame.unionByName, places), known=False)
+    near = places.join(parted, "id").select("node", "id", "part", "sig").groupBy("node").applyInArrow(
         _propose(est_least), f"node bigint, id {id_type}, part {id_type}")
     near = saved(_distinct_nodes(near), "near")
     across = by_id.join(near, "id").select("node", "id", "part", "text").groupBy("node").applyInArrow(
