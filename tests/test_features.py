@@ -167,3 +167,31 @@ def test_user_windows_take_one_shuffle_and_no_join(spark):
                                     "timestamp_seconds(id) as transaction_time", "cast(id as double) as amount")
     plan = FE.user_window_features(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_user_windows_take_one_sort_and_one_window_pass(spark):
+    plan = FE.user_window_features(_hot_fixture(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Window [") == 1
+    assert "decimal" not in plan             # whole cents
+
+
+def test_many_ranges_are_worked_out_after_the_aggregation(spark):
+    df = spark.range(2000).selectExpr("cast(if(id % 9 = 0, null, id % 1500) as double) as amount")
+    out = distributed_percent_rank(df, "amount", "pr", n_buckets=500)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan              # of the range ids of all rows
+    assert rows(out) == rows(df.select("amount", F.percent_rank().over(Window.orderBy("amount")).alias("pr")))
+
+
+@pytest.mark.parametrize("odd, cents", [(None, True), (-0.0, True), (0.004, False), (float("nan"), False), (float("inf"), False), (-1e29, False),
+                                        (1e14, False), (4e12, True), (123456789.125, False)])
+def test_cents_and_decimals_give_the_same_sums(spark, monkeypatch, odd, cents):
+    t = dt.datetime(2024, 1, 2)
+    data = [(f"T{i}", [None, "A", "B"][i % 3], [None, 0.1, 0.2, 0.29, 1.15, -4.35, 1e6 + 0.07][i % 7], t + dt.timedelta(minutes=13 * i)) for i in range(120)]
+    df = spark.createDataFrame([*data, ("X", "A", odd, t + dt.timedelta(minutes=200))],
+                               "transaction_id string, user_id string, amount double, transaction_time timestamp")
+    assert FE._measured(df, "user_id", "amount") == (41, cents)
+    once = lambda frame: sorted(map(str, frame.collect()))
+    got, cut = once(FE.user_window_features(df)), once(FE.user_window_features(df, n_buckets=3))
+    monkeypatch.setattr(FE, "_measured", lambda *_: (0, False))
+    assert got == cut == once(FE.user_window_features(df))

@@ -119,6 +119,8 @@ def bucket_of(value: Column, bounds: Sequence, descending: bool = False) -> Colu
 
         steps = F.sequence(F.lit(1), F.lit(n.bit_length()))
         b = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda s: s["lo"])
+        # never NULL, and seen to be: else a join by the id would have it worked out for every row before the aggregation, to drop NULLs
+        b = F.coalesce(b, F.lit(0))
     if descending:
         b = F.lit(n) - b
         return F.when(value.isNull(), F.lit(n + 1)).otherwise(b)
