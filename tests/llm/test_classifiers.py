@@ -224,3 +224,14 @@ def test_long_tokens_are_decoded_whole():
     # the state is carried over: what comes later in the word decides as in a short one
     assert toxicity.decode("x" * 61 + "stup1d", model)[-6:] == toxicity.decode("xstup1d", model)[-6:] == "stupid"
     assert len(toxicity.decode("a0" * 100_000, model)) >= 100_000
+
+
+def test_doubled_letters_are_told_in_linear_time():
+    import itertools
+    import re
+
+    plain = re.compile(r"(?:([^\W\d_])\1+){3,}")
+    for n in range(11):
+        for word in map("".join, itertools.product("ab" if n > 7 else "ab1", repeat=n)):
+            assert bool(plain.fullmatch(word)) == bool(toxicity._ALL_DOUBLED.fullmatch(word)), word
+    assert toxicity._ALL_DOUBLED.fullmatch("x" * 100_001) and not toxicity._ALL_DOUBLED.fullmatch("x" * 100_000 + "1")

@@ -91,7 +91,8 @@ class CharacterModel:
         return cls(np.log((c3 + 4 * p2) / (c3.sum(axis=2, keepdims=True) + 4)))
 
 
-_ALL_DOUBLED = re.compile(r"(?:([^\W\d_])\1+){3,}")
+# three times or more a letter twice, or thrice where its run ends: one way only to match a run, or long runs take exponential time
+_ALL_DOUBLED = re.compile(r"(?:([^\W\d_])\1(?:\1(?!\1))?){3,}")
 _RARE_PAIRS = re.compile(rf"([{_RARELY_DOUBLED}])\1")
 
 
